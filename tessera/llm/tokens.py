@@ -6,8 +6,11 @@ documents by the row groups' and pages' doc_id bounds and read single columns.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,8 @@ from .common import Scratch, small_batches, table
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 200_000
+CACHE = 450_000
+GROUP_CHARS = 2_000_000
 #: Row groups and pages are small enough for selective reads; Spark's writer adds page indexes by itself.
 LAYOUT = {
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
@@ -41,75 +45,93 @@ class Encoder:
     """Encodes texts word by word with a cache.
 
     The tokenizer splits at white space before it merges and drops it, so a text's ids are those of
-    its space-separated pieces, one after another. The cache is emptied when it holds CACHE pieces.
+    its space-separated pieces, one after another. New pieces are encoded together, with a special
+    token between them that marks where each ends. The first CACHE pieces are kept; later ones are
+    encoded for the texts at hand only, which bounds memory.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
-        self.clear()
-
-    def clear(self) -> None:
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.specials[0] if self.specials else None
+        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
         self.number: dict[str, int] = {}
-        self.flat = [np.array([self.end_id], "int32")]
-        self.lengths = [1]
-        self.joined = None
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            self.number[piece] = len(self.flat)
-            self.flat.append(np.array(found.ids, "int32"))
-            self.lengths.append(len(found.ids))
-        self.joined = None
+        self.flat, self.lengths = np.array([end_id], "int32"), np.array([1], "int64")
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces and the number of ids of each."""
+        plain = self.mark is not None and not any(s in p for s in self.specials for p in pieces)
+        if not plain:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.array([i for f in found for i in f], "int32"), np.array([len(f) for f in found], "int64")
+        groups = [self.mark.join([*pieces[i : i + 500], ""]) for i in range(0, len(pieces), 500)]
+        ids = np.concatenate([np.array(e.ids, "int32") for g in range(0, len(groups), 20) for e in self.tokenizer.encode_batch_fast(groups[g : g + 20], add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(np.concatenate([[-1], marks])) - 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        out, counts = [], []
-        if len(self.number) > CACHE:
-            self.clear()
-        size, group = 0, []
-        for text in [*texts, None]:
-            if text is None or size > 2_000_000:
-                if group:
-                    ids, n = self._some(group)
-                    out.append(ids)
-                    counts.append(n)
-                size, group = 0, []
-            if text is not None:
-                group.append(text)
-                size += len(text)
+        out, counts, group, size = [], [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                out.append(self._some(group))
+                group, size = [], 0
+        if group:
+            out.append(self._some(group))
         if not out:
             return np.zeros(0, "int32"), np.zeros(0, "int64")
-        return np.concatenate(out), np.concatenate(counts)
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [_pieces(t) for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.number})
-        if new:
-            self._learn(new)
-        if self.joined is None:
-            self.lengths_array = np.array(self.lengths, "int64")
-            self.starts = np.concatenate([[0], np.cumsum(self.lengths_array)[:-1]])
-            self.joined = np.concatenate(self.flat)
-        get = self.number.__getitem__
-        numbers: list[int] = []
-        of_text = np.empty(len(texts), "int64")
-        for i, pieces in enumerate(split):
-            numbers.extend(map(get, pieces))
-            numbers.append(0)
-            of_text[i] = len(pieces) + 1
-        index = np.array(numbers, "int64")
-        lengths = self.lengths_array[index]
-        ends = np.cumsum(lengths)
-        ids = self.joined[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        last = ends[np.cumsum(of_text) - 1]
+        pieces: list[str] = []
+        ends = []
+        for text in texts:
+            pieces.extend(_pieces(text))
+            ends.append(len(pieces))
+        index = np.array(list(map(self.number.get, pieces, repeat(-1))), "int64")
+        missing = np.flatnonzero(index < 0)
+        flat, lengths = self.flat, self.lengths
+        if len(missing):
+            new = {p: i for i, p in enumerate(dict.fromkeys([pieces[i] for i in missing.tolist()]), len(lengths))}
+            ids, n = self._encode_pieces(list(new))
+            flat, lengths = np.concatenate([flat, ids]), np.concatenate([lengths, n])
+            index[missing] = [new[pieces[i]] for i in missing.tolist()]
+            if len(lengths) <= CACHE:
+                self.number.update(new)
+                self.flat, self.lengths = flat, lengths
+        index = np.insert(index, ends, 0)  # the end id behind each text
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[index]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(starts[index] - (upto - each), each) + np.arange(upto[-1])]
+        last = upto[np.array(ends) + np.arange(len(ends))]
         return ids, np.diff(np.concatenate([[0], last]))
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this Python worker, kept between tasks."""
+    return _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), Encoder(path, end_id))
+
+
+#: A comma or stop that ends a word: the tokenizer splits it off, so a space before it changes nothing.
+MARKS = re.compile(r"[.,](?<=[^\W\d_][.,])(?=[\x20\n]|\Z)")
+
+
 def _pieces(text: str) -> list[str]:
-    return [p for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p]
+    """Space-separated pieces. A-Z are lower-cased, as the tokenizer does, so that fewer differ; not
+    where special tokens could come of it, as those are told by their case."""
+    if "<|" not in text:
+        text = text.lower() if text.isascii() else text.encode().lower().decode()
+    text = MARKS.sub(r" \g<0>", text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+    return [p for p in text.split(" ") if p]
 
 
 def write_ids(docs: DataFrame, scratch: Scratch, tag: str = "ids", vocabulary: str = VOCABULARY, end_id: int = END_ID, text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -126,15 +148,13 @@ def write_ids(docs: DataFrame, scratch: Scratch, tag: str = "ids", vocabulary: s
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("__t")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("__t"), "__t")
     path = vocabulary_path(vocabulary)
     schema = T.StructType([*rows.schema.fields[: len(rest)], *SCHEMA.fields])
-    cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        encoder = cache.get("e") or cache.setdefault("e", Encoder(path, end_id))
         for batch in batches:
-            ids, counts = encoder.encode(batch.column(len(rest) + 1).to_pylist())
+            ids, counts = encoder(path, end_id).encode(batch.column(len(rest) + 1).to_pylist())
             ends = np.cumsum(counts)
             offsets = np.concatenate([[0], ends]).astype("int32")
             arrays = [
