@@ -121,8 +121,9 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), Encoder(path, end_id))
 
 
-#: A comma or stop that ends a word: the tokenizer splits it off, so a space before it changes nothing.
-MARKS = re.compile(r"[.,](?<=[^\W\d_][.,])(?=[\x20\n]|\Z)")
+#: A comma or stop that ends a word of Latin letters (of those that lower-case to one letter): the
+#: tokenizer splits it off, so a space before it changes nothing.
+MARKS = re.compile("[.,](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,])(?=[\x20\n]|\\Z)")
 
 
 def _pieces(text: str) -> list[str]:
@@ -167,8 +168,8 @@ def write_ids(docs: DataFrame, scratch: Scratch, tag: str = "ids", vocabulary: s
     return scratch.write(rows.mapInArrow(run, schema), tag, **{k.replace(".", "__"): v for k, v in LAYOUT.items()})
 
 
-def with_starts(files: DataFrame) -> DataFrame:
-    """The files' rows with ``start``: the ids of all documents before.
+def with_starts(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` (the files' own if none) with ``start``: the ids of all documents before.
 
     Sums per part are as many rows as there are parts, so the running sum over them is small.
     """
@@ -178,7 +179,7 @@ def with_starts(files: DataFrame) -> DataFrame:
     ahead = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
     # One row for each write partition: a bound that is fixed by spark.sql.shuffle.partitions.
-    return files.join(F.broadcast(sums), "part").withColumn("start", F.col("__ahead") + F.col("local_start")).drop("__ahead")
+    return (files if rows is None else rows).join(F.broadcast(sums), "part").withColumn("start", F.col("__ahead") + F.col("local_start")).drop("__ahead")
 
 
 def digests(files: DataFrame) -> DataFrame:
@@ -202,7 +203,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "tokens")
     files = write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
-    return with_starts(digests(files)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(files, digests(files)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_table(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
