@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,45 +29,76 @@ GROUP = 32
 ROUNDS = 3
 #: Frequent shingles that the token order knows; a bound, as any fixed order gives the same links.
 FREQUENT = 100_000
-CACHE = 300_000
-STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+GROUP_BYTES = 1 << 20
+#: Odd multipliers of the 64-bit hashes.
+P, Q, R, S = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VALUES = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype="uint64") * np.uint64(2) + np.uint64(1)
+_VALUES[65:91] = _VALUES[97:123]  # A-Z count as a-z
+_powers: dict[int, np.ndarray] = {}
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, GROUP_BYTES + 1), base, "uint64")
+        held[0] = 1
+        _powers[base] = held = np.cumprod(held, dtype="uint64")
+    return held[:n]
 
 
-_hashes = _Hashes()
+def _segments(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of values[i] * base ** (i - start) over each segment, from one running sum."""
+    total = np.concatenate([np.zeros(1, "uint64"), np.cumsum(values * _power(base, len(values)), dtype="uint64")])
+    inverse = pow(base, -1, 1 << 64)
+    return (total[ends] - total[starts]) * _power(inverse, len(values) + 1)[starts]
 
 
-def words_of(data: bytes) -> list[bytes]:
-    """Words of UTF-8 text, A-Z lower-cased: bytes.lower() and bytes.split() know ASCII only."""
-    return data.lower().split()
+def _mix(h: np.ndarray, by: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(by)
+    return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes (as int64) of all runs of ``size`` words; fewer words give one."""
-    if not words:
-        return np.zeros(0, "int64")
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], "uint64").view("int64")
-    h = np.array([_hashes[w] for w in words], "uint64")
-    n = len(h) - size + 1
-    out = np.zeros(n, "uint64")
-    for j in range(size):
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(STEP[j % len(STEP)]) + h[j : j + n]
-    out ^= out >> np.uint64(33)
-    out *= np.uint64(STEP[-1])
-    out ^= out >> np.uint64(29)
-    return np.unique(out.view("int64"))
-
+def hashed(texts: list[bytes], size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each text its number of words, the 64-bit hash of its word sequence and its sorted distinct
+    shingle hashes. Whole groups of texts are hashed in vector operations; no word becomes an object.
 
-def content_key(words: list[bytes]) -> bytes | None:
-    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+    Words are split at ASCII white space, A-Z count as a-z. Fewer words than ``size`` make one shingle.
+    """
+    group: list[bytes] = []
+    held = 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        held += len(text)
+        if held > GROUP_BYTES or i + 1 == len(texts):
+            yield from _hash_group(group, size)
+            group, held = [], 0
+
+
+def _hash_group(texts: list[bytes], size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), "uint8")
+    space = _SPACE[data]
+    edge = space[1:] != space[:-1]
+    at = np.flatnonzero(edge) + 1
+    starts, ends = at[::2], at[1::2]
+    words = _mix(_segments(_VALUES[data], P, starts, ends) + (ends - starts).astype("uint64"), R)
+    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
+    first = np.searchsorted(starts, begins)  # of each text's words, and the end
+    n = np.diff(first)
+    sequence = _mix(_segments(_mix(words, S), Q, first[:-1], first[1:]) + n.astype("uint64") * np.uint64(R), S).view("int64")
+    m = max(0, len(words) - size + 1)
+    shingles = np.zeros(m, "uint64")
+    for j in range(size):
+        shingles = _mix(shingles, P) + words[j : j + m]
+    shingles = _mix(shingles, S).view("int64")
+    for i in range(len(texts)):
+        if n[i] >= size:
+            found = np.unique(shingles[first[i] : first[i + 1] - size + 1])
+        else:
+            found = sequence[i : i + 1] if n[i] else np.zeros(0, "int64")
+        yield int(n[i]), int(sequence[i]), found
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -76,6 +106,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -85,55 +117,59 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(words_of(t), size) for t in b.column(0).to_pylist() if t]
-            values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, "int64"), np.zeros(0, "int64"))
+            sets = [found for _, _, found in hashed(b.column(0).to_pylist(), size)]
+            values = np.sort(np.concatenate([*sets, np.zeros(0, "int64")]))
+            edges = np.flatnonzero(np.diff(values, prepend=values[:1] - 1, append=values[-1:] + 1))
+            counts = np.diff(edges)
             often = counts >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often].astype("int64"))], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[edges[:-1]][often]), pa.array(counts[often])], names=["h", "n"])
 
     texts = docs.select(F.col("text").cast("binary").alias("text")).where("text is not null")
-    top = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    rows = sorted((r["h"], r["n"]) for r in top.collect())
+    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
     return np.array(rows, "int64").reshape(-1, 2)
 
 
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(doc_id, k, n, prefix): k is the hash of the word sequence (null without words), n the set's
+    size, prefix its rarest tokens."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[bytes]) -> dict:
-        known, often = held.value[:, 0].copy(), held.value[:, 1].copy()
+        known, often = np.ascontiguousarray(held.value[:, 0]), np.ascontiguousarray(held.value[:, 1])
         keys, sizes, prefixes = [], [], []
-        for data in texts:
-            words = words_of(data)
-            tokens = shingle_set(words, size)
+        for n_words, sequence, tokens in hashed(texts, size):
             m = prefix_length(len(tokens), percent)
             if len(known) and len(tokens):
                 place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 rank = np.where(known[place] == tokens, often[place], 0)
-                tokens = tokens[np.lexsort((tokens, rank))]
-            keys.append(content_key(words))
+                if rank.any():
+                    tokens = tokens[np.argsort(rank, kind="stable")]
+            keys.append(sequence if n_words else None)
             sizes.append(len(tokens))
             prefixes.append(tokens[:m])
-        return {"k": keys, "n": sizes, "prefix": prefixes}
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype("int32")
+        return {"k": keys, "n": sizes, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, "int64")])))}
 
-    fields = {"k": T.BinaryType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType())}
+    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType())}
     return map_texts(docs.select("doc_id", F.col("text").cast("binary").alias("__b")), run, fields, "__b", keep=["doc_id"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(k, tokens) of the representatives ``wanted`` (k, doc), from their whole texts."""
     texts = docs.select(F.col("doc_id").alias("__d"), F.col("text").cast("binary").alias("__b"))
-    joined = wanted.join(texts, F.col("doc").eqNullSafe(F.col("__d"))).select("k", "__b")
-    schema = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    joined = wanted.join(texts, F.col("doc").eqNullSafe(F.col("__d"))).where("__b is not null").select("k", "__b")
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, tokens = [], []
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(data or b"")
-                if content_key(words) == k:
+            for k, (n_words, sequence, found) in zip(b.column(0).to_pylist(), hashed(b.column(1).to_pylist(), size), strict=True):
+                if n_words and sequence == k:  # rows that repeat a doc_id may have other texts
                     keys.append(k)
-                    tokens.append(shingle_set(words, size))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["k", "tokens"])
+                    tokens.append(found)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype("int32")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*tokens, np.zeros(0, "int64")])))], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
@@ -152,7 +188,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = [linked(xa[oa[i] : oa[i + 1]], xb[ob[i] : ob[i + 1]], percent) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -181,7 +217,8 @@ def _compatible(n, m, percent: int):
 
 
 def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of ``docs``.
+    """(doc_id, n_shingles, component_id): one row per row of ``docs``; exact but for collisions of
+    64-bit hashes.
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is
     the smallest doc_id reachable by links, itself included. Null, empty and wordless texts have
@@ -192,20 +229,23 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
     base = scratch.write(_base(docs, _frequent(docs, size), size, percent), "base")
-    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "reps")
-    tokens = reps.select("k", "n", F.explode("prefix").alias("t"))
-    lead = lambda seed: F.min(F.struct(F.xxhash64("k", F.lit(seed)).alias("h"), F.col("k").alias("k"), F.col("n").alias("n")))
-    buckets = scratch.write(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("nb"), lead(0).alias("lead")).where("nb > 1"), "buckets")
-    shared = scratch.write(tokens.join(buckets, "t").select("t", "k", "n", "nb", F.col("lead.k").alias("lk"), F.col("lead.n").alias("ln")), "shared")
+    tokens = base.select("k", F.explode("prefix").alias("t"))
+    # tokens of two representatives or more, each with one as its leader; copies count once in min and max
+    buckets = scratch.write(tokens.groupBy("t").agg(F.min("k").alias("lk"), F.max("k").alias("uk")).where("lk < uk").select("t", "lk"), "buckets")
+    scratch.free_shuffles()
+    shared = scratch.write(tokens.join(buckets, "t").distinct(), "shared")
     scratch.free_shuffles()
-    members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g"), F.first("n").alias("n")), "members")
-    sets = scratch.write(_sets(docs, members.join(reps.select("k", "doc"), "k").select("k", "doc"), size), "sets")
+    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n")), "reps")
+    members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g")).join(reps, "k"), "members")
+    sets = scratch.write(_sets(docs, members.select("k", "doc"), size), "sets")
     scratch.free_shuffles()
+    sizes = members.select("k", "n")
+    lead_sizes = sizes.select(F.col("k").alias("lk"), F.col("n").alias("ln"))
 
-    stars = shared.where((F.col("k") != F.col("lk")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b")).distinct()
-    tried = scratch.write(stars, "tried-0")
+    stars = shared.where("k <> lk").select("k", "lk").distinct().join(sizes, "k").join(lead_sizes, "lk").where(_compatible(F.col("n"), F.col("ln"), percent))
+    tried = scratch.write(stars.select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b")), "tried-0")
     labels = components(scratch.write(_verify(tried, sets, percent), "edges-0"), scratch, "c0")
-    open_rows = shared.where("nb > 2").select("t", "k", "n")
+    open_rows = shared.select("t", "k").join(sizes, "k").select("t", "k", "n")
 
     for turn in range(1, ROUNDS + 2):
         rows = open_rows.join(labels, "k", "left").select("t", "k", "n", F.coalesce("c", "k").alias("c"))
