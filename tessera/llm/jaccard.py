@@ -26,10 +26,11 @@ from .common import Scratch, map_texts, small_batches, table
 SHINGLE = 4
 PERCENT = 85
 GROUP = 32
-ROUNDS = 3
+ROUNDS = 2
 #: Frequent shingles that the token order knows; a bound, as any fixed order gives the same links.
 FREQUENT = 100_000
 GROUP_BYTES = 1 << 20
+MOST_BITS = 1 << 14
 #: Odd multipliers of the 64-bit hashes.
 P, Q, R, S = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
 _SPACE = np.zeros(256, bool)
@@ -105,6 +106,30 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap with as many bits as the set has tokens or up to twice that; a bit tells whether an
+    odd number of tokens fall on it. Two sets differ in as many tokens at least as their bitmaps do."""
+    n = 64
+    while n < len(tokens) and n < MOST_BITS:
+        n *= 2
+    return np.packbits(np.bincount(tokens & (n - 1), minlength=n) & 1, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
+    """False only where sizes or bitmaps rule a link out; the longer bitmap folds to the other's length.
+
+    J >= p means that the sets differ in (1 - p) / (1 + p) of the sum of their sizes at most.
+    """
+    if 100 * min(na, nb) < percent * max(na, nb):
+        return False
+    x, y = np.frombuffer(a, "uint64"), np.frombuffer(b, "uint64")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (na + nb)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -131,14 +156,15 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, k, n, prefix): k is the hash of the word sequence (null without words), n the set's
-    size, prefix its rarest tokens."""
+    """(doc_id, k, n, prefix, bits): k is the hash of the word sequence (null without words), n the set's
+    size, prefix its rarest tokens, bits its parity bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[bytes]) -> dict:
         known, often = np.ascontiguousarray(held.value[:, 0]), np.ascontiguousarray(held.value[:, 1])
-        keys, sizes, prefixes = [], [], []
+        keys, sizes, prefixes, bits = [], [], [], []
         for n_words, sequence, tokens in hashed(texts, size):
+            bits.append(parity(tokens))
             m = prefix_length(len(tokens), percent)
             if len(known) and len(tokens):
                 place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -149,9 +175,9 @@ def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
             sizes.append(len(tokens))
             prefixes.append(tokens[:m])
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype("int32")
-        return {"k": keys, "n": sizes, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, "int64")])))}
+        return {"k": keys, "n": sizes, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, "int64")]))), "bits": bits}
 
-    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType())}
+    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType()), "bits": T.BinaryType()}
     return map_texts(docs.select("doc_id", F.col("text").cast("binary").alias("__b")), run, fields, "__b", keep=["doc_id"])
 
 
@@ -174,6 +200,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def _possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps let through."""
+    left = profiles.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = profiles.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    rows = pairs.join(left, "a").join(right, "b").where(_compatible(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "ba", "bb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, ba, bb = (b.column(i).to_pylist() for i in range(2, 6))
+            good = [may_link(x, n, y, m, percent) for x, n, y, m in zip(ba, na, bb, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     left = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta"))
@@ -235,42 +276,55 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     scratch.free_shuffles()
     shared = scratch.write(tokens.join(buckets, "t").distinct(), "shared")
     scratch.free_shuffles()
-    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n")), "reps")
+    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "reps")
     members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g")).join(reps, "k"), "members")
-    sets = scratch.write(_sets(docs, members.select("k", "doc"), size), "sets")
-    scratch.free_shuffles()
-    sizes = members.select("k", "n")
-    lead_sizes = sizes.select(F.col("k").alias("lk"), F.col("n").alias("ln"))
-
-    stars = shared.where("k <> lk").select("k", "lk").distinct().join(sizes, "k").join(lead_sizes, "lk").where(_compatible(F.col("n"), F.col("ln"), percent))
-    tried = scratch.write(stars.select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b")), "tried-0")
-    labels = components(scratch.write(_verify(tried, sets, percent), "edges-0"), scratch, "c0")
-    open_rows = shared.select("t", "k").join(sizes, "k").select("t", "k", "n")
+    sets: DataFrame | None = None
+
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
+        """Those of the pairs that link; texts are read for the sets that no earlier round made."""
+        nonlocal sets
+        pairs = scratch.write(_possible(pairs, members, percent), f"possible-{turn}")
+        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("k"), "k", "left_anti")
+        wanted = scratch.write(wanted.join(members, "k").select("k", "doc"), f"wanted-{turn}")
+        if wanted.limit(1).count():
+            new = scratch.write(_sets(docs, wanted, size), f"sets-{turn}")
+            sets = new if sets is None else sets.unionByName(new)
+            scratch.free_shuffles()
+        if sets is None:
+            return pairs
+        return scratch.write(_verify(pairs, sets, percent), f"edges-{turn}")
+
+    stars = shared.where("k <> lk").select(F.col("lk").alias("a"), F.col("k").alias("b")).distinct()
+    tried = scratch.write(stars, "tried-0")
+    labels = components(verified(tried, 0), scratch, "c0")
+    open_rows = shared.select("t", "k").join(members.select("k", "n"), "k").select("t", "k", "n")
 
     for turn in range(1, ROUNDS + 2):
         rows = open_rows.join(labels, "k", "left").select("t", "k", "n", F.coalesce("c", "k").alias("c"))
         # a bucket of one component needs nothing more
-        mixed = rows.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead")).where("c0 <> c1")
+        mixed = rows.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead"), F.count(F.lit(1)).alias("nb"))
+        # nor does one of two documents, which were compared in the first round
+        mixed = mixed.where("c0 <> c1 and nb > 2")
         rows = scratch.write(rows.join(mixed.select("t", F.col("lead.k").alias("lk"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc")), "t"), f"open-{turn}")
+        open_rows = rows.select("t", "k", "n")
         if turn <= ROUNDS:
             pairs = rows.where((F.col("c") != F.col("lc")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b"))
         else:
             pairs = _open_groups(rows, members, scratch, percent)
-        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{turn}")
+        pairs = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
         if not pairs.limit(1).count():
-            if turn <= ROUNDS:
-                open_rows = rows.select("t", "k", "n")
-                continue
-            break
+            continue
         tried = tried.unionByName(pairs)
-        edges = scratch.write(_verify(pairs, sets, percent), f"edges-{turn}")
-        of = lambda side: edges.join(labels.select(F.col("k").alias(side), F.col("c").alias(f"c{side}")), side, "left")
-        between = of("a").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-        merged = components(scratch.write(between, f"between-{turn}"), scratch, f"c{turn}").select(F.col("k").alias("c"), F.col("c").alias("cc"))
+        edges = verified(pairs, turn)
+        between = edges.join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
+        between = scratch.write(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), f"between-{turn}")
+        if not between.limit(1).count():
+            continue
+        merged = components(between, scratch, f"c{turn}").select(F.col("k").alias("c"), F.col("c").alias("cc"))
         nodes = labels.unionByName(merged.select(F.col("c").alias("k"), F.col("c")).join(labels.select("k"), "k", "left_anti"))
         labels = scratch.write(nodes.join(merged, "c", "left").select("k", F.coalesce("cc", "c").alias("c")), f"labels-{turn}")
-        open_rows = rows.select("t", "k", "n")
 
     named = reps.select("k", "doc").join(labels, "k", "left").select("k", "doc", F.coalesce("c", "k").alias("c"))
     smallest = named.groupBy("c").agg(F.min("doc").alias("component"))
