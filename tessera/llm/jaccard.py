@@ -28,7 +28,9 @@ PERCENT = 85
 GROUP = 32
 ROUNDS = 2
 #: Frequent shingles that the token order knows; a bound, as any fixed order gives the same links.
-FREQUENT = 100_000
+FREQUENT = 300_000
+#: Shingle hashes that a task counts at once.
+COUNTED = 4_000_000
 GROUP_BYTES = 1 << 20
 MOST_BITS = 1 << 14
 #: Odd multipliers of the 64-bit hashes.
@@ -138,21 +140,53 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _frequent(docs: DataFrame, size: int) -> np.ndarray:
-    """Pairs (hash, count) of the most frequent shingles, sorted by hash; they only order tokens."""
+    """Pairs (hash, count) of frequent shingles, sorted by hash; they only order tokens.
+
+    A task counts the shingles of its distinct texts and reports those that it has seen twice, so a
+    passage that many documents share is known even if no task has many of them. The most frequent
+    ones are taken, down to the count at which FREQUENT is reached.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [found for _, _, found in hashed(b.column(0).to_pylist(), size)]
+        sets: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
+
+        def out() -> pa.RecordBatch:
             values = np.sort(np.concatenate([*sets, np.zeros(0, "int64")]))
             edges = np.flatnonzero(np.diff(values, prepend=values[:1] - 1, append=values[-1:] + 1))
             counts = np.diff(edges)
-            often = counts >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(values[edges[:-1]][often]), pa.array(counts[often])], names=["h", "n"])
+            often = counts >= 2
+            sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values[edges[:-1]][often]), pa.array(counts[often])], names=["h", "n"])
+
+        for b in batches:
+            for _, sequence, found in hashed(b.column(0).to_pylist(), size):
+                if sequence not in seen:
+                    seen.add(sequence)
+                    sets.append(found)
+                    held += len(found)
+            if held > COUNTED:
+                yield out()
+                held = 0
+                if len(seen) > COUNTED:
+                    seen.clear()
+        yield out()
 
     texts = docs.select(F.col("text").cast("binary").alias("text")).where("text is not null")
-    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
-    return np.array(rows, "int64").reshape(-1, 2)
+    counts = Scratch(docs.sparkSession, "frequent").write(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    bins = counts.groupBy(F.floor(F.log2("n") * 32).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect()
+    least, held = None, 0
+    for r in bins:  # a bounded number of bins
+        held += r["m"]
+        if held > FREQUENT:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros((0, 2), "int64")
+    top = counts.where(F.col("n") >= least).toArrow()
+    rows = np.stack([top.column("h").to_numpy(), top.column("n").to_numpy()], 1)
+    return rows[np.argsort(rows[:, 0])]
 
 
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -334,7 +368,8 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
 
 
 def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs of queries and members of groups that the token-group matrix lets through.
+    """Pairs of queries and members of the groups that the token-group matrix lets through, as far
+    as sizes and bitmaps allow a link.
 
     A group holds GROUP documents or so, of one component where that is larger than one document. The
     matrix row of a token and a group has the range of its members' sizes and components; a query
@@ -353,9 +388,26 @@ def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent:
     bound = F.least(F.col("q.n"), F.col("m.n1")) * 100 >= F.greatest(F.col("q.n"), F.col("m.n0")) * percent
     other = (F.col("m.c0") != F.col("q.c")) | (F.col("m.c1") != F.col("q.c"))
     opened = queries.alias("q").join(matrix.alias("m"), (F.col("q.t") == F.col("m.t")) & bound & other).select("q.k", "q.n", "q.c", "m.gid").distinct()
-    inside = held.select("gid", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    pairs = opened.join(inside, "gid").where((F.col("c") != F.col("c2")) & _compatible(F.col("n"), F.col("n2"), percent))
-    return pairs.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
+    opened = scratch.write(opened, "opened")
+    bits = members.select("k", "bits")
+    inside = held.join(bits, "k").groupBy("gid").agg(F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"))  # GROUP documents or so
+    rows = opened.join(bits, "k").join(scratch.write(inside, "inside"), "gid").select("k", "n", "c", "bits", "inside")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, n, c, q = (b.column(i).to_pylist() for i in range(4))
+            groups = b.column(4)
+            offsets = groups.offsets.to_numpy()
+            flat = groups.values
+            k2, n2, c2, x2 = (flat.field(name).to_pylist() for name in ("k", "n", "c", "bits"))
+            pairs = []
+            for i in range(b.num_rows):
+                for j in range(offsets[i], offsets[i + 1]):
+                    if c[i] != c2[j] and may_link(q[i], n[i], x2[j], n2[j], percent):
+                        pairs.append((k[i], k2[j]) if k[i] < k2[j] else (k2[j], k[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
