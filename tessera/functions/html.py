@@ -1,0 +1,203 @@
+"""HTML functions: plain text, form fields and result pages."""
+
+from __future__ import annotations
+
+import html
+import math
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import PAGE_FIELDS
+from .text import _col
+
+ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def plain_text(c) -> Column:
+    """Text of a page: no scripts, styles and comments, a line for each text node, blanks collapsed.
+
+    Native; it decodes the entities listed above. full_plain_text decodes all of them.
+    """
+    text = _col(c)
+    for pattern in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>"):
+        text = F.regexp_replace(text, pattern, "\n")
+    for entity, value in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(value))
+    text = F.regexp_replace(text, r"[^\S\n]+", " ")
+    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+
+
+class _Text(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.off = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style") and self.off > 0
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out.append(data)
+
+
+def text_of(page: str | None) -> str | None:
+    if page is None:
+        return None
+    parser = _Text()
+    parser.feed(page)
+    parser.close()
+    lines = (" ".join(line.split()) for line in "\n".join(parser.out).splitlines())
+    return "\n".join(line for line in lines if line)
+
+
+@F.pandas_udf(T.StringType())
+def full_plain_text(pages: pd.Series) -> pd.Series:
+    return pages.map(text_of)
+
+
+def hidden_fields(c) -> Column:
+    """map(name -> unescaped value) of a form's hidden inputs."""
+    tags = F.regexp_extract_all(_col(c), F.lit(r"(?is)(<input\b[^>]*type=[\"']hidden[\"'][^>]*>)"), F.lit(1))
+    pairs = F.transform(tags, lambda t: F.struct(F.regexp_extract(t, r"(?i)\bname=[\"']([^\"']*)[\"']", 1).alias("key"), F.regexp_extract(t, r"(?i)\bvalue=[\"']([^\"']*)[\"']", 1).alias("value")))
+    for entity, value in ENTITIES:
+        pairs = F.transform(pairs, lambda p, e=entity, v=value: F.struct(p["key"].alias("key"), F.replace(p["value"], F.lit(e), F.lit(v)).alias("value")))
+    named = F.filter(pairs, lambda p: p["key"] != "")
+    keys = F.array_distinct(F.transform(named, lambda p: p["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(named, lambda p: p["key"] == k), -1)["value"]))
+
+
+def missing_fields(fields, required: tuple[str, ...]) -> Column:
+    return F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.map_keys(_col(fields))))
+
+
+def document_ids(urls) -> Column:
+    """The sz=... ids of an array of text urls; nulls are passed over."""
+    found = F.transform(F.filter(_col(urls), lambda u: u.isNotNull()), lambda u: F.regexp_extract(u, r"sz=([A-Za-z0-9\-_]+)", 1))
+    return F.filter(found, lambda x: x != "")
+
+
+class _Node:
+    def __init__(self, tag: str, attrs: dict, parent):
+        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+
+    def walk(self):
+        for kid in self.kids:
+            if isinstance(kid, _Node):
+                yield kid
+                yield from kid.walk()
+
+    def nodes(self, tag: str, direct: bool = False):
+        found = [k for k in self.kids if isinstance(k, _Node)] if direct else self.walk()
+        return [n for n in found if n.tag == tag]
+
+    def lines(self) -> list[str]:
+        out: list[str] = []
+
+        def collect(node):
+            for kid in node.kids:
+                collect(kid) if isinstance(kid, _Node) else out.append(kid)
+
+        collect(self)
+        cleaned = (_clean(line) for line in "\n".join(out).splitlines())
+        return [line for line in cleaned if line is not None]
+
+
+def _clean(text: str | None) -> str | None:
+    value = " ".join((text or "").replace("\xa0", " ").split())
+    return None if value in ("", "(-)") else value
+
+
+class _Tree(HTMLParser):
+    VOID = {"input", "br", "img", "hr", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.kids.append(node)
+        if tag not in self.VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.kids.append(data)
+
+
+def _rows(table: _Node) -> list[_Node]:
+    bodies = [table, *table.nodes("tbody", direct=True), *table.nodes("thead", direct=True)]
+    return [r for b in bodies for r in b.nodes("tr", direct=True)]
+
+
+def parse_result_page(page: str, query: str = "", base_url: str = "") -> dict:
+    """A result page as a dict of the page schema; pages without counts, page number or table raise."""
+    tree = _Tree()
+    tree.feed(page)
+    root = tree.root
+    counts = re.search(r"Výsledky\s+(\d+)\s*-\s*(\d+)\s+z\s+celkem\s+(\d+)", " ".join(root.lines()), re.IGNORECASE)
+    if not counts:
+        raise RuntimeError("the page has no result counts")
+    start, end, total = map(int, counts.groups())
+    table = next((t for t in root.nodes("table") if any(r.attrs.get("id") == "headerRowFirst" for r in _rows(t))), None)
+    if table is None:
+        raise RuntimeError("the page has no result table")
+    rows, results = _rows(table), []
+    for i, row in enumerate(rows):
+        cells = row.nodes("td", direct=True)
+        if len(cells) != 10 or not {"resultData0", "resultData1"} & set(row.attrs.get("class", "").split()):
+            continue
+        lines = [c.lines() for c in cells]
+        get = lambda c, n, lines=lines: lines[c][n] if len(lines[c]) > n else None
+        links = cells[1].nodes("a")
+        reference = " ".join(" ".join(links[0].lines()).split()) or None if links else get(1, 0)
+        rest = lines[1][1:] if lines[1] and lines[1][0] == reference else lines[1]
+        ecli = next((x for x in rest if x.startswith("ECLI:")), None)
+        judge = rest[-1] if rest and not rest[-1].startswith("ECLI:") else None
+        ids = [m[1] for n in cells[0].nodes("input") if (m := re.fullmatch(r"sel_(\d+)", n.attrs.get("name", "") or n.attrs.get("id", "")))]
+        action = " ".join(a.attrs.get("href", "") + " " + a.attrs.get("onclick", "") for a in rows[i + 1].walk()) if i + 1 < len(rows) else ""
+        text_url = re.search(r"[^\s\"'()]*GetText\.aspx\?sz=[A-Za-z0-9\-_]+", html.unescape(action))
+        unique = lambda x: [v for j, v in enumerate(x) if not j or v != x[j - 1]]
+        results.append({
+            "result_id": int(ids[0]) if ids else None, "case_reference": reference, "ecli": ecli, "judge_rapporteur": judge,
+            "petitioner": get(2, 0), "popular_name": " ".join(lines[2][1:]) or None, "decision_date": get(3, 0), "announcement_date": get(3, 1),
+            "filing_date": get(3, 2), "publication_date": get(3, 3), "related_regulations": unique(lines[5]), "decision_form": get(4, 0), "importance": get(4, 1),
+            "verdict": " ".join(lines[6]) or None, "topics_and_keywords": unique(lines[8]), "detail_url": urljoin(base_url, links[0].attrs["href"]) if links and links[0].attrs.get("href") else None,
+            "text_url": urljoin(base_url, text_url[0]) if text_url else None, "full_text": None,
+        })
+    number = max(math.ceil(end / len(results)), 1) if results else 1
+    field = next((n.attrs.get("value", "") for n in root.nodes("input") if "pageNumber" in (n.attrs.get("name", "") + n.attrs.get("id", ""))), "")
+    if field.strip().isdigit():
+        number = int(field)
+    links = [int(t) for a in root.nodes("a") if (t := " ".join(a.lines())).isdigit()]
+    return {
+        "query": query, "page_index": max(number - 1, 0), "page_number": number, "page_size": len(results), "start_result": start, "end_result": end,
+        "total_results": total, "total_pages": max([number, *links]), "results": results,
+    }
+
+
+def parse_result_pages(pages, base_url: str = "", html_col: str = "html", query_col: str = "query"):
+    """(query, html) rows to pages with their results; parsing is a Python pass over Arrow batches."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([parse_result_page(h, q or "", base_url) for h, q in zip(pdf["html"], pdf["query"], strict=True)], columns=[f.split(" ")[0] for f in ("query", "page_index", "page_number", "page_size", "start_result", "end_result", "total_results", "total_pages", "results")])
+
+    return pages.select(_col(html_col).alias("html"), _col(query_col).alias("query")).mapInPandas(run, PAGE_FIELDS)

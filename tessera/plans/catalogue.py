@@ -1,10 +1,364 @@
-"""The registered queries of the engine."""
+"""The registered queries of the engine and SQL with equal results.
+
+Roles of the tables: documents are decisions, embeddings are vector points, pages are HTML,
+benchmark items and user turns are queries.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import ids as I
+from ..functions import text as X
+from ..operators import answering as A
+from ..operators import corpus as C
+from ..operators import points as P
+from ..operators import retrieval as R
+from ..sources import files as S
+from . import engine as E
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("pos"))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
+    return v.join(_t(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text", "source"), "pos").withColumn("id", F.col("pos").cast("string"))
+
+
+def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return _asked(spark, d).join(v, "qid")
+
+
+_WORDS = r"list_filter(string_split_regex(lower(query), '\s+'), lambda w: length(w) >= 3)"
+_NORMAL = r"trim(regexp_replace(lower(query), '\s+', ' ', 'g'))"
+_KEYWORD = f"""q AS (SELECT item_id AS qid, text AS query, {_WORDS.replace('query', 'text')} AS words FROM benchmark),
+dl AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+m AS (SELECT qid, doc_id, text, len(list_filter(words, lambda w: contains(low, w))) AS m FROM dl, q),
+kw AS (SELECT qid, doc_id, text, least(CAST(0.3 AS DOUBLE) + CAST(0.1 AS DOUBLE) * m, CAST(0.9 AS DOUBLE)) AS score FROM m WHERE m > 0),
+kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM kw) WHERE rank <= 10)"""
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_COS = f"{_DOT.format(a='p.embedding', b='v.embedding')} / sqrt({_DOT.format(a='p.embedding', b='p.embedding')} * {_DOT.format(a='v.embedding', b='v.embedding')})"
+_DENSE = f"""pts AS (SELECT e.vec_id, e.embedding, d.text, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+vq AS (SELECT e.vec_id AS qid, e.embedding FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id),
+ds AS (SELECT v.qid, p.vec_id AS doc_id, p.text, p.source, {_COS} AS score FROM pts p, vq v),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 10)"""
+_FUSE = """bo AS (SELECT qid, doc_id, score, 0 AS list, rank FROM dn UNION ALL SELECT qid, doc_id, score, 1, rank FROM ktp),
+fb AS (SELECT qid, doc_id, max(score) AS score, min(list * 1000 + rank) AS slot FROM bo GROUP BY qid, doc_id),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, slot) AS rank FROM fb) WHERE rank <= 10)"""
+_KEYWORD_POINTS = _KEYWORD.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").replace("FROM benchmark)", "FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings))").replace(_WORDS.replace("query", "text"), f"list_distinct({_WORDS.replace('query', 'text')})").replace("kt AS", "ktp AS")
+
+
+@query(f"WITH {_KEYWORD_POINTS}, {_DENSE}, {_FUSE} SELECT qid, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score FROM fu")
+def q01_hybrid(spark, d):
+    found = R.hybrid_search(_points(spark, d), _vector_queries(spark, d), 10)
+    return found.select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+flagship = q01_hybrid
+
+
+@query(f"WITH {_KEYWORD} SELECT qid, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score FROM kt")
+def q02_keyword_topk(spark, d):
+    return R.keyword_search(_corpus(spark, d), _asked(spark, d), 10).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_DENSE} SELECT qid, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score FROM dn")
+def q03_dense_knn(spark, d):
+    return R.dense_search(_points(spark, d), _vector_queries(spark, d), 10).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_KEYWORD.replace('kt AS', 'ktp AS')}, {_DENSE}, {_FUSE} SELECT qid, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score FROM fu")
+def q04_fuse(spark, d):
+    dense = R.dense_search(_points(spark, d), _vector_queries(spark, d), 10)
+    return R.fuse(dense, R.keyword_search(_corpus(spark, d), _asked(spark, d), 10), 10).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_KEYWORD}, r AS (SELECT kt.qid, doc_id, kt.rank AS before, score + CAST(0.05 AS DOUBLE) * len(list_filter(q.words, lambda w: contains(lower(kt.text), w))) AS score FROM kt JOIN q USING (qid))
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) <= 5""")
+def q05_rerank(spark, d):
+    asked = _asked(spark, d)
+    return R.rerank(R.keyword_search(_corpus(spark, d), asked, 10), asked, 5).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+_CHUNKS = r"""t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^\s+', ''), '\s+$', '') AS t FROM documents),
+n AS (SELECT doc_id, t, greatest(CAST(ceil((length(t) - 200) / 1300.0) AS INT), 1) AS n FROM t WHERE t <> ''),
+c AS (SELECT doc_id, CAST(i AS INT) AS chunk_index, substring(t, i * 1300 + 1, 1500) AS chunk_text FROM (SELECT doc_id, t, unnest(generate_series(0, n - 1)) AS i FROM n))"""
+
+
+@query(f"WITH {_CHUNKS} SELECT * FROM c")
+def q06_chunk(spark, d):
+    return C.chunk(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_text")
+
+
+@query(f"WITH {_CHUNKS} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, CAST(round_even(avg(length(chunk_text)), 0) AS BIGINT) AS mean_length FROM c")
+def q07_chunk_stats(spark, d):
+    return C.chunk_stats(C.chunk(_t(spark, d, "documents").select("doc_id", "text")), "doc_id")
+
+
+@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE trim(regexp_replace(translate(s, ' /', '__'), '_+', '_', 'g'), '_') END AS prefix FROM (SELECT doc_id, source || '. ' || lang || ' ' || doc_id || '/' || n_chars AS s FROM documents)")
+def q08_reference_prefix(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.reference_prefix(F.concat("source", F.lit(". "), "lang", F.lit(" "), "doc_id", F.lit("/"), "n_chars")).alias("prefix"))
+
+
+_TURNS = "u AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user')"
+
+
+@query(rf"WITH {_TURNS}, n AS (SELECT conv_id, turn, {_NORMAL} AS normal FROM u), w AS (SELECT conv_id, turn, normal, w, min(i) AS i FROM (SELECT conv_id, turn, normal, unnest(string_split(normal, ' ')) AS w, generate_subscripts(string_split(normal, ' '), 1) AS i FROM n) WHERE length(w) >= 3 GROUP BY ALL) SELECT n.conv_id, n.turn, n.normal, coalesce(string_agg(w.w, ' ' ORDER BY w.i), '') AS keywords FROM n LEFT JOIN w ON n.conv_id = w.conv_id AND n.turn = w.turn GROUP BY ALL")
+def q09_query_keywords(spark, d):
+    rows = _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", X.normalise_query("text").alias("normal"))
+    return rows.select("conv_id", "turn", "normal", F.array_join(X.keywords("normal"), " ").alias("keywords"))
+
+
+#: A mapping on words that the test tables have.
+_MAP = (("the", ("article",)), ("tion", ("noun", "abstract")), ("ing", ("gerund",)), ("er", ("comparative", "noun")))
+
+
+@query("WITH " + _TURNS + ", m(key, ord, concept) AS (VALUES ('the', 1, 'article'), ('tion', 2, 'noun'), ('tion', 3, 'abstract'), ('ing', 4, 'gerund'), ('er', 5, 'comparative'), ('er', 6, 'noun')), w AS (SELECT conv_id, turn, unnest(string_split(" + _NORMAL + ", ' ')) AS w, generate_subscripts(string_split(" + _NORMAL + ", ' '), 1) AS i FROM u), f AS (SELECT conv_id, turn, concept, min(i * 100 + ord) AS o FROM w, m WHERE length(w) >= 3 AND contains(w, key) GROUP BY ALL) SELECT u.conv_id, u.turn, coalesce(string_agg(concept, ',' ORDER BY o), '') AS concepts FROM u LEFT JOIN f ON u.conv_id = f.conv_id AND u.turn = f.turn GROUP BY ALL")
+def q10_concepts(spark, d):
+    rows = _t(spark, d, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", F.array_join(X.concepts(X.keywords(X.normalise_query("text")), _MAP), ",").alias("concepts"))
+
+
+_PLAIN = "html"
+for _p in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', chr(10), 'g')"
+for _e, _v in H.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_e}', '{_v.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[^\S\n]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_PLAIN} AS text FROM pages")
+def q11_plain_text(spark, d):
+    return _t(spark, d, "pages").select("page_id", H.plain_text("html").alias("text"))
+
+
+@query(r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href=')) AS links, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages")
+def q12_html_fields(spark, d):
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return _t(spark, d, "pages").select("page_id", title.alias("title"), F.regexp_count("html", F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("links"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"))
+
+
+@query("""WITH r AS (SELECT doc_id, md5(text) AS k, source, n_chars, row_number() OVER (PARTITION BY md5(text) ORDER BY (lang = 'en') DESC, n_chars DESC, doc_id) AS rn, min(doc_id) OVER (PARTITION BY md5(text)) AS pos FROM documents) SELECT doc_id, pos, source FROM r WHERE rn = 1""")
+def q13_dedup(spark, d):
+    rows = _t(spark, d, "documents").withColumn("pos", F.col("doc_id"))
+    return C.dedup_best(rows, F.md5("text"), [F.col("lang") == "en", F.col("n_chars")], "pos").select("doc_id", "pos", "source")
+
+
+@query("WITH g AS (SELECT md5(text) AS k, count(*) AS n FROM documents GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total_points, count(*) AS unique_ids, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n) - count(*) AS BIGINT) AS extra_points FROM g")
+def q14_duplicate_report(spark, d):
+    return P.duplicate_report(_t(spark, d, "documents").select("text"), F.md5("text"))
+
+
+def _chunks(spark, d) -> DataFrame:
+    rows = C.chunk(_t(spark, d, "documents"))
+    return rows.select(F.concat_ws("_", "doc_id", "chunk_index").alias("id"), F.col("chunk_text").alias("text"), F.concat("source", F.lit(" "), "doc_id").alias("case_reference"), F.lit(None).cast("string").alias("ecli"), F.lit("2026-01-15").alias("decision_date"), F.col("lang").alias("judge"), F.lit(None).cast("string").alias("text_url"), "chunk_index", F.col("doc_id").alias("document_id"))
+
+
+@query()
+def q15_repair(spark, d):
+    """Points with a legacy copy of every third: the deterministic ones stay."""
+    points = P.make_points(_chunks(spark, d)).withColumn("vector", A.mock_embed("id"))
+    legacy = points.where(F.col("payload.document_id") % 3 == 0).withColumn("id", F.concat(F.lit("legacy-"), "id"))
+    return P.repair(points.unionByName(legacy)).select("id", F.col("payload.original_id").alias("original_id"), F.col("payload.content_checksum").alias("checksum"))
+
+
+_CHECK = """sha256('{"case_reference":"' || source || ' ' || doc_id || '","chunk_index":' || chunk_index || ',"decision_date":"2026-01-15","document_id":' || doc_id || ',"ecli":null,"judge":"' || lang || '","original_id":"' || doc_id || '_' || chunk_index || '","point_id_scheme":"uuid5","source":"corpus","text":' || CAST(to_json(chunk_text) AS VARCHAR) || ',"text_url":null}')"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id || '_' || chunk_index AS original_id, {_CHECK} AS checksum FROM c JOIN documents USING (doc_id)")
+def q16_checksum(spark, d):
+    return P.make_points(_chunks(spark, d)).select(F.col("payload.original_id").alias("original_id"), F.col("payload.content_checksum").alias("checksum"))
+
+
+@query()
+def q16b_point_ids(spark, d):
+    return P.make_points(_chunks(spark, d)).select("id", F.col("payload.original_id").alias("original_id"))
+
+
+@query(f"WITH {_CHUNKS} SELECT count(*) AS total_chunks, count(*) FILTER (doc_id % 2 = 1) AS inserted_points, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 10 = 0) AS updated_points, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 10 <> 0) AS skipped_points FROM c")
+def q17_ingest_classify(spark, d):
+    """Chunks of even documents are stored, those of every tenth with another judge."""
+    chunks = _chunks(spark, d)
+    stored = chunks.where("document_id % 2 = 0").withColumn("judge", F.when(F.col("document_id") % 10 == 0, "old").otherwise(F.col("judge")))
+    existing = P.make_points(stored).withColumn("vector", A.mock_embed("id"))
+    return P.ingest_stats(P.classify(P.make_points(chunks), existing))
+
+
+@query(f"WITH {_DENSE.replace('rank <= 10', 'rank <= 25')} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id FROM dn WHERE source IN ('src1', 'src3', 'src5', 'src7') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 5")
+def q18_source_filter(spark, d):
+    points = _points(spark, d)
+    hits = R.dense_search(points, _vector_queries(spark, d), R.raw_limit(5, True)).drop("source").join(points.select("id", "source"), "id")
+    requested = F.array(*map(F.lit, ("SRC1", " src3", "src5", "src7")))
+    return R.filtered_retrieve(hits, R.source_tags(F.col("source"), F.lit(None).cast("string")), requested, 5).select("qid", "rank", "id")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS chunk_id, event_type AS source, nullif(CASE WHEN user_id % 2 = 0 THEN 'case ' || user_id ELSE '' END, '') AS reference, CAST(regexp_extract(props, '\\d+') AS INT) AS chunk_index FROM events""".replace("\\\\", "\\"))
+def q19_retrieved_rows(spark, d):
+    rows = _t(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.lit("").alias("text"), F.col("value").alias("score"),
+        F.struct(F.col("event_type").alias("source"), F.lit(" ").alias("case_reference"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("case "), "user_id")).otherwise("").alias("reference"), F.get_json_object("props", "$.k").alias("chunk_index")).alias("payload"),
+    )
+    rows = rows.withColumn("payload", F.col("payload").withField("case_reference", F.lit("")))
+    return R.retrieved_rows(rows).select("chunk_id", "source", "reference", "chunk_index")
+
+
+@query(rf"WITH {_TURNS} SELECT conv_id, turn, CAST(0 AS INT) AS step_no, trim(regexp_replace(query, '\s+', ' ', 'g')) AS query, 'reason ' || turn AS reason FROM u UNION ALL SELECT conv_id, turn, 1, 'second', 'b | c' FROM u")
+def q20_plan_parse(spark, d):
+    rows = _t(spark, d, "conversations").where("role = 'user'")
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    text = F.concat(F.lit("7. "), line, F.lit(" | reason "), "turn", F.lit("\n\nno pipe here\n2. second | b | c\n3.  | no query"))
+    steps = rows.select("conv_id", "turn", F.posexplode(A.parse_plan(text)).alias("step_no", "s"))
+    return steps.select("conv_id", "turn", "step_no", "s.query", "s.reason")
+
+
+_STEPS = _KEYWORD.replace("q AS (SELECT item_id AS qid, text AS query, " + _WORDS.replace("query", "text") + " AS words FROM benchmark)", "s AS (SELECT item_id AS id0, unnest([0, 1, 2]) AS step, text FROM benchmark), q AS (SELECT id0 * 5 + step AS qid, list_filter(string_split_regex(lower(split_part(text, '.', CAST(step + 1 AS INT))), '\\s+'), lambda w: length(w) >= 3) AS words FROM s)").replace("rank <= 10", "rank <= 5")
+
+
+@query(f"WITH {_STEPS}, b AS (SELECT qid // 5 AS q0, doc_id, max(score) AS score, min(qid % 5 * 1000 + rank) AS slot FROM kt GROUP BY ALL) SELECT q0 AS qid, CAST(doc_id AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY q0 ORDER BY score DESC, slot) AS INT) AS rank, round(score, 6) AS score FROM b")
+def q21_multi_step(spark, d):
+    """Each item's first three sentences as the steps of a plan."""
+    part = lambda n: F.split_part("query", F.lit("."), F.lit(n + 1))
+    steps = _asked(spark, d).select("qid", F.posexplode(F.array(*[part(n) for n in range(3)])).alias("step_no", "query"))
+    hits = R.keyword_search(_corpus(spark, d), steps.select((F.col("qid") * 5 + F.col("step_no")).alias("qid"), "query"), 5)
+    hits = hits.withColumns({"step_no": F.pmod("qid", F.lit(5)), "qid": F.floor(F.col("qid") / 5)})
+    return A.all_chunks(hits).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def _gathered(spark, d) -> DataFrame:
+    asked = _asked(spark, d)
+    return A.gather(asked, R.keyword_search(_corpus(spark, d), asked, 10))
+
+
+@query(f"""WITH {_KEYWORD}, a AS (SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5) AS cases, string_agg(substring(text, 1, 300), '|' ORDER BY rank) FILTER (rank <= 3 AND text <> '') AS excerpts, count(*) AS n FROM kt GROUP BY qid)
+SELECT q.qid, CASE WHEN n > 0 THEN '{A.SUMMARY}' || q.query ELSE '{A.NO_RESULTS}' END AS summary, coalesce(cases, '') AS cases, coalesce(excerpts, '') AS excerpts, CASE WHEN coalesce(n, 0) = 0 THEN 'no_results' WHEN n >= 3 THEN 'llm_summary' ELSE 'direct_answer' END AS mode FROM q LEFT JOIN a USING (qid)""")
+def q22_rule_answer(spark, d):
+    rows = _gathered(spark, d)
+    modes = rows.select("qid", A.strategy(F.size("chunks"))["mode"].alias("mode"))
+    return A.rule_answer(rows).join(modes, "qid").select("qid", "summary", F.array_join("top_cases", ",").alias("cases"), F.array_join("excerpts", "|").alias("excerpts"), "mode")
+
+
+@query(f"""WITH {_KEYWORD} SELECT q.qid, coalesce(string_agg('[' || doc_id || '] (skóre: ' || printf('%.3f', score) || ')' || chr(10) || kt.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '{A.NO_EXCERPTS}') AS context FROM q LEFT JOIN kt USING (qid) GROUP BY q.qid""")
+def q23_prompt_context(spark, d):
+    return A.prompt_context(_gathered(spark, d)).select("qid", "context")
+
+
+@query("""SELECT * FROM (VALUES (1, 'a', 'r', 's1,2', 1.0::DOUBLE), (2, 'b', '', '', 0.0::DOUBLE), (3, '[1]', '', 'x,y,z', 0.0::DOUBLE), (4, '', '', '', 0.0::DOUBLE), (5, 'None', '', '', 0.0::DOUBLE), (6, 'plain text', '', 'x,y,z', 0.0::DOUBLE), (7, 'n', '', '', 1.0::DOUBLE)) v(n, answer, reasoning, sources, confidence)""")
+def q24_reply_parse(spark, d):
+    texts = ['{"answer": " a ", "reasoning": "r", "sources": ["s1", 2], "confidence": 5.0}', '```json\n{"answer": "b", "sources": "x", "confidence": -1}\n```', "[1]", '{"answer": ""}', '{"answer": null}', " plain text ", '{"answer": "n", "confidence": NaN}']
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "n int, text string")
+    out = rows.select("n", A.parse_replies("text", F.array(*map(F.lit, "xyzw"))).alias("r"))
+    return out.select("n", "r.answer", "r.reasoning", F.array_join("r.sources", ",").alias("sources"), "r.confidence")
+
+
+@query("SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'system'), '') AS system, count(*) FILTER (role <> 'system') AS n, coalesce(string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (role <> 'system'), '') AS messages FROM conversations GROUP BY conv_id")
+def q25_message_payload(spark, d):
+    turns = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    split = turns.select("conv_id", A.split_system(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("p"))
+    joined = F.array_join(F.transform("p.messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")
+    return split.select("conv_id", "p.system", F.size("p.messages").cast("long").alias("n"), joined.alias("messages"))
+
+
+@query(r"""SELECT item_id, 'rag-query:' || sha256('{"corpus_version":"v7","model":"m","prompt_version":"v1","provider":"p","query":' || CAST(to_json(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS VARCHAR) || '}') AS key FROM benchmark""")
+def q26_cache_key(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", I.cache_key("text", "v7", "P ", "m").alias("key"))
+
+
+@query(f"""WITH {_CHUNKS} SELECT '{{"id":"' || doc_id || '_' || chunk_index || '","text":' || CAST(to_json(chunk_text) AS VARCHAR) || ',"metadata":{{"case_reference":"' || source || ' ' || doc_id || '","ecli":null,"decision_date":"2026-01-15","judge":"' || lang || '","text_url":null,"chunk_index":' || chunk_index || ',"source":"corpus"}}}}' AS value FROM c JOIN documents USING (doc_id)""")
+def q27_jsonl(spark, d):
+    return S.chunk_records(_chunks(spark, d))
+
+
+@query("SELECT d.doc_id, p.url, length(p.html) AS html_length FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
+def q28_enrich(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("text_url"))
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("text_url"), F.struct("url", "html").alias("full_text"))
+    return C.enrich(docs, pages).select("doc_id", "full_text.url", F.length("full_text.html").cast("long").alias("html_length"))
+
+
+@query("SELECT d.doc_id, l.quality FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) d LEFT JOIN labels l USING (doc_id)")
+def q29_limit_before_enrich(spark, d):
+    first = _t(spark, d, "documents").select(F.col("doc_id").alias("text_url")).orderBy("text_url").limit(100)
+    return C.enrich(first, _t(spark, d, "labels").select(F.col("doc_id").alias("text_url"), F.col("quality").alias("full_text"))).select(F.col("text_url").alias("doc_id"), F.col("full_text").alias("quality"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def q30_stream_windows(spark, d):
+    """The events as a stream, in one pass over what is there; the memory table holds the last result."""
+    from ..streaming.ingest import windowed_counts
+
+    name = f"s{uuid.uuid4().hex}"
+    events = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    writer = windowed_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    stream = writer.option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(r"SELECT item_id, coalesce(nullif(lower(trim(regexp_replace(strip_accents(replace(text, 'ß', '')), '[^0-9A-Za-z]+', '_', 'g'), '_')), ''), 'results') AS slug FROM benchmark")
+def q31_slugify(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", X.slugify("text").alias("slug"))
+
+
+@query()
+def q32_engine_run(spark, d):
+    """The full plan with deterministic models over the items, on documents with constant vectors."""
+    points = _points(spark, d).withColumn("vector", A.mock_embed("text"))
+    out = E.run(points, _asked(spark, d), 5)
+    return out.select("qid", "answer", F.array_join("sources", ",").alias("sources"), F.array_join("plan_steps", "|").alias("plan_steps"))
+
+
+@query(r"WITH h AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<script\b')) AS scripts, len(regexp_extract_all(html, '(?i)<li\b')) AS items FROM pages) SELECT page_id, scripts, items FROM h")
+def q33_tag_counts(spark, d):
+    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return _t(spark, d, "pages").select("page_id", count(r"(?i)<script\b").alias("scripts"), count(r"(?i)<li\b").alias("items"))
+
+
+@query(f"WITH {_DENSE.replace('rank <= 10', 'rank <= 3')} SELECT qid, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS chunk_id, source FROM dn")
+def q34_retrieve(spark, d):
+    points = _points(spark, d).withColumn("payload", F.struct("source", F.col("pos").alias("document_id")))
+    found = R.dense_search(points, _vector_queries(spark, d), 3).join(points.select("id", "payload"), "id")
+    return R.retrieved_rows(found).select("qid", "rank", "chunk_id", "source")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def x01_pricing(spark, d):
+    rows = _t(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total, CAST(rank() OVER (ORDER BY count(*) DESC, n_name) AS INT) AS place FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
+def x02_orders_by_nation(spark, d):
+    rows = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    out = rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return out.withColumn("place", F.rank().over(Window.orderBy(F.desc("orders"), "n_name")))  # one row a nation
