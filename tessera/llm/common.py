@@ -70,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bounds the Arrow batches that Python workers get, so that very long texts can't pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

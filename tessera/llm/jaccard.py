@@ -30,8 +30,8 @@ ROUNDS = 2
 #: Frequent shingles that the token order knows; a bound, as any fixed order gives the same links.
 FREQUENT = 300_000
 #: Shingle hashes that a task counts at once.
-COUNTED = 4_000_000
-GROUP_BYTES = 1 << 20
+COUNTED = 1_500_000
+GROUP_BYTES = 1 << 18
 MOST_BITS = 1 << 14
 #: Odd multipliers of the 64-bit hashes.
 P, Q, R, S = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
@@ -153,12 +153,14 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
         held = 0
 
         def out() -> pa.RecordBatch:
-            values = np.sort(np.concatenate([*sets, np.zeros(0, "int64")]))
-            edges = np.flatnonzero(np.diff(values, prepend=values[:1] - 1, append=values[-1:] + 1))
-            counts = np.diff(edges)
-            often = counts >= 2
+            values = np.concatenate([*sets, np.zeros(0, "int64")])
             sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values[edges[:-1]][often]), pa.array(counts[often])], names=["h", "n"])
+            values.sort()
+            same = values[1:] == values[:-1]
+            again = values[1:][same]  # one less than its count of each value that repeats
+            edges = np.flatnonzero(np.concatenate([again[:1] == again[:1], again[1:] != again[:-1]]))
+            counts = np.diff(np.append(edges, len(again))) + 1
+            return pa.RecordBatch.from_arrays([pa.array(again[edges]), pa.array(counts.astype("int64"))], names=["h", "n"])
 
         for b in batches:
             for _, sequence, found in hashed(b.column(0).to_pylist(), size):
@@ -411,7 +413,7 @@ def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 500, "4m")
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -422,7 +424,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for each distinct text that is kept, the smallest by hash."""
     from pyspark.sql import Window
 
-    small_batches(spark)
+    small_batches(spark, 500, "4m")
     scratch = Scratch(spark, "keep")
     found = join(docs, size=5, percent=80, scratch=scratch)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d"), F.col("n_shingles").alias("__n")).groupBy("__d").agg(F.max("__n").alias("__n"))

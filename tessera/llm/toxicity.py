@@ -25,7 +25,7 @@ MAX_CHARS = 40_000
 FEATURES = 4000
 #: A document is rejected from this probability of a grade above 0 on.
 REJECT = 0.4
-CACHE = 300_000
+CACHE = 150_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
