@@ -386,27 +386,28 @@ def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent:
     held = scratch.write(held.select("k", "n", "c", "gid"), "groups")
     matrix = rows.select("t", "k").join(held, "k").groupBy("t", "gid").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     matrix = scratch.write(matrix, "matrix")
-    queries = rows.select("t", "k", "n", "c")
-    bound = F.least(F.col("q.n"), F.col("m.n1")) * 100 >= F.greatest(F.col("q.n"), F.col("m.n0")) * percent
-    other = (F.col("m.c0") != F.col("q.c")) | (F.col("m.c1") != F.col("q.c"))
-    opened = queries.alias("q").join(matrix.alias("m"), (F.col("q.t") == F.col("m.t")) & bound & other).select("q.k", "q.n", "q.c", "m.gid").distinct()
-    opened = scratch.write(opened, "opened")
-    bits = members.select("k", "bits")
-    inside = held.join(bits, "k").groupBy("gid").agg(F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"))  # GROUP documents or so
-    rows = opened.join(bits, "k").join(scratch.write(inside, "inside"), "gid").select("k", "n", "c", "bits", "inside")
+    # queries are asked by group too: a pair of groups is opened where tokens, sizes and components allow a link
+    bound = F.least(F.col("p.n1"), F.col("m.n1")) * 100 >= F.greatest(F.col("p.n0"), F.col("m.n0")) * percent
+    other = (F.col("p.c0") != F.col("p.c1")) | (F.col("m.c0") != F.col("m.c1")) | (F.col("p.c0") != F.col("m.c0"))
+    opened = matrix.alias("p").join(matrix.alias("m"), (F.col("p.t") == F.col("m.t")) & (F.col("p.gid") <= F.col("m.gid")) & bound & other)
+    opened = scratch.write(opened.select(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).distinct(), "opened")
+    inside = held.join(members.select("k", "bits"), "k").groupBy("gid").agg(F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"))  # GROUP documents or so
+    inside = scratch.write(inside, "inside")
+    one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.col("inside").alias(f"i{i}")) for i in (1, 2))
+    rows = opened.join(one, "g1").join(two, "g2").select("i1", "i2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, n, c, q = (b.column(i).to_pylist() for i in range(4))
-            groups = b.column(4)
-            offsets = groups.offsets.to_numpy()
-            flat = groups.values
-            k2, n2, c2, x2 = (flat.field(name).to_pylist() for name in ("k", "n", "c", "bits"))
-            pairs = []
-            for i in range(b.num_rows):
-                for j in range(offsets[i], offsets[i + 1]):
-                    if c[i] != c2[j] and may_link(q[i], n[i], x2[j], n2[j], percent):
-                        pairs.append((k[i], k2[j]) if k[i] < k2[j] else (k2[j], k[i]))
+            left, right = b.column(0).to_pylist(), b.column(1).to_pylist()
+            pairs: set[tuple[int, int]] = set()
+            for xs, ys in zip(left, right, strict=True):
+                for x in xs:
+                    k, n, c, bits = x["k"], x["n"], x["c"], x["bits"]
+                    low, high = n * percent, 100 * n
+                    for y in ys:
+                        m = y["n"]
+                        if c != y["c"] and 100 * m >= low and m * percent <= high and may_link(bits, n, y["bits"], m, percent):
+                            pairs.add((k, y["k"]) if k < y["k"] else (y["k"], k))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
