@@ -70,8 +70,14 @@ def hidden_fields(c) -> Column:
     """map(name -> unescaped value) of a form's hidden inputs."""
     tags = F.regexp_extract_all(_col(c), F.lit(r"(?is)(<input\b[^>]*type=[\"']hidden[\"'][^>]*>)"), F.lit(1))
     pairs = F.transform(tags, lambda t: F.struct(F.regexp_extract(t, r"(?i)\bname=[\"']([^\"']*)[\"']", 1).alias("key"), F.regexp_extract(t, r"(?i)\bvalue=[\"']([^\"']*)[\"']", 1).alias("value")))
-    for entity, value in ENTITIES:
-        pairs = F.transform(pairs, lambda p, e=entity, v=value: F.struct(p["key"].alias("key"), F.replace(p["value"], F.lit(e), F.lit(v)).alias("value")))
+
+    def unescaped(p: Column) -> Column:
+        value = p["value"]
+        for entity, char in ENTITIES:
+            value = F.replace(value, F.lit(entity), F.lit(char))
+        return F.struct(p["key"].alias("key"), value.alias("value"))
+
+    pairs = F.transform(pairs, unescaped)
     named = F.filter(pairs, lambda p: p["key"] != "")
     keys = F.array_distinct(F.transform(named, lambda p: p["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(named, lambda p: p["key"] == k), -1)["value"]))

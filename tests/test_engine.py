@@ -1,0 +1,224 @@
+import uuid
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import html as H
+from tessera.functions import ids as I
+from tessera.functions import text as X
+from tessera.operators import answering as A
+from tessera.operators import corpus as C
+from tessera.operators import points as P
+from tessera.operators import retrieval as R
+from tessera.plans import catalogue, engine
+from tessera.schemas import CHUNK_FIELDS, DECISION_FIELDS
+from tessera.sources import files as S
+from tessera.streaming.ingest import PointTable, first_seen, ingest_stream
+
+D = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def one(spark, expression, **values):
+    rows = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)) if values else spark.range(1)
+    return rows.select(expression).first()[0]
+
+
+@pytest.mark.parametrize("text,want", [("III.ÚS 255/26", "III.ÚS_255_26"), ("I/II/26", "I_II_26"), ("A  B//C", "A_B_C"), ("", "unknown"), (None, "unknown")])
+def test_reference_prefix(spark, text, want):
+    assert one(spark, X.reference_prefix("t"), t=text) == want
+
+
+def test_query_processing(spark):
+    got = one(spark, X.process_query("t"), t="  Únos DÍTĚTE  do Ruska do ruska ")
+    assert got.normalized_query == "únos dítěte do ruska do ruska"
+    assert got.keywords == ["únos", "dítěte", "ruska"]
+    assert got.legal_concepts == ["mezinárodní únos dítěte", "rodičovská odpovědnost", "mezinárodní prvek"]
+
+
+def test_cells(spark):
+    assert one(spark, X.cell_lines("t"), t=" a  b \n\n(-)\nc") == ["a b", "c"]
+    assert spark.range(1).select(X.collapse_repeats(F.array(*map(F.lit, "aabba")))).first()[0] == ["a", "b", "a"]
+    assert one(spark, X.slugify("t"), t="Únos dítěte / 2") == "unos_ditete_2"
+
+
+def test_ids(spark):
+    assert one(spark, I.point_id("t"), t="III.ÚS_1") == str(uuid.uuid5(uuid.NAMESPACE_URL, "tessera-chunk:III.ÚS_1"))
+    with pytest.raises(Exception, match="needs an id"):
+        one(spark, I.point_id("t"), t="  ")
+    assert one(spark, I.canonical_json({"b": F.col("t"), "a": F.lit(None).cast("int")}), t="x\x1f\"") == '{"a":null,"b":"x\\u001f\\""}'
+
+
+@pytest.mark.parametrize("text,size,overlap,n", [("A" * 300, 100, 0, 3), ("x" * 100, 50, 10, 3), ("x" * 80, 50, 10, 2), ("x", 50, 10, 1), (" ", 50, 10, 0), (None, 50, 10, 0)])
+def test_chunk(spark, text, size, overlap, n):
+    rows = C.chunk(spark.createDataFrame([(text,)], "text string"), size=size, overlap=overlap).orderBy("chunk_index").collect()
+    assert [r.chunk_text for r in rows] == [text[i * (size - overlap) : i * (size - overlap) + size] for i in range(n)]
+
+
+def test_chunk_needs_a_step(spark):
+    with pytest.raises(ValueError):
+        C.chunk(spark.createDataFrame([("a",)], "text string"), size=10, overlap=10)
+
+
+def _decisions(spark, rows):
+    names = [f.split(" ")[0] for f in DECISION_FIELDS.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], DECISION_FIELDS).withColumn("pos", F.monotonically_increasing_id())
+
+
+def test_corpus_keeps_the_longer_text(spark):
+    base = {"case_reference": "I.ÚS 1/24", "ecli": "E1", "text_url": "u", "related_regulations": [], "topics_and_keywords": []}
+    rows = C.build_corpus(_decisions(spark, [base | {"full_text": "short"}, base | {"full_text": "x" * 80}]), 50, 10).collect()
+    assert sorted(r.id for r in rows) == ["I.ÚS_1_24_0", "I.ÚS_1_24_1"]
+    with pytest.raises(Exception, match="no identity"):
+        C.dedup_decisions(_decisions(spark, [{"full_text": "a"}])).collect()
+
+
+def _chunks(spark, *rows):
+    return spark.createDataFrame([(i, t, "ref", None, "2026-01-15", "J", None, n, 7) for n, (i, t) in enumerate(rows)], CHUNK_FIELDS)
+
+
+def test_ingest_is_idempotent(spark):
+    first = P.make_points(_chunks(spark, ("a", "t1"), ("b", "t2")))
+    empty = first.where("false").withColumn("vector", A.mock_embed("id"))
+    stored = P.merge(empty, P.classify(first, empty), A.mock_embed)
+    again = P.make_points(_chunks(spark, ("a", "t1"), ("b", "new"), ("c", "t3")))
+    assert P.ingest_stats(P.classify(again, stored)).first() == (3, 1, 1, 1)
+    assert P.merge(stored, P.classify(again, stored), A.mock_embed).count() == 3
+    assert P.supports_stable_sync(stored).first()[0]
+
+
+def test_duplicates_and_repair(spark):
+    points = P.make_points(_chunks(spark, ("a", "t1"), ("b", "t2"))).withColumn("vector", A.mock_embed("id"))
+    both = points.unionByName(points.where("payload.original_id = 'a'").withColumn("id", F.lit("1")))
+    assert P.duplicate_report(both).first() == (3, 2, 1, 1)
+    assert sorted(r.id for r in P.repair(both).collect()) == sorted(r.id for r in points.collect())
+
+
+def test_keyword_scores_and_ties(spark):
+    corpus = spark.createDataFrame([("a", "Únos dítěte", 0), ("b", "dítěte únos", 1), ("c", "jiné", 2)], "id string, text string, pos long")
+    asked = spark.createDataFrame([(1, "únos únos dítěte do"), (2, "xx")], "qid long, query string")
+    got = R.keyword_search(corpus, asked, 2).orderBy("rank").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [("a", 0.6), ("b", 0.6)]
+    again = R.rerank(R.keyword_search(corpus, asked, 2), asked, 1).collect()
+    assert [(r.id, round(r.score, 6)) for r in again] == [("a", 0.75)]
+
+
+def test_fusion_keeps_the_higher_score(spark):
+    row = lambda i, s, src, rank: (1, i, "t", s, src, 0, rank)
+    schema = "qid long, id string, text string, score double, source string, pos long, rank int"
+    dense = spark.createDataFrame([row("a", 0.5, "dense", 1), row("b", 0.4, "dense", 2)], schema)
+    keyword = spark.createDataFrame([row("b", 0.5, "keyword", 1), row("a", 0.5, "keyword", 2)], schema)
+    assert [(r.id, r.source) for r in R.fuse(dense, keyword).orderBy("rank").collect()] == [("a", "dense"), ("b", "keyword")]
+
+
+def test_cross_encoder_falls_back(spark):
+    hits = spark.createDataFrame([(1, "a", "x", 0.5, "dense", 0, 1), (1, "b", "yy", 0.4, "dense", 1, 2)], "qid long, id string, text string, score double, source string, pos long, rank int")
+    asked = spark.createDataFrame([(1, "q")], "qid long, query string")
+    assert [r.id for r in R.cross_encoder_rerank(hits, asked, lambda p: [len(t) for _, t in p]).orderBy("rank").collect()] == ["b", "a"]
+    assert [r.id for r in R.cross_encoder_rerank(hits, asked, lambda p: 1 / 0).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_source_filter(spark):
+    tags = spark.range(1).select(R.source_tags(F.lit("corpus"), F.lit("Nejvyšší správní soud"))).first()[0]
+    assert tags == ["corpus", "constitutional", "nejvyšší správní soud", "administrative"]
+    ok = lambda *want: spark.range(1).select(R.matches_sources(F.array(*map(F.lit, tags)), F.array(*map(F.lit, want)).cast("array<string>"))).first()[0]
+    assert ok() and ok("Constitutional ") and not ok("supreme")
+
+
+def test_plans_and_strategy(spark):
+    text = "1. a | b | c\nno pipe\n\n2.  | x\nq | r\n" + "\n".join(f"{i}. s{i} | t" for i in range(3, 9))
+    assert [(s.query, s.reason) for s in one(spark, A.parse_plan("t"), t=text)] == [("a", "b | c"), ("q", "r"), ("s3", "t"), ("s4", "t"), ("s5", "t")]
+    assert one(spark, A.plan("t", lambda q: F.lit("nothing")), t="q")[0].reason == "fallback — empty plan"
+    assert [spark.range(1).select(A.strategy(F.lit(n))).first()[0].mode for n in range(4)] == ["no_results", "direct_answer", "direct_answer", "llm_summary"]
+
+
+@pytest.mark.parametrize("text,want", [('{"answer":"a","confidence":5.0}', ("a", [], 1.0)), ('{"answer":"a","confidence":-1}', ("a", [], 0.0)), ("plain", ("plain", ["x"], 0.0)), ("[1]", ("[1]", ["x"], 0.0)), ("", ("", [], 0.0)), ('```\n{"answer":"b","sources":[1]}\n```', ("b", ["1"], 0.0))])
+def test_reply(text, want):
+    got = A.parse_reply(text, ["x"])
+    assert (got["answer"], got["sources"], got["confidence"]) == want
+
+
+PAGE = """<form><input type="hidden" name="a" value="x&amp;y"><input name="pageNumber" value="2"></form><p>Výsledky 11 - 12 z celkem 40</p><a>3</a>
+<table><tr id="headerRowFirst"><td>h</td></tr>
+<tr class="resultData0"><td><input name="sel_7"></td><td><a href="ResultDetail.aspx?id=7">I.ÚS 1/24</a><br>
+ECLI:CZ:1<br>
+Novák</td><td>P<br>
+Name</td><td>1. 1. 2024<br>
+(-)</td><td>Nález<br>
+2</td><td>r1<br>
+r1</td><td>zamítnuto</td><td></td><td>t1</td><td></td></tr>
+<tr><td><a href="/Search/GetText.aspx?sz=1-1-24">text</a></td></tr></table>"""
+
+
+def test_result_page(spark, tmp_path):
+    page = H.parse_result_page(PAGE, "q", "https://example.org/Search/")
+    d = page["results"][0]
+    assert (page["page_number"], page["total_pages"], page["total_results"], page["page_size"]) == (2, 3, 40, 1)
+    assert (d["result_id"], d["case_reference"], d["ecli"], d["judge_rapporteur"], d["petitioner"], d["popular_name"], d["related_regulations"]) == (7, "I.ÚS 1/24", "ECLI:CZ:1", "Novák", "P", "Name", ["r1"])
+    assert d["text_url"] == "https://example.org/Search/GetText.aspx?sz=1-1-24"
+    with pytest.raises(RuntimeError):
+        H.parse_result_page("<p></p>")
+    pages = H.parse_result_pages(spark.createDataFrame([(PAGE, "q")], "html string, query string"), "https://example.org/Search/")
+    texts = spark.createDataFrame([(d["text_url"], "full")], "text_url string, full_text string")
+    assert S.collect_results(pages, texts).first().full_text == "full"
+    with pytest.raises(Exception, match="duplicate result_id"):
+        S.collect_results(pages.union(pages)).collect()
+    assert S.collect_results(pages.union(pages), skip_duplicates=True).count() == 1
+    assert one(spark, H.hidden_fields("t"), t=PAGE) == {"a": "x&y"}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "b.json").write_text('[{"result_id": 1, "case_reference": "é"}, {"result_id": 2}]')
+    (tmp_path / "manifest.json").write_text("{}")
+    rows = S.read_decisions(spark, f"{tmp_path}/*.json").orderBy("pos").collect()
+    assert [(r.result_id, r.case_reference, r.topics_and_keywords) for r in rows] == [(1, "é", []), (2, None, [])]
+    (tmp_path / "c.json").write_text('{"a": 1}')
+    with pytest.raises(Exception, match="not a JSON array"):
+        S.read_decisions(spark, f"{tmp_path}/c.json").collect()
+    assert S.output_name("x", 5) == "results_x_5.json"
+
+
+def test_html_forms_agree(spark):
+    rows = spark.read.parquet(f"{D}/pages.parquet").select(H.plain_text("html").alias("a"), H.full_plain_text("html").alias("b")).collect()
+    assert rows and all(r.a == r.b for r in rows)
+
+
+def test_streaming_upsert(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path / "points"))
+    for n, rows in enumerate([(("a", "t1"), ("b", "t2")), (("a", "t1"), ("b", "new"), ("c", "t3"))]):
+        _chunks(spark, *rows).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema(CHUNK_FIELDS).parquet(str(tmp_path / "in/*"))
+        ingest_stream(stream, table, A.mock_embed, str(tmp_path / "check")).awaitTermination()
+    assert sorted((r.o, r.t) for r in table.read().select(F.col("payload.original_id").alias("o"), F.col("payload.text").alias("t")).collect()) == [("a", "t1"), ("b", "new"), ("c", "t3")]
+    assert first_seen(spark.createDataFrame([(1,), (1,)], "k int"), "k").count() == 1
+
+
+def test_cache(spark):
+    asked = spark.createDataFrame([(1, "A  b"), (2, "c")], "qid long, query string")
+    answer = lambda q: q.select("qid", F.lit("new").alias("answer"), F.array().cast("array<string>").alias("sources"), F.array().cast("array<string>").alias("plan_steps"))
+    now = F.lit("2026-01-01").cast("timestamp")
+    empty = spark.createDataFrame([], "key string, answer string, sources array<string>, plan_steps array<string>, expires_at timestamp")
+    _, rows = engine.cached(asked.where("qid = 1"), empty, answer, "v", now)
+    got, new = engine.cached(asked, rows.withColumn("answer", F.lit("old")), answer, "v", now)
+    assert {r.qid: r.answer for r in got.collect()} == {1: "old", 2: "new"} and new.count() == 1
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    df = catalogue.QUERIES[name](spark, D)
+    want = con.sql(catalogue.SQL[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    mine = sorted(repr(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
+    theirs = sorted(repr(tuple(dict(zip(want.columns, r, strict=True))[c] for c in sorted(want.columns))) for r in want.fetchall())
+    assert mine == theirs
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
