@@ -319,7 +319,8 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
         """Those of the pairs that link; texts are read for the sets that no earlier round made."""
         nonlocal sets
-        pairs = scratch.write(_possible(pairs, members, percent), f"possible-{turn}")
+        if turn <= ROUNDS:  # the groups are opened with sizes and bitmaps already
+            pairs = scratch.write(_possible(pairs, members, percent), f"possible-{turn}")
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("k"), "k", "left_anti")
