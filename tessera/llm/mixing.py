@@ -17,7 +17,7 @@ CYCLE = (5, 2, 1)
 CAP = 3
 SEED = 17
 SHARD_WORDS = 1 << 17
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 20
 BLOCK_WORDS = 4096
 
 
