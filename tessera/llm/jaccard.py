@@ -31,6 +31,8 @@ ROUNDS = 2
 FREQUENT = 300_000
 #: Shingle hashes that a task counts at once.
 COUNTED = 1_500_000
+#: Hot tokens: those with over this share of all rows, fewer than HOT; their rows are not shuffled by token.
+HOT = 1000
 GROUP_BYTES = 1 << 18
 MOST_BITS = 1 << 14
 #: Odd multipliers of the 64-bit hashes.
@@ -191,6 +193,15 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     return rows[np.argsort(rows[:, 0])]
 
 
+def _by_token(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` joined with ``found`` (one row per token t, nb: its number of rows) on t: the rows of
+    hot tokens, which stay in their partitions, and all others, which are shuffled by token."""
+    least = max(1, (found.agg(F.sum("nb")).first()[0] or 0) // HOT)
+    hot = F.broadcast(found.where(F.col("nb") > least))  # fewer than HOT rows, as their counts sum to the total at most
+    cold = rows.join(hot.select("t"), "t", "left_anti").join(found.where(F.col("nb") <= least), "t")
+    return rows.join(hot, "t"), cold
+
+
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
     """(doc_id, k, n, prefix, bits): k is the hash of the word sequence (null without words), n the set's
     size, prefix its rarest tokens, bits its parity bitmap."""
@@ -308,9 +319,10 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     base = scratch.write(_base(docs, _frequent(docs, size), size, percent), "base")
     tokens = base.select("k", F.explode("prefix").alias("t"))
     # tokens of two representatives or more, each with one as its leader; copies count once in min and max
-    buckets = scratch.write(tokens.groupBy("t").agg(F.min("k").alias("lk"), F.max("k").alias("uk")).where("lk < uk").select("t", "lk"), "buckets")
+    buckets = scratch.write(tokens.groupBy("t").agg(F.min("k").alias("lk"), F.max("k").alias("uk"), F.count(F.lit(1)).alias("nb")).where("lk < uk").select("t", "lk", "nb"), "buckets")
     scratch.free_shuffles()
-    shared = scratch.write(tokens.join(buckets, "t").distinct(), "shared")
+    hot, cold = (x.select("t", "k", "lk").distinct() for x in _by_token(tokens, buckets))
+    shared = scratch.write(hot.unionByName(cold), "shared")
     scratch.free_shuffles()
     reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "reps")
     members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g")).join(reps, "k"), "members")
@@ -343,8 +355,9 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
         # a bucket of one component needs nothing more
         mixed = rows.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead"), F.count(F.lit(1)).alias("nb"))
         # nor does one of two documents, which were compared in the first round
-        mixed = mixed.where("c0 <> c1 and nb > 2")
-        rows = scratch.write(rows.join(mixed.select("t", F.col("lead.k").alias("lk"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc")), "t"), f"open-{turn}")
+        mixed = mixed.where("c0 <> c1 and nb > 2").select("t", F.col("lead.k").alias("lk"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc"), "nb")
+        hot, cold = _by_token(rows, scratch.write(mixed, f"mixed-{turn}"))
+        rows = scratch.write(hot.unionByName(cold).drop("nb"), f"open-{turn}")
         open_rows = rows.select("t", "k", "n")
         if turn <= ROUNDS:
             pairs = rows.where((F.col("c") != F.col("lc")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b"))
