@@ -19,6 +19,8 @@ SEED = 17
 SHARD_WORDS = 1 << 17
 MAX_SHARDS = 1 << 20
 BLOCK_WORDS = 4096
+#: Documents of one size that the pipeline stage numbers in one window, about.
+LINE = 2000
 
 
 def n_words(text: Column) -> Column:
@@ -136,8 +138,52 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with ``__copies``: how often each whole document is taken so that a source's words meet its target.
+
+    Documents of one size are alike to the target, so copies are given to the sizes of a source, longest
+    first: each size gets what its words and what was left over so far come to, rounded to documents, and
+    the rest is carried to the next smaller size. No document gets fewer copies than its source's rate
+    rounded down or more than it rounded up, so the source misses its target by half its shortest
+    documents where these can take up the rest. Within a size a seeded systematic selection deals the copies out.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "whole")
+    rows = docs.withColumns({"__size": n_words(F.col(text_col)), "__h": F.xxhash64(F.col("doc_id"), F.col(text_col), F.lit(seed))})
+    rows = scratch.write(rows, "sized")
+    counts = scratch.write(rows.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    goals = targets(counts.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")))
+    rates = goals.where("source_size > 0").select("source", (F.col("target") / F.col("source_size")).alias("rate"))
+
+    # One array a source: its distinct sizes, not its documents.
+    sizes = counts.where("__size > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("__size")).alias("s"), F.col("n").alias("n")))).alias("sizes"))
+    sizes = sizes.alias("a").join(rates.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.sizes", "b.rate")
+    nothing = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,picks:bigint>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size, rate = -x["s"], F.col("rate")
+        want = acc["carry"] + rate * size * x["n"]
+        picks = F.least(F.ceil(rate) * x["n"], F.greatest(F.floor(rate) * x["n"], F.floor(want / size + 0.5))).cast("long")
+        return F.struct((want - picks * size).alias("carry"), F.concat(acc["out"], F.array(F.struct(size.alias("size"), x["n"].alias("n"), picks.alias("picks")))).alias("out"))
+
+    picked = sizes.select("source", F.explode(F.aggregate("sizes", nothing, step, lambda acc: acc["out"])).alias("x"))
+    picked = scratch.write(picked.select("source", F.col("x.size").alias("size"), F.col("x.n").alias("n"), F.col("x.picks").alias("picks")), "picked")
+
+    # A common size is split by hash into lines of LINE documents or so, numbered one behind the other.
+    same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.__size") == F.col("s.size"))
+    lined = rows.alias("d").join(picked.alias("s"), same).select("d.*", "s.n", "s.picks", F.pmod(F.col("d.__h"), F.ceil(F.col("s.n") / LINE)).alias("__line"))
+    lines = lined.groupBy("source", "__size", "__line").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("source", "__size").orderBy("__line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = scratch.write(lines.select("source", "__size", "__line", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before")), "lines")
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__size") == F.col("b.__size")) & (F.col("a.__line") == F.col("b.__line"))
+    lined = lined.alias("a").join(lines.alias("b"), same).select("a.*", "b.before")
+    at = F.col("before") + F.row_number().over(Window.partitionBy("source", "__size", "__line").orderBy("__h", "doc_id"))
+    offset = F.pmod(F.xxhash64("source", "__size", F.lit(seed + 1)), F.col("n"))
+    upto = lambda i: F.floor((i * F.col("picks") + offset) / F.col("n"))
+    lined = lined.withColumn("__at", at)
+    return lined.select(*docs.columns, (upto(F.col("__at")) - upto(F.col("__at") - 1)).cast("int").alias("__copies"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, rounded to whole documents."""
-    rows = mix(docs)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).where(F.col("__copy") > 0).select(*docs.columns)
+    """Pipeline stage: whole documents, repeated or left out so that each source meets its target."""
+    rows = whole_documents(docs)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies")))).where(F.col("__copy") > 0).select(*docs.columns)
