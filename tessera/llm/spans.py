@@ -2,8 +2,10 @@
 
 Every run of three consecutive sentences is hashed; the hashes are joined globally; sentences that
 any repeated run covers are removed, except in the run's first place (smallest doc_id, then row and
-position). A sentence ends at . ! ? or a line end; longer stretches are also cut behind words that
-their own hash marks, so that a passage is cut alike wherever it stands.
+position). A sentence ends at . ! ? or a line end; longer ones are also cut by the hashes of their
+words, so that a passage is cut alike wherever it stands: any repeat of over 50 words, with the same
+line ends, holds a complete run. A run of short sentences is hashed with those behind it; its first
+three are removed.
 """
 
 from __future__ import annotations
@@ -22,40 +24,50 @@ from .common import Scratch, small_batches, table
 
 RUN = 3
 LEAST_WORDS = 10
-LONG = 16
-CUT_MOD = 4
+WIDE = 8
+WORDS = re.compile(r"\s*\S+\s*")
 SENTENCES = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n+|[.!?]+|$)\s*")
 #: Hot hashes: those with over this share of all repeated runs, 1 / HOT of them at most.
 HOT = 1000
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text, with what separates them: joined they are the text."""
-    out: list[str] = []
-    for piece in SENTENCES.findall(text):
-        if not piece:
-            continue
-        if piece.count(" ") < LONG:
-            out.append(piece)
-            continue
-        words = re.findall(r"\s*\S+\s*", piece)
-        start = 0
-        for i, word in enumerate(words):
-            if i - start >= 3 and xxhash.xxh32_intdigest(word.strip().lower()) % CUT_MOD == 0:
-                out.append("".join(words[start : i + 1]))
-                start = i + 1
-        if start < len(words):
-            out.append("".join(words[start:]))
-    return out
+    """The sentences of a text, with what separates them: joined they are the text.
+
+    In each WIDE consecutive words of a longer one a cut is behind the last of those with the least
+    hash. So none has more than WIDE words, and two copies of a passage are cut alike but for their edges.
+    """
+    pieces = [p for p in SENTENCES.findall(text) if p]
+    spaced, low, of, ends = [], [], [], set()
+    for i, piece in enumerate(pieces):
+        found = WORDS.findall(piece) or [piece]
+        spaced += found
+        low += piece.lower().split() or [""]
+        of += [i] * len(found)
+        ends.add(len(spaced) - 1)
+    if len(low) >= WIDE:
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, low), "uint32", len(low))
+        of = np.array(of)
+        at = np.flatnonzero(of[: len(of) - WIDE + 1] == of[WIDE - 1 :])
+        # a sentence of WIDE words or fewer stays whole
+        at = at[np.bincount(of)[of[at]] > WIDE]
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, WIDE)[at]
+        ends.update((at + WIDE - 1 - windows[:, ::-1].argmin(1)).tolist())
+    cuts = sorted(ends)
+    return ["".join(spaced[i + 1 : j + 1]) for i, j in zip([-1, *cuts], cuts, strict=False)]
 
 
 def run_hashes(parts: list[str], run: int = RUN, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """Hash of the run that starts at each sentence; 0 where it is too short to count. Case and white
-    space do not matter. Sentences without words are passed over by joining them to their run."""
+    """Hash of the run that starts at each sentence: ``run`` sentences, and as many more as it takes
+    to have ``least_words``; 0 where the text ends before that. Case and white space do not matter."""
     words = [p.lower().split() for p in parts]
     out = np.zeros(max(0, len(parts) - run + 1), "int64")
     for i in range(len(out)):
         of = words[i] + words[i + 1] + words[i + 2] if run == 3 else [w for s in words[i : i + run] for w in s]
+        j = i + run
+        while len(of) < least_words and j < len(words):
+            of += words[j]
+            j += 1
         if len(of) >= least_words:
             out[i] = np.uint64(xxhash.xxh3_64_intdigest(" ".join(of)) or 1).astype("int64")
     return out

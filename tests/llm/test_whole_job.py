@@ -1,8 +1,11 @@
 """Tests that an operator does its whole job, on planted rows."""
 
+import random
+
+import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import mixing, spans
 from tessera.llm.common import table
 
 
@@ -18,3 +21,36 @@ def test_mixed_documents_meet_the_targets(spark):
         assert missed < most * sum(g.target for g in goals.values())
         copies = mixing.whole_documents(docs).select("source", "__copies", size.alias("size")).where("size > 0").collect()
         assert all(g - 1 < c["__copies"] < g + 1 for c in copies for g in [goals[c["source"]].target / goals[c["source"]].source_size])
+
+
+def whole_windows(rows, most=51):
+    """Windows of words, by the documents that still hold them whole."""
+    seen = {}
+    for r in rows:
+        w = r.text.lower().split()
+        for i in range(len(w) - most + 1):
+            seen.setdefault(" ".join(w[i : i + most]), []).append((r.doc_id, i))
+    return seen
+
+
+def test_spans_leave_no_repeated_window(spark):
+    rng = random.Random(4)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    unmarked = [w for w in new(4000) if xxhash.xxh32_intdigest(w) % 4][:60]
+    passages = [
+        " ".join(f"{w}." for w in new(51)), " ".join(f"{a} {b}!!" for a, b in zip(new(26), new(26), strict=True)), "\n".join(new(55)),
+        " ".join(["same"] * 60), " ".join(["two", "words"] * 30), " ".join(unmarked), " ".join(new(51)), " ".join(f"{w} {'x' * (i % 3)}" for i, w in enumerate(new(70))),
+    ]
+    rows, i = [], 0
+    for p in passages:
+        for _ in range(3):
+            rows.append((i, " ".join(new(rng.randrange(30))) + " " + p + " " + " ".join(new(rng.randrange(30)))))
+            i += 1
+    docs = spark.createDataFrame([*rows, (i, passages[0]), (i + 1, passages[5])], "doc_id long, text string").repartition(3)
+    got = spans.dedup(docs).collect()
+    before, after = whole_windows(docs.collect()), whole_windows(got)
+    assert sum(len({d for d, _ in at}) > 1 for at in before.values()) >= len(passages)
+    assert not [w for w, at in after.items() if len(at) > 1]
+    real = spans.dedup(table(spark, "/root/testdata/sf0.001", "documents").where("text is not null")).collect()
+    originals = whole_windows(table(spark, "/root/testdata/sf0.001", "documents").where("text is not null").collect())
+    assert not [w for w, at in whole_windows(real).items() if len(at) > 1 and len(originals.get(w, ())) > 1]
