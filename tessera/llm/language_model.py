@@ -5,8 +5,10 @@ frequency and the output softmax is factored: P(word) = P(class | state) P(word
 Words beyond them are in classes whose inner distribution is that of the counts; the last class
 holds all words that are not broadcast, and one slot for unknown ones, so the model is a probability
 over the same events as the count model that it is compared with. Training is truncated
-backpropagation through time over a bounded sample, with the state carried from window to window;
-scoring carries it through the complete document.
+backpropagation through time, with the state carried from window to window: a bounded sample starts
+the network (and parts the rarer words into topics), then it learns from every training document, in
+ROUNDS parts by a hash of the text; in each, every task trains a copy on its rows, and the copies are
+averaged by their words. Scoring carries the state through the complete document.
 """
 
 from __future__ import annotations
@@ -33,9 +35,14 @@ NEURAL, PER_CLASS = 4096, 64
 BINS = (16_384, 65_536, HEAD)
 TOPICS = 6
 HIDDEN = 24
-LANES, WINDOW = 64, 24
+LANES, ROUND_LANES, WINDOW = 64, 256, 24
 SCORE_LANES, SCORE_WINDOW = 256, 64
-#: Documents and words that are learned from at most; longer texts than MAX_CHARS are not picked.
+#: Parts that all training documents are learned in, the rate there, words that a task holds at once,
+#: and words of a text that the state is carried through in training.
+ROUNDS, ROUND_RATE, CHUNK_WORDS, PIECE_WORDS = 2, 0.002, 300_000, 1000
+#: Bytes of a piece of the parameters that are averaged together.
+SLICE = 1 << 16
+#: Documents and words of the sample that starts the network; longer texts than MAX_CHARS are not picked for it.
 TRAIN_DOCS, TRAIN_WORDS, MAX_CHARS = 3000, 1_000_000, 30_000
 #: Share of the count model that is mixed in.
 BACKOFF = 0.02
@@ -171,14 +178,28 @@ class Network:
                 dh[own] += d @ p["w"][c].T
         return log_c, inner, dh
 
-    def train(self, docs: list[np.ndarray], v: Vocabulary, rate: float = 0.006) -> None:
-        """Truncated backpropagation: lanes of whole documents, windows of WINDOW words, carried states."""
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[n].ravel() for n in sorted(self.p)])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for n in sorted(self.p):
+            x = self.p[n]
+            self.p[n] = np.array(values[at : at + x.size], "float32").reshape(x.shape)
+            at += x.size
+
+    def train(self, docs: list[np.ndarray], v: Vocabulary, rate: float = 0.006, moments: dict | None = None) -> None:
+        """Truncated backpropagation: lanes of whole documents, windows of WINDOW words, carried states.
+
+        With ``moments``, a dict that is kept from call to call, training goes on at an even rate."""
         if not docs or not v.neural:
             return
-        ids, reset, _ = lanes(docs, LANES)
+        ids, reset, _ = lanes(docs, LANES if moments is None else ROUND_LANES)
         k, h = HIDDEN, np.zeros((ids.shape[1], HIDDEN), "float32")
-        mean = {n: np.zeros_like(x) for n, x in self.p.items()}
-        square = {n: np.zeros_like(x) for n, x in self.p.items()}
+        held = {} if moments is None else moments
+        if not held:
+            held |= {"steps": 0, "mean": {n: np.zeros_like(x) for n, x in self.p.items()}, "square": {n: np.zeros_like(x) for n, x in self.p.items()}}
+        mean, square, begun = held["mean"], held["square"], held["steps"]
         n_steps = -(-len(ids) // WINDOW)
         for step in range(n_steps):
             at = slice(step * WINDOW, (step + 1) * WINDOW)
@@ -224,7 +245,10 @@ class Network:
             grad["x"][rows[order][edges]] = np.add.reduceat(dx[order], edges)
             norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values())) / count
             shrink = min(1.0, 2.0 / max(norm, 1e-9)) / count
-            now = rate * (1 - 0.9 * step / n_steps) * math.sqrt(1 - 0.998 ** (step + 1)) / (1 - 0.9 ** (step + 1))
+            slower = 1 - 0.9 * step / n_steps if moments is None else 1.0
+            done = begun + step + 1
+            now = rate * slower * math.sqrt(1 - 0.998**done) / (1 - 0.9**done)
+            held["steps"] = done
             for name, g in grad.items():
                 g = g.astype("float32") * np.float32(shrink)
                 mean[name] += np.float32(0.1) * (g - mean[name])
@@ -341,6 +365,56 @@ def learn(counts: DataFrame, train: DataFrame) -> tuple[Vocabulary, Network]:
     return vocabulary, network
 
 
+def learn_all(train: DataFrame, v: Vocabulary, net: Network, scratch: Scratch) -> int:
+    """Trains ``net`` on every document of ``train`` (b) and returns the number of words learned from.
+
+    The parameters of the tasks are averaged in slices, so that no task or driver holds all copies."""
+    if not v.neural:
+        return 0
+    spark, learned = train.sparkSession, 0
+    for part in range(ROUNDS):
+        held = spark.sparkContext.broadcast((v, net))  # at most HEAD words and the network
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            v, start = held.value
+            own = Network.__new__(Network)
+            own.wide, own.p = start.wide, {n: x.copy() for n, x in start.p.items()}
+            moments: dict = {}
+            pieces, size, total = [], 0, 0
+            for b in batches:
+                for data in b.column(0).to_pylist():
+                    ids = numbers(v, words_of(data or b""))
+                    for at in range(0, len(ids), PIECE_WORDS):
+                        pieces.append(ids[at : at + PIECE_WORDS])
+                        size += len(pieces[-1])
+                        if size >= CHUNK_WORDS:
+                            own.train(pieces, v, ROUND_RATE, moments)
+                            pieces, size, total = [], 0, total + size
+            own.train(pieces, v, ROUND_RATE, moments)
+            total += size
+            if total:
+                flat = own.flat()
+                parts = [flat[i : i + SLICE // 4].astype("float32").tobytes() for i in range(0, len(flat), SLICE // 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([total] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["at", "n", "w"])
+
+        def average(key: tuple, rows: pa.Table) -> pa.Table:
+            total, out = 0, 0.0
+            for n, w in zip(rows.column("n").to_pylist(), rows.column("w"), strict=True):
+                out = out + n * np.frombuffer(w.as_py(), "float32").astype("float64")
+                total += n
+            return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total], pa.int64()), "w": pa.array([(out / total).astype("float32").tobytes()], pa.binary())})
+
+        own = train.where(F.pmod(F.xxhash64(F.coalesce("b", F.lit(b""))), F.lit(ROUNDS)) == part)
+        made = scratch.write(own.mapInArrow(run, "at int, n long, w binary"), f"round{part}")
+        slices = made.groupBy("at").applyInArrow(average, "at int, n long, w binary").orderBy("at").collect()  # one copy of the parameters
+        held.unpersist()
+        scratch.drop(f"round{part}")
+        if slices:
+            net.set_flat(np.concatenate([np.frombuffer(r["w"], "float32") for r in slices]))
+            learned += slices[0]["n"]
+    return learned
+
+
 def numbers(v: Vocabulary, words: list[bytes]) -> np.ndarray:
     tail = len(v.words)
     get = v.number.get
@@ -367,6 +441,7 @@ def score(docs: DataFrame, is_train, text_col: str = "text", scratch: Scratch |
     counts = scratch.write(count_words(train), "counts")
     scratch.free_shuffles()
     vocabulary, network = learn(counts, train)
+    learn_all(train, vocabulary, network, scratch)
     held = spark.sparkContext.broadcast((vocabulary, network))  # at most HEAD words and the network
     key = scratch.root
     base_fields = rows.select(*kept).schema.fields

@@ -5,7 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, spans
+from tessera.llm import language_model, mixing, spans
 from tessera.llm.common import table
 
 
@@ -54,3 +54,17 @@ def test_spans_leave_no_repeated_window(spark):
     real = spans.dedup(table(spark, "/root/testdata/sf0.001", "documents").where("text is not null")).collect()
     originals = whole_windows(table(spark, "/root/testdata/sf0.001", "documents").where("text is not null").collect())
     assert not [w for w, at in whole_windows(real).items() if len(at) > 1 and len(originals.get(w, ())) > 1]
+
+
+def test_language_model_learns_from_every_document(spark):
+    line = "one two three four five six seven eight nine ten "
+    docs = spark.createDataFrame([(i, line * 4000) for i in range(3)], "doc_id long, text string")
+    learned, every = [], language_model.learn_all
+    language_model.learn_all = lambda *a: learned.append(every(*a))
+    try:
+        got = language_model.score(docs, F.lit(True)).collect()
+    finally:
+        language_model.learn_all = every
+    assert learned == [3 * 40_001] and got[0].train_tokens == learned[0]
+    # each word follows from the one before; the counts alone give about one digit a word
+    assert all(r.score > 0.9 * r.base_score for r in got)
