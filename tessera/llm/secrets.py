@@ -114,6 +114,7 @@ def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR, scratch: Scr
     base = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")))
     found = found.select(*kept, base.alias("base"), "__c")
     found = found.select(*kept, "base", F.filter("__c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))).alias("__c"))
+    found = found.withColumn("__c", F.filter("__c", lambda c: c["found"].rlike("[0-9]") & c["found"].rlike("[A-Za-z]")))  # no others are hypotheses
     rows = scratch.write(found.select(*kept, "base", _battery(F.col("__c")).alias("__c")), "found")
 
     bins = rows.select(F.explode("__c").alias("c")).select(F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(F.col("c.p"), F.lit(1e-30))) * BINS_PER_DECADE)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

@@ -1,11 +1,12 @@
 """Tests that an operator does its whole job, on planted rows."""
 
 import random
+import string
 
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model, mixing, spans
+from tessera.llm import language_model, mixing, secrets, spans
 from tessera.llm.common import table
 
 
@@ -68,3 +69,12 @@ def test_language_model_learns_from_every_document(spark):
     assert learned == [3 * 40_001] and got[0].train_tokens == learned[0]
     # each word follows from the one before; the counts alone give about one digit a word
     assert all(r.score > 0.9 * r.base_score for r in got)
+
+
+def test_plain_long_words_are_no_hypotheses_of_secrets(spark):
+    rng = random.Random(2)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=21)) for _ in range(10)]
+    words = [(100 + i, "".join(rng.choices("etaoinshrdlu", k=30))) for i in range(40000)]
+    docs = spark.createDataFrame([*enumerate(keys), *words], "doc_id long, text string")
+    got = {r.doc_id: r.added for r in secrets.scan(docs).collect()}
+    assert sum(bool(got[i]) for i in range(10)) >= 8 and not any(got[i] for i, _ in words)
