@@ -35,11 +35,13 @@ NEURAL, PER_CLASS = 4096, 64
 BINS = (16_384, 65_536, HEAD)
 TOPICS = 6
 HIDDEN = 24
-LANES, ROUND_LANES, WINDOW = 64, 256, 24
+LANES, ROUND_LANES, WINDOW = 64, 512, 24
 SCORE_LANES, SCORE_WINDOW = 256, 64
+#: Rows whose logits are made at once.
+BLOCK = 2048
 #: Parts that all training documents are learned in, the rate there, words that a task holds at once,
 #: and words of a text that the state is carried through in training.
-ROUNDS, ROUND_RATE, CHUNK_WORDS, PIECE_WORDS = 2, 0.002, 300_000, 1000
+ROUNDS, ROUND_RATE, CHUNK_WORDS, PIECE_WORDS = 2, 0.004, 800_000, 500
 #: Bytes of a piece of the parameters that are averaged together.
 SLICE = 1 << 16
 #: Documents and words of the sample that starts the network; longer texts than MAX_CHARS are not picked for it.
@@ -100,7 +102,7 @@ class Vocabulary:
         self.cls = cls.astype("int32")
         self.base_z = total + SMOOTH * (distinct + 1)
         self.tail_z = max(self.base_z - (self.counts.sum() + SMOOTH * n), SMOOTH)
-        mass = np.bincount(cls, weights=self.counts + SMOOTH, minlength=self.n_classes)
+        mass = np.bincount(cls, weights=self.counts + SMOOTH, minlength=self.n_classes).astype("float64")  # without words it counts in integers
         self.inner = np.log((self.counts + SMOOTH) / np.maximum(mass[cls], 1e-300)) if n else np.zeros(0)
         self.class_mass = mass
         self.class_mass[self.tail_class] = self.tail_z
@@ -133,49 +135,75 @@ class Network:
             self.wide[c, : min(PER_CLASS, v.neural - c * PER_CLASS)] = True
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States (HIDDEN x lanes) after words of the gathered input rows ``x`` (lanes x 3 HIDDEN), with the gates."""
         k = HIDDEN
-        hu = h @ self.p["u"] + self.p["bu"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * k] + hu[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * hu[:, 2 * k :])
-        return n + z * (h - n), z, r, n, hu[:, 2 * k :]
+        x = x.T
+        hu = self.p["u"].T @ h
+        hu += self.p["bu"][:, None]
+        zr = x[: 2 * k] + hu[: 2 * k]
+        zr *= np.float32(0.5)
+        np.tanh(zr, out=zr)
+        zr += np.float32(1)
+        zr *= np.float32(0.5)
+        z, r, hn = zr[:k], zr[k:], hu[2 * k :]
+        n = r * hn
+        n += x[2 * k :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, z, r, n, hn
 
     def loss(self, hs: np.ndarray, words: np.ndarray, v: Vocabulary, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """log P(class), log P(word | class) of each word under its state; with ``grad`` also the states' gradient."""
-        p, cls = self.p, v.cls[words]
-        m = np.arange(len(words))
-        logits = np.minimum(hs @ p["c"] + p["bc"], 60)
-        e = np.exp(logits)
-        total = e.sum(1)
-        log_c = logits[m, cls] - np.log(total)
-        inner = np.zeros(len(words), "float32")
+        """log P(class), log P(word | class) of each word under its state (a row of ``hs``, with a last
+        column of ones for the biases); with ``grad`` also the states' gradient. BLOCK rows at a time, so
+        that their logits stay in the cache."""
+        p, every, k = self.p, v.cls[words], HIDDEN
+        log_c, inner = np.empty(len(words), "float32"), np.zeros(len(words), "float32")
+        dh = None if grad is None else np.empty((len(words), k), "float32")
+        outer, within = np.vstack([p["c"], p["bc"]]), np.concatenate([p["w"], p["bw"][:, None]], 1)
+        if grad is not None:
+            g_outer, g_within = np.zeros_like(outer), np.zeros_like(within)
+        # states are within -1 and 1, so the parameters tell whether a logit can be too large for exp
+        clip = max(float((np.abs(x[..., :k, :]).sum(-2) + x[..., k, :]).max(initial=0)) for x in (outer, within)) > 60
+
+        def softmax(states: np.ndarray, weights: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            e = states @ weights
+            if clip:
+                np.minimum(e, np.float32(60), out=e)
+            own = e[rows, at]
+            np.exp(e, out=e)
+            total = e @ ones[: e.shape[1]]
+            if grad is not None:
+                e /= total[:, None]
+                e[rows, at] -= 1
+            return own - np.log(total), e
+
+        ones, upto = np.ones(max(outer.shape[1], PER_CLASS), "float32"), np.arange(min(BLOCK, len(words)))
+        for at in range(0, len(words), BLOCK):
+            part, cls = hs[at : at + BLOCK], every[at : at + BLOCK]
+            log_c[at : at + BLOCK], e = softmax(part, outer, cls, upto[: len(cls)])
+            if grad is not None:
+                g_outer += part.T @ e
+                np.matmul(e, p["c"].T, out=dh[at : at + BLOCK])
         static = (words >= v.neural) & (words < len(v.words))
         inner[static] = v.inner[words[static]]
-        dh = None
-        if grad is not None:
-            d = e / total[:, None]
-            d[m, cls] -= 1
-            grad["c"], grad["bc"] = hs.T @ d, d.sum(0)
-            dh = d @ p["c"].T
-            grad["w"], grad["bw"] = np.zeros_like(p["w"]), np.zeros_like(p["bw"])
         rows = np.flatnonzero(words < v.neural)
-        rows = rows[np.argsort(cls[rows], kind="stable")]
-        bounds = np.searchsorted(cls[rows], np.arange(v.n_neural_classes + 1))
+        rows = rows[np.argsort(every[rows].astype("uint16"), kind="stable")]
+        bounds = np.searchsorted(every[rows], np.arange(v.n_neural_classes + 1))
+        states, places, made = hs[rows], words[rows] - every[rows] * PER_CLASS, np.empty(len(rows), "float32")
+        back = None if grad is None else np.empty((len(rows), k), "float32")
         for c in range(v.n_neural_classes):
-            own = rows[bounds[c] : bounds[c + 1]]
-            if not len(own):
-                continue
-            place = words[own] - c * PER_CLASS
-            logits = np.minimum(hs[own] @ p["w"][c] + p["bw"][c], 60)
-            e = np.exp(logits)
-            total = e.sum(1)
-            k = np.arange(len(own))
-            inner[own] = logits[k, place] - np.log(total)
-            if grad is not None:
-                d = e / total[:, None]
-                d[k, place] -= 1
-                grad["w"][c], grad["bw"][c] = hs[own].T @ d, d.sum(0) * self.wide[c]
-                dh[own] += d @ p["w"][c].T
+            for at in range(bounds[c], bounds[c + 1], BLOCK):
+                end = min(at + BLOCK, bounds[c + 1])
+                made[at:end], e = softmax(states[at:end], within[c], places[at:end], upto[: end - at])
+                if grad is not None:
+                    g_within[c] += states[at:end].T @ e
+                    np.matmul(e, p["w"][c].T, out=back[at:end])
+        inner[rows] = made
+        if grad is not None:
+            dh[rows] += back
+            grad |= {"c": g_outer[:k], "bc": g_outer[k], "w": g_within[:, :k], "bw": g_within[:, k] * self.wide}
         return log_c, inner, dh
 
     def flat(self) -> np.ndarray:
@@ -195,92 +223,109 @@ class Network:
         if not docs or not v.neural:
             return
         ids, reset, _ = lanes(docs, LANES if moments is None else ROUND_LANES)
-        k, h = HIDDEN, np.zeros((ids.shape[1], HIDDEN), "float32")
+        k, h = HIDDEN, np.zeros((HIDDEN, ids.shape[1]), "float32")
         held = {} if moments is None else moments
         if not held:
             held |= {"steps": 0, "mean": {n: np.zeros_like(x) for n, x in self.p.items()}, "square": {n: np.zeros_like(x) for n, x in self.p.items()}}
-        mean, square, begun = held["mean"], held["square"], held["steps"]
-        n_steps = -(-len(ids) // WINDOW)
+        begun, n_steps = held["steps"], -(-len(ids) // WINDOW)
         for step in range(n_steps):
-            at = slice(step * WINDOW, (step + 1) * WINDOW)
-            words, new = ids[at], reset[at]
-            hs, kept = [], []
-            for t in range(len(words)):
-                h = np.where(new[t][:, None], np.float32(0), h)
-                hs.append(h)
-                x = self.p["x"][v.inputs[words[t]]]
-                after, z, r, n, hu = self.step(h, x)
-                kept.append((h, z, r, n, hu))
-                h = np.where(words[t][:, None] < 0, h, after)
-            flat, live = np.concatenate(hs), words.ravel() >= 0
+            words, new = ids[step * WINDOW : (step + 1) * WINDOW], reset[step * WINDOW : (step + 1) * WINDOW]
+            on_lanes = int((words[0] >= 0).sum())  # lanes are sorted by length, longest first
+            words, new, h = words[:, :on_lanes], new[:, :on_lanes], h[:, :on_lanes]
+            steps, lanes_n = words.shape
+            on, fresh = words >= 0, new.any(1)
+            full = on.all(1)
+            inputs = v.inputs[words]
+            hs, kept = np.ones((steps, lanes_n, k + 1), "float32"), []
+            for t in range(steps):
+                if fresh[t]:
+                    h = h * ~new[t]
+                hs[t, :, :k] = h.T
+                after, z, r, n, hn = self.step(h, self.p["x"][inputs[t]])
+                kept.append((h, z, r, n, hn))
+                h = after if full[t] else np.where(on[t], after, h)
+            live = on.ravel()
             count = max(1, int(live.sum()))
             grad: dict = {}
-            _, _, dh_live = self.loss(flat[live], words.ravel()[live], v, grad)
-            dh_all = np.zeros_like(flat)
-            dh_all[live] = dh_live
-            dh_all = dh_all.reshape(len(words), -1, k)
+            whole = bool(full.all())
+            flat = hs.reshape(-1, k + 1)
+            _, _, dh_live = self.loss(flat if whole else flat[live], words.ravel() if whole else words.ravel()[live], v, grad)
+            if whole:
+                dh_all = dh_live.reshape(steps, lanes_n, k)
+            else:
+                dh_all = np.zeros((len(flat), k), "float32")
+                dh_all[live] = dh_live
+                dh_all = dh_all.reshape(steps, lanes_n, k)
             du, dbu = np.zeros_like(self.p["u"]), np.zeros_like(self.p["bu"])
-            dxs, carried = [], np.zeros_like(h)
-            for t in range(len(words) - 1, -1, -1):
-                before, z, r, n, hu = kept[t]
-                on = (words[t] >= 0)[:, None]
-                back = np.where(on, carried, 0)
-                dn = back * (1 - z) * (1 - n * n)
-                dz = back * (before - n) * z * (1 - z)
-                dr = dn * hu * r * (1 - r)
-                dx = np.concatenate([dz, dr, dn], 1)
-                dhu = np.concatenate([dz, dr, dn * r], 1)
-                du += before.T @ dhu
-                dbu += dhu.sum(0)
-                dxs.append(dx)
-                carried = np.where(on, back * z + dhu @ self.p["u"].T, carried) + dh_all[t]
-                carried = np.where(new[t][:, None], 0, carried)
+            dxs = np.empty((3 * k, steps, lanes_n), "float32")
+            carried = np.zeros_like(h)
+            dhu = np.empty((3 * k, lanes_n), "float32")
+            for t in range(steps - 1, -1, -1):
+                before, z, r, n, hn = kept[t]
+                back = carried if full[t] else carried * on[t]
+                dn = n * n
+                np.subtract(np.float32(1), dn, out=dn)
+                rest = z * back
+                dn *= back - rest
+                dz = before - n
+                dz *= rest
+                dz *= 1 - z
+                dr = dn * hn
+                dr *= r
+                dr *= 1 - r
+                dhu[:k], dhu[k : 2 * k] = dz, dr
+                dxs[: 2 * k, t], dxs[2 * k :, t] = dhu[: 2 * k], dn
+                dhu[2 * k :] = dn * r
+                du += before @ dhu.T
+                dbu += dhu.sum(1)
+                rest += self.p["u"] @ dhu
+                carried = rest if full[t] else np.where(on[t], rest, carried)
+                carried += dh_all[t].T
+                if fresh[t]:
+                    carried *= ~new[t]
             grad["u"], grad["bu"] = du, dbu
-            rows = v.inputs[words[::-1].ravel()]
-            dx = np.concatenate(dxs)
-            dx[words[::-1].ravel() < 0] = 0
-            order = np.argsort(rows, kind="stable")
-            edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
-            grad["x"] = np.zeros_like(self.p["x"])
-            grad["x"][rows[order][edges]] = np.add.reduceat(dx[order], edges)
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values())) / count
-            shrink = min(1.0, 2.0 / max(norm, 1e-9)) / count
+            rows = inputs.ravel().astype("int64")  # lanes beyond their end have gradients of zero
+            touched = np.flatnonzero(np.bincount(rows, minlength=v.n_inputs))
+            grad["x"] = np.stack([np.bincount(rows, weights=dx, minlength=v.n_inputs)[touched] for dx in dxs.reshape(3 * k, -1)], 1)
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) / count
+            shrink = np.float32(min(1.0, 2.0 / max(norm, 1e-9)) / count)
             slower = 1 - 0.9 * step / n_steps if moments is None else 1.0
             done = begun + step + 1
             now = rate * slower * math.sqrt(1 - 0.998**done) / (1 - 0.9**done)
             held["steps"] = done
             for name, g in grad.items():
-                g = g.astype("float32") * np.float32(shrink)
-                mean[name] += np.float32(0.1) * (g - mean[name])
-                square[name] += np.float32(0.002) * (g * g - square[name])
-                self.p[name] -= np.float32(now) * mean[name] / (np.sqrt(square[name]) + np.float32(1e-6))
+                g = g.astype("float32") * shrink
+                at = touched if name == "x" else slice(None)  # rows without a gradient keep their moments
+                mean, square = held["mean"][name][at], held["square"][name][at]
+                mean = mean + np.float32(0.1) * (g - mean)
+                square = square + np.float32(0.002) * (g * g - square)
+                held["mean"][name][at], held["square"][name][at] = mean, square
+                self.p[name][at] -= np.float32(now) * mean / (np.sqrt(square) + np.float32(1e-6))
 
     def score(self, docs: list[np.ndarray], v: Vocabulary) -> np.ndarray:
         """Of each document the sum of log10 probabilities, for tail words without their own count."""
         out = np.zeros(len(docs))
         ids, reset, of = lanes(docs, SCORE_LANES)
-        h = np.zeros((ids.shape[1], HIDDEN), "float32")
-        base = np.append(np.log((v.counts + SMOOTH) / v.base_z), -math.log(v.base_z))
-        own = math.log(v.tail_z)
+        h = np.zeros((HIDDEN, ids.shape[1]), "float32")
+        base = np.append((v.counts + SMOOTH) / v.base_z, 1 / v.base_z) * BACKOFF
+        scale = np.append(np.full(len(v.words), 1 - BACKOFF), (1 - BACKOFF) / v.tail_z)
         for start in range(0, len(ids), SCORE_WINDOW):
             words, new = ids[start : start + SCORE_WINDOW], reset[start : start + SCORE_WINDOW]
-            lanes_on = int((words[0] >= 0).sum())  # lanes are sorted by length, longest first
-            words, new, h = words[:, :lanes_on], new[:, :lanes_on], h[:lanes_on]
-            any_new = new.any(1)
-            hs = np.empty((*words.shape, HIDDEN), "float32")
+            on_lanes = int((words[0] >= 0).sum())  # lanes are sorted by length, longest first
+            words, new, h = words[:, :on_lanes], new[:, :on_lanes], h[:, :on_lanes]
+            fresh = new.any(1)
+            hs = np.ones((*words.shape, HIDDEN + 1), "float32")
             inputs = v.inputs[words]
             for t in range(len(words)):
-                if any_new[t]:
-                    h = np.where(new[t][:, None], np.float32(0), h)
-                hs[t] = h
+                if fresh[t]:
+                    h = h * ~new[t]
+                hs[t, :, :HIDDEN] = h.T
                 h = self.step(h, self.p["x"][inputs[t]])[0]
             live = words.ravel() >= 0
             flat = words.ravel()[live]
-            log_c, inner, _ = self.loss(hs.reshape(-1, HIDDEN)[live], flat, v)
-            total = log_c.astype("float64") + inner
-            total[flat == len(v.words)] -= own
-            total = np.logaddexp(total + math.log(1 - BACKOFF), base[flat] + math.log(BACKOFF))
-            out += np.bincount(of[start : start + SCORE_WINDOW, :lanes_on].ravel()[live], weights=total, minlength=len(docs))
+            log_c, inner, _ = self.loss(hs.reshape(-1, HIDDEN + 1)[live], flat, v)
+            total = np.log(np.exp(log_c.astype("float64") + inner) * scale[flat] + base[flat])
+            out += np.bincount(of[start : start + SCORE_WINDOW, :on_lanes].ravel()[live], weights=total, minlength=len(docs))
         return out / math.log(10)
 
 

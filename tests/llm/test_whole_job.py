@@ -3,6 +3,8 @@
 import random
 import string
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -78,3 +80,47 @@ def test_plain_long_words_are_no_hypotheses_of_secrets(spark):
     docs = spark.createDataFrame([*enumerate(keys), *words], "doc_id long, text string")
     got = {r.doc_id: r.added for r in secrets.scan(docs).collect()}
     assert sum(bool(got[i]) for i in range(10)) >= 8 and not any(got[i] for i, _ in words)
+
+
+def test_language_model_without_training_documents(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score(docs, F.lit(False)).collect()}
+    # every word is unknown: c = N = V = 0, so each token has probability one
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and abs(r.score) < 1e-5 for r in got.values())
+    assert [got[i].n_tokens for i in (1, 2, 3)] == [3, 1, 1]
+
+
+def test_network_gradient_is_that_of_its_loss():
+    words = [str(i).encode() for i in range(100)]
+    v = language_model.Vocabulary(words, np.arange(100, 0, -1.0), 10_000, 500, {})
+    net = language_model.Network(v)
+    rng = np.random.default_rng(1)
+    hs = np.hstack([rng.uniform(-1, 1, (40, language_model.HIDDEN)), np.ones((40, 1))]).astype("float32")
+    of = rng.integers(0, 101, 40).astype("int32")
+    grad = {}
+    _, _, dh = net.loss(hs, of, v, grad)
+    total = lambda: -float(sum(x.astype("float64").sum() for x in net.loss(hs, of, v)[:2]))
+    for name, at in (("c", (3, 1)), ("bc", (0,)), ("w", (0, 2, 5)), ("bw", (1, 3))):
+        net.p[name][at] += 0.01
+        up = total()
+        net.p[name][at] -= 0.02
+        down = total()
+        net.p[name][at] += 0.01
+        assert grad[name][at] == pytest.approx((up - down) / 0.02, abs=0.02)
+    hs[7, 4] += 0.01
+    up = total()
+    hs[7, 4] -= 0.02
+    assert dh[7, 4] == pytest.approx((up - total()) / 0.02, abs=0.02)
+
+
+def test_training_by_windows_equals_one_window():
+    """Carried states and gradients: a network trained in windows learns a period that spans them."""
+    words = [str(i).encode() for i in range(8)]
+    v = language_model.Vocabulary(words, np.full(8, 100.0), 800, 8, {})
+    net = language_model.Network(v)
+    docs = [np.arange(i, i + 400, dtype="int32") % 8 for i in range(8)]
+    before = net.score(docs, v).sum()
+    moments = {}
+    for _ in range(20):
+        net.train(docs, v, 0.01, moments)
+    assert net.score(docs, v).sum() > 0.2 * before
