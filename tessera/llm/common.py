@@ -17,28 +17,47 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 _own_folder: str | None = None
+_open: list = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test) a temporary folder is made.
+    Only where that setting is absent a temporary folder is made, and only for a local session: the
+    executors of a cluster would not see it.
     """
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_folder
 
 
+def discard_since(n: int, *keep: Scratch) -> None:
+    """Deletes the tables of all scratch folders opened after the first ``n``, but those to ``keep``:
+    what the steps since then wrote, once the result that they led to is written."""
+    for scratch in [s for s in _open[n:] if s not in keep]:
+        scratch.discard()
+        _open.remove(scratch)
+
+
+def opened() -> int:
+    """The number of scratch folders opened so far."""
+    return len(_open)
+
+
 class Scratch:
     """Tables written to the shared folder and read again: cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.written: list[str] = []
+        _open.append(self)
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
@@ -50,6 +69,7 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(tag))
+        self.written.append(tag)
         return self.read(tag, df.schema)
 
     def read(self, tag: str, schema: T.StructType) -> DataFrame:
@@ -60,6 +80,12 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(tag))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.written = [t for t in self.written if t != tag]
+
+    def discard(self, *keep: str) -> None:
+        """Deletes all tables but those to ``keep``, which a result still reads."""
+        for tag in set(self.written) - set(keep):
+            self.drop(tag)
 
     def free_shuffles(self) -> None:
         """Lets Spark's cleaner remove shuffle files of plans that are no longer referenced."""
@@ -126,7 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    picked = picked.dropDuplicates(["doc_id"])
+    picked = picked.groupBy("doc_id").agg(F.min("label").alias("label"))  # a doc_id with both labels counts as 0
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     found = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()
     return [(r["text"], r["label"]) for r in found]
