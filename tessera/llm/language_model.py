@@ -18,6 +18,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +242,7 @@ class Network:
                 if fresh[t]:
                     h = h * ~new[t]
                 hs[t, :, :k] = h.T
-                after, z, r, n, hn = self.step(h, self.p["x"][inputs[t]])
+                after, z, r, n, hn = self.step(h, self.p["x"].take(inputs[t], axis=0))
                 kept.append((h, z, r, n, hn))
                 h = after if full[t] else np.where(on[t], after, h)
             live = on.ravel()
@@ -320,7 +321,7 @@ class Network:
                 if fresh[t]:
                     h = h * ~new[t]
                 hs[t, :, :HIDDEN] = h.T
-                h = self.step(h, self.p["x"][inputs[t]])[0]
+                h = self.step(h, self.p["x"].take(inputs[t], axis=0))[0]
             live = words.ravel() >= 0
             flat = words.ravel()[live]
             log_c, inner, _ = self.loss(hs.reshape(-1, HIDDEN + 1)[live], flat, v)
@@ -461,9 +462,8 @@ def learn_all(train: DataFrame, v: Vocabulary, net: Network, scratch: Scratch) -
 
 
 def numbers(v: Vocabulary, words: list[bytes]) -> np.ndarray:
-    tail = len(v.words)
-    get = v.number.get
-    return np.array([*(get(w, tail) for w in words), get(END, tail)], "int32")
+    """The words' numbers in the vocabulary and the end's; the number behind the last for all others."""
+    return np.fromiter(map(v.number.get, [*words, END], repeat(len(v.words))), "int32", len(words) + 1)
 
 
 _live: dict = {}
@@ -502,7 +502,7 @@ def score(docs: DataFrame, is_train, text_col: str = "text", scratch: Scratch |
             _live[key] = held.value
         v, net = _live[key]
         uid = TaskContext.get().partitionId() << 36
-        tail, get = len(v.words), v.number.get
+        tail = len(v.words)
         logs = np.append(np.log10(v.counts + SMOOTH), 0.0)
         for b in batches:
             texts = b.column(n_kept).to_pylist()
@@ -510,7 +510,7 @@ def score(docs: DataFrame, is_train, text_col: str = "text", scratch: Scratch |
             coded, rest_uid, rest_word, rest_n = [], [], [], []
             for i, data in enumerate(texts):
                 words = words_of(data or b"")
-                ids = np.array([get(w, tail) for w in words] + [get(END, tail)], "int32")
+                ids = numbers(v, words)
                 coded.append(ids)
                 far = np.flatnonzero(ids == tail)
                 if len(far):
