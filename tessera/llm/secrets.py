@@ -1,12 +1,13 @@
 """Secret scans: three patterns plus a randomness test battery, in DataFrame functions only.
 
 Candidates are long tokens of encoding characters with both letters and digits. For each the
-encoding (alphabet size k) is inferred and three tests are made: chi-squared uniformity over the
-alphabet, runs of digits against letters, and serial correlation. A candidate that the runs and
-serial tests call random gets the probability that ordinary text or numbers of its length would look
-as uniform (the chi-squared statistic under a non-central null that grows with the length, which
-makes it length-aware), and the false-discovery rate over all candidates is controlled by the
-Benjamini-Hochberg rule on a histogram of those probabilities, which has a fixed number of bins.
+encoding (alphabet size k) is inferred and three tests are made against ordinary text or numbers of
+its length: chi-squared uniformity over the alphabet (a non-central null that grows with the length),
+runs of digits against letters, and serial correlation (both by how much nearer to a random token the
+statistic is than text's, in standard errors). The three z values are combined by Stouffer's rule
+into one probability, which falls with the length, and the false-discovery rate over all candidates
+is controlled by the Benjamini-Hochberg rule on a histogram of those probabilities, which has a fixed
+number of bins. All steps are linear in the text's length.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 FDR = 0.1
 #: Sum of squared letter (or digit) frequencies times k, less one, for text or numbers over k signs.
 TEXT_EXCESS = {16: 0.6, 32: 1.08, 36: 1.34, 62: 3.0, 64: 3.16}
+#: Text changes between letters and digits so much less often than random tokens, and its codes correlate so much.
+TEXT_CHANGES, TEXT_SERIAL = 0.5, 0.3
+#: Matches whose places are summed up together.
+CHUNK = 256
 BINS_PER_DECADE, BINS = 20, 400
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
@@ -33,14 +38,16 @@ SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 def _matches(text: Column, pattern: str, group: int, rank: int, kind: str, least: int) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points, whose group is long enough.
 
-    A match's place follows from the lengths of the matches and of the pieces between them.
+    A match's place follows from the lengths of the matches and of the pieces between them; the
+    lengths are summed up in chunks, so that no array is copied once a match.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     parts = F.split(text, pattern, -1)
     sized = F.zip_with(F.zip_with(parts, whole, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m"))), tested, lambda a, g: F.struct(a["p"].alias("p"), a["m"].alias("m"), g.alias("g")))
     sized = F.filter(sized, lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,found:string>>").alias("out"))
+    fields = "start:int,end:int,rank:int,kind:string,found:string"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["p"]
@@ -48,9 +55,23 @@ def _matches(text: Column, pattern: str, group: int, rank: int, kind: str, least
         span = F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["m"].alias("found")))
         return F.struct(b.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(sized, start, step, lambda acc: acc["out"])
-    nothing = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,found:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(nothing)
+    def placed(all_sized: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_sized) - 1) / CHUNK).cast("int")), lambda g: F.slice(all_sized, g * CHUNK + 1, F.lit(CHUNK)))
+        return F.transform(chunks, lambda c: F.aggregate(c, start, step))
+
+    def shifted(chunks: Column) -> Column:
+        none = F.array().cast("array<int>")
+        ahead = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        move = lambda by: lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["found"].alias("found"))
+        return F.flatten(F.zip_with(chunks, ahead, lambda c, by: F.transform(c["out"], move(by))))
+
+    found = _with(_with(sized, placed), shifted)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<struct<{fields}>>"))
+
+
+def _with(value: Column, function) -> Column:
+    """``function`` of a value that is evaluated once, not at each of its uses in a lambda."""
+    return F.element_at(F.transform(F.array(value), function), 1)
 
 
 def _normal_below(z: Column) -> Column:
@@ -60,7 +81,8 @@ def _normal_below(z: Column) -> Column:
 
 
 def _battery(found: Column) -> Column:
-    """Array of candidates to an array of structs start, end, n, k, p."""
+    """Array of candidates to an array of structs start, end, n, k, p. Each step binds its values in a
+    struct, so that a token of any length is gone through a fixed number of times (once a sign)."""
 
     def named(x: Column) -> Column:
         body = x["found"]
@@ -68,43 +90,56 @@ def _battery(found: Column) -> Column:
             F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(body.rlike("^[A-Z2-7]+$"), 32)
             .when(body.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), 36).when(body.rlike("^[A-Za-z0-9]+$"), 62).otherwise(64)
         )
-        codes = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.ascii(F.substring(body, i, F.lit(1))))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.length(body).cast("double").alias("n"), k.cast("double").alias("k"), codes.alias("c"))
-
-    def counted(x: Column) -> Column:
-        c, n = x["c"], x["n"]
-        pairs = F.transform(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(1))), lambda v, i: F.struct(F.get(c, i).alias("a"), v.alias("b")))
-        squares = F.aggregate(F.array_distinct(c), F.lit(0.0), lambda acc, v: acc + F.pow(F.size(F.filter(c, lambda w: w == v)).cast("double"), F.lit(2.0)))
-        mean = F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v) / n
-        spread = F.aggregate(c, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-        together = F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + (v["a"] - mean) * (v["b"] - mean))
-        changes = F.size(F.filter(pairs, lambda v: (v["a"] < 58) != (v["b"] < 58))).cast("double")
-        digits = F.size(F.filter(c, lambda v: v.between(48, 57)))
+        signs = F.filter(F.split(body, ""), lambda c: c != "")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), body.alias("body"), F.length(body).cast("double").alias("n"), k.cast("double").alias("k"), signs.alias("signs"))
+
+    def coded(x: Column) -> Column:
+        codes = F.transform(x["signs"], lambda c: F.ascii(c).cast("double"))
+        counts = F.transform(F.array_distinct(x["signs"]), lambda c: x["n"] - F.length(F.replace(x["body"], c, F.lit(""))))
+        squares = F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v)
+        digits = F.length(F.regexp_replace(x["body"], "[^0-9]+", ""))
+        # every place where a digit follows another sign or the other way round starts a run
+        runs = F.regexp_count(x["body"], F.lit("[0-9]+|[^0-9]+")).cast("double")
+        total = F.aggregate(codes, F.lit(0.0), lambda acc, v: acc + v)
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), x["k"].alias("k"), (squares * x["k"] / n - n).alias("chi2"), changes.alias("changes"),
-            F.when(spread > 0, together / spread * F.sqrt(n)).otherwise(F.sqrt(n)).alias("serial"), ((digits > 0) & (digits < n)).alias("mixed"),
+            x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["k"].alias("k"), codes.alias("c"), (total / x["n"]).alias("mean"),
+            (squares * x["k"] / x["n"] - x["n"]).alias("chi2"), (runs - 1).alias("changes"), ((digits > 0) & (digits < x["n"])).alias("mixed"),
         )
 
+    def correlated(x: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("together"))
+
+        def step(acc: Column, v: Column) -> Column:
+            d = v - x["mean"]
+            return F.struct(d.alias("before"), (acc["spread"] + d * d).alias("spread"), (acc["together"] + acc["before"] * d).alias("together"))
+
+        sums = F.aggregate(x["c"], zero, step, lambda acc: F.when(acc["spread"] > 0, acc["together"] / acc["spread"]).otherwise(F.lit(1.0)))
+        return F.struct(*[x[f].alias(f) for f in ("start", "end", "n", "k", "chi2", "changes", "mixed")], sums.alias("serial"))
+
     def judged(x: Column) -> Column:
         n, k = x["n"], x["k"]
         excess = F.lit(TEXT_EXCESS[64])
         for size, value in TEXT_EXCESS.items():
             excess = F.when(k == size, F.lit(value)).otherwise(excess)
-        text_like = (x["chi2"] - (k - 1) - n * excess) / F.sqrt(2 * (k - 1 + 2 * n * excess))
-        uniform = (x["chi2"] - (k - 1)) / F.sqrt(2 * (k - 1))
+        uniformity = (x["chi2"] - (k - 1) - n * excess) / F.sqrt(2 * (k - 1 + 2 * n * excess))
         change = 2 * F.lit(10.0) / k * (1 - F.lit(10.0) / k)
-        runs = (x["changes"] - (n - 1) * change) / F.sqrt(F.greatest((n - 1) * change * (1 - change), F.lit(0.25)))
-        random = x["mixed"] & (uniform < 4) & (F.abs(runs) < 4) & (F.abs(x["serial"]) < 4)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), k.alias("k"), F.when(random, _normal_below(text_like)).otherwise(F.lit(1.0)).alias("p"))
+        expected = (n - 1) * change
+        runs = (F.abs(x["changes"] - expected) - (1 - TEXT_CHANGES) * expected) / F.sqrt(F.greatest(expected * (1 - change), F.lit(0.25)))
+        serial = (F.abs(x["serial"]) - TEXT_SERIAL) * F.sqrt(n)
+        p = _normal_below((uniformity + runs + serial) / 3.0**0.5)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), k.alias("k"), F.when(x["mixed"], p).otherwise(F.lit(1.0)).alias("p"))
 
-    return F.transform(F.transform(F.transform(found, named), counted), judged)
+    for step in (named, coded, correlated, judged):
+        found = F.transform(found, step)
+    return found
 
 
 def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` without the text, with ``base`` and ``added``: arrays of (start, end, rank, kind).
 
-    Null texts count as empty: no spans. Equal texts get equal spans. Columns named base or added are
-    replaced. Added spans have kind "random" and do not overlap base spans.
+    Null texts count as empty: no spans; very long texts and tokens take time in proportion to their
+    length; an empty table stays empty. Equal texts and repeated rows get equal spans. Columns named
+    base or added are replaced. Added spans have kind "random" and do not overlap base spans.
     """
     scratch = scratch or Scratch(docs.sparkSession, "secrets")
     kept = [c for c in docs.columns if c not in (text_col, "base", "added")]
