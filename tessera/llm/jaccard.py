@@ -1,10 +1,11 @@
 """Exact Jaccard join of word-shingle sets with a token-group matrix.
 
-Documents with one word sequence collapse to a representative. Each set's prefix tokens, rarest
-first, are enough to meet every partner at the threshold. Similar documents form groups of bounded
-size; the matrix holds, for each token, the groups whose token union has it, with the range of
-their set sizes, which bounds the overlap that a query can have with any member. Only groups that
-qualify are opened and their members verified exactly.
+Documents with one word sequence collapse to a representative. Each set's prefix, its rarest tokens,
+holds at least SHARE tokens of every partner at the threshold (fewer where a smaller overlap is
+enough to link). Similar documents of like size form groups of bounded size; the matrix holds the
+token union of each group's prefixes, with the range of their set sizes. The tokens that a query
+group's union shares with another's bound the overlap of their members; only groups that reach the
+least overlap at which a member could link are opened, and their members verified exactly.
 
 Links are only needed between components: in each round the documents of a token's bucket are
 compared with one leader (a star, not all pairs); after that, whole groups of the query's own
@@ -13,6 +14,7 @@ component are skipped, so a large family of copies is not compared pair by pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ SHINGLE = 4
 PERCENT = 85
 GROUP = 32
 ROUNDS = 2
+#: Tokens that the prefixes of two linked sets share at least.
+SHARE = 3
 #: Frequent shingles that the token order knows; a bound, as any fixed order gives the same links.
 FREQUENT = 300_000
 #: Shingle hashes that a task counts at once.
@@ -106,8 +110,14 @@ def _hash_group(texts: list[bytes], size: int) -> Iterator[tuple[int, int, np.nd
         yield int(n[i]), int(sequence[i]), found
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+def prefix_length(n: int, percent: int, share: int = 1) -> int:
+    """Tokens of a set of n that hold ``share`` tokens of every set that it links with.
+
+    Linked sets have ceil(percent * n / 100) tokens in common at least; where that is fewer than
+    ``share``, the prefix is the whole set and holds that many.
+    """
+    common = -(-percent * n // 100)
+    return n - common + min(share, common) if n else 0
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -178,7 +188,8 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
         yield out()
 
     texts = docs.select(F.col("text").cast("binary").alias("text")).where("text is not null")
-    counts = Scratch(docs.sparkSession, "frequent").write(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    scratch = Scratch(docs.sparkSession, "frequent")
+    counts = scratch.write(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     bins = counts.groupBy(F.floor(F.log2("n") * 32).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect()
     least, held = None, 0
     for r in bins:  # a bounded number of bins
@@ -187,8 +198,10 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
             break
         least = r["n"]
     if least is None:
+        scratch.discard()
         return np.zeros((0, 2), "int64")
     top = counts.where(F.col("n") >= least).toArrow()
+    scratch.discard()
     rows = np.stack([top.column("h").to_numpy(), top.column("n").to_numpy()], 1)
     return rows[np.argsort(rows[:, 0])]
 
@@ -203,16 +216,17 @@ def _by_token(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, k, n, prefix, bits): k is the hash of the word sequence (null without words), n the set's
-    size, prefix its rarest tokens, bits its parity bitmap."""
+    """``docs`` without the text, with k, n, prefix, one, bits: k is the hash of the word sequence (null
+    without words), n the set's size, prefix its rarest tokens, the first ``one`` of which are enough to
+    share one with every partner, bits its parity bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[bytes]) -> dict:
         known, often = np.ascontiguousarray(held.value[:, 0]), np.ascontiguousarray(held.value[:, 1])
-        keys, sizes, prefixes, bits = [], [], [], []
+        keys, sizes, prefixes, ones, bits = [], [], [], [], []
         for n_words, sequence, tokens in hashed(texts, size):
             bits.append(parity(tokens))
-            m = prefix_length(len(tokens), percent)
+            m = prefix_length(len(tokens), percent, SHARE)
             if len(known) and len(tokens):
                 place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 rank = np.where(known[place] == tokens, often[place], 0)
@@ -221,11 +235,13 @@ def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
             keys.append(sequence if n_words else None)
             sizes.append(len(tokens))
             prefixes.append(tokens[:m])
+            ones.append(prefix_length(len(tokens), percent))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype("int32")
-        return {"k": keys, "n": sizes, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, "int64")]))), "bits": bits}
+        return {"k": keys, "n": sizes, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, "int64")]))), "one": ones, "bits": bits}
 
-    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType()), "bits": T.BinaryType()}
-    return map_texts(docs.select("doc_id", F.col("text").cast("binary").alias("__b")), run, fields, "__b", keep=["doc_id"])
+    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType()), "one": T.IntegerType(), "bits": T.BinaryType()}
+    rest = [c for c in docs.columns if c != "text"]
+    return map_texts(docs.select(*rest, F.col("text").cast("binary").alias("__b")), run, fields, "__b", keep=rest)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -304,20 +320,22 @@ def _compatible(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``; exact but for collisions of
-    64-bit hashes.
+    64-bit hashes. With ``keys``, columns that are kept, also ``component``: a number of its own for each
+    component, null without words (component_id may be that of two where rows repeat a doc_id).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is
     the smallest doc_id reachable by links, itself included. Null, empty and wordless texts have
-    empty sets and link with nothing. Repeated rows and ids each get a row; a null doc_id never
-    becomes a component_id unless its component has no other. Other columns are ignored.
+    empty sets and link with nothing; very long texts are hashed whole; an empty table gives no rows.
+    Repeated rows and ids each get a row; a null doc_id never becomes a component_id unless its
+    component has no other. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", F.col(text_col).alias("text"))
+    docs = docs.select("doc_id", *keys, F.col(text_col).alias("text"))
     base = scratch.write(_base(docs, _frequent(docs, size), size, percent), "base")
-    tokens = base.select("k", F.explode("prefix").alias("t"))
+    tokens = base.select("k", F.explode(F.slice("prefix", F.lit(1), F.col("one"))).alias("t"))
     # tokens of two representatives or more, each with one as its leader; copies count once in min and max
     buckets = scratch.write(tokens.groupBy("t").agg(F.min("k").alias("lk"), F.max("k").alias("uk"), F.count(F.lit(1)).alias("nb")).where("lk < uk").select("t", "lk", "nb"), "buckets")
     scratch.free_shuffles()
@@ -362,7 +380,7 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
         if turn <= ROUNDS:
             pairs = rows.where((F.col("c") != F.col("lc")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b"))
         else:
-            pairs = _open_groups(rows, members, scratch, percent)
+            pairs = _open_groups(rows, members, base, scratch, percent)
         pairs = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
         if not pairs.limit(1).count():
             continue
@@ -376,35 +394,47 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
         nodes = labels.unionByName(merged.select(F.col("c").alias("k"), F.col("c")).join(labels.select("k"), "k", "left_anti"))
         labels = scratch.write(nodes.join(merged, "c", "left").select("k", F.coalesce("cc", "c").alias("c")), f"labels-{turn}")
 
-    named = reps.select("k", "doc").join(labels, "k", "left").select("k", "doc", F.coalesce("c", "k").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("doc").alias("component"))
-    named = scratch.write(named.join(smallest, "c").select("k", "component"), "named")
-    out = base.select("doc_id", "k", F.col("n").alias("n_shingles")).join(named, "k", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labelled = reps.select("k", "doc").join(labels, "k", "left").select("k", "doc", F.coalesce("c", "k").alias("c"))
+    smallest = labelled.groupBy("c").agg(F.min("doc").alias("smallest"))
+    named = scratch.write(labelled.join(smallest, "c").select("k", "c", "smallest"), "named")
+    scratch.discard("base", "named")
+    out = base.select("doc_id", *keys, "k", F.col("n").alias("n_shingles")).join(named, "k", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), *keys, *([F.col("c").alias("component")] if keys else []))
 
 
-def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs of queries and members of the groups that the token-group matrix lets through, as far
     as sizes and bitmaps allow a link.
 
-    A group holds GROUP documents or so, of one component where that is larger than one document. The
-    matrix row of a token and a group has the range of its members' sizes and components; a query
-    opens a group whose union shares a token with it, whose sizes allow the overlap, and that is not
-    wholly in the query's component.
+    A group holds GROUP documents or so of one size band, of one component where that is larger than one
+    document. The matrix row of a token and a group says that the group's union has the token, with the
+    range of sizes and components of the members with it. Queries are asked by group too: the tokens
+    that two unions share, where sizes and components allow a link, are an upper bound for the prefix
+    tokens that any two of their members share, so a pair of groups is opened only where there are
+    SHARE of them (or as many as the smallest overlap of the groups' sizes). The unions are joined by
+    token and size band, so a token that very many groups have is split by their sizes.
     """
-    held = rows.select("k", "n", "c").distinct().join(members.select("k", "g"), "k")
+    common = lambda n: F.ceil(n * percent / 100)
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")  # linked sizes are in one band or in neighbours
+    held = rows.select("k", "n", "c").distinct().join(members.select("k", "g"), "k").withColumn("band", band)
     sizes = held.groupBy("c").agg(F.count(F.lit(1)).alias("nc"))
     held = held.join(sizes, "c").withColumn("of", F.when(F.col("nc") > 1, F.col("c")).otherwise(F.col("g")))
-    counts = held.groupBy("of").agg(F.count(F.lit(1)).alias("no"))
-    held = held.join(counts, "of").withColumn("gid", F.xxhash64("of", F.pmod(F.xxhash64("k"), F.ceil(F.col("no") / GROUP))))
-    held = scratch.write(held.select("k", "n", "c", "gid"), "groups")
-    matrix = rows.select("t", "k").join(held, "k").groupBy("t", "gid").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    counts = held.groupBy("of", "band").agg(F.count(F.lit(1)).alias("no"))
+    held = held.join(counts, ["of", "band"]).withColumn("gid", F.xxhash64("of", "band", F.pmod(F.xxhash64("k"), F.ceil(F.col("no") / GROUP))))
+    held = scratch.write(held.select("k", "n", "c", "band", "gid"), "groups")
+    unions = base.select("k", "prefix").join(held, "k").groupBy("k").agg(F.first("prefix").alias("prefix"), F.first(F.struct("n", "c", "band", "gid")).alias("x")).select(F.explode("prefix").alias("t"), "x.*")
+    matrix = unions.groupBy("t", "gid", "band").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    least = held.groupBy("gid").agg(F.min("n").alias("least"))
     matrix = scratch.write(matrix, "matrix")
-    # queries are asked by group too: a pair of groups is opened where tokens, sizes and components allow a link
+    twice = matrix.withColumn("key", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     bound = F.least(F.col("p.n1"), F.col("m.n1")) * 100 >= F.greatest(F.col("p.n0"), F.col("m.n0")) * percent
     other = (F.col("p.c0") != F.col("p.c1")) | (F.col("m.c0") != F.col("m.c1")) | (F.col("p.c0") != F.col("m.c0"))
-    opened = matrix.alias("p").join(matrix.alias("m"), (F.col("p.t") == F.col("m.t")) & (F.col("p.gid") <= F.col("m.gid")) & bound & other)
-    opened = scratch.write(opened.select(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).distinct(), "opened")
+    once = (F.col("p.band") != F.col("m.band")) | (F.col("p.gid") <= F.col("m.gid"))
+    met = matrix.alias("p").join(twice.alias("m"), (F.col("p.t") == F.col("m.t")) & (F.col("p.band") == F.col("m.key")) & once & bound & other)
+    met = met.groupBy(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).agg(F.count(F.lit(1)).alias("shared"))
+    l1, l2 = (least.select(F.col("gid").alias(f"g{i}"), F.col("least").alias(f"l{i}")) for i in (1, 2))
+    enough = F.col("shared") >= F.least(F.lit(SHARE), common(F.col("l1")), common(F.col("l2")))
+    opened = scratch.write(met.join(l1, "g1").join(l2, "g2").where(enough).select("g1", "g2"), "opened")
     inside = held.join(members.select("k", "bits"), "k").groupBy("gid").agg(F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"))  # GROUP documents or so
     inside = scratch.write(inside, "inside")
     one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.col("inside").alias(f"i{i}")) for i in (1, 2))
@@ -435,14 +465,18 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of five-word shingles at 0.8 the row with the smallest doc_id.
 
-    Documents without words link with nothing and stay. Of rows that repeat a kept doc_id one stays
-    for each distinct text that is kept, the smallest by hash."""
+    Documents without words (null, empty and blank texts) link with nothing and all stay. Of rows that
+    repeat both doc_id and text one stays; rows that repeat a doc_id with another, unlinked text are
+    documents of their own. A null doc_id is kept only where its component has no other."""
     from pyspark.sql import Window
 
     small_batches(spark, 500, "4m")
     scratch = Scratch(spark, "keep")
-    found = join(docs, size=5, percent=80, scratch=scratch)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d"), F.col("n_shingles").alias("__n")).groupBy("__d").agg(F.max("__n").alias("__n"))
-    rows = docs.withColumn("__h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("__d")))
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__h"))).orderBy("__h")
-    return rows.withColumn("__r", F.row_number().over(one)).where("__r = 1").select(*docs.columns)
+    keys = {"__k1": F.xxhash64("doc_id", "text"), "__k2": F.hash("text", "doc_id")}  # of the row, neither is null
+    found = join(docs.withColumns(keys), size=5, percent=80, scratch=scratch, keys=tuple(keys))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("first")
+    best = found.where("component is not null").groupBy("component").agg(first).select(*[F.col(f"first.{k}").alias(k) for k in keys])
+    alone = found.where("component is null").select(*keys).distinct()
+    rows = docs.withColumns(keys).join(best.withColumn("__worded", F.lit(True)).unionByName(alone.withColumn("__worded", F.lit(False))), list(keys))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return rows.withColumn("__r", F.when(F.col("__worded"), nth).otherwise(1)).where("__r = 1").select(*docs.columns)
