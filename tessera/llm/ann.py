@@ -2,8 +2,9 @@
 
 The tree is fitted on a bounded sample; every vector is put into its leaf. A query walks the tree
 best-bin-first through a priority queue; the number of leaves it opens is widened until calibration
-queries, compared with brute force over all vectors, reach the wanted recall. Leaves are cut into
-tiles of bounded size, so that a leaf with very many vectors or queries is spread over tasks.
+queries, compared with brute force over all vectors, reach the wanted recall, and further for each
+query until its leaves hold k other vectors. Leaves are cut into tiles of bounded size, so that a leaf
+with very many vectors or queries is spread over tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 
 from .common import Scratch, small_batches, table
 
-SAMPLE = 20_000
+#: Vectors that the tree is fitted on at most, and their bytes.
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 BRANCH = 8
 LEAF_SAMPLE = 40
 MAX_LEAVES = 1024
@@ -28,6 +30,8 @@ CALIBRATION = 64
 RECALL = 0.985
 TILE = 2048
 K = 10
+#: Components beyond this are cut for the tree alone, whose squares they would exceed; distances are exact.
+MOST = 1e100
 
 
 class Tree:
@@ -79,14 +83,16 @@ class Tree:
             stack += [(kid, rows[of == j]) for j, kid in enumerate(kids)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first walk: always the nearest open bin next."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, always the nearest open bin next, and as
+        many more as it takes to have ``need`` vectors, where leaf i holds ``held[i]``."""
+        queue, out, have = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or have < need):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf[node])
+                have += 0 if held is None else int(held[self.leaf[node]])
                 continue
             for d, kid in zip(((self.centres[kids] - q) ** 2).sum(1).tolist(), kids, strict=True):
                 heapq.heappush(queue, (d, kid))
@@ -97,7 +103,12 @@ def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     """(query id, vector id, distance) of each query's k nearest of x, ties to the smaller id.
 
     A matrix product selects all rows that could be among them; their distances are computed plainly.
+    Where squares would leave the range of a double, all distances are, on scaled components.
     """
+    scale = max((float(np.abs(v).max(initial=0.0)) for v in (queries, x)), default=0.0)
+    least = min((float(np.abs(v).max(axis=1).min(initial=np.inf)) for v in (queries, x) if len(v)), default=1.0)
+    if scale > MOST or least < 1 / MOST:
+        return _nearest_scaled(queries, q_ids, x, ids, k)
     rough = (queries**2).sum(1)[:, None] - 2 * queries @ x.T + (x**2).sum(1)[None, :]
     rough[q_ids[:, None] == ids[None, :]] = np.inf
     out_q, out_v, out_d = [], [], []
@@ -109,7 +120,7 @@ def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
         else:
             picked = np.arange(len(row))
         picked = picked[np.isfinite(row[picked])]
-        d = np.sqrt(((x[picked] - queries[i]) ** 2).sum(1))
+        d = np.sqrt(np.ascontiguousarray(((x[picked] - queries[i]) ** 2).T).sum(0))  # component by component, in order
         order = np.lexsort((ids[picked], d))[:k]
         out_q.append(np.full(len(order), q_ids[i]))
         out_v.append(ids[picked][order])
@@ -119,6 +130,22 @@ def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_d)
 
 
+def _nearest_scaled(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    out: list[list[np.ndarray]] = [[], [], []]
+    for q, own in zip(queries, q_ids, strict=True):
+        other = np.flatnonzero(ids != own)
+        with np.errstate(over="ignore"):
+            gap = np.abs(x[other] / 2 - q / 2)  # halves, as a difference may exceed the range itself
+            most = gap.max(axis=1, initial=0.0)
+            d = 2 * most * np.sqrt(((gap / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(1))
+        order = np.lexsort((ids[other], d))[:k]
+        for kept, value in zip(out, (np.full(len(order), own), ids[other][order], d[order]), strict=True):
+            kept.append(value)
+    if not len(queries):
+        return np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+    return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): rows with an id and a vector of finite components, not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -131,38 +158,45 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     nearest other rows by Euclidean distance, ties to the smaller id; all others, if there are fewer.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-    without an id or whose vector has another length than most of the sample. Rows that repeat an id
-    count once, with their smallest distance. An empty table gives no rows.
+    without an id or whose vector has another length than most (the shorter of two as common). Rows that
+    repeat an id count once, with their smallest distance. An empty table gives no rows. Other columns
+    are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
     rows = usable(vectors, id_col, vector_col)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect()
-    if not sample:
+    common = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    if common is None:
         return empty
-    sizes = pd.Series([len(r["v"]) for r in sample])
-    dim = int(sizes.mode().iloc[0])
-    tree = Tree(np.array([r["v"] for r in sample if len(r["v"]) == dim]))
+    dim = common["dim"]
+    rows = rows.where(F.size("v") == dim)
+    bound = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    sample = rows.orderBy(F.xxhash64("id", "v")).limit(bound).select("v").toArrow().column("v").combine_chunks()
+    tree = Tree(_cut(_matrix(sample, dim)))
     held = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("leaf", T.IntegerType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held.value.assign(x))], names=["id", "v", "leaf"])
-
-    index = scratch.write(rows.where(F.size("v") == dim).mapInArrow(assign, schema), "index")
-    per_leaf = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a leaf
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held.value.assign(_cut(x)))], names=["id", "v", "leaf"])
+
+    index = scratch.write(rows.mapInArrow(assign, schema), "index")
+    leaves = index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).collect()  # one row a leaf
+    per_leaf = {r["leaf"]: r["n"] for r in leaves}
+    sizes = np.zeros(tree.n_leaves, "int64")
+    for r in leaves:
+        sizes[r["leaf"]] = r["ids"]
+    # an id in several leaves counts once among a query's neighbours, and its own row does not count
+    again = int(sizes.sum()) - index.select("id").distinct().count()
     queries = index.where(is_query).select("id", "v")
-    visits = _calibrate(spark, index, queries, tree, dim, k, recall)
-    few = sum(per_leaf.values()) < 4 * k  # then every leaf is opened, for all candidates
-    most = tree.n_leaves if few else visits
+    most = _calibrate(spark, index, queries, tree, dim, k, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), dim)
-            found = [held.value.visit(q, most) for q in x]
+            found = [held.value.visit(q, most, sizes, k + 1 + again) for q in _cut(x)]
             row = np.repeat(np.arange(len(x)), [len(f) for f in found])
             leaf = np.array([i for f in found for i in f], "int32")
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(leaf)], names=["id", "v", "leaf"])
@@ -184,6 +218,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return pd.DataFrame({n: np.concatenate([p[j] for p in parts]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    # each tile gives k rows a query at most
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -193,6 +228,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _cut(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -MOST, MOST)
+
+
 def _calibrate(spark: SparkSession, index: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float) -> int:
     """The least number of leaf visits at which CALIBRATION queries find ``recall`` of their true
     neighbours, which brute force over all vectors gives."""
@@ -210,7 +249,7 @@ def _calibrate(spark: SparkSession, index: DataFrame, queries: DataFrame, tree:
 
     near = index.mapInArrow(brute, "query_id long, vec_id long, score double, leaf int")
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).collect()  # k rows a calibration query
-    order = {int(i): {leaf: n + 1 for n, leaf in enumerate(tree.visit(q, tree.n_leaves))} for i, q in zip(ids, x, strict=True)}
+    order = {int(i): {leaf: n + 1 for n, leaf in enumerate(tree.visit(q, tree.n_leaves))} for i, q in zip(ids, _cut(x), strict=True)}
     needed = sorted(order[r["query_id"]][r["leaf"]] for r in best)
     visits = 1
     while needed and visits < tree.n_leaves and sum(n <= visits for n in needed) < recall * len(needed):
