@@ -82,20 +82,21 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text_col: str = "text", seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words that the mix takes, repeats counted).
-
-    Null source is a source of its own; null or empty texts have size 0 and nothing is taken of them;
-    an empty table stays empty; equal rows are interchangeable, so reruns give the same rows. Columns
-    with the names of added ones are replaced; names starting with two underscores are reserved.
+    """``docs`` without the text, with size, source_size, target and taken (words that the mix takes,
+    repeats counted).
+
+    Null source is a source of its own; null or empty texts have size 0 and nothing is taken of them; a
+    very long text spans many blocks; an empty table stays empty; equal rows are interchangeable, so
+    reruns give the same rows. Columns with the names of added ones are replaced; names starting with
+    two underscores are reserved. The sources, one row each, are apportioned in one task, and so are the
+    shards of a source.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
     added = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in added and c != text_col]
-    sized = docs.select(*kept, F.col(text_col), n_words(F.col(text_col)).alias("size"))
-    sized = sized.withColumn("__h", F.xxhash64(F.col("doc_id"), F.col(text_col), F.lit(seed)))
-    extra = [text_col] if text_col in docs.columns and len(kept) > 2 else []
-    rows = scratch.write(sized.select(*kept, *extra, "size", "__h"), "sized")
+    hashed = F.xxhash64(F.col("doc_id"), F.col(text_col), F.lit(seed))
+    rows = scratch.write(docs.select(*kept, n_words(F.col(text_col)).alias("size"), hashed.alias("__h")), "sized")
 
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources)
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, text_col: str = "text", seed: int = SEED, scratch: Scra
 
     rounds = F.floor(F.col("picks") / F.col("n")).cast("long")
     taken = rounds * F.col("size") + chosen(F.col("__to")) - chosen(F.col("__to") - F.col("size"))
-    return lined.select(*kept, *extra, "size", "source_size", "target", F.least(taken, CAP * F.col("size")).cast("long").alias("taken"))
+    return lined.select(*kept, "size", "source_size", "target", F.least(taken, CAP * F.col("size")).cast("long").alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +140,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with ``__copies``: how often each whole document is taken so that a source's words meet its target.
+    """``docs`` with ``__copies`` (columns of any other names are kept as they are): how often each whole document is taken so that a source's words meet its target.
 
     Documents of one size are alike to the target, so copies are given to the sizes of a source, longest
     first: each size gets what its words and what was left over so far come to, rounded to documents, and
@@ -148,7 +149,7 @@ def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, s
     documents where these can take up the rest. Within a size a seeded systematic selection deals the copies out.
     """
     scratch = scratch or Scratch(docs.sparkSession, "whole")
-    rows = docs.withColumns({"__size": n_words(F.col(text_col)), "__h": F.xxhash64(F.col("doc_id"), F.col(text_col), F.lit(seed))})
+    rows = docs.select(F.struct("*").alias("__row"), "source", "doc_id", n_words(F.col(text_col)).alias("__size"), F.xxhash64(F.col("doc_id"), F.col(text_col), F.lit(seed)).alias("__h"))
     rows = scratch.write(rows, "sized")
     counts = scratch.write(rows.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     goals = targets(counts.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")))
@@ -180,10 +181,13 @@ def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, s
     offset = F.pmod(F.xxhash64("source", "__size", F.lit(seed + 1)), F.col("n"))
     upto = lambda i: F.floor((i * F.col("picks") + offset) / F.col("n"))
     lined = lined.withColumn("__at", at)
-    return lined.select(*docs.columns, (upto(F.col("__at")) - upto(F.col("__at") - 1)).cast("int").alias("__copies"))
+    return lined.select("__row.*", (upto(F.col("__at")) - upto(F.col("__at") - 1)).cast("int").alias("__copies"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: whole documents, repeated or left out so that each source meets its target."""
+    """Pipeline stage: whole documents, repeated or left out so that each source meets its target.
+
+    Documents without words take no part in the mix and go. A null source is a source of its own; an
+    empty table stays empty; all columns are kept, whatever their names."""
     rows = whole_documents(docs)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies")))).where(F.col("__copy") > 0).select(*docs.columns)
