@@ -8,6 +8,7 @@ whole document can be removed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,28 +77,29 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about BLOCK_BYTES, each collected on its own."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about BLOCK_BYTES, one after another, so that the driver holds one at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
-    blocks = [rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
-    return [[(r["item_id"], bytes(r["text"])) for r in b.collect()] for b in blocks]
+    for i in range(n):
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        yield [(r["item_id"], bytes(r["text"])) for r in block.collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, clean: bool = False) -> DataFrame:
     """``docs`` with n_words, hit_words (array of word positions), items (sorted ids as text) and, on
     request, clean_text: the text without its hit words, unchanged where nothing is hit.
 
-    Null texts have no words. Items that are null or have no words match nothing. Items with equal
-    texts are all reported. Columns with the names of added ones are replaced.
+    Null texts have no words; very long ones are scanned whole; an empty table stays empty. Items that
+    are null or have no words match nothing. Items with equal texts are all reported, repeated rows each
+    get the same result. Columns with the names of added ones are replaced.
     """
     spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    out = docs
     fields = {"n_words": T.LongType(), "hit_words": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
-    passes = _blocks(benchmark) or [[]]
-    for i, items in enumerate(passes):
-        held = spark.sparkContext.broadcast(items)
+    for i, items in enumerate(_blocks(benchmark)):
+        held = spark.sparkContext.broadcast(items)  # BLOCK_BYTES or so, kept in a file and not in the driver's memory
         cache: dict = {}
 
         def run(texts: list[bytes], held=held, cache=cache) -> dict:
@@ -117,6 +119,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
         out = map_texts(out.withColumn("__bytes", F.col(text_col).cast("binary")), run, fields, "__bytes", keep=[c for c in out.columns])
         if before is not None:
             out = out.withColumns({"hit_words": F.array_distinct(F.concat("__hits", "hit_words")), "items": F.array_sort(F.array_distinct(F.concat("__items", "items")))}).drop("__hits", "__items")
+    if out is docs:  # no items: the words are still counted
+        count = lambda texts: {"n_words": [len(words_of(t)) for t in texts], "hit_words": [[] for _ in texts], "items": [[] for _ in texts]}
+        out = map_texts(docs.withColumn("__bytes", F.col(text_col).cast("binary")), count, fields, "__bytes", keep=docs.columns)
     return out.withColumn("clean_text", without_words(F.col(text_col), F.col("hit_words"))) if clean else out
 
 
@@ -152,7 +157,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark window, with their columns."""
+    """Pipeline stage: documents that hold no benchmark window, with their columns, whatever their names.
+
+    Null and empty texts hold none and stay; an empty table stays empty."""
     small_batches(spark)
-    rows = scan(docs, table(spark, sf_dir, "benchmark"))
-    return rows.where(F.size("hit_words") == 0).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__t"))
+    return scan(packed, table(spark, sf_dir, "benchmark"), "__t").where(F.size("hit_words") == 0).select("__row.*")
