@@ -6,6 +6,7 @@ documents by the row groups' and pages' doc_id bounds and read single columns.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,6 +25,9 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 450_000
 GROUP_CHARS = 2_000_000
+#: Bytes of input files for each range of doc_ids, about.
+PART_BYTES = 256 << 20
+MOST_PARTS = 1_000_000
 #: Row groups and pages are small enough for selective reads; Spark's writer adds page indexes by itself.
 LAYOUT = {
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
@@ -42,9 +46,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes texts word by word with a cache.
+    """Encodes texts word by word with a cache, or plainly where the tokenizer is of another kind.
 
-    The tokenizer splits at white space before it merges and drops it, so a text's ids are those of
+    A tokenizer of lower-cased words with word ends splits at white space before it merges and drops it, so a text's ids are those of
     its space-separated pieces, one after another. New pieces are encoded together, with a special
     token between them that marks where each ends. The first CACHE pieces are kept; later ones are
     encoded for the texts at hand only, which bounds memory.
@@ -58,6 +62,8 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.specials[0] if self.specials else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
+        self.by_words = _by_words(json.loads(self.tokenizer.to_str()))
+        self.end_id = end_id
         self.number: dict[str, int] = {}
         self.flat, self.lengths = np.array([end_id], "int32"), np.array([1], "int64")
 
@@ -88,6 +94,9 @@ class Encoder:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_words:
+            found = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for f in found for i in f], "int32"), np.array([len(f) for f in found], "int64")
         pieces: list[str] = []
         ends = []
         for text in texts:
@@ -113,6 +122,15 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], last]))
 
 
+def _by_words(config: dict) -> bool:
+    """Whether a tokenizer folds white space and case first and merges within words, so that a text's
+    ids are those of its space-separated pieces."""
+    folds = {json.dumps(n, sort_keys=True) for n in (config["normalizer"] or {}).get("normalizers", [])}
+    spaces = json.dumps({"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, sort_keys=True)
+    splits = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    return spaces in folds and json.dumps({"type": "Lowercase"}) in folds and config["model"].get("end_of_word_suffix") == "</w>" and splits[0].get("behavior") == "Removed"
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -139,13 +157,18 @@ def write_ids(docs: DataFrame, scratch: Scratch, tag: str = "ids", vocabulary: s
     """Writes ids in ascending doc_id order and returns the files' rows: doc_id, part (range of
     doc_ids, in order), local_start (ids before it in its part), n_tokens, ids.
 
-    Null texts count as empty and give the end id alone; null doc_ids come first; equal doc_ids are
-    ordered by their texts; an empty table gives files without rows. ``keep`` keeps all other columns.
+    Null texts count as empty and give the end id alone; very long ones are encoded whole; null doc_ids
+    come first; equal doc_ids are ordered by their texts; an empty table gives files without rows. ``keep``
+    keeps all other columns but those with the names of added ones. There is a part for each PART_BYTES
+    of input, spark.sql.shuffle.partitions at least.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if keep and c not in SCHEMA.names]
     rows = docs.select(*rest, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size < 1 << 58:  # Spark gives a size near the largest number to inputs other than files
+        n = max(n, min(-(-size // PART_BYTES), MOST_PARTS))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("__t")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("__t"), "__t")
     path = vocabulary_path(vocabulary)
     schema = T.StructType([*rows.schema.fields[: len(rest)], *SCHEMA.fields])
@@ -178,12 +201,12 @@ def with_starts(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     ahead = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
-    # One row for each write partition: a bound that is fixed by spark.sql.shuffle.partitions.
+    # One row for each write partition, MOST_PARTS at most.
     return (files if rows is None else rows).join(F.broadcast(sums), "part").withColumn("start", F.col("__ahead") + F.col("local_start")).drop("__ahead")
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """doc_id, part, local_start, n_tokens and ids_crc32, from the ids that the files hold."""
+    """doc_id, part, local_start, n_tokens and ids_crc32 (of each row), from the ids that the files hold."""
     schema = T.StructType([*SCHEMA.fields[:4], T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +230,14 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_table(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the columns of documents but the text, with start, n_tokens and ids."""
+    """Pipeline stage, the last: the columns of documents but the text, with start, n_tokens and ids.
+
+    Columns that have the names of these three are replaced; all others are kept. Null and empty texts
+    give the end id alone; an empty table stays empty."""
     small_batches(spark)
     scratch = Scratch(spark, "tokens")
-    files = write_ids(docs, scratch, keep=True)
-    return with_starts(files).select(*[c for c in docs.columns if c != "text"], "start", "n_tokens", "ids")
+    clash = {c: f"__own_{c}" for c in ("part", "local_start") if c in docs.columns}  # names that the files use themselves
+    rest = [c for c in docs.columns if c not in ("text", "start", "n_tokens", "ids")]
+    files = write_ids(docs.select(*rest, "text").withColumnsRenamed(clash), scratch, keep=True)
+    rows = with_starts(files).drop(*clash).withColumnsRenamed({v: k for k, v in clash.items()})
+    return rows.select(*rest, "start", "n_tokens", "ids")
