@@ -2,7 +2,9 @@
 
 Sparse features of a text (its words and their beginnings) share one weight vector across the
 ordered thresholds; the output is the expected severity grade. The labels only say toxic or not;
-toxic training rows are graded 1 to 3 by how many indicative words they hold, in thirds.
+toxic training rows are graded 1 to 3 by how many indicative words they hold, in thirds. Those words
+are among the model's features too, so the grades above 0 are the model's own scale and not a
+judgement of its own; the labels alone decide between grade 0 and the others.
 """
 
 from __future__ import annotations
@@ -163,7 +165,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model does not reject, with their columns."""
+    """Pipeline stage: documents that the model does not reject, with their columns, whatever their names.
+
+    Null and empty texts have no toxic words and stay; an empty table stays empty; so do all documents
+    where no labels tell the classes apart."""
     small_batches(spark)
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs.withColumns({"__t": F.col("text")}), model, "__t").where(~F.col("rejected")).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__t"))
+    return score(packed, model, "__t").where(~F.col("rejected")).select("__row.*")
