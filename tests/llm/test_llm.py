@@ -198,7 +198,7 @@ def test_ann_odd_vectors(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     assert sorted(map(tuple, queries.QUERIES[name](spark, D).collect())) == sorted(con.sql(queries.SQL[name]).fetchall())
 
