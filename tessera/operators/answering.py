@@ -78,11 +78,11 @@ def distinct_ids(chunks="chunks") -> Column:
     return F.array_distinct(F.transform(_col(chunks), lambda c: c["id"]))
 
 
-def rule_answer(rows: DataFrame) -> DataFrame:
-    """(qid, query, summary, top_cases, excerpts) of gathered rows."""
+def rule_answer(rows: DataFrame, *more: Column) -> DataFrame:
+    """(qid, query, summary, top_cases, excerpts) of gathered rows, and ``more`` columns over them."""
     some = F.size("chunks") > 0
     excerpts = F.transform(F.filter(F.slice("chunks", 1, MAX_EXCERPTS), lambda c: F.coalesce(c["text"], F.lit("")) != ""), lambda c: F.substring(c["text"], 1, EXCERPT))
-    return rows.select("qid", "query", F.when(some, F.concat(F.lit(SUMMARY), "query")).otherwise(NO_RESULTS).alias("summary"), F.slice(distinct_ids(), 1, MAX_CASES).alias("top_cases"), excerpts.alias("excerpts"))
+    return rows.select("qid", "query", F.when(some, F.concat(F.lit(SUMMARY), "query")).otherwise(NO_RESULTS).alias("summary"), F.slice(distinct_ids(), 1, MAX_CASES).alias("top_cases"), excerpts.alias("excerpts"), *more)
 
 
 def hybrid_answer(rows: DataFrame, model) -> DataFrame:

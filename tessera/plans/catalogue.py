@@ -249,8 +249,8 @@ def q21_multi_step(spark, d):
     """Each item's first three sentences as the steps of a plan."""
     part = lambda n: F.split_part("query", F.lit("."), F.lit(n + 1))
     steps = _asked(spark, d).select("qid", F.posexplode(F.array(*[part(n) for n in range(3)])).alias("step_no", "query"))
-    hits = R.keyword_search(_corpus(spark, d), steps.select((F.col("qid") * 5 + F.col("step_no")).alias("qid"), "query"), 5)
-    hits = hits.withColumns({"step_no": F.pmod("qid", F.lit(5)), "qid": F.floor(F.col("qid") / 5)})
+    hits = R.keyword_search(_corpus(spark, d), steps.select(F.struct("qid", "step_no").alias("qid"), "query"), 5)
+    hits = hits.select("qid.qid", "qid.step_no", *[c for c in hits.columns if c != "qid"])
     return A.all_chunks(hits).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -262,9 +262,8 @@ def _gathered(spark, d) -> DataFrame:
 @query(f"""WITH {_KEYWORD}, a AS (SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5) AS cases, string_agg(substring(text, 1, 300), '|' ORDER BY rank) FILTER (rank <= 3 AND text <> '') AS excerpts, count(*) AS n FROM kt GROUP BY qid)
 SELECT q.qid, CASE WHEN n > 0 THEN '{A.SUMMARY}' || q.query ELSE '{A.NO_RESULTS}' END AS summary, coalesce(cases, '') AS cases, coalesce(excerpts, '') AS excerpts, CASE WHEN coalesce(n, 0) = 0 THEN 'no_results' WHEN n >= 3 THEN 'llm_summary' ELSE 'direct_answer' END AS mode FROM q LEFT JOIN a USING (qid)""")
 def q22_rule_answer(spark, d):
-    rows = _gathered(spark, d)
-    modes = rows.select("qid", A.strategy(F.size("chunks"))["mode"].alias("mode"))
-    return A.rule_answer(rows).join(modes, "qid").select("qid", "summary", F.array_join("top_cases", ",").alias("cases"), F.array_join("excerpts", "|").alias("excerpts"), "mode")
+    rows = A.rule_answer(_gathered(spark, d), A.strategy(F.size("chunks"))["mode"].alias("mode"))
+    return rows.select("qid", "summary", F.array_join("top_cases", ",").alias("cases"), F.array_join("excerpts", "|").alias("excerpts"), "mode")
 
 
 @query(f"""WITH {_KEYWORD} SELECT q.qid, coalesce(string_agg('[' || doc_id || '] (skóre: ' || printf('%.3f', score) || ')' || chr(10) || kt.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '{A.NO_EXCERPTS}') AS context FROM q LEFT JOIN kt USING (qid) GROUP BY q.qid""")

@@ -17,10 +17,10 @@ def run(points: DataFrame, queries: DataFrame, k: int = 5, rewriter=None, planne
     asked = queries.select("qid", (A.rewrite("query", rewriter) if rewriter else F.col("query")).alias("query"))
     asked = asked.withColumn("steps", A.plan("query", planner))
     steps = asked.select("qid", F.posexplode("steps").alias("step_no", "step"))
-    # one retrieval for all steps: a step's key packs query and number
-    keyed = steps.select((F.col("qid") * A.MAX_STEPS + F.col("step_no")).alias("qid"), F.col("step.query").alias("query"), embed(normalise_query("step.query")).alias("vector"))
+    # one retrieval for all steps: a step's key is its query's with its number
+    keyed = steps.select(F.struct("qid", "step_no").alias("qid"), F.col("step.query").alias("query"), embed(normalise_query("step.query")).alias("vector"))
     hits = R.hybrid_search(points, keyed, k)
-    hits = hits.withColumns({"step_no": F.pmod("qid", F.lit(A.MAX_STEPS)), "qid": F.floor(F.col("qid") / A.MAX_STEPS)})
+    hits = hits.select("qid.qid", "qid.step_no", *[c for c in hits.columns if c != "qid"])
     gathered = A.gather(asked, A.all_chunks(hits))
     return A.synthesize(gathered, model).join(asked.select("qid", F.transform("steps", lambda s: s["query"]).alias("plan_steps")), "qid")
 
