@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -118,11 +119,15 @@ def collapse_repeats(c) -> Column:
     return F.filter(_col(c), lambda x, i: (i == 0) | (x != F.get(_col(c), i - 1)))
 
 
+def slug_of(text: str | None) -> str:
+    """ASCII-folded, runs of other characters as one underscore, lower case; 'results' if empty."""
+    folded = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode()
+    return re.sub(r"[^0-9A-Za-z]+", "_", folded).strip("_").lower() or "results"
+
+
 @F.pandas_udf(T.StringType())
 def slugify(texts: pd.Series) -> pd.Series:
-    """ASCII-folded, runs of other characters as one underscore, lower case; 'results' if empty."""
-    folded = texts.fillna("").map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
-    return folded.str.replace(r"[^0-9A-Za-z]+", "_", regex=True).str.strip("_").str.lower().replace("", "results")
+    return texts.map(slug_of)
 
 
 @F.pandas_udf(T.StringType())

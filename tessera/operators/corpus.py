@@ -25,12 +25,15 @@ def completeness(columns: tuple[str, ...] = COMPLETENESS) -> Column:
 
 
 def dedup_best(rows: DataFrame, key: Column, rank: list[Column], pos: str) -> DataFrame:
-    """One row for each key: the greatest rank, ties to the smaller ``pos``; ``pos`` becomes the key's
-    smallest, which is its place in first-seen order."""
-    w = Window.partitionBy("__key")
-    rows = rows.withColumn("__key", key)
-    best = rows.withColumns({"__rank": F.row_number().over(w.orderBy(*[r.desc() for r in rank], F.asc(pos))), "__pos": F.min(pos).over(w)})
-    return best.where("__rank = 1").withColumn(pos, F.col("__pos")).drop("__key", "__rank", "__pos")
+    """One row for each key: the greatest rank (booleans and whole numbers), ties to the smaller ``pos``;
+    ``pos`` becomes the key's smallest, which is its place in first-seen order.
+
+    An aggregation with a partial step: a key's rows are cut to one in each partition before the shuffle,
+    so a key with very many rows makes no large task.
+    """
+    order = F.struct(*[(-r.cast("long")).alias(f"r{i}") for i, r in enumerate(rank)], F.col(pos).alias("pos"))
+    best = rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("__best"), F.min(pos).alias("__pos"))
+    return best.select(*[F.col("__pos").alias(c) if c == pos else F.col(f"__best.{c}").alias(c) for c in rows.columns])
 
 
 def dedup_decisions(decisions: DataFrame, pos: str = "pos") -> DataFrame:
@@ -60,9 +63,12 @@ def chunk_decisions(decisions: DataFrame, size: int = CHUNK_SIZE, overlap: int =
 
 
 def require_unique(rows: DataFrame, column: str) -> DataFrame:
-    """The rows; an id that occurs twice raises when they are computed."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(column))
-    return rows.withColumn(column, F.when(n > 1, F.raise_error(F.concat(F.lit(f"duplicate {column}: "), F.col(column).cast("string")))).otherwise(F.col(column)))
+    """The rows; an id that occurs twice raises when they are computed. Only ids are counted and shuffled;
+    the ids that repeat, none as a rule, are joined to the rows."""
+    twice = rows.groupBy(F.col(column).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 and __id is not null")
+    checked = rows.join(twice, F.col(column) == F.col("__id"), "left")
+    failed = F.raise_error(F.concat(F.lit(f"duplicate {column}: "), F.col(column).cast("string"))).cast(rows.schema[column].dataType)
+    return checked.withColumn(column, F.when(F.col("__n").isNotNull(), failed).otherwise(F.col(column))).drop("__id", "__n")
 
 
 def build_corpus(decisions: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, pos: str = "pos") -> DataFrame:
