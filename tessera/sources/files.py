@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 from ..schemas import DECISION_FIELDS
-
-# A seed corpus for an empty store is given by the caller; this one only shows the form.
-SEED = (("1", "Ústavní soud se zabýval návratem nezletilého dítěte do země obvyklého bydliště."), ("2", "Stát odpovídá za škodu způsobenou nezákonným rozhodnutím."))
-
+from .seed import SEED
 
 def read_decisions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files that hold one JSON array of decisions; missing keys are null, missing lists empty; anything
@@ -51,9 +49,24 @@ def write_jsonl(chunks: DataFrame, path: str, source: str = "corpus") -> None:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """Lines of JSON, one folder; for tables of any size."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(rows: DataFrame, path: str) -> int:
+    """One local file with a JSON array, indented by 2, other characters than ASCII as they are; rows come
+    to the driver one after another. Returns their number."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for row in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            text = json.dumps(json.loads(row["j"]), ensure_ascii=False, indent=2)
+            out.write(("," if n else "") + "\n  " + text.replace("\n", "\n  "))
+            n += 1
+        out.write("\n]" if n else "]")
+    return n
+
+
 def output_name(slug: str = "results", most: int | None = None, pages: tuple[int, int] | None = None, bulk: bool = False) -> str:
     if pages:
         return f"results_{slug}_pages_{pages[0]}_{pages[1]}.json"
@@ -62,9 +75,15 @@ def output_name(slug: str = "results", most: int | None = None, pages: tuple[int
     return "results.json" if most is None else f"results_{slug}_{most}.json"
 
 
-def batches_folder(default: str = "batches") -> str:
+def resolved(path: str, root: str = ".") -> str:
+    """A relative path under ``root``; absolute paths and URIs as they are."""
+    return path if os.path.isabs(path) or "://" in path else os.path.join(root, path)
+
+
+def batches_folder(default: str = "batches", root: str = ".") -> str:
+    """The folder of batch files: TESSERA_BATCHES_DIR, else that of TESSERA_RESULTS_PATH, else the default."""
     results = os.environ.get("TESSERA_RESULTS_PATH")
-    return os.environ.get("TESSERA_BATCHES_DIR") or (os.path.dirname(results) if results else default)
+    return resolved(os.environ.get("TESSERA_BATCHES_DIR") or (os.path.dirname(results) if results else default), root)
 
 
 def collect_results(pages: DataFrame, texts: DataFrame | None = None, page_start: int = 0, page_end: int | None = None, max_results: int | None = None, skip_duplicates: bool = False) -> DataFrame:
