@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ NO_RESULTS = "Nenalezeny žádné relevantní případy."
 SUMMARY = "Na základě judikatury Ústavního soudu byly nalezeny relevantní případy týkající se: "
 NO_EXCERPTS = "(žádné úryvky)"
 EXPANSION = "ústavní soud judikatura právní věta základní práva"
+MODEL_FAILED, NO_PLAN, PLANNER_FAILED = "fallback — LLM error", "fallback — empty plan", "orchestrator fallback"
 REWRITE_MARK = "Přepsaný dotaz:"
 PLAN_STEPS = ((" Haagská úmluva", "mezinárodní aspekt dotazu"), ("rodičovská odpovědnost únos dítěte", "určení příslušnosti soudu"), ("návrat dítěte do země obvyklého bydliště", "výkon rozhodnutí"))
 SYNTHESIS = (
@@ -26,11 +28,30 @@ SYNTHESIS = (
 )
 
 
+def rewrite_prompt(query) -> Column:
+    """The prompt of a rewrite: the query stands on the line before the mark."""
+    return F.concat(F.lit("Přeformuluj dotaz pro vyhledávání v judikatuře.\n\n"), _col(query), F.lit(f"\n\n{REWRITE_MARK}"))
+
+
+def mock_text_model(prompt) -> Column:
+    """The last line before the mark with legal terms behind it; the terms alone where there is no mark.
+    Blank lines do not count; a mark on the first line takes the prompt's last."""
+    lines = F.filter(F.transform(F.split(_col(prompt), "\r\n|\r|\n"), strip), lambda x: x != "")
+    at = F.array_position(lines, F.lit(REWRITE_MARK)).cast("int")
+    line = F.when(at > 1, F.try_element_at(lines, F.greatest(at - 1, F.lit(1)))).when(at == 1, F.try_element_at(lines, F.lit(-1))).otherwise(F.lit(""))
+    return strip(F.concat_ws(" ", line, F.lit(EXPANSION)))
+
+
 def mock_rewrite(query) -> Column:
     """The query with legal terms behind it; a blank one gives the terms alone."""
     return strip(F.concat_ws(" ", strip(query), F.lit(EXPANSION)))
 
 
+def prompted(model=mock_text_model):
+    """A rewriter of a text model: query to prompt to reply."""
+    return lambda query: model(rewrite_prompt(query))
+
+
 def rewrite(query, model=mock_rewrite) -> Column:
     """The model's stripped text; the query itself where that is blank or null."""
     made = strip(model(_col(query)))
@@ -56,7 +77,7 @@ def plan(query, model=mock_plan_text) -> Column:
     text = model(_col(query))
     single = lambda why: F.array(F.struct(_col(query).alias("query"), F.lit(why).alias("reason")))
     steps = parse_plan(text)
-    return F.when(text.isNull(), single("fallback — LLM error")).when(F.size(steps) == 0, single("fallback — empty plan")).otherwise(steps)
+    return F.when(text.isNull(), single(MODEL_FAILED)).when(F.size(steps) == 0, single(NO_PLAN)).otherwise(steps)
 
 
 def strategy(n) -> Column:
@@ -99,6 +120,16 @@ def all_chunks(hits: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slot"))).drop("nth", "slot", "step_no")
 
 
+def single_step(query, reason: str = PLANNER_FAILED) -> Column:
+    """A plan whose only step is the query."""
+    return F.array(F.struct(_col(query).alias("query"), F.lit(reason).alias("reason")))
+
+
+def step_totals(hits: DataFrame) -> DataFrame:
+    """(qid, total_chunks): the number of hits of all steps of a query, repeated ones counted."""
+    return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total_chunks"))
+
+
 def prompt_context(rows: DataFrame, exact: bool = True) -> DataFrame:
     """``rows`` with ``context``: '[id] (skóre: 0.123)' and text of each chunk."""
     show = three_decimals if exact else (lambda c: F.format_string("%.3f", c))
@@ -187,12 +218,39 @@ def mock_embed(text, dim: int = 10) -> Column:
 
 
 def embedder(encode, batch: int = 32):
-    """A column function for ``encode(list of texts) -> vectors``, called once a batch of ``batch`` texts."""
+    """A column function for ``encode(list of texts) -> vectors``, called once a batch of ``batch`` texts;
+    a call that returns another number of vectors raises."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            values = t.fillna("").tolist()
-            yield pd.Series([list(map(float, v)) for i in range(0, len(values), batch) for v in encode(values[i : i + batch])])
+            values, out = t.fillna("").tolist(), []
+            for i in range(0, len(values), batch):
+                part = values[i : i + batch]
+                out += [list(map(float, v)) for _, v in zip(part, encode(part), strict=True)]
+            yield pd.Series(out)
 
     return embed
+
+
+_models: dict = {}
+
+
+def sentence_embedder(load, name: str = "model", batch: int = 32, normalise: bool = True):
+    """A column function for a sentence model that ``load()`` makes, once in each Python worker and not
+    before it is needed. Vectors get length 1 unless ``normalise`` is off; zero vectors stay."""
+
+    def encode(texts: list[str]):
+        model = _models.get(name) or _models.setdefault(name, load())
+        vectors = np.asarray(model.encode(texts), "float64")
+        if normalise and len(vectors):
+            length = np.sqrt((vectors**2).sum(1, keepdims=True))
+            vectors = vectors / np.where(length > 0, length, 1.0)
+        return vectors
+
+    return embedder(encode, batch)
+
+
+def dimension(load) -> int:
+    """The number of components of a sentence model's vectors."""
+    return len(load().encode(["test"])[0])

@@ -6,7 +6,6 @@ benchmark items and user turns are queries.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from ..operators import answering as A
 from ..operators import corpus as C
 from ..operators import points as P
 from ..operators import retrieval as R
+from ..session import shared
 from ..sources import files as S
 from . import engine as E
 
@@ -184,7 +184,11 @@ def _chunks(spark, d) -> DataFrame:
     return rows.select(F.concat_ws("_", "doc_id", "chunk_index").alias("id"), F.col("chunk_text").alias("text"), F.concat("source", F.lit(" "), "doc_id").alias("case_reference"), F.lit(None).cast("string").alias("ecli"), F.lit("2026-01-15").alias("decision_date"), F.col("lang").alias("judge"), F.lit(None).cast("string").alias("text_url"), "chunk_index", F.col("doc_id").alias("document_id"))
 
 
-@query()
+_UUID = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tessera-chunk:' || doc_id || '_' || chunk_index)) AS h))"""
+_CHECK = """sha256('{"case_reference":"' || source || ' ' || doc_id || '","chunk_index":' || chunk_index || ',"decision_date":"2026-01-15","document_id":' || doc_id || ',"ecli":null,"judge":"' || lang || '","original_id":"' || doc_id || '_' || chunk_index || '","point_id_scheme":"uuid5","source":"corpus","text":' || CAST(to_json(chunk_text) AS VARCHAR) || ',"text_url":null}')"""
+
+
+@query(f"WITH {_CHUNKS} SELECT {_UUID} AS id, doc_id || '_' || chunk_index AS original_id, {_CHECK} AS checksum FROM c JOIN documents USING (doc_id)")
 def q15_repair(spark, d):
     """Points with a legacy copy of every third: the deterministic ones stay."""
     points = P.make_points(_chunks(spark, d)).withColumn("vector", A.mock_embed("id"))
@@ -192,15 +196,12 @@ def q15_repair(spark, d):
     return P.repair(points.unionByName(legacy)).select("id", F.col("payload.original_id").alias("original_id"), F.col("payload.content_checksum").alias("checksum"))
 
 
-_CHECK = """sha256('{"case_reference":"' || source || ' ' || doc_id || '","chunk_index":' || chunk_index || ',"decision_date":"2026-01-15","document_id":' || doc_id || ',"ecli":null,"judge":"' || lang || '","original_id":"' || doc_id || '_' || chunk_index || '","point_id_scheme":"uuid5","source":"corpus","text":' || CAST(to_json(chunk_text) AS VARCHAR) || ',"text_url":null}')"""
-
-
 @query(f"WITH {_CHUNKS} SELECT doc_id || '_' || chunk_index AS original_id, {_CHECK} AS checksum FROM c JOIN documents USING (doc_id)")
 def q16_checksum(spark, d):
     return P.make_points(_chunks(spark, d)).select(F.col("payload.original_id").alias("original_id"), F.col("payload.content_checksum").alias("checksum"))
 
 
-@query()
+@query(f"WITH {_CHUNKS} SELECT {_UUID} AS id, doc_id || '_' || chunk_index AS original_id FROM c")
 def q16b_point_ids(spark, d):
     return P.make_points(_chunks(spark, d)).select("id", F.col("payload.original_id").alias("original_id"))
 
@@ -318,8 +319,7 @@ def q30_stream_windows(spark, d):
     name = f"s{uuid.uuid4().hex}"
     events = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     writer = windowed_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    stream = writer.option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    stream = writer.option("checkpointLocation", f"{shared(spark)}/{name}").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
@@ -329,9 +329,13 @@ def q31_slugify(spark, d):
     return _t(spark, d, "benchmark").select("item_id", X.slugify("text").alias("slug"))
 
 
-@query()
+_FIRST = "(SELECT string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) FROM (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY vec_id LIMIT 5))"
+
+
+@query("SELECT item_id AS qid, '" + A.SYNTHESIS.replace("'", "''") + f"' AS answer, {_FIRST} AS sources, trim(string_split(trim(text), chr(10))[-1]) || '" + "|".join([A.PLAN_STEPS[0][0], *[q for q, _ in A.PLAN_STEPS[1:]]]) + "' AS plan_steps FROM benchmark")
 def q32_engine_run(spark, d):
-    """The full plan with deterministic models over the items, on documents with constant vectors."""
+    """The full plan with deterministic models over the items, on documents with constant vectors: these are
+    all as near, so the first documents win with a score that no keyword score reaches."""
     points = _points(spark, d).withColumn("vector", A.mock_embed("text"))
     out = E.run(points, _asked(spark, d), 5)
     return out.select("qid", "answer", F.array_join("sources", ",").alias("sources"), F.array_join("plan_steps", "|").alias("plan_steps"))
@@ -350,6 +354,96 @@ def q34_retrieve(spark, d):
     return R.retrieved_rows(found).select("qid", "rank", "chunk_id", "source")
 
 
+@query(f"WITH {_CHUNKS}, {_KEYWORD.replace('SELECT doc_id, text, lower(text) AS low FROM documents', 'SELECT doc_id * 1000000 + chunk_index AS doc_id, chunk_text AS text, lower(chunk_text) AS low FROM c')} SELECT qid, CAST(rank AS INT) AS rank, (doc_id // 1000000) || '_' || (doc_id % 1000000) AS id, round(score, 6) AS score FROM kt")
+def q35_ingest_retrieve(spark, d):
+    """Chunks are ingested into a durable table of points, a part of them a second time, and searched from there."""
+    from ..streaming.ingest import PointTable
+
+    table = PointTable(spark, f"{shared(spark)}/points-{uuid.uuid4().hex}")
+    table.upsert(_chunks(spark, d), A.mock_embed)
+    table.upsert(_chunks(spark, d).where("document_id % 3 = 0"), A.mock_embed)
+    return R.keyword_search(R.as_hits(table.read()), _asked(spark, d), 10).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
+_PAGE_SQL = """SELECT doc_id AS page, CAST(2 * doc_id AS INT) AS start_result, CAST(n_chars AS INT) AS total_results, CAST(greatest(doc_id + 1, 7) AS INT) AS total_pages, CAST(doc_id AS INT) AS page_index,
+CAST(doc_id * 10 + i AS BIGINT) AS result_id, source || ' ' || doc_id || '/' || i AS case_reference, CASE WHEN i = 0 THEN 'ECLI:' || source || ':' || doc_id END AS ecli, CASE WHEN i = 0 THEN 'Judge ' || lang ELSE 'ECLI-less' END AS judge,
+'P' || doc_id AS petitioner, CASE WHEN i = 0 THEN 'Name of & ' || lang END AS popular_name, '1. 1. 2024' AS decision_date, '3. 3. 2024' AS announcement_date, 'r1,r1,r' || doc_id AS regulations, 'Nález' AS decision_form, lang AS importance, 'zamítnuto zcela' AS verdict,
+CASE WHEN i = 0 THEN 'https://example.org/Search/GetText.aspx?sz=' || doc_id || '-' || i || '&x=' || lang END AS text_url FROM documents, (VALUES (0), (1)) v(i)"""
+
+
+@query(_PAGE_SQL)
+def q36_result_pages(spark, d):
+    """Result pages made of documents, two results each, parsed again."""
+    docs = _t(spark, d, "documents")
+    cell = lambda *parts: F.concat(F.lit("<td>"), *[p if not isinstance(p, str) else F.lit(p) for p in parts], F.lit("</td>"))
+    c = F.col
+
+    def result(i: int):
+        n = F.concat(c("doc_id"), F.lit(f"/{i}"))
+        case = [F.lit('<a href="ResultDetail.aspx?id='), n, F.lit('">'), c("source"), F.lit(" "), n, F.lit("</a><br>")]
+        rest = [F.lit("ECLI:"), c("source"), F.lit(":"), c("doc_id"), F.lit("<br>Judge "), c("lang")] if i == 0 else [F.lit("ECLI-less")]
+        name = [F.lit("<br>Name of &amp; "), c("lang")] if i == 0 else []
+        cells = F.concat(
+            cell('<input type="checkbox" name="x" id="sel_', (c("doc_id") * 10 + i).cast("string"), '">'), cell(*case, *rest), cell("P", c("doc_id").cast("string"), "<br>P", c("doc_id").cast("string"), *name),
+            cell("1. 1. 2024<br>(-)<br> 3. 3. 2024"), cell("r1<br>r1<br>r", c("doc_id").cast("string")), cell("Nález<br>", c("lang")), cell("<b>zamítnuto</b> zcela"), cell(""), cell("t1<br>t1"), cell(""),
+        )
+        link = F.concat(F.lit("""<a href="#" onclick="window.open('/Search/GetText.aspx?sz="""), c("doc_id"), F.lit(f"-{i}&amp;x="), c("lang"), F.lit("""')">text</a>""")) if i == 0 else F.lit("<a href='#'>no text</a>")
+        return F.concat(F.lit(f'<tr class="resultData{i}">'), cells, F.lit("</tr><tr><td>"), link, F.lit("</td></tr>"))
+
+    head = F.concat(
+        F.lit('<a href="#">2024</a><table><tr class="resultHeaderCount"><td>Výsledky '), c("doc_id") * 2, F.lit(" - "), c("doc_id") * 2 + 1, F.lit(" z celkem "), c("n_chars"),
+        F.lit(' <input name="pageNumber" value="'), c("doc_id") + 1, F.lit('"> <a href="?page=6">7</a> <a>99</a></td></tr></table><table><tr id="headerRowFirst"><td>h</td></tr>'),
+    )
+    pages = docs.select(F.concat(head, result(0), result(1), F.lit("</table>")).alias("html"), c("doc_id").cast("string").alias("query"))
+    rows = H.parse_result_pages(pages, "https://example.org/Search/").select("*", F.explode("results").alias("r"))
+    same = ["start_result", "total_results", "total_pages", "page_index", "r.result_id", "r.case_reference", "r.ecli", F.col("r.judge_rapporteur").alias("judge"), "r.petitioner", "r.popular_name", "r.decision_date", "r.announcement_date", "r.decision_form", "r.importance", "r.verdict", "r.text_url"]
+    return rows.select(F.col("query").cast("long").alias("page"), *same, F.array_join("r.related_regulations", ",").alias("regulations"))
+
+
+@query("SELECT b.item_id AS qid, CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY f.doc_id) AS INT) AS rank, CAST(f.doc_id AS VARCHAR) AS chunk_id, f.source, f.doc_id AS document_id FROM benchmark b, (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) f WHERE n <= 100 AND f.source IN ('src1', 'src3') QUALIFY row_number() OVER (PARTITION BY b.item_id ORDER BY f.doc_id) <= 20")
+def q37_engine_retrieve(spark, d):
+    """Retrieval with requested sources over equal vectors: five times the wanted rows are fetched, then filtered."""
+    points = _points(spark, d).select("id", "text", "pos", A.mock_embed("text").alias("vector"), F.struct("source", F.col("pos").alias("document_id")).alias("payload"))
+    rows = E.retrieve(points, _asked(spark, d), 20, ["SRC1 ", "src3"])
+    return rows.select("qid", "rank", "chunk_id", "source", F.col("document_id").cast("long").alias("document_id"))
+
+
+@query(f"WITH {_KEYWORD} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY length(text) DESC, rank) AS INT) AS rank, CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS DOUBLE) AS score FROM kt QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(text) DESC, rank) <= 5")
+def q38_cross_encoder(spark, d):
+    """Reranking by a model that scores a pair by the length of its text."""
+    asked = _asked(spark, d)
+    hits = R.keyword_search(_corpus(spark, d), asked, 10)
+    return R.cross_encoder_rerank(hits, asked, lambda pairs: [len(t) for _, t in pairs], 5).select("qid", "rank", "id", "score")
+
+
+@query(f"""WITH {_KEYWORD}, a AS (SELECT qid, string_agg('[' || doc_id || '] ' || translate(substring(text, 1, 800), '{{}}', '()'), chr(10) || chr(10) ORDER BY rank) AS chunks FROM kt WHERE rank <= 5 GROUP BY qid)
+SELECT q.qid, 'Answer from the excerpts.' AS system, 'Q: ' || translate(q.query, '{{}}', '()') || chr(10) || coalesce(chunks, '{A.NO_EXCERPTS}') AS content FROM q LEFT JOIN a USING (qid)""")
+def q39_rag_messages(spark, d):
+    rows = _gathered(spark, d).select("qid", A.rag_messages("query", "chunks", "Answer from the excerpts.", "Q: {query}\n{chunks}").alias("m"))
+    return rows.select("qid", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("content"))
+
+
+@query(f"WITH {_CHUNKS} SELECT trim(regexp_replace(translate(source || '. ' || doc_id, ' /', '__'), '_+', '_', 'g'), '_') || '_' || chunk_index AS id, chunk_text AS text, doc_id AS document_id FROM c JOIN documents USING (doc_id)")
+def q40_build_corpus(spark, d):
+    """Decisions that each occur three times, shortened twice, to a corpus of chunks of the whole ones."""
+    docs = _t(spark, d, "documents")
+    none, lists = F.lit(None).cast("string"), F.array().cast("array<string>")
+    whole = docs.select(
+        F.col("doc_id").alias("result_id"), F.concat("source", F.lit(". "), "doc_id").alias("case_reference"), *[none.alias(n) for n in ("ecli", "judge_rapporteur", "petitioner", "popular_name", "decision_date", "announcement_date", "filing_date", "publication_date")],
+        lists.alias("related_regulations"), *[none.alias(n) for n in ("decision_form", "importance", "verdict")], lists.alias("topics_and_keywords"), none.alias("detail_url"), none.alias("text_url"), F.col("text").alias("full_text"), (F.col("doc_id") * 3 + 1).alias("pos"),
+    )
+    shorter = whole.where("length(full_text) > 0").withColumns({"full_text": F.expr("substring(full_text, 1, length(full_text) - 1)"), "pos": F.col("pos") - 1})
+    empty = whole.withColumns({"full_text": none, "pos": F.col("pos") + 1})
+    return C.build_corpus(whole.unionByName(shorter).unionByName(empty)).select("id", "text", "document_id")
+
+
+@query(f"WITH {_KEYWORD}, a AS (SELECT qid, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 3) AS ids FROM kt GROUP BY qid) SELECT q.qid, CASE WHEN coalesce(n, 0) < 2 THEN CASE WHEN coalesce(n, 0) = 0 THEN '{A.NO_RESULTS}' ELSE '{A.SUMMARY}' || q.query END ELSE 'Mock odpověď na: ' || q.query || ' ' || ids END AS answer FROM q LEFT JOIN a USING (qid)")
+def q41_hybrid_answer(spark, d):
+    """A model answers where there are two chunks or more, the rule elsewhere."""
+    model = lambda q, c: F.concat(A.mock_llm(q, c)["answer"], F.lit(" "), F.array_join(A.mock_llm(q, c)["sources"], ","))
+    return A.hybrid_answer(_gathered(spark, d), model).select("qid", "answer")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def x01_pricing(spark, d):
     rows = _t(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")

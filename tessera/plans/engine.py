@@ -9,20 +9,47 @@ from ..functions.ids import cache_key
 from ..functions.text import normalise_query
 from ..operators import answering as A
 from ..operators import retrieval as R
+from ..schemas import HIT_FIELDS
+from ..trace import logger
+
+log = logger(__name__)
 
 
 def run(points: DataFrame, queries: DataFrame, k: int = 5, rewriter=None, planner=A.mock_plan_text, embed=A.mock_embed, model=None) -> DataFrame:
     """(qid, answer, sources, plan_steps): rewrite, plan, hybrid search for every step in one batch,
-    best chunks over the steps, synthesis. Each stage falls back as its operator says."""
-    asked = queries.select("qid", (A.rewrite("query", rewriter) if rewriter else F.col("query")).alias("query"))
-    asked = asked.withColumn("steps", A.plan("query", planner))
+    best chunks over the steps, synthesis.
+
+    A stage that can't be set up falls back: the query as it is, a plan of one step, no chunks, an empty
+    answer. Models that fail on a row give null there, and their operators say what then holds.
+    """
+    asked = queries.select("qid", "query")
+    if rewriter:
+        asked = _or(lambda: queries.select("qid", A.rewrite("query", rewriter).alias("query")), asked, "rewrite")
+    asked = _or(lambda: asked.withColumn("steps", A.plan("query", planner)), asked.withColumn("steps", A.single_step("query")), "plan")
+    hits = _or(lambda: step_hits(points, asked, k, embed), None, "execute")
+    if hits is None:
+        hits = asked.sparkSession.createDataFrame([], HIT_FIELDS.replace("qid long", f"qid {asked.schema['qid'].dataType.simpleString()}") + ", step_no int, rank int")
+    gathered = A.gather(asked, A.all_chunks(hits))
+    nothing = gathered.select("qid", F.lit("").alias("answer"), F.array().cast("array<string>").alias("sources"))
+    made = _or(lambda: A.synthesize(gathered, model), nothing, "synthesize")
+    return made.join(asked.select("qid", F.transform("steps", lambda s: s["query"]).alias("plan_steps")), "qid")
+
+
+def _or(stage, fallback, name: str):
+    try:
+        return stage()
+    except Exception as error:  # noqa: BLE001 - any failure of a stage means its fallback
+        log.warning("%s failed (%s); using its fallback", name, error)
+        return fallback
+
+
+def step_hits(points: DataFrame, asked: DataFrame, k: int, embed) -> DataFrame:
+    """Hits (qid, step_no, id, ...) of all steps of all queries in one retrieval; a step's key is its
+    query's with its number."""
     steps = asked.select("qid", F.posexplode("steps").alias("step_no", "step"))
-    # one retrieval for all steps: a step's key is its query's with its number
     keyed = steps.select(F.struct("qid", "step_no").alias("qid"), F.col("step.query").alias("query"), embed(normalise_query("step.query")).alias("vector"))
     hits = R.hybrid_search(points, keyed, k)
-    hits = hits.select("qid.qid", "qid.step_no", *[c for c in hits.columns if c != "qid"])
-    gathered = A.gather(asked, A.all_chunks(hits))
-    return A.synthesize(gathered, model).join(asked.select("qid", F.transform("steps", lambda s: s["query"]).alias("plan_steps")), "qid")
+    return hits.select("qid.qid", "qid.step_no", *[c for c in hits.columns if c != "qid"])
 
 
 def retrieve(points: DataFrame, queries: DataFrame, k: int = 10, sources: list[str] | None = None, embed=A.mock_embed, rewriter=None, prefilter: bool = False) -> DataFrame:

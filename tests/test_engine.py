@@ -139,15 +139,14 @@ def test_reply(text, want):
     assert (got["answer"], got["sources"], got["confidence"]) == want
 
 
-PAGE = """<form><input type="hidden" name="a" value="x&amp;y"><input name="pageNumber" value="2"></form><p>Výsledky 11 - 12 z celkem 40</p><a>3</a>
+PAGE = """<form><input type="hidden" name="a" value="x&amp;y"></form><table><tr class="resultHeaderCount"><td>Výsledky 11 - 12 z celkem 40<input name="pageNumber" value="2"><a href="?page=2">3</a></td></tr></table>
 <table><tr id="headerRowFirst"><td>h</td></tr>
-<tr class="resultData0"><td><input name="sel_7"></td><td><a href="ResultDetail.aspx?id=7">I.ÚS 1/24</a><br>
+<tr class="resultData0"><td><input id="sel_7"></td><td><a href="ResultDetail.aspx?id=7">I.ÚS 1/24</a><br>
 ECLI:CZ:1<br>
 Novák</td><td>P<br>
 Name</td><td>1. 1. 2024<br>
-(-)</td><td>Nález<br>
-2</td><td>r1<br>
-r1</td><td>zamítnuto</td><td></td><td>t1</td><td></td></tr>
+(-)</td><td>r1</td><td>Nález<br>
+2</td><td>zamítnuto</td><td></td><td>t1</td><td></td></tr>
 <tr><td><a href="/Search/GetText.aspx?sz=1-1-24">text</a></td></tr></table>"""
 
 
@@ -222,3 +221,385 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# Result pages
+
+
+def page(rows="", header='Výsledky 11 - 12 z celkem 40 <input name="pageNumber" value="2"><a href="?p=3">3</a>'):
+    head = f'<tr class="resultHeaderCount"><td>{header}</td></tr>' if header is not None else ""
+    return f'<a href="#">2024</a><table>{head}</table><table><tr id="headerRowFirst"><td>h</td></tr>{rows}</table>'
+
+
+def test_cells_of_a_result_page():
+    row = """<tr class="resultData1"><td><input name="other" id="sel_7"></td><td><a href="d?id=7">A</a><br>J</td><td>A<br>A<br>Pop</td><td></td>
+    <td>reg1<br>reg1</td><td>Nález<br>2</td><td>v <i>w</i></td><td></td><td>t<br>t</td><td><script>x</script></td></tr>
+    <tr><td><a href='#' onclick="open(&quot;https://example.org:443/Search/GetText.aspx?sz=1-1_24%20x.y&quot;)">t</a></td></tr>"""
+    got = H.parse_result_page(page(row))
+    d = got["results"][0]
+    assert (got["page_number"], got["total_pages"], got["page_index"], got["page_size"]) == (2, 3, 1, 1)
+    assert (d["result_id"], d["petitioner"], d["popular_name"], d["related_regulations"], d["decision_form"], d["importance"]) == (7, "A", "Pop", ["reg1", "reg1"], "Nález", "2")
+    assert (d["judge_rapporteur"], d["verdict"], d["topics_and_keywords"], d["text_url"]) == ("J", "v w", ["t", "t"], "https://example.org:443/Search/GetText.aspx?sz=1-1_24%20x.y")
+
+
+@pytest.mark.parametrize("html,message", [
+    ("<p></p>", "no header"), (page(header="nothing"), "no result counts"), (page(header="Výsledky 1 - 2 z celkem 3"), "no page number"),
+    ('<table><tr class="resultHeaderCount"><td>Výsledky 1 - 2 z celkem 3<input name="pageNumber" value="1"></td></tr></table>', "no result table"),
+])
+def test_errors_of_a_result_page(html, message):
+    with pytest.raises(RuntimeError, match=message):
+        H.parse_result_page(html)
+
+
+FORM = "".join(f'<input type="hidden" name="{n}" value="v&amp;">' for n in ("__VIEWSTATE", "__EVENTVALIDATION", "__VIEWSTATEGENERATOR"))
+
+
+def _site(folder, n=3):
+    row = lambda p: f'<tr class="resultData0"><td><input id="sel_{p}"></td><td><a href="ResultDetail.aspx?id={p}">I.ÚS {p}/24</a></td><td></td><td></td><td></td><td></td><td></td><td></td><td></td><td></td></tr><tr><td><a href="https://example.org/Search/GetText.aspx?sz={p}">t</a></td></tr>'
+    (folder / "form.html").write_text(FORM)
+    for p in range(n):
+        (folder / f"page_{p}.html").write_text(page(row(p), f'Výsledky {p + 1} - {p + 1} z celkem {n} <input name="pageNumber" value="{p + 1}"><a href="x">{n}</a>'))
+        (folder / f"GetText_aspx_sz_{p}.html").write_text(f"<p>text {p}</p>")
+
+
+def test_page_source(spark, tmp_path):
+    from tessera.sources.pages import ResultPages
+
+    _site(tmp_path)
+    spark.dataSource.register(ResultPages)
+    rows = spark.read.format("result_pages").options(folder=str(tmp_path), query="q").load()
+    assert sorted(r.page for r in rows.collect()) == [0, 1, 2] and rows.rdd.getNumPartitions() == 3
+    assert [r.page for r in spark.read.format("result_pages").options(folder=str(tmp_path), page_start="1", page_end="1").load().collect()] == [1]
+    with pytest.raises(Exception, match="failed to load page 10"):
+        spark.read.format("result_pages").options(folder=str(tmp_path), page_start="9", page_end="9", pause="0").load().collect()
+    out, seen = str(tmp_path / "out"), []
+    for _ in range(2):  # the second run goes on where the first ended
+        stream = spark.readStream.format("result_pages").options(folder=str(tmp_path), query="q", batch_pages="2").load()
+        query = stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r.page for r in b.collect()))).option("checkpointLocation", out).start()
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(p for b in seen for p in b) == [0, 1, 2] and max(map(len, seen)) <= 2
+
+
+def test_scrape_job(spark, tmp_path, monkeypatch):
+    import json
+
+    from tessera import jobs
+
+    _site(tmp_path)
+    target = tmp_path / "found.json"
+    monkeypatch.setenv("TESSERA_OUTPUT_PATH", str(target))
+    monkeypatch.setenv("TESSERA_PAGE_END", "3")
+    assert jobs.main(["scrape", "--query", "rodina", "--option", f"folder={tmp_path}", "--option", "pause=0", "--option", "base_url=https://example.org/Search/"], spark) == 0
+    found = json.loads(target.read_text())
+    assert [(d["result_id"], d["case_reference"], d["full_text"], d["ecli"]) for d in found] == [(i, f"I.ÚS {i}/24", f"text {i}", None) for i in range(3)]
+    assert target.read_text().startswith("[\n  {\n    ")
+    monkeypatch.setenv("TESSERA_PAGE_START", "x")
+    with pytest.raises(SystemExit, match="must be an integer"):
+        jobs.main(["scrape"], spark)
+    monkeypatch.setenv("TESSERA_FLAG", "maybe")
+    with pytest.raises(SystemExit, match="boolean"):
+        jobs.switch("TESSERA_FLAG", True)
+    assert [jobs.output_path("Únos dítěte", *x) for x in ((None, 1, 1), (5, 1, None), (None, 1, None), (None, 1, 4))] == ["results.json", "results_unos_ditete_5.json", "results_unos_ditete_bulk.json", "results_unos_ditete_pages_1_4.json"]
+
+
+def test_clients(tmp_path):
+    from tessera.sources import client as K
+
+    _site(tmp_path)
+    site = K.SearchSite("https://example.org/Search/Search.aspx", "https://example.org/Search/Results.aspx", "text")
+    held = K.FolderClient(str(tmp_path), site.results_url)
+    assert K.fetch_page(site, held, 1, "q") == (tmp_path / "page_1.html").read_text()
+    with pytest.raises(ValueError):
+        site.page(held, "q", -1)
+    with pytest.raises(RuntimeError, match="__EVENTVALIDATION, __VIEWSTATE, __VIEWSTATEGENERATOR"):
+        K.form_fields("<input type='hidden' name='a' value='b'>")
+    assert K.form_fields(FORM)["__VIEWSTATE"] == "v&"
+    calls, waits = [], []
+
+    def failing(*_):
+        calls.append(1)
+        raise OSError("down")
+
+    assert K.with_retries(failing, "u", sleep=waits.append) is None and len(calls) == 3 and waits == [1.0, 1.0]
+    with pytest.raises(RuntimeError, match="failed to load"):
+        K.fetch_decision(K.FolderClient(str(tmp_path / "none"), "r"), "https://example.org/x", sleep=lambda _: None)
+
+
+def test_model_clients(monkeypatch):
+    import json
+
+    from tessera.sources import client as K
+
+    waits, answers = [], [OSError("net"), K.Response("", status=503), K.Response("ok", status=404)]
+
+    def post(url, payload):
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert K.ModelClient("p", post, retries=2, sleep=waits.append).post("u", {}).status == 404 and waits == [0.5, 1.0]
+    answers[:] = [K.Response("", status=500)] * 3
+    assert K.ModelClient("p", post, retries=2, sleep=waits.append).post("u", {}) is None
+    with pytest.raises(ValueError, match="unknown provider"):
+        K.text_model("nobody", post)
+    asked = []
+    K.register("c", K.chat_provider("https://example.org/c", "m"))
+    K.register("b", K.block_provider("https://example.org/b", "m"))
+    reply = {"choices": [{"message": {"content": "chat"}}], "content": [{"type": "image"}, {"type": "text", "text": "block"}]}
+    ask = lambda name: K.text_model(name, lambda u, p: asked.append(p) or K.Response(json.dumps(reply)))([{"role": "system", "content": "s1"}, {"role": "user", "content": "u"}, {"role": "system", "content": "s2"}])
+    monkeypatch.setenv("LLM_MODEL_B", "other")
+    assert (ask("c"), ask("b")) == ("chat", "block")
+    assert asked[0]["model"] == "m" and len(asked[0]["messages"]) == 3 and (asked[1]["model"], asked[1]["system"], len(asked[1]["messages"])) == ("other", "s2", 1)
+    assert K.text_model("c", lambda u, p: K.Response("not json"))([]) is None
+    monkeypatch.setenv("LLM_PROVIDER", "New")
+    with pytest.raises(ValueError, match="LLM_URL"):
+        K.configured()
+    monkeypatch.setenv("LLM_URL", "https://example.org/n")
+    assert K.configured() == "new" and "new" in K.PROVIDERS
+
+
+def test_trace(caplog):
+    import logging
+
+    from tessera.trace import logger, trace
+
+    log = logger("t")
+    logging.getLogger("tessera").setLevel("DEBUG")
+    try:
+        with caplog.at_level("DEBUG", "tessera"):
+            trace(log, "a.b", n=1, s="é", o=object)
+    finally:
+        logging.getLogger("tessera").setLevel("INFO")
+    assert caplog.messages == [f'TRACE a.b | n=1 s="é" o={object}']
+
+
+# Points
+
+
+def test_points_outlive_a_restart(spark, tmp_path):
+    root = str(tmp_path / "points")
+    table = PointTable(spark, root)
+    assert table.version == -1 and table.read().count() == 0
+    table.upsert(_chunks(spark, ("a", "t1"), ("b", "t2")), A.mock_embed)
+    again = PointTable(spark, root)
+    assert again.read().count() == 2
+    for i in range(10):  # beyond one compaction; each batch comes twice
+        for _ in range(2):
+            PointTable(spark, root).upsert(_chunks(spark, ("b", f"new {i}"), (f"c{i}", "t")), A.mock_embed)
+    got = {r.o: r.t for r in PointTable(spark, root).read().select(F.col("payload.original_id").alias("o"), F.col("payload.text").alias("t")).collect()}
+    assert got == {"a": "t1", "b": "new 9"} | {f"c{i}": "t" for i in range(10)}
+    (tmp_path / "points" / "v999").mkdir()  # a version that broke off
+    assert PointTable(spark, root).read().count() == 12
+
+
+def test_last_write_wins_and_absent_checksums_are_computed(spark):
+    rows = _chunks(spark, ("a", "first"), ("a", "last")).withColumn("pos", F.col("chunk_index"))
+    points = P.make_points(rows)
+    empty = P.make_points(rows).where("false").drop("pos").withColumn("vector", A.mock_embed("id"))
+    assert [r.payload.text for r in P.merge(empty, P.classify(points, empty), A.mock_embed).collect()] == ["last"]
+    one = P.make_points(_chunks(spark, ("a", "t1")))
+    bare = one.withColumn("payload", F.col("payload").withField("content_checksum", F.lit(None).cast("string"))).withColumn("vector", A.mock_embed("id"))
+    assert P.ingest_stats(P.classify(one, bare)).first().skipped_points == 1
+
+
+def test_collections(spark, tmp_path):
+    held = P.Collections(spark, str(tmp_path))
+    assert held.create("a", 10) and not held.create("a", 10)
+    with pytest.raises(ValueError, match="10 components, not 5"):
+        held.create("a", 5)
+    points = P.make_points(_chunks(spark, ("a", "t1"), ("b", "t2"))).withColumn("vector", A.mock_embed("id"))
+    legacy = points.where("payload.original_id = 'a'").withColumn("id", F.lit("1"))
+    points.unionByName(legacy).write.mode("overwrite").parquet(f"{tmp_path}/a")
+    assert held.repair("a", "b") == {"total_points": 3, "unique_ids": 2, "duplicate_groups": 1, "extra_points": 1, "written_points": 2}
+    with pytest.raises(ValueError, match="exists"):
+        held.repair("a", "b")
+    held.swap_alias("live", "a")
+    assert held.read("live").count() == 3 and held.exists("live")
+    held.swap_alias("live", "b")
+    again = P.Collections(spark, str(tmp_path))
+    assert again.aliases() == {"live": "b"} and again.read("live").count() == 2 and again.properties("live")["dim"] == "10"
+    with pytest.raises(ValueError, match="no collection"):
+        held.swap_alias("live", "none")
+    assert P.require_vectors(again.read("live"), 10).count() == 2
+    with pytest.raises(Exception, match="has not 9 components"):
+        P.require_vectors(again.read("live"), 9).collect()
+
+
+def test_repair_job(spark, tmp_path, capsys):
+    from tessera import jobs
+
+    P.make_points(_chunks(spark, ("a", "t1"), ("b", "t2"))).withColumn("vector", A.mock_embed("id")).write.parquet(f"{tmp_path}/s")
+    assert jobs.main(["report", "--root", str(tmp_path), "--source", "s"], spark) == 0
+    assert '"unique_ids": 2' in capsys.readouterr().out
+    assert jobs.main(["repair", "--root", str(tmp_path), "--source", "s", "--alias", "live"], spark) == 0
+    assert P.Collections(spark, str(tmp_path)).aliases()["live"].startswith("s_repaired_2") and P.Collections(spark, str(tmp_path)).read("live").count() == 2
+
+
+def test_ingest_status(spark, tmp_path):
+    from tessera.streaming.ingest import Ingest
+
+    assert Ingest(lambda: None, blocked="legacy ids").run().join() == "blocked"
+    assert Ingest(lambda: None).run().join(10) == "completed"
+    tries = []
+
+    def failing():
+        tries.append(1)
+        raise OSError("not ready")
+
+    failed = Ingest(failing, retries=2, pause=0).run()
+    assert failed.join(10) == "error" and len(tries) == 3 and "not ready" in failed.message
+    _chunks(spark, ("a", "t1")).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    table = PointTable(spark, str(tmp_path / "points"))
+    stream = lambda: ingest_stream(spark.readStream.schema(CHUNK_FIELDS).parquet(str(tmp_path / "in/*")), table, A.mock_embed, str(tmp_path / "check"))
+    assert Ingest(stream).run().join(120) == "completed" and table.read().count() == 1
+
+
+# Search and plans
+
+
+def test_search_in_blocks_equals_one_batch(spark, monkeypatch):
+    corpus, asked = catalogue._corpus(spark, D), catalogue._asked(spark, D)
+    points, vectors = catalogue._points(spark, D), catalogue._vector_queries(spark, D)
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    whole = rows(R.keyword_search(corpus, asked, 3)), rows(R.dense_search(points, vectors, 3))
+    monkeypatch.setattr(R, "MAX_QUERIES", 7)
+    assert (rows(R.keyword_search(corpus, asked, 3)), rows(R.dense_search(points, vectors, 3))) == whole
+    big = asked.where("qid < 3").select((F.col("qid") + (1 << 60) + 1).alias("qid"), "query")
+    assert {r.qid for r in R.keyword_search(corpus, big, 1).collect()} == {(1 << 60) + 1 + i for i in range(3)}
+    assert R.keyword_search(corpus, asked, 0).count() == 0 and R.keyword_search(corpus, asked.where("false"), 3).count() == 0
+
+
+def test_search_without_the_automaton(monkeypatch):
+    import builtins
+
+    words = ["ab", "b", "c"]
+    fast = R._finder(words)
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError()) if name == "ahocorasick" else real(name, *a, **k))
+    slow = R._finder(words)
+    assert all(sorted(fast(t)) == sorted(slow(t)) for t in ("", "abc", "xx", "cab"))
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [("a", "t", 1, [1.0, 0.0]), ("b", "t", 0, [1.0, 0.0]), ("c", "t", 2, None), ("d", "t", 3, [0.0, 0.0]), ("e", "t", 4, [1.0]), ("f", "t", 5, [float("nan"), 1.0]), ("g", "t", 6, [-1.0, 0.0])]
+    points = spark.createDataFrame(rows, "id string, text string, pos long, vector array<float>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0])], "qid long, vector array<float>")
+    got = R.dense_search(points, asked, 5).orderBy("rank").collect()
+    assert [(r.qid, r.id, round(r.score, 9)) for r in got] == [(1, "b", 1.0), (1, "a", 1.0), (1, "g", -1.0)]
+
+
+def test_one_failing_query_keeps_the_others(spark):
+    hits = spark.createDataFrame([(q, i, t, 0.5, "dense", n, n + 1) for q in (1, 2) for n, (i, t) in enumerate((("a", "x"), ("b", "yy")))], "qid long, id string, text string, score double, source string, pos long, rank int").coalesce(1)
+    asked = spark.createDataFrame([(1, "bad"), (2, "good")], "qid long, query string")
+
+    def predict(pairs):
+        if any(q == "bad" for q, _ in pairs):
+            raise ValueError
+        return [len(t) for _, t in pairs]
+
+    got = {(r.qid, r["rank"]): r.id for r in R.cross_encoder_rerank(hits, asked, predict).collect()}
+    assert [got[q, n] for q in (1, 2) for n in (1, 2)] == ["a", "b", "b", "a"]
+
+
+def test_as_hits(spark):
+    points = P.make_points(_chunks(spark, ("a", "t1"), ("b", None))).withColumn("vector", A.mock_embed("id"))
+    bare = points.where("payload.original_id = 'a'").withColumns({"id": F.lit("own"), "payload": F.col("payload").withField("original_id", F.lit(""))})
+    assert sorted((r.id, r.text, r.pos) for r in R.as_hits(points.unionByName(bare)).collect()) == [("a", "t1", 7_000_000), ("b", "", 7_000_001), ("own", "t1", 7_000_000)]
+
+
+def _hits_table(spark):
+    points = P.make_points(_chunks(spark, ("a", "únos dítěte"), ("b", "stát"), ("c", "jiné"))).withColumn("vector", A.mock_embed("id"))
+    return R.as_hits(points)
+
+
+def test_engine_run_and_its_fallbacks(spark):
+    points, asked = _hits_table(spark), spark.createDataFrame([((1 << 60) + 1, "únos")], "qid long, query string")
+    got = engine.run(points, asked, 2, rewriter=A.prompted()).first()
+    assert got.qid == (1 << 60) + 1 and got.answer == A.SYNTHESIS and got.sources == ["a", "b"]
+    assert got.plan_steps[0].startswith(f"únos {A.EXPANSION}") and len(got.plan_steps) == 3
+
+    def broken(*_):
+        raise ValueError
+
+    fell = engine.run(points, asked, 2, rewriter=broken, planner=broken).first()
+    assert fell.plan_steps == ["únos"] and fell.sources == ["a", "b"]
+    assert spark.range(1).select(A.single_step(F.lit("q"))).first()[0][0].reason == "orchestrator fallback"
+    assert engine.run(points, asked, 2, embed=broken).first().sources == []
+    failed = engine.run(points, asked, 2, model=broken).first()
+    assert (failed.answer, failed.sources) == ("", [])
+    null = engine.run(points, asked, 2, model=lambda q, c: F.lit(None).cast("string")).first()
+    assert (null.answer, null.sources) == ("", ["a", "b"])
+    steps = engine.step_hits(points, asked.withColumn("steps", A.plan("query")), 2, A.mock_embed)
+    assert A.step_totals(steps).first().total_chunks == 6
+
+
+def test_engine_search_and_retrieve(spark):
+    points, asked = _hits_table(spark), spark.createDataFrame([(1, "únos"), (2, " ")], "qid long, query string")
+    got = {r.qid: r for r in engine.search(points, asked, 2, rewriter=A.prompted()).collect()}
+    assert got[1].query == "únos" and got[1].top_cases == ["a", "b"] and got[1].strategy.mode == "direct_answer"
+    rows = engine.retrieve(points, asked, 2).orderBy("rank").collect()
+    assert [(r.qid, r.chunk_id, r.case_reference) for r in rows] == [(1, "a", "ref"), (1, "b", "ref")]
+    assert engine.retrieve(points, asked, 2, sources=["constitutional"]).count() == 2
+    assert engine.retrieve(points, asked, 2, sources=["supreme"], prefilter=True).count() == 0
+
+
+def test_text_models(spark):
+    assert one(spark, A.mock_text_model("t"), t="a\n\n b \nPřepsaný dotaz:\n") == f"b {A.EXPANSION}"
+    assert one(spark, A.mock_text_model("t"), t="no mark") == A.EXPANSION
+    assert one(spark, A.mock_text_model("t"), t="Přepsaný dotaz:\nlast") == f"last {A.EXPANSION}"
+    assert one(spark, A.rewrite("t", A.prompted()), t="q") == f"q {A.EXPANSION}"
+    assert one(spark, A.rewrite("t", lambda q: F.lit(" ")), t="q") == "q"
+    chunks = F.array(*[F.struct(F.lit(f"c{i}").alias("id"), F.lit("{x}" * 400).alias("text")) for i in range(6)])
+    messages = one(spark, A.rag_messages(F.col("t"), chunks, "S", "{query}: {chunks}"), t="q{1}")
+    assert [m.role for m in messages] == ["system", "user"] and messages[1].content.startswith("q(1): [c0] (x)") and messages[1].content.count("[c") == 5 and len(messages[1].content) == 6 + 5 * 805 + 4 * 2 - 0 - 0
+    assert one(spark, A.mock_llm("t", chunks), t="q") == ("Mock odpověď na: q", "", ["c0", "c1", "c2"], 0.5)
+    assert one(spark, A.first_text_block("t"), t='{"content":[{"type":"image"},{"type":"text","text":"x"},{"type":"text","text":"y"}]}') == "x"
+    rows = A.gather(spark.createDataFrame([(1, "q"), (2, "r")], "qid long, query string"), spark.createDataFrame([(1, 1, "a", "t", 0.5), (1, 2, "b", "u", 0.4), (2, 1, "a", "t", 0.5)], "qid long, rank int, id string, text string, score double"))
+    got = {r.qid: r.answer for r in A.hybrid_answer(rows, lambda q, c: F.concat(F.lit("model "), q)).collect()}
+    assert got == {1: "model q", 2: A.SUMMARY + "r"}
+
+
+def test_embedders(spark):
+    class Model:
+        def encode(self, texts):
+            return [[3.0, 4.0] if t else [0.0, 0.0] for t in texts]
+
+    rows = spark.createDataFrame([("a",), ("",), (None,)], "t string")
+    got = [list(r.v) for r in rows.select(A.sentence_embedder(Model)("t").alias("v")).collect()]
+    assert got == [[pytest.approx(0.6), pytest.approx(0.8)], [0.0, 0.0], [0.0, 0.0]] and A.dimension(Model) == 2
+    with pytest.raises(Exception, match="zip"):
+        rows.coalesce(1).select(A.embedder(lambda texts: [[1.0]])("t")).collect()
+
+
+def test_service(spark):
+    from tessera.plans.service import NotReady, Service
+
+    stub = Service(spark)
+    assert stub.retrieve("q") == [] and stub.search("q")["strategy"]["mode"] == "no_results" and not stub.health()["ready"]
+    with pytest.raises(NotReady, match="broken"):
+        Service(spark, strict=True, error="broken").query("q")
+    live = Service(spark, _hits_table(spark), "v1")
+    first = live.query("únos")
+    live.planner = lambda q: F.lit("1. other | r")
+    assert live.query("  ÚNOS ") == first and live.health()["cached_answers"] == 1
+    assert [r["chunk_id"] for r in live.retrieve("únos", 2)] == ["a", "b"] and live.search("únos", 2)["top_cases"] == ["a", "b"]
+
+
+def test_hot_identities_are_cut_before_the_shuffle(spark):
+    rows = spark.range(20_000).select(F.lit("same").alias("k"), F.col("id").alias("pos"), (F.col("id") % 7).alias("n"), F.lit("text").alias("text"))
+    best = C.dedup_best(rows, F.col("k"), [F.col("n")], "pos")
+    assert best.first().asDict() == {"k": "same", "pos": 0, "n": 6, "text": "text"}
+    assert "partial_min_by" in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seed_and_paths(spark, monkeypatch):
+    empty = spark.createDataFrame([], CHUNK_FIELDS)
+    seed = S.or_seed(empty).collect()
+    assert [r.id for r in seed] == [str(i) for i in range(1, 9)] and all(r.case_reference == r.id and r.ecli == "" for r in seed)
+    assert S.resolved("a/b", "/r") == "/r/a/b" and S.resolved("/a", "/r") == "/a" and S.resolved("s3://b/a", "/r") == "s3://b/a"
+    monkeypatch.setenv("TESSERA_RESULTS_PATH", "x/results.json")
+    assert S.batches_folder(root="/r") == "/r/x"
+    monkeypatch.setenv("TESSERA_BATCHES_DIR", "/own")
+    assert S.batches_folder(root="/r") == "/own"
