@@ -19,8 +19,10 @@ from ..operators import answering as A
 from ..operators import corpus as C
 from ..operators import points as P
 from ..operators import retrieval as R
+from ..schemas import DECISION_FIELDS, _schema
 from ..session import shared
 from ..sources import files as S
+from ..sources.seed import SEED
 from . import engine as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -444,6 +446,149 @@ def q41_hybrid_answer(spark, d):
     return A.hybrid_answer(_gathered(spark, d), model).select("qid", "answer")
 
 
+@query("SELECT page_id, 'v' || page_id || '&' AS state, 'last' AS again, '__EVENTVALIDATION' AS lacks, length(url) AS n FROM pages")
+def q42_hidden_fields(spark, d):
+    """Forms with hidden fields, escaped, repeated, and one of the required ones missing."""
+    form = F.concat(F.lit('<form><input type="hidden" name="__VIEWSTATE" value="v'), "page_id", F.lit('&amp;"/><input type="hidden" name="a" value="first"><input type="text" name="t" value="no"><INPUT TYPE="hidden" name="a" value="last"><input type="hidden" name="__VIEWSTATEGENERATOR" value="'), "url", F.lit('"></form>'))
+    rows = _t(spark, d, "pages").select("page_id", H.hidden_fields(form).alias("f"))
+    lacks = F.array_join(H.missing_fields("f", H.FORM_FIELDS), ",")
+    return rows.select("page_id", F.col("f")["__VIEWSTATE"].alias("state"), F.col("f")["a"].alias("again"), lacks.alias("lacks"), F.length(F.col("f")["__VIEWSTATEGENERATOR"]).cast("long").alias("n"))
+
+
+@query("SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN 'kept' ELSE 'made ' || length(text) END AS answer, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 1 END AS added FROM benchmark")
+def q43_cache(spark, d):
+    """A cache that has every third answer, has let every third expire, and lacks the others."""
+    asked, now = _asked(spark, d), F.lit("2026-01-02 00:00:00").cast("timestamp")
+    none = F.array().cast("array<string>")
+    expires = F.when(F.col("qid") % 3 == 0, F.expr("timestamp'2026-01-03 00:00:00'")).otherwise(F.expr("timestamp'2026-01-01 00:00:00'"))
+    cache = asked.where("qid % 3 < 2").select(I.cache_key("query", "v1").alias("key"), F.lit("kept").alias("answer"), none.alias("sources"), none.alias("plan_steps"), expires.alias("expires_at"))
+    made = lambda q: q.select("qid", F.concat(F.lit("made "), F.length("query")).alias("answer"), none.alias("sources"), none.alias("plan_steps"))
+    found, new = E.cached(asked, cache, made, "v1", now, 3600)
+    late = new.where(F.col("expires_at") == F.expr("timestamp'2026-01-02 01:00:00'")).select("key", F.lit(1).alias("added"))
+    keys = asked.select("qid", I.cache_key("query", "v1").alias("key")).join(late, "key", "left").select("qid", F.coalesce("added", F.lit(0)).alias("added"))
+    return found.select("qid", "answer").join(keys, "qid")
+
+
+@query("SELECT CAST(doc_id * 10 + i AS BIGINT) AS result_id, source || ' ' || doc_id || '/' || i AS case_reference, 'text ' || doc_id AS full_text FROM documents, (VALUES (0), (1)) v(i) WHERE doc_id BETWEEN 5 AND 60 ORDER BY doc_id, i LIMIT 90")
+def q44_collect_results(spark, d):
+    """The first 90 results of pages 5 to 60, cut before their texts are joined; each page comes twice."""
+    docs = _t(spark, d, "documents")
+    result = lambda i: F.struct(*[
+        {"result_id": (F.col("doc_id") * 10 + i), "case_reference": F.concat("source", F.lit(" "), "doc_id", F.lit(f"/{i}")), "text_url": F.concat(F.lit("u"), "doc_id")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in _schema(DECISION_FIELDS).fields
+    ])
+    pages = docs.select(F.col("doc_id").cast("int").alias("page_index"), F.array(result(0), result(1)).alias("results"))
+    texts = docs.select(F.concat(F.lit("u"), "doc_id").alias("text_url"), F.concat(F.lit("text "), "doc_id").alias("full_text"))
+    found = S.collect_results(pages.unionByName(pages), texts, 5, 60, 90, skip_duplicates=True)
+    return found.select("result_id", "case_reference", "full_text")
+
+
+@query("SELECT doc_id AS result_id, text AS full_text, source AS case_reference, 1 AS lists FROM documents")
+def q45_batch_files(spark, d):
+    """Decisions as files of JSON arrays, beside a manifest, read again."""
+    root = f"{shared(spark)}/batches-{uuid.uuid4().hex}"
+    item = F.to_json(F.struct(F.col("doc_id").alias("result_id"), F.col("source").alias("case_reference"), F.col("text").alias("full_text"), F.lit(None).cast("array<string>").alias("topics_and_keywords")))
+    arrays = _t(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(7)).alias("n")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ",\n"), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("n").text(f"{root}/files")  # one row and so one file each
+    rows = S.read_decisions(spark, f"{root}/files")
+    return rows.select("result_id", "full_text", "case_reference", F.when(F.size("topics_and_keywords") == 0, 1).otherwise(0).alias("lists"))
+
+
+@query(f"WITH {_CHUNKS}, p AS (SELECT {_UUID} AS id, doc_id FROM c) SELECT count(*) + count(*) FILTER (doc_id % 3 = 0) AS before, count(*) AS after, count(*) AS ids, true AS stable, false AS stable_before, 'b' AS target FROM p")
+def q46_collections(spark, d):
+    """A collection with legacy copies is reported on, repaired into one like it, and its alias swapped."""
+    held = P.Collections(spark, f"{shared(spark)}/collections-{uuid.uuid4().hex}")
+    held.create("a", 10)
+    points = P.make_points(_chunks(spark, d)).withColumn("vector", A.mock_embed("id"))
+    legacy = points.where(F.col("payload.document_id") % 3 == 0).withColumn("id", F.concat(F.lit("legacy-"), "id"))
+    points.unionByName(legacy).write.mode("overwrite").parquet(held.path("a"))
+    held.swap_alias("live", "a")
+    before = P.supports_stable_sync(held.read("live")).select(F.col("stable").alias("stable_before"))
+    found = held.repair("live", "b")
+    held.swap_alias("live", "b")
+    after = P.duplicate_report(held.read("live")).select(F.col("total_points").alias("after"), F.col("unique_ids").alias("ids"))
+    one = after.crossJoin(P.supports_stable_sync(P.require_vectors(held.read("live"), 10))).crossJoin(before)  # of one row each
+    return one.select(F.lit(found["total_points"]).cast("long").alias("before"), "after", "ids", "stable", "stable_before", F.lit(held.aliases()["live"]).alias("target"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id || '_' || chunk_index AS id, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE lang END AS judge FROM c JOIN documents USING (doc_id)")
+def q47_stream_upsert(spark, d):
+    """Two batches of a stream: all chunks, then those of even documents with another judge."""
+    from ..schemas import CHUNK_FIELDS
+    from ..streaming.ingest import PointTable, ingest_stream
+
+    root = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    table, chunks = PointTable(spark, f"{root}/points"), _chunks(spark, d)
+    for n, rows in enumerate((chunks, chunks.where("document_id % 2 = 0").withColumn("judge", F.lit("again")))):
+        rows.write.parquet(f"{root}/in/{n}")
+        ingest_stream(spark.readStream.schema(CHUNK_FIELDS).parquet(f"{root}/in/*"), table, A.mock_embed, f"{root}/check").awaitTermination()
+    return table.read().select(F.col("payload.original_id").alias("id"), "payload.judge")
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1] || ' {A.EXPANSION}' AS q FROM benchmark)
+SELECT qid, q AS rewritten, CAST(i AS INT) AS step_no, CASE i WHEN 0 THEN q || '{A.PLAN_STEPS[0][0]}' WHEN 1 THEN '{A.PLAN_STEPS[1][0]}' ELSE '{A.PLAN_STEPS[2][0]}' END AS step, CASE i WHEN 0 THEN '{A.PLAN_STEPS[0][1]}' WHEN 1 THEN '{A.PLAN_STEPS[1][1]}' ELSE '{A.PLAN_STEPS[2][1]}' END AS reason, 'fallback — empty plan' AS other FROM q, (VALUES (0), (1), (2)) v(i)""")
+def q48_rewrite_and_plan(spark, d):
+    """The prompt's last line before its mark is rewritten and planned; a reply without steps gives one."""
+    rows = _asked(spark, d).select("qid", A.rewrite("query", A.prompted()).alias("rewritten"))
+    other = A.plan("rewritten", A.mock_text_model)[0]["reason"]
+    rows = rows.withColumns({"other": other, "steps": A.plan("rewritten")})
+    steps = rows.select("qid", "rewritten", "other", F.posexplode("steps").alias("step_no", "s"))
+    return steps.select("qid", "rewritten", "step_no", F.col("s.query").alias("step"), "s.reason", "other")
+
+
+@query(f"SELECT item_id AS qid, '{A.SUMMARY}' || text AS summary, {_FIRST} AS cases, 'llm_summary' AS mode FROM benchmark")
+def q49_engine_search(spark, d):
+    """Hybrid search with a rule-based answer over equal vectors; the answer has the query as it was asked."""
+    points = _points(spark, d).withColumn("vector", A.mock_embed("text"))
+    out = E.search(points, _asked(spark, d), 5, rewriter=A.prompted())
+    return out.select("qid", "summary", F.array_join("top_cases", ",").alias("cases"), "strategy.mode")
+
+
+@query("SELECT substring(sha256(string_agg(url || '|' || length(html) || '|' || page_id, chr(10) ORDER BY url || '|' || length(html) || '|' || page_id)), 1, 16) AS version, 'seed-corpus' AS empty FROM pages")
+def q50_corpus_version(spark, d):
+    files = _t(spark, d, "pages").select(F.col("url").alias("name"), F.length("html").alias("size"), F.col("page_id").alias("modified"))
+    return C.corpus_version(files).crossJoin(C.corpus_version(files.where("false")).select(F.col("version").alias("empty")))  # of one row each
+
+
+@query("SELECT doc_id, lang || ',' || source || ' x,' || lang || ',' || lang AS lines, lang || ',' || source || ' x,' || lang AS collapsed, 'I_' || doc_id || '-' || lang AS ids FROM documents")
+def q51_cells(spark, d):
+    """Lines of a cell without blanks and dashes, repeats collapsed, and ids of links."""
+    rows = _t(spark, d, "documents")
+    cell = F.concat("lang", F.lit("\r\n (-) \n "), "source", F.lit("   x\n\n"), "lang", F.lit("\n "), "lang")
+    urls = F.array(F.concat(F.lit("https://example.org/GetText.aspx?sz=I_"), "doc_id", F.lit("-"), "lang", F.lit("&a=b")), F.lit(None), F.lit("https://example.org/none"))
+    return rows.select("doc_id", F.array_join(X.cell_lines(cell), ",").alias("lines"), F.array_join(X.collapse_repeats(X.cell_lines(cell)), ",").alias("collapsed"), F.array_join(H.document_ids(urls), ",").alias("ids"))
+
+
+@query("SELECT conv_id, turn, text AS block, 'Mock odpověď na: ' || text AS answer, 0.5::DOUBLE AS confidence FROM conversations WHERE role = 'user' AND length(text) > 0")
+def q52_model_replies(spark, d):
+    """The first text block of a reply, and the deterministic model."""
+    rows = _t(spark, d, "conversations").where("role = 'user' and length(text) > 0")
+    blocks = F.array(F.struct(F.lit("image").alias("type"), F.lit("no").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("later").alias("text")))
+    reply = F.to_json(F.struct(blocks.alias("content")))
+    made = A.mock_llm("text", F.array(F.struct(F.lit("c").alias("id"))))
+    return rows.select("conv_id", "turn", A.first_text_block(reply).alias("block"), made["answer"].alias("answer"), made["confidence"].alias("confidence"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', '{i}', 0)" for i, t in SEED) + ") v(id, text, case_reference, chunk_index)")
+def q53_seed_corpus(spark, d):
+    """What an empty store starts with."""
+    return S.or_seed(_chunks(spark, d).where("false")).select("id", "text", "case_reference", "chunk_index")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def q54_stream_first_seen(spark, d):
+    """The first event of each user and type, from a stream that keeps the keys that it has seen."""
+    from ..streaming.ingest import first_seen
+
+    name = f"s{uuid.uuid4().hex}"
+    events = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    keyed = events.select("user_id", "event_type", F.concat_ws("|", "user_id", "event_type").alias("key"))
+    stream = first_seen(keyed, "key").writeStream.format("memory").queryName(name).option("checkpointLocation", f"{shared(spark)}/{name}").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    firsts = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return spark.table(name).select("user_id", "event_type").join(firsts, ["user_id", "event_type"])
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def x01_pricing(spark, d):
     rows = _t(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")

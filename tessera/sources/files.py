@@ -15,7 +15,7 @@ from .seed import SEED
 def read_decisions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files that hold one JSON array of decisions; missing keys are null, missing lists empty; anything
     else in a file raises. ``pos`` is the order of files and of their elements."""
-    whole = spark.read.option("wholetext", True).text(paths).select("value", F.input_file_name().alias("file"))
+    whole = spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("file"))
     whole = whole.where(~F.col("file").endswith("/manifest.json"))
     items = F.from_json("value", "array<string>")
     checked = F.when(F.coalesce(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1) == "[", F.lit(False)), items).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file"))))

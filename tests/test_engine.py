@@ -168,7 +168,7 @@ def test_result_page(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "b.json").write_text('[{"result_id": 1, "case_reference": "é"}, {"result_id": 2}]')
+    (tmp_path / "b.json").write_text('\n [\n  {"result_id": 1,\n "case_reference": "é"},\n {"result_id": 2}]\n')
     (tmp_path / "manifest.json").write_text("{}")
     rows = S.read_decisions(spark, f"{tmp_path}/*.json").orderBy("pos").collect()
     assert [(r.result_id, r.case_reference, r.topics_and_keywords) for r in rows] == [(1, "é", []), (2, None, [])]
