@@ -1,11 +1,11 @@
 """Exact Jaccard join of word-shingle sets with a token-group matrix.
 
 Documents with one word sequence collapse to a representative. Each set's prefix, its rarest tokens,
-holds at least SHARE tokens of every partner at the threshold (fewer where a smaller overlap is
-enough to link). Similar documents of like size form groups of bounded size; the matrix holds the
-token union of each group's prefixes, with the range of their set sizes. The tokens that a query
-group's union shares with another's bound the overlap of their members; only groups that reach the
-least overlap at which a member could link are opened, and their members verified exactly.
+meets every partner at the threshold; a longer prefix holds at least SHARE tokens of every partner
+(fewer where a smaller overlap is enough to link). Similar documents of like size form groups of
+bounded size with the union of their longer prefixes. The token-group matrix tells which groups meet;
+the tokens that their unions share bound the overlap of any two members, and only groups that reach
+the least overlap at which members could link are opened and their members verified exactly.
 
 Links are only needed between components: in each round the documents of a token's bucket are
 compared with one leader (a star, not all pairs); after that, whole groups of the query's own
@@ -29,8 +29,8 @@ SHINGLE = 4
 PERCENT = 85
 GROUP = 32
 ROUNDS = 2
-#: Tokens that the prefixes of two linked sets share at least.
-SHARE = 3
+#: Tokens that the longer prefixes of two linked sets share at least.
+SHARE = 6
 #: Frequent shingles that the token order knows; a bound, as any fixed order gives the same links.
 FREQUENT = 300_000
 #: Shingle hashes that a task counts at once.
@@ -215,18 +215,23 @@ def _by_token(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(hot, "t"), cold
 
 
+def _lists(parts: list[np.ndarray], kind: str) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, kind)])))
+
+
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``docs`` without the text, with k, n, prefix, one, bits: k is the hash of the word sequence (null
-    without words), n the set's size, prefix its rarest tokens, the first ``one`` of which are enough to
-    share one with every partner, bits its parity bitmap."""
+    """``docs`` without the text, with k, n, prefix, rare, bits: k is the hash of the word sequence (null
+    without words), n the set's size, prefix its rarest tokens, enough to share one with every partner,
+    rare the low halves of those that share SHARE with every partner, bits its parity bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[bytes]) -> dict:
         known, often = np.ascontiguousarray(held.value[:, 0]), np.ascontiguousarray(held.value[:, 1])
-        keys, sizes, prefixes, ones, bits = [], [], [], [], []
+        keys, sizes, prefixes, rare, bits = [], [], [], [], []
         for n_words, sequence, tokens in hashed(texts, size):
             bits.append(parity(tokens))
-            m = prefix_length(len(tokens), percent, SHARE)
+            m = prefix_length(len(tokens), percent)
             if len(known) and len(tokens):
                 place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 rank = np.where(known[place] == tokens, often[place], 0)
@@ -235,11 +240,10 @@ def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
             keys.append(sequence if n_words else None)
             sizes.append(len(tokens))
             prefixes.append(tokens[:m])
-            ones.append(prefix_length(len(tokens), percent))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype("int32")
-        return {"k": keys, "n": sizes, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, "int64")]))), "one": ones, "bits": bits}
+            rare.append(tokens[: prefix_length(len(tokens), percent, SHARE)].astype("int32"))
+        return {"k": keys, "n": sizes, "prefix": _lists(prefixes, "int64"), "rare": _lists(rare, "int32"), "bits": bits}
 
-    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType()), "one": T.IntegerType(), "bits": T.BinaryType()}
+    fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType()), "rare": T.ArrayType(T.IntegerType()), "bits": T.BinaryType()}
     rest = [c for c in docs.columns if c != "text"]
     return map_texts(docs.select(*rest, F.col("text").cast("binary").alias("__b")), run, fields, "__b", keep=rest)
 
@@ -257,8 +261,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 if n_words and sequence == k:  # rows that repeat a doc_id may have other texts
                     keys.append(k)
                     tokens.append(found)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype("int32")
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*tokens, np.zeros(0, "int64")])))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(tokens, "int64")], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
@@ -335,14 +338,14 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select("doc_id", *keys, F.col(text_col).alias("text"))
     base = scratch.write(_base(docs, _frequent(docs, size), size, percent), "base")
-    tokens = base.select("k", F.explode(F.slice("prefix", F.lit(1), F.col("one"))).alias("t"))
+    tokens = base.select("k", F.explode("prefix").alias("t"))
     # tokens of two representatives or more, each with one as its leader; copies count once in min and max
     buckets = scratch.write(tokens.groupBy("t").agg(F.min("k").alias("lk"), F.max("k").alias("uk"), F.count(F.lit(1)).alias("nb")).where("lk < uk").select("t", "lk", "nb"), "buckets")
     scratch.free_shuffles()
     hot, cold = (x.select("t", "k", "lk").distinct() for x in _by_token(tokens, buckets))
     shared = scratch.write(hot.unionByName(cold), "shared")
     scratch.free_shuffles()
-    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "reps")
+    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare")), "reps")
     members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g")).join(reps, "k"), "members")
     sets: DataFrame | None = None
 
@@ -380,7 +383,7 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
         if turn <= ROUNDS:
             pairs = rows.where((F.col("c") != F.col("lc")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b"))
         else:
-            pairs = _open_groups(rows, members, base, scratch, percent)
+            pairs = _open_groups(rows, members, scratch, percent)
         pairs = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
         if not pairs.limit(1).count():
             continue
@@ -402,19 +405,18 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     return out.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), *keys, *([F.col("c").alias("component")] if keys else []))
 
 
-def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs of queries and members of the groups that the token-group matrix lets through, as far
     as sizes and bitmaps allow a link.
 
     A group holds GROUP documents or so of one size band, of one component where that is larger than one
-    document. The matrix row of a token and a group says that the group's union has the token, with the
-    range of sizes and components of the members with it. Queries are asked by group too: the tokens
-    that two unions share, where sizes and components allow a link, are an upper bound for the prefix
-    tokens that any two of their members share, so a pair of groups is opened only where there are
-    SHARE of them (or as many as the smallest overlap of the groups' sizes). The unions are joined by
-    token and size band, so a token that very many groups have is split by their sizes.
+    document. The matrix row of a token and a group has the range of sizes and components of the members
+    with it. Queries are asked by group too: two groups meet where they have a token and sizes and
+    components allow a link. The tokens that their unions share are an upper bound for what the longer
+    prefixes of any two members share, so they are opened only if there are SHARE of them (or as many as
+    the smallest overlap of the groups' sizes). Groups meet by token and size band, so a token that very
+    many groups have is split by their sizes.
     """
-    common = lambda n: F.ceil(n * percent / 100)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")  # linked sizes are in one band or in neighbours
     held = rows.select("k", "n", "c").distinct().join(members.select("k", "g"), "k").withColumn("band", band)
     sizes = held.groupBy("c").agg(F.count(F.lit(1)).alias("nc"))
@@ -422,27 +424,35 @@ def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch:
     counts = held.groupBy("of", "band").agg(F.count(F.lit(1)).alias("no"))
     held = held.join(counts, ["of", "band"]).withColumn("gid", F.xxhash64("of", "band", F.pmod(F.xxhash64("k"), F.ceil(F.col("no") / GROUP))))
     held = scratch.write(held.select("k", "n", "c", "band", "gid"), "groups")
-    unions = base.select("k", "prefix").join(held, "k").groupBy("k").agg(F.first("prefix").alias("prefix"), F.first(F.struct("n", "c", "band", "gid")).alias("x")).select(F.explode("prefix").alias("t"), "x.*")
-    matrix = unions.groupBy("t", "gid", "band").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    least = held.groupBy("gid").agg(F.min("n").alias("least"))
+    matrix = rows.select("t", "k").join(held, "k").groupBy("t", "gid", "band").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     matrix = scratch.write(matrix, "matrix")
     twice = matrix.withColumn("key", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     bound = F.least(F.col("p.n1"), F.col("m.n1")) * 100 >= F.greatest(F.col("p.n0"), F.col("m.n0")) * percent
     other = (F.col("p.c0") != F.col("p.c1")) | (F.col("m.c0") != F.col("m.c1")) | (F.col("p.c0") != F.col("m.c0"))
     once = (F.col("p.band") != F.col("m.band")) | (F.col("p.gid") <= F.col("m.gid"))
     met = matrix.alias("p").join(twice.alias("m"), (F.col("p.t") == F.col("m.t")) & (F.col("p.band") == F.col("m.key")) & once & bound & other)
-    met = met.groupBy(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).agg(F.count(F.lit(1)).alias("shared"))
-    l1, l2 = (least.select(F.col("gid").alias(f"g{i}"), F.col("least").alias(f"l{i}")) for i in (1, 2))
-    enough = F.col("shared") >= F.least(F.lit(SHARE), common(F.col("l1")), common(F.col("l2")))
-    opened = scratch.write(met.join(l1, "g1").join(l2, "g2").where(enough).select("g1", "g2"), "opened")
-    inside = held.join(members.select("k", "bits"), "k").groupBy("gid").agg(F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"))  # GROUP documents or so
+    met = scratch.write(met.select(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).distinct(), "met")
+    inside = held.join(members.select("k", "bits", "rare"), "k").groupBy("gid").agg(  # GROUP documents or so
+        F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rare")))).alias("union"), F.min("n").alias("least")
+    )
     inside = scratch.write(inside, "inside")
-    one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.col("inside").alias(f"i{i}")) for i in (1, 2))
-    rows = opened.join(one, "g1").join(two, "g2").select("i1", "i2")
+    one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.struct("inside", "union", "least").alias(f"i{i}")) for i in (1, 2))
+    rows = met.join(one, "g1").join(two, "g2").select(*[f"i{i}.{c}" for i in (1, 2) for c in ("inside", "union", "least")]).toDF("a", "ua", "la", "b", "ub", "lb")
+
+    def opened(b: pa.RecordBatch) -> np.ndarray:
+        """Which pairs of groups could have members that link."""
+        out = np.zeros(b.num_rows, bool)
+        least = np.minimum(-(-percent * b.column(2).to_numpy() // 100), -(-percent * b.column(5).to_numpy() // 100))
+        (x, ox), (y, oy) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (b.column(1), b.column(4)))
+        for i in range(b.num_rows):
+            shared = np.intersect1d(x[ox[i] : ox[i + 1]], y[oy[i] : oy[i + 1]], assume_unique=True)
+            out[i] = len(shared) >= min(SHARE, least[i])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column(0).to_pylist(), b.column(1).to_pylist()
+            b = b.filter(pa.array(opened(b)))
+            left, right = b.column(0).to_pylist(), b.column(3).to_pylist()
             pairs: set[tuple[int, int]] = set()
             for xs, ys in zip(left, right, strict=True):
                 for x in xs:
