@@ -38,6 +38,8 @@ TOPICS = 6
 HIDDEN = 24
 LANES, ROUND_LANES, WINDOW = 64, 512, 24
 SCORE_LANES, SCORE_WINDOW = 256, 64
+#: Words that a task scores together, about.
+SCORE_WORDS = 2_000_000
 #: Rows whose logits are made at once.
 BLOCK = 2048
 #: Parts that all training documents are learned in, the rate there, words that a task holds at once,
@@ -504,35 +506,46 @@ def score(docs: DataFrame, is_train, text_col: str = "text", scratch: Scratch |
         uid = TaskContext.get().partitionId() << 36
         tail = len(v.words)
         logs = np.append(np.log10(v.counts + SMOOTH), 0.0)
+
+        def scored(group: list[tuple[list[pa.Array], list[np.ndarray], list[Counter]]]) -> Iterator[pa.RecordBatch]:
+            """The rows of a group of batches; their documents share the lanes, so long ones leave few idle."""
+            nonlocal uid
+            found = net.score([ids for _, coded, _ in group for ids in coded], v)
+            for columns, coded, lost in group:
+                n, found_here = len(coded), found[: len(coded)]
+                found = found[n:]
+                sizes = np.array([len(c) for c in coded], "int64")
+                flat = np.concatenate(coded) if coded else np.zeros(0, "int32")
+                of = np.repeat(np.arange(n), sizes)
+                known = np.bincount(of, weights=flat < tail, minlength=n).astype("int64")
+                base = np.bincount(of, weights=logs[flat], minlength=n)
+                rest_uid = np.repeat(uid + np.arange(n), [len(x) for x in lost])
+                m = len(rest_uid)
+                left = lambda x, t, m=m: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])
+                right = lambda x, t, n=n: pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)])
+                arrays = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in columns]
+                arrays += [
+                    pa.array(np.concatenate([uid + np.arange(n), rest_uid]), pa.int64()), left(sizes, pa.int64()), left(known, pa.int64()), left(base, pa.float64()), left(found_here, pa.float64()),
+                    right([w for x in lost for w in x], pa.binary()), right([k for x in lost for k in x.values()], pa.int64()),
+                ]
+                uid += n
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        group, held_words = [], 0
         for b in batches:
-            texts = b.column(n_kept).to_pylist()
-            n = len(texts)
-            coded, rest_uid, rest_word, rest_n = [], [], [], []
-            for i, data in enumerate(texts):
+            coded, lost = [], []
+            for data in b.column(n_kept).to_pylist():
                 words = words_of(data or b"")
                 ids = numbers(v, words)
                 coded.append(ids)
-                far = np.flatnonzero(ids == tail)
-                if len(far):
-                    lost = Counter(words[j] if j < len(words) else END for j in far.tolist())
-                    rest_uid.extend([uid + i] * len(lost))
-                    rest_word.extend(lost.keys())
-                    rest_n.extend(lost.values())
-            sizes = np.array([len(c) for c in coded], "int64")
-            flat = np.concatenate(coded) if coded else np.zeros(0, "int32")
-            of = np.repeat(np.arange(n), sizes)
-            known = np.bincount(of, weights=flat < tail, minlength=n).astype("int64")
-            base = np.bincount(of, weights=logs[flat], minlength=n)
-            m = len(rest_uid)
-            left = lambda x, t, m=m: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])
-            right = lambda x, t, n=n: pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)])
-            arrays = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in b.columns[:n_kept]]
-            arrays += [
-                pa.array(np.concatenate([uid + np.arange(n), np.array(rest_uid, "int64")]), pa.int64()), left(sizes, pa.int64()), left(known, pa.int64()),
-                left(base, pa.float64()), left(net.score(coded, v) if n else [], pa.float64()), right(rest_word, pa.binary()), right(rest_n, pa.int64()),
-            ]
-            uid += n
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                held_words += len(ids)
+                lost.append(Counter(words[j] if j < len(words) else END for j in np.flatnonzero(ids == tail).tolist()))
+            group.append((b.columns[:n_kept], coded, lost))
+            if held_words >= SCORE_WORDS:
+                yield from scored(group)
+                group, held_words = [], 0
+        if group:
+            yield from scored(group)
 
     made = scratch.write(rows.select(*kept, "b").mapInArrow(run, schema), "made")
     rest = made.where("__word is not null").select("__uid", F.col("__word").alias("word"), F.col("__n").alias("m"))
