@@ -1,6 +1,8 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every vector is put into its leaf. A query walks the tree
+The upper levels are fitted on a bounded sample by the driver; below each of their leaves a task fits
+the lower ones on a larger sample, by the same rule, so the leaves grow with the table up to FINE times
+as many. Every vector is put into its leaf. A query walks the tree
 best-bin-first through a priority queue; the number of leaves it opens is widened until calibration
 queries, compared with brute force over all vectors, reach the wanted recall, and further for each
 query until its leaves hold k other vectors. Leaves are cut into tiles of bounded size, so that a leaf
@@ -10,6 +12,7 @@ with very many vectors or queries is spread over tasks.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,8 @@ from .common import Scratch, small_batches, table
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 BRANCH = 8
 LEAF_SAMPLE = 40
-MAX_LEAVES = 1024
+#: Leaves of the upper levels at most, and leaves that the lower ones make of each.
+MAX_LEAVES, FINE = 1024, 64
 CALIBRATION = 64
 RECALL = 0.985
 TILE = 2048
@@ -37,13 +41,13 @@ MOST = 1e100
 class Tree:
     """Nodes as arrays: centre, children (empty for a leaf), leaf number."""
 
-    def __init__(self, x: np.ndarray, seed: int = 7):
+    def __init__(self, x: np.ndarray, seed: int = 7, most: int = MAX_LEAVES):
         self.rng = np.random.default_rng(seed)
         self.centres, self.children, self.leaf = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], [-1]
         queue, n_leaves = [(-len(x), 0, np.arange(len(x)))], 1
         while queue:
             size, node, rows = heapq.heappop(queue)
-            if -size < 2 * LEAF_SAMPLE or n_leaves + BRANCH > MAX_LEAVES:
+            if -size < 2 * LEAF_SAMPLE or n_leaves + BRANCH > most:
                 continue
             groups = self._split(x[rows])
             if len(groups) < 2:
@@ -56,10 +60,26 @@ class Tree:
                 self.children[node].append(len(self.centres) - 1)
                 heapq.heappush(queue, (-len(members), len(self.centres) - 1, rows[members]))
         self.centres = np.array(self.centres)
+        self._number()
+
+    def _number(self) -> None:
+        self.n_leaves = 0
         for i, kids in enumerate(self.children):
-            if not kids:
-                self.leaf[i] = sum(v >= 0 for v in self.leaf[:i])
-        self.n_leaves = sum(v >= 0 for v in self.leaf)
+            self.leaf[i] = -1 if kids else self.n_leaves
+            self.n_leaves += not kids
+
+    def graft(self, below: dict[int, Tree]) -> None:
+        """Puts trees in the place of leaves, by the leaves' numbers."""
+        centres = [self.centres]
+        for node, number in [(i, n) for i, n in enumerate(self.leaf) if n in below]:
+            sub, base = below[number], len(self.children) - 1  # the other's root is this leaf
+            self.children[node] = [base + c for c in sub.children[0]]
+            centres.append(sub.centres[1:])
+            for kids in sub.children[1:]:
+                self.children.append([base + c for c in kids])
+                self.leaf.append(-1)
+        self.centres = np.concatenate(centres)
+        self._number()
 
     def _split(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         centres = np.unique(x[self.rng.choice(len(x), min(BRANCH, len(x)), replace=False)], axis=0)
@@ -174,7 +194,8 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     bound = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     sample = rows.orderBy(F.xxhash64("id", "v")).limit(bound).select("v").toArrow().column("v").combine_chunks()
     tree = Tree(_cut(_matrix(sample, dim)))
-    held = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves
+    _refine(rows, tree, common["n"], len(sample), dim)
+    held = spark.sparkContext.broadcast(tree)  # FINE * bound / LEAF_SAMPLE leaves or so at most
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("leaf", T.IntegerType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +253,27 @@ def _cut(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -MOST, MOST)
 
 
+def _refine(rows: DataFrame, tree: Tree, n: int, sampled: int, dim: int) -> None:
+    """Grows the tree below its leaves, from distinct vectors of a sample FINE times as large as the first
+    (all, if there are fewer). A leaf that holds no more of them than leaves do stays as it is."""
+    rate = min(1.0, FINE * sampled / max(n, 1))
+    held = rows.sparkSession.sparkContext.broadcast(tree)
+    picked = rows.where(F.pmod(F.xxhash64("v", "id"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("v").distinct()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.assign(_cut(_matrix(b.column(0), dim))))], names=["v", "leaf"])
+
+    def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = _cut(np.array(part["v"].tolist()))
+        below = Tree(x[np.lexsort(x.T[::-1])], most=FINE) if len(x) >= 2 * LEAF_SAMPLE else None  # in a fixed order
+        return pd.DataFrame([(key[0], pickle.dumps(below))] if below and below.n_leaves > 1 else [], columns=["leaf", "below"])
+
+    grown = picked.mapInArrow(assign, "v array<double>, leaf int").groupBy("leaf").applyInPandas(grow, "leaf int, below binary").collect()  # one row a leaf
+    tree.graft({r["leaf"]: pickle.loads(bytes(r["below"])) for r in grown})
+    held.unpersist()
+
+
 def _calibrate(spark: SparkSession, index: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float) -> int:
     """The least number of leaf visits at which CALIBRATION queries find ``recall`` of their true
     neighbours, which brute force over all vectors gives."""

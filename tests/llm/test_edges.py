@@ -224,3 +224,19 @@ def test_vectors_at_the_ends_of_the_range(spark):
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id").isin(0, 4), k=3)
     by = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()}
     assert by[0, 1] == (1, pytest.approx(1e190)) and by[4, 1] == (5, pytest.approx(2e-200)) and by[4, 2] == (3, pytest.approx(5**0.5)) and len(by) == 6
+
+
+def test_the_tree_grows_with_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (200, 16))
+    x = np.repeat(centres, 20, 0) + rng.normal(0, 0.2, (4000, 16))
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    trees, calibrate = [], ann._calibrate
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    monkeypatch.setattr(ann, "_calibrate", lambda *a: trees.append((a[3], calibrate(*a))) or trees[0][1])
+    got = ann.search(vectors, F.col("id") % 20 == 0).collect()
+    tree, visits = trees[0]
+    assert tree.n_leaves > 40 and visits < tree.n_leaves / 2  # 500 vectors alone make a dozen
+    assert sorted(set(tree.assign(x).tolist())) == list(range(tree.n_leaves)) and sorted(tree.visit(x[0], tree.n_leaves)) == list(range(tree.n_leaves))
+    q, v, _ = ann.nearest(x[::20], np.arange(0, 4000, 20), x, np.arange(4000), 10)
+    assert len(set(zip(q.tolist(), v.tolist(), strict=True)) & {(r.query_id, r.vec_id) for r in got}) >= 0.93 * len(q)
