@@ -22,10 +22,12 @@ def make_points(chunks: DataFrame, source: str = SOURCE, prefix: str = POINT_PRE
     return chunks.select(point_id("id", prefix).alias("id"), payload.alias("payload"), *[c for c in ("pos",) if c in chunks.columns])
 
 
-def classify(new: DataFrame, existing: DataFrame) -> DataFrame:
+def classify(new: DataFrame, existing: DataFrame, complete: bool = False) -> DataFrame:
     """New points with ``action``: insert, update or skip (same original id and checksum). A stored point
-    without a checksum gets the one that its payload has."""
-    checksum = F.coalesce(F.nullif(F.col("payload.content_checksum"), F.lit("")), payload_checksum("payload"))
+    without a checksum gets the one that its payload has; where ``complete`` says that all have one, only
+    ids and checksums are read."""
+    checksum = F.nullif(F.col("payload.content_checksum"), F.lit(""))
+    checksum = checksum if complete else F.coalesce(checksum, payload_checksum("payload"))
     held = existing.select(F.col("id").alias("__id"), F.coalesce("payload.original_id", "id").alias("__oid"), checksum.alias("__sum"))
     same = (F.col("__oid") == F.col("payload.original_id")) & F.col("__sum").eqNullSafe(F.col("payload.content_checksum"))
     action = F.when(F.col("__id").isNull(), "insert").when(same, "skip").otherwise("update")

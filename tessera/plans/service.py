@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import cache_key
 from ..operators import answering as A
 from ..schemas import POINT_FIELDS
 from ..streaming.ingest import Ingest
@@ -62,14 +63,17 @@ class Service:
 
     def query(self, query: str, top_k: int = 5) -> dict:
         """The whole plan, from the cache where it has an answer that has not expired."""
-        answer = lambda q: engine.run(self._held(), q, top_k, self.rewriter, self.planner, self.embed, self.model)
         held = self.cache if self.cache is not None else self.spark.createDataFrame([], CACHE_FIELDS)
-        now = F.lit(datetime.now(UTC))
-        found, new = engine.cached(self._one(query), held, answer, self.corpus_version, now, self.ttl_seconds)
-        row = found.first()
-        trace(log, "service.query", query=query, sources=len(row["sources"]))
-        if rows := new.collect():  # one answer
-            self.cache = held.unionByName(self.spark.createDataFrame(rows, CACHE_FIELDS))
+        now = datetime.now(UTC)
+        asked = self._one(query).withColumn("key", cache_key("query", self.corpus_version))
+        live = held.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
+        row = asked.select("key").join(live, "key").first()
+        if row is None:
+            row = engine.run(self._held(), asked.select("qid", "query"), top_k, self.rewriter, self.planner, self.embed, self.model).first()
+            trace(log, "service.query", query=query, sources=len(row["sources"]))
+            expires = now + timedelta(seconds=self.ttl_seconds) if self.ttl_seconds and self.ttl_seconds > 0 else None
+            new = [(asked.first()["key"], row["answer"], row["sources"], row["plan_steps"], expires)]
+            self.cache = held.unionByName(self.spark.createDataFrame(new, CACHE_FIELDS))
         return {k: row[k] for k in ("answer", "sources", "plan_steps")}
 
     def health(self) -> dict:

@@ -72,7 +72,7 @@ class PointTable:
 
     def upsert(self, chunks: DataFrame, embed) -> None:
         held = self._versions()
-        changed = changed_points(classify(make_points(chunks), self._read(held)), embed)
+        changed = changed_points(classify(make_points(chunks), self._read(held), complete=True), embed)
         number = held[-1][0] + 1 if held else 0
         name = f"v{number}" if held else f"v{number}-base"
         changed.write.mode("overwrite").parquet(self.path(name))
