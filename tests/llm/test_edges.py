@@ -2,10 +2,14 @@
 
 import glob
 import heapq
+import itertools
+import math
 import os
 import random
+import re
 import string
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -13,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, common, decontaminate, jaccard, mixing, secrets, tokens
+from tessera.llm import ann, common, decontaminate, jaccard, mixing, secrets, tokens, toxicity
 from tessera.llm.common import table
 
 D = "/root/testdata/sf0.001"
@@ -57,8 +61,9 @@ def folders(spark):
 
 
 def test_pipeline_leaves_only_its_result(spark):
-    before = folders(spark)
-    assert corpus_pipeline.run(spark, D).count() > 0
+    before, ids = folders(spark), {r.doc_id for r in table(spark, D, "documents").select("doc_id").collect()}
+    out = corpus_pipeline.run(spark, D).toPandas()
+    assert len(corpus_pipeline.STAGES) == 5 and set(out.doc_id) <= ids and 0 < len(out) and (out.n_tokens == out.ids.map(len)).all()
     assert [tags for p, tags in folders(spark).items() if p not in before and tags] == [[corpus_pipeline.STAGES[-1][0]]]
 
 
@@ -240,3 +245,88 @@ def test_the_tree_grows_with_the_table(spark, monkeypatch):
     assert sorted(set(tree.assign(x).tolist())) == list(range(tree.n_leaves)) and sorted(tree.visit(x[0], tree.n_leaves)) == list(range(tree.n_leaves))
     q, v, _ = ann.nearest(x[::20], np.arange(0, 4000, 20), x, np.arange(4000), 10)
     assert len(set(zip(q.tolist(), v.tolist(), strict=True)) & {(r.query_id, r.vec_id) for r in got}) >= 0.93 * len(q)
+
+
+def _rejected(model, text):
+    counts = Counter(f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in toxicity.word_features(w) if f in model["weights"])
+    eta = sum(model["weights"][f] * math.log1p(n) for f, n in counts.items())
+    return 1 / (1 + math.exp(-max(-30, min(30, eta - model["cuts"][0])))) >= toxicity.REJECT
+
+
+def _first_of_components(rows, size, percent):
+    words = {i: t.encode().lower().split() for i, t in rows.items()}
+    sets = {i: frozenset(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []) for i, w in words.items()}
+    root = {i: i for i in rows}
+    for a, b in itertools.combinations(sorted(rows), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if r == y else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def _has_window(text, windows):
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower())
+    return any(tuple(words[i : i + n]) in found for n, found in windows.items() for i in range(len(words) - n + 1))
+
+
+def test_pipeline_against_a_plain_version(spark):
+    """Every stage, on what the one before kept, against loops over all its rows."""
+    from tokenizers import Tokenizer
+
+    stages, docs = dict(corpus_pipeline.STAGES), table(spark, D, "documents")
+    model = toxicity.learn(docs, table(spark, D, "labels"))
+    scratch, rows = common.Scratch(spark, "plain"), {r.doc_id: r for r in docs.collect()}
+    texts = {i: r.text for i, r in rows.items()}
+
+    def step(name, frame):
+        out = scratch.write(stages[name](spark, frame, D), name)
+        return out, sorted(r.doc_id for r in out.select("doc_id").collect())
+
+    kept, ids = step("toxicity", docs)
+    assert ids == sorted(i for i, t in texts.items() if not _rejected(model, t)) and len(ids) < len(texts)
+    kept, now = step("ngram_jaccard_join", kept)
+    assert now == sorted(_first_of_components({i: texts[i] for i in ids}, 5, 80)) and len(now) < len(ids)
+    windows: dict = {}
+    for r in table(spark, D, "benchmark").collect():
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.encode().lower())
+        n = min(10, len(w))
+        windows.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1) if n)
+    windows.pop(0, None)
+    kept, clean = step("benchmark_decontamination", kept)
+    assert clean == [i for i in now if not _has_window(texts[i], windows)] and len(clean) < len(now)
+    kept, mixed = step("source_mixing", kept)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", texts[i])) for i in clean}
+    total = Counter()
+    for i in clean:
+        total[rows[i].source] += size[i]
+    order = sorted(total)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    left = sum(total.values())
+    while True:  # a target stops at three times its source; the excess goes to the others by weight
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 3 * total[s]}
+        if not full:
+            break
+        target |= {s: 3 * total[s] for s in full}
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    target |= {s: weight[s] * level for s in open_}
+    copies = Counter(mixed)
+    for s in order:
+        rate, carry = target[s] / total[s], 0.0
+        for n in sorted({size[i] for i in clean if rows[i].source == s and size[i]}, reverse=True):
+            own = [i for i in clean if rows[i].source == s and size[i] == n]
+            want = carry + rate * n * len(own)
+            picks = min(math.ceil(rate) * len(own), max(math.floor(rate) * len(own), math.floor(want / n + 0.5)))
+            assert abs(sum(copies[i] for i in own) - picks) <= 1e-9 and all(math.floor(rate) <= copies[i] <= math.ceil(rate) for i in own)
+            carry = want - picks * n
+    kept, last = step("token_output", kept)
+    assert last == mixed
+    tokenizer, at = Tokenizer.from_file(tokens.vocabulary_path()), 0
+    for r in sorted(kept.collect(), key=lambda r: r.start):
+        want = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, list(r.ids)) == (at, len(want), want)
+        at += len(want)
+    scratch.discard()

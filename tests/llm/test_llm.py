@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tessera.llm import ann, decontaminate, jaccard, language_model, mixing, quality, queries, secrets, spans, tokens, toxicity
 from tessera.llm.common import table
 
@@ -201,10 +200,3 @@ def test_sql(spark, name):
     for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     assert sorted(map(tuple, queries.QUERIES[name](spark, D).collect())) == sorted(con.sql(queries.SQL[name]).fetchall())
-
-
-def test_pipeline(spark, docs):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    out = corpus_pipeline.run(spark, D).toPandas()
-    assert set(out.doc_id) <= set(docs.index) and 0 < len(out) and (out.n_tokens == out.ids.map(len)).all()
