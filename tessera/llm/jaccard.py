@@ -345,7 +345,7 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     hot, cold = (x.select("t", "k", "lk").distinct() for x in _by_token(tokens, buckets))
     shared = scratch.write(hot.unionByName(cold), "shared")
     scratch.free_shuffles()
-    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare")), "reps")
+    reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "reps")
     members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g")).join(reps, "k"), "members")
     sets: DataFrame | None = None
 
@@ -383,7 +383,7 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
         if turn <= ROUNDS:
             pairs = rows.where((F.col("c") != F.col("lc")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b"))
         else:
-            pairs = _open_groups(rows, members, scratch, percent)
+            pairs = _open_groups(rows, members, base, scratch, percent)
         pairs = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
         if not pairs.limit(1).count():
             continue
@@ -405,7 +405,7 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     return out.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), *keys, *([F.col("c").alias("component")] if keys else []))
 
 
-def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs of queries and members of the groups that the token-group matrix lets through, as far
     as sizes and bitmaps allow a link.
 
@@ -432,7 +432,8 @@ def _open_groups(rows: DataFrame, members: DataFrame, scratch: Scratch, percent:
     once = (F.col("p.band") != F.col("m.band")) | (F.col("p.gid") <= F.col("m.gid"))
     met = matrix.alias("p").join(twice.alias("m"), (F.col("p.t") == F.col("m.t")) & (F.col("p.band") == F.col("m.key")) & once & bound & other)
     met = scratch.write(met.select(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).distinct(), "met")
-    inside = held.join(members.select("k", "bits", "rare"), "k").groupBy("gid").agg(  # GROUP documents or so
+    rare = base.select("k", "rare").join(held.select("k"), "k", "left_semi").groupBy("k").agg(F.first("rare").alias("rare"))  # copies have the same
+    inside = held.join(members.select("k", "bits"), "k").join(rare, "k").groupBy("gid").agg(  # GROUP documents or so
         F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rare")))).alias("union"), F.min("n").alias("least")
     )
     inside = scratch.write(inside, "inside")
