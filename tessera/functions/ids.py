@@ -29,9 +29,10 @@ def point_id(original_id, prefix: str = POINT_PREFIX) -> Column:
 def canonical_json(fields: dict[str, Column]) -> Column:
     """Compact JSON with sorted keys and nulls, control characters in lower-case escapes."""
     text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    lower = text
     for digit in "ABCDEF":
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
-    return text
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return F.when(text.rlike(r"\\u00[01][A-F]"), lower).otherwise(text)  # few texts have such characters
 
 
 def payload_checksum(payload: str = "payload") -> Column:

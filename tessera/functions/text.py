@@ -47,7 +47,9 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends. A run is tried from its first character only, so that long runs
+    inside a text cost no more than their length."""
+    return F.regexp_replace(_col(c), f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def blank_to_null(c) -> Column:

@@ -44,14 +44,18 @@ def dedup_decisions(decisions: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def chunk(rows: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """One row for each chunk, with chunk_index and chunk_text, of cleaned texts; blank texts give none."""
+    """One row for each chunk, with chunk_index and chunk_text, of cleaned texts; blank texts give none.
+
+    One pass over a text cuts all its chunks: a match goes on by a step and takes the characters of a
+    chunk from there. A row holds its own chunk, so the work and the rows' bytes grow with the text."""
     if size <= overlap or overlap < 0:
         raise ValueError("the chunk size must exceed the overlap, which must not be negative")
     step = size - overlap
     cleaned = rows.withColumn("__t", clean_chunk_text(F.col(text_col))).where("__t <> ''")
     n = F.greatest(F.ceil((F.length("__t") - overlap) / step), F.lit(1)).cast("int")
-    exploded = cleaned.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n - 1)))
-    return exploded.withColumn("chunk_text", F.substring(F.col("__t"), F.col("chunk_index") * step + 1, F.lit(size))).drop("__t")
+    pieces = F.slice(F.regexp_extract_all("__t", F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), 1), F.lit(1), n)
+    others = [F.col(f"`{c}`") for c in cleaned.columns if c not in ("__t", "chunk_index", "chunk_text")]
+    return cleaned.select(*others, F.posexplode(pieces).alias("chunk_index", "chunk_text"))
 
 
 def chunk_decisions(decisions: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:

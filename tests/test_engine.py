@@ -1,3 +1,6 @@
+import re
+import time
+import random
 import uuid
 
 import duckdb
@@ -603,3 +606,90 @@ def test_seed_and_paths(spark, monkeypatch):
     assert S.batches_folder(root="/r") == "/r/x"
     monkeypatch.setenv("TESSERA_BATCHES_DIR", "/own")
     assert S.batches_folder(root="/r") == "/own"
+
+
+# Chunks in one pass
+
+
+@pytest.mark.parametrize("size,overlap", [(50, 10), (300, 200), (10, 0), (7, 6), (300, 100)])
+def test_chunks_equal_slices(spark, size, overlap):
+    texts = ["x" * n for n in (0, 1, 5, 9, 10, 11, 40, 41, 49, 50, 51, 100, 101, 299, 300, 301, 400)] + ["\U0001f600ab\ncd" * 100]
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(max(-(-(len(t) - overlap) // (size - overlap)), 1) if t else 0):
+            want[i, k] = t[k * (size - overlap) : k * (size - overlap) + size]
+    rows = C.chunk(spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("chunk_index", F.lit("own")), "text", size, overlap)
+    assert {(r.i, r.chunk_index): r.chunk_text for r in rows.collect()} == want
+
+
+def test_chunk_time_follows_the_text(spark):
+    def took(mb):
+        rows = spark.range(1).select(F.repeat(F.lit("some words in \u010desk\u00e9 texts\n\n "), mb * 1_000_000 // 26).alias("text"))
+        start = time.perf_counter()
+        assert C.chunk(rows).agg(F.sum(F.length("chunk_text"))).first()[0] > 0.9e6 * mb
+        return time.perf_counter() - start
+
+    took(1)
+    assert took(8) < 10
+    blanks = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit("\n"), 2_000_000), F.lit("b")).alias("text"))
+    start = time.perf_counter()
+    assert C.chunk(blanks).count() == 1539 and time.perf_counter() - start < 10
+
+
+# Keyword index
+
+
+def _plain_hits(spark, texts, asked, k):
+    rows = spark.createDataFrame([(i, t, p) for i, (t, p) in texts.items()], "id string, text string, pos long")
+    return sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in R.keyword_search(rows, asked, k).collect())
+
+
+def test_keyword_index_equals_a_scan(spark, tmp_path, monkeypatch):
+    """Builds, updates, replacements and deletions; shards of a few texts; very long words."""
+    from tessera.operators import keyword_index as K
+
+    monkeypatch.setattr(K, "SHARD_TEXTS", 5)
+    monkeypatch.setattr(K, "BUCKETS", 4)
+    rng = random.Random(3)
+    words = ["alpha", "alphabet", "beta", "betatest", "gam", "ga", "dalet", "\u010desk\u00e9", "ALPHA", "x" * 80 + "needle" + "y" * 50, "q" * 40]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(6)))
+    held = {f"d{i}": (text(), i * 7 % 41) for i in range(40)} | {"none": (None, 99), "empty": ("", 98)}
+    queries = ["alpha beta", "alph ALPHA beta beta dalet gam bet", "needle", "xxx" + "needle" + "y" * 45, "q" * 40, "ga", "", "   ", None, "nothing here", "\u010desk", "yyneedle"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "qid long, query string")
+    frame = lambda some: spark.createDataFrame([(i, *held[i]) for i in some], "id string, text string, pos long").repartition(3)
+    index = K.KeywordIndex(spark, str(tmp_path / "index"))
+    assert index.search(asked, 4).count() == 0
+    index.build(frame(held))
+    found = lambda k: sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in index.search(asked, k).collect())
+    assert found(4) == _plain_hits(spark, held, asked, 4) and found(100) == _plain_hits(spark, held, asked, 100)
+    for step in range(2):
+        changed = [f"d{i}" for i in range(step, 40, 3)] + [f"new{step}"]
+        held |= {i: (text(), 100 * (step + 1) + n) for n, i in enumerate(changed)}
+        gone = [f"d{5 + step * 7}"]
+        for i in gone:
+            held.pop(i, None)
+        index.update(frame([i for i in changed if i in held]), spark.createDataFrame([(i,) for i in gone], "id string"))
+        assert found(4) == _plain_hits(spark, held, asked, 4)
+    index.update(frame(held).where("false"))
+    again = K.KeywordIndex(spark, str(tmp_path / "index"))
+    assert len(again.segments()) == 4 and not again.due()
+    texts = again.search(asked, 2, frame(held)).collect()
+    assert texts and all(r.text == held[r.id][0] for r in texts)
+    monkeypatch.setattr(K, "MAX_MATCHED", 1)
+    assert found(4) == _plain_hits(spark, held, asked, 4)
+    (tmp_path / "index/seg-00000009/postings").mkdir(parents=True)  # a segment that broke off
+    assert len(again.segments()) == 4
+    index.build(frame(held))
+    assert len(index.segments()) == 1 and found(4) == _plain_hits(spark, held, asked, 4)
+
+
+def test_keyword_index_reads_postings_of_its_words(spark, tmp_path):
+    """The plan reads folders of the words asked for, and no text."""
+    from tessera.operators.keyword_index import KeywordIndex
+
+    corpus = catalogue._corpus(spark, D)
+    index = KeywordIndex(spark, str(tmp_path / "index")).build(corpus)
+    found = index.search(spark.createDataFrame([(1, "onesen")], "qid long, query string"), 5)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "documents" not in plan and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
