@@ -28,7 +28,12 @@ def classify(new: DataFrame, existing: DataFrame, complete: bool = False) -> Dat
     ids and checksums are read."""
     checksum = F.nullif(F.col("payload.content_checksum"), F.lit(""))
     checksum = checksum if complete else F.coalesce(checksum, payload_checksum("payload"))
-    held = existing.select(F.col("id").alias("__id"), F.coalesce("payload.original_id", "id").alias("__oid"), checksum.alias("__sum"))
+    return classify_by_sums(new, existing.select("id", F.coalesce("payload.original_id", "id").alias("oid"), checksum.alias("sum")))
+
+
+def classify_by_sums(new: DataFrame, sums: DataFrame) -> DataFrame:
+    """``classify`` against the ids, original ids and checksums of stored points: (id, oid, sum)."""
+    held = sums.select(F.col("id").alias("__id"), F.col("oid").alias("__oid"), F.col("sum").alias("__sum"))
     same = (F.col("__oid") == F.col("payload.original_id")) & F.col("__sum").eqNullSafe(F.col("payload.content_checksum"))
     action = F.when(F.col("__id").isNull(), "insert").when(same, "skip").otherwise("update")
     return new.join(held, F.col("id") == F.col("__id"), "left").withColumn("action", action).drop("__id", "__oid", "__sum")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -146,7 +147,8 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
                     best.add(q, np.minimum(BASE + PER_MATCH * matches[at, q], CAP), pos[at], ids[at])
             yield best.rows(id_type)
 
-        rows = corpus.select("id", F.col("pos").cast("long").alias("pos"), F.lower("text").alias("low")).mapInArrow(run, schema)
+        held_rows = corpus.where("id is not null")  # a row without an id can't be a hit
+        rows = held_rows.select("id", F.col("pos").cast("long").alias("pos"), F.lower("text").alias("low")).mapInArrow(run, schema)
         return _ranked(corpus, rows, asked, qid_type, k, "keyword")
 
     return _by_blocks(queries.select("qid", "query"), search)
@@ -177,35 +179,44 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 
     A matrix product finds the points that may be among a query's best; their cosines are computed
     plainly, so that equal vectors get equal scores. Vectors that are null, zero, of another length than
-    the query's, or that hold null or non-finite components take no part.
+    the query's, or that hold null or non-finite components take no part. Where queries have ``cells`` and
+    points a ``cell``, a query meets the points of its cells, and those of cell -1, alone.
     """
     if k < 0:
         raise ValueError("top_k must not be negative")
+    by_cell = "cells" in queries.columns and "cell" in points.columns
     qid_type, id_type = queries.schema["qid"].dataType, _arrow_type(points, "id")
     schema = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("id", points.schema["id"].dataType), T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])
     fine = lambda v: F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     vector = F.col("vector").cast("array<double>")
-    usable = points.select("id", F.col("pos").cast("long").alias("pos"), vector.alias("v")).where(F.col("v").isNotNull() & fine(F.col("v")))
+    cell = F.col("cell") if by_cell else F.lit(-1)
+    usable = points.where("id is not null").select("id", F.col("pos").cast("long").alias("pos"), vector.alias("v"), cell.alias("cell")).where(F.col("v").isNotNull() & fine(F.col("v")))
 
     def search(block: DataFrame) -> DataFrame:
-        asked = block.select("qid", vector.alias("v")).where(F.col("v").isNotNull() & fine(F.col("v"))).collect()  # a block
+        asked = block.select("qid", vector.alias("v"), *(["cells"] if by_cell else [])).where(F.col("v").isNotNull() & fine(F.col("v"))).collect()  # a block
         by_size: dict[int, list[int]] = {}
         for i, r in enumerate(asked):
             by_size.setdefault(len(r["v"]), []).append(i)
         matrices = {d: (np.array(at), np.array([asked[i]["v"] for i in at])) for d, at in by_size.items()}
-        held = points.sparkSession.sparkContext.broadcast((matrices, len(asked)))
+        visitors: dict[int, set[int]] = {}
+        for i, r in enumerate(asked if by_cell else []):
+            for c in r["cells"]:
+                visitors.setdefault(c, set()).add(i)
+        held = points.sparkSession.sparkContext.broadcast((matrices, len(asked), {c: np.array(sorted(v)) for c, v in visitors.items()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matrices, n = held.value
+            matrices, n, visitors = held.value
             unit = {d: (at, x, np.sqrt((x.T * x.T).sum(0))) for d, (at, x) in matrices.items()}
             best = _Best(n, k)
             for b in batches:
                 pos, ids = b.column(1).to_numpy(), np.array([*b.column(0).to_pylist(), None], object)[:-1]
-                sizes = np.diff(b.column(2).offsets.to_numpy())
-                for d, (at, x, norm) in unit.items():
-                    own = np.flatnonzero(sizes == d)
-                    if not len(own):
+                sizes, cells = np.diff(b.column(2).offsets.to_numpy()), b.column(3).to_numpy()
+                for c, (d, whole) in product(np.unique(cells).tolist(), unit.items()):
+                    own = np.flatnonzero((sizes == d) & (cells == c))
+                    of = np.isin(whole[0], visitors.get(c, ())) if by_cell and c != -1 else np.ones(len(whole[0]), bool)
+                    if not len(own) or not of.any():
                         continue
+                    at, x, norm = (part[of] for part in whole)
                     y = b.column(2).take(pa.array(own)).flatten().to_numpy().reshape(-1, d)
                     yy = np.ascontiguousarray((y * y).T).sum(0)
                     rough = (x / norm[:, None]) @ (y / np.sqrt(yy)[:, None]).T
@@ -220,7 +231,7 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 
         return _ranked(points, usable.mapInArrow(run, schema), asked, qid_type, k, "dense")
 
-    return _by_blocks(queries.select("qid", "vector"), search)
+    return _by_blocks(queries.select("qid", "vector", *(["cells"] if by_cell else [])), search)
 
 
 def as_hits(points: DataFrame, pos: Column | None = None) -> DataFrame:
@@ -232,7 +243,8 @@ def as_hits(points: DataFrame, pos: Column | None = None) -> DataFrame:
         known = {"document_id", "chunk_index"} <= set(payload)
         pos = F.coalesce(F.col("payload.document_id") * 1_000_000 + F.col("payload.chunk_index"), F.xxhash64("id")) if known else F.xxhash64("id")
     original = F.nullif(F.col("payload.original_id"), F.lit("")) if "original_id" in payload else F.lit(None).cast("string")
-    return points.select(F.coalesce(original, F.col("id")).alias("id"), F.coalesce("payload.text", F.lit("")).alias("text"), pos.cast("long").alias("pos"), "vector", "payload")
+    kept = [c for c in ("cell",) if c in points.columns]
+    return points.select(F.coalesce(original, F.col("id")).alias("id"), F.coalesce("payload.text", F.lit("")).alias("text"), pos.cast("long").alias("pos"), "vector", "payload", *kept)
 
 
 def fuse(dense: DataFrame, keyword: DataFrame, k: int = 10) -> DataFrame:

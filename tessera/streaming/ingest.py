@@ -2,93 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.points import changed_points, classify, make_points
-from ..schemas import POINT_FIELDS
-
-#: Versions of changes that are kept apart before they are written into one.
-COMPACT = 8
-_VERSION = re.compile(r"v(\d+)(-base)?")
-
-
-class PointTable:
-    """A table of points under ``root``: a base version and versions that hold changes since then.
-
-    A version counts once it is complete, so the table is found again after a restart and a version that
-    broke off is written anew. An upsert reads ids and checksums of the table and writes changed points
-    alone; every COMPACT versions all are written into a new base. Upserts of equal chunks change nothing,
-    so a batch that is delivered twice leaves the same table. One writer at a time.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-
-    def _versions(self) -> list[tuple[int, str]]:
-        """Complete versions from the last base on, oldest first."""
-        at = self._hadoop.Path(self.root)
-        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(at):
-            return []
-        names = [f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()]
-        found = sorted((int(m[1]), n) for n in names if (m := _VERSION.fullmatch(n)) and files.exists(self._hadoop.Path(f"{self.root}/{n}/_SUCCESS")))
-        bases = [i for i, (_, n) in enumerate(found) if n.endswith("-base")]
-        return found[bases[-1] :] if bases else found
-
-    @property
-    def version(self) -> int:
-        """Number of the last complete version; -1 without any."""
-        held = self._versions()
-        return held[-1][0] if held else -1
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def read(self) -> DataFrame:
-        """The newest state of each point."""
-        return self._read(self._versions())
-
-    def _read(self, versions: list[tuple[int, str]]) -> DataFrame:
-        if not versions:
-            return self.spark.createDataFrame([], POINT_FIELDS)
-        (number, first), *later = versions
-        one = lambda name: self.spark.read.schema(POINT_FIELDS).parquet(self.path(name))
-        rows = one(first)
-        if not later:
-            return rows
-        changes = None
-        for number, name in later:
-            part = one(name).withColumn("__v", F.lit(number))
-            changes = part if changes is None else changes.unionByName(part)
-        newest = changes.groupBy("id").agg(F.max_by(F.struct("vector", "payload"), "__v").alias("x")).select("id", "x.vector", "x.payload")
-        return rows.join(changes.select("id"), "id", "left_anti").unionByName(newest)
-
-    def upsert(self, chunks: DataFrame, embed) -> None:
-        held = self._versions()
-        changed = changed_points(classify(make_points(chunks), self._read(held), complete=True), embed)
-        number = held[-1][0] + 1 if held else 0
-        name = f"v{number}" if held else f"v{number}-base"
-        changed.write.mode("overwrite").parquet(self.path(name))
-        if len(held) >= COMPACT:
-            self.compact()
-
-    def compact(self) -> None:
-        """Writes all versions into a new base and deletes them."""
-        held = self._versions()
-        if len(held) < 2:
-            return
-        self._read(held).write.mode("overwrite").parquet(self.path(f"v{held[-1][0] + 1}-base"))
-        for _, name in held:
-            old = self._hadoop.Path(self.path(name))
-            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
+from ..operators.point_table import PointTable
 
 def ingest_stream(chunks: DataFrame, table: PointTable, embed, checkpoint: str):
     """Upserts each micro-batch; unchanged chunks are not embedded again. Runs until the input ends."""

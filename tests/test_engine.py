@@ -4,6 +4,7 @@ import random
 import uuid
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -693,3 +694,90 @@ def test_keyword_index_reads_postings_of_its_words(spark, tmp_path):
     assert found.count() > 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "documents" not in plan and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+# The table's runs and cells
+
+
+def _state(table):
+    return {r.o: r.t for r in table.read().select(F.col("payload.original_id").alias("o"), F.col("payload.text").alias("t")).collect()}
+
+
+def test_bytes_written_follow_the_changes(spark, tmp_path):
+    """Many small upserts beside a large first one: the large run is not written again, nothing is written
+    where nothing changed, and the number of runs grows with the logarithm of the upserts."""
+    table = PointTable(spark, str(tmp_path / "points"))
+    assert table.upsert(_chunks(spark, *[(f"c{i}", random.Random(i).randbytes(500).hex()) for i in range(1500)]), A.mock_embed)
+    want, first = _state(table), table.bytes_of("v0")
+    earlier = table.read()
+    for i in range(9):
+        batch = (("c1", f"new {i}"), (f"x{i}", "t"))
+        assert table.upsert(_chunks(spark, *batch), A.mock_embed)
+        assert not table.upsert(_chunks(spark, *batch), A.mock_embed)
+        want |= dict(batch)
+        if i == 1:
+            assert earlier.count() == 1500  # still there for results that were not read yet
+    assert _state(table) == want and table.version == 9
+    names = [n for _, _, n in table.runs()]
+    assert names[0] == "v0" and table.bytes_of("v0") == first and len(names) <= 5
+    assert sum(table.bytes_of(n) for n in names[1:]) < first
+    left = sorted(p.name for p in (tmp_path / "points").iterdir())
+    assert len(left) <= len(names) + 5
+    table.compact()
+    assert [n for _, _, n in table.runs()] == ["v0-9"] and _state(table) == want
+    assert _state(PointTable(spark, str(tmp_path / "points"))) == want
+
+
+def test_upserts_read_no_vectors_of_the_table(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path / "points"))
+    for i in range(3):
+        table.upsert(_chunks(spark, ("a", f"t{i}"), (f"b{i}", "t")), A.mock_embed)
+    plan = table.sums()._jdf.queryExecution().executedPlan().toString()
+    assert "vector:array" not in plan and "content_checksum" in plan
+    asked = table.sums([r.id for r in table.read().limit(2).collect()])
+    assert asked.count() == 2
+    assert table.sums([]).count() == 0 and table.sums(["none"]).count() == 0
+
+
+def _cloud(spark, n, seed):
+    """Vectors about 12 directions, and chunks that name them."""
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(1).normal(size=(12, 8))
+    vectors = {f"p{i:04d}": (centres[i % 12] * 3 + rng.normal(size=8)).astype("float32").tolist() for i in range(n)}
+    return vectors, _chunks(spark, *[(i, f"{seed} {i}") for i in vectors])
+
+
+def test_cells(spark, tmp_path):
+    vectors, chunks = _cloud(spark, 400, 2)
+    held = spark.sparkContext.broadcast(vectors)
+    embed = A.embedder(lambda texts: [held.value[t.split()[1]] for t in texts])
+    table = PointTable(spark, str(tmp_path / "points"))
+    assert table.fit(4).near(spark.createDataFrame([], "qid long, vector array<float>"), 3).count() == 0
+    table = PointTable(spark, str(tmp_path / "more"))
+    table.upsert(chunks, embed)
+    asked = spark.createDataFrame([(i, vectors[f"p{i * 7:04d}"]) for i in range(30)] + [(98, None), (99, [0.0] * 8), (97, [1.0])], "qid long, vector array<float>")
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    exact = rows(table.near(asked, 5))
+    assert len(exact) == 150
+    table.fit(12)
+    assert rows(table.near(asked, 5, None)) == exact and rows(table.near(asked, 5, 12)) == exact
+    assert table.recall(asked, 5, 3) >= 0.9 >= 0.3 > 0 < table.recall(asked, 5, 1) <= 1
+    plan = table.near(asked.where("qid = 3"), 5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan)
+    moved, _ = _cloud(spark, 400, 3)  # other vectors, and so other cells, for some of the points
+    held = spark.sparkContext.broadcast(moved)
+    some = [f"p{i:04d}" for i in range(0, 400, 9)]
+    table.upsert(_chunks(spark, *[(i, f"again {i}") for i in some]), A.embedder(lambda texts: [moved[t.split()[1]][::-1] for t in texts]))
+    want = {i: (moved[i][::-1] if i in some else v) for i, v in vectors.items()}
+    assert {r.o: r.vector for r in table.read().select(F.col("payload.original_id").alias("o"), "vector").collect()} == want
+    assert rows(table.near(asked, 5, 12)) == rows(table.near(asked, 5, None))
+    assert len({r[0] for r in rows(table.near(asked, 5, 2))}) == 30
+    table.fit(6)
+    assert rows(table.near(asked, 5, 6)) == rows(table.near(asked, 5, None)) and table.read().count() == 400
+
+
+def test_rows_without_an_id_take_no_place(spark):
+    corpus = spark.createDataFrame([(None, "alpha beta", 0, [1.0, 0.0]), ("b", "alpha", 1, [1.0, 0.1])], "id string, text string, pos long, vector array<float>")
+    asked = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0])], "qid long, query string, vector array<float>")
+    assert [r.id for r in R.keyword_search(corpus, asked, 1).collect()] == ["b"]
+    assert [r.id for r in R.dense_search(corpus, asked, 1).collect()] == ["b"]
