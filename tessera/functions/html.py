@@ -152,13 +152,34 @@ def _clean(text: str | None) -> str | None:
 
 
 class _Tree(HTMLParser):
+    """Tags whose ends may be left out: one that starts ends the open ones of ``ENDS`` up to a container in ``INSIDE``."""
+
     VOID = {"input", "br", "img", "hr", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+    ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
+    ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), {"td", "th", "tr", "thead", "tbody", "tfoot"})
+    INSIDE = {"li": {"ul", "ol"}, "p": {"td", "th", "li", "div"}, "option": {"select"}} | dict.fromkeys(("td", "th", "tr", "thead", "tbody", "tfoot"), {"table"})
+    #: Blocks that end an open paragraph.
+    BLOCKS = {"div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "form", "hr", "pre", "blockquote", "section", "article", "p"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
 
+    def _end(self, ends: set[str], inside: set[str]) -> None:
+        """Closes the outermost open element of ``ends`` that stands within the nearest of ``inside``."""
+        node, found = self.at, None
+        while node.parent is not None and node.tag not in inside:
+            if node.tag in ends:
+                found = node
+            node = node.parent
+        if found is not None:
+            self.at = found.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self._end({"p"}, self.INSIDE["p"] | {"table", "body"})
+        if tag in self.ENDS and tag != "p":
+            self._end(self.ENDS[tag], self.INSIDE[tag])
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in self.VOID:
@@ -167,6 +188,8 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag):
         node = self.at
         while node.parent is not None and node.tag != tag:
+            if node.tag == "table" and tag in self.ENDS:
+                return  # an end tag inside a table does not end what is around it
             node = node.parent
         if node.parent is not None:
             self.at = node.parent

@@ -66,12 +66,12 @@ def chunk_decisions(decisions: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     )
 
 
-def require_unique(rows: DataFrame, column: str) -> DataFrame:
+def require_unique(rows: DataFrame, column: str, what: str | None = None) -> DataFrame:
     """The rows; an id that occurs twice raises when they are computed. Only ids are counted and shuffled;
     the ids that repeat, none as a rule, are joined to the rows."""
     twice = rows.groupBy(F.col(column).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 and __id is not null")
     checked = rows.join(twice, F.col(column) == F.col("__id"), "left")
-    failed = F.raise_error(F.concat(F.lit(f"duplicate {column}: "), F.col(column).cast("string"))).cast(rows.schema[column].dataType)
+    failed = F.raise_error(F.concat(F.lit(f"duplicate {what or column}: "), F.col(column).cast("string"))).cast(rows.schema[column].dataType)
     return checked.withColumn(column, F.when(F.col("__n").isNotNull(), failed).otherwise(F.col(column))).drop("__id", "__n")
 
 

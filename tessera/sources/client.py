@@ -10,7 +10,7 @@ import json
 import os
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
 from pathlib import Path
@@ -93,13 +93,19 @@ class SearchSite:
         """The HTML of page ``page``, counted from 0."""
         if page < 0:
             raise ValueError("pages are counted from 0")
+        return next(self.pages(client, query, [page], **retries))
+
+    def pages(self, client: Client, query: str, numbers: Iterable[int], **retries) -> Iterator[str]:
+        """The HTML of pages, counted from 0, after one search for all."""
         first = self.search(client, query, **retries)
-        if page == 0:
-            return first.text
-        found = with_retries(lambda: client.get(self.results_url, {"page": page}), self.results_url, **retries)
-        if found is None or self.page_marker not in found.text:
-            raise RuntimeError(f"failed to load page {page + 1} of the results")
-        return found.text
+        for page in numbers:
+            if page == 0:
+                yield first.text
+                continue
+            found = with_retries(lambda page=page: client.get(self.results_url, {"page": page}), self.results_url, **retries)
+            if found is None or self.page_marker not in found.text:
+                raise RuntimeError(f"failed to load page {page + 1} of the results")
+            yield found.text
 
 
 def fetch_page(site: SearchSite, client: Client, page: int, query: str) -> str:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
@@ -86,14 +87,22 @@ def batches_folder(default: str = "batches", root: str = ".") -> str:
     return resolved(os.environ.get("TESSERA_BATCHES_DIR") or (os.path.dirname(results) if results else default), root)
 
 
-def collect_results(pages: DataFrame, texts: DataFrame | None = None, page_start: int = 0, page_end: int | None = None, max_results: int | None = None, skip_duplicates: bool = False) -> DataFrame:
+def decision_identity() -> Column:
+    """A crawled decision's ecli, else its reference; one without either raises."""
+    return F.coalesce(F.nullif("ecli", F.lit("")), F.nullif("case_reference", F.lit("")), F.raise_error(F.lit("a decision lacks both ecli and reference")))
+
+
+def collect_results(
+    pages: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame] | None = None, page_start: int = 0, page_end: int | None = None,
+    max_results: int | None = None, skip_duplicates: bool = False,
+) -> DataFrame:
     """Decisions of parsed result pages, in page order: cut to the limit before texts are joined.
 
-    A result id that occurs twice raises, or is passed over with ``skip_duplicates``; decisions without
-    a reference, text url or (if texts are asked for) full text raise.
+    ``texts`` has (text_url, full_text), or is a function that fetches them for the decisions that stay. An
+    empty page raises, as does a decision without ecli and reference. One that occurs twice, by ecli or else
+    reference, on the pages that the limit needs raises, or is passed over with ``skip_duplicates``; so do
+    decisions without a reference, a text url or (if texts are asked for) a full text.
     """
-    from pyspark.sql import Window
-
     from ..operators.corpus import enrich, require_unique
 
     if page_start < 0 or (page_end is not None and page_end < page_start):
@@ -103,16 +112,27 @@ def collect_results(pages: DataFrame, texts: DataFrame | None = None, page_start
     rows = pages.where(F.col("page_index") >= page_start)
     if page_end is not None:
         rows = rows.where(F.col("page_index") <= page_end)
+    empty = F.raise_error(F.concat(F.lit("empty page "), F.col("page_index") + 1)).cast(pages.schema["results"].dataType)
+    rows = rows.withColumn("results", F.when(F.coalesce(F.size("results"), F.lit(0)) > 0, F.col("results")).otherwise(empty))
+    if max_results is not None and not skip_duplicates:
+        # Of the pages, a row each, those on which results before the limit begin.
+        ahead = Window.partitionBy(F.lit(0)).orderBy("page_index").rangeBetween(Window.unboundedPreceding, -1)
+        sizes = rows.select("page_index", F.size("results").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        last = sizes.where(F.col("before") < max_results).agg(F.max("page_index").alias("__last"))
+        rows = rows.join(F.broadcast(last), F.col("page_index") <= F.col("__last")).drop("__last")  # one row
     rows = rows.select("page_index", F.posexplode("results").alias("n", "r")).select(F.struct("page_index", "n").alias("pos"), "r.*")
+    rows = rows.withColumn("__identity", decision_identity())
     if skip_duplicates:
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("result_id").orderBy("pos"))).where("__n = 1 or result_id is null").drop("__n")
-    elif max_results is None:
-        rows = require_unique(rows, "result_id")
+        kept = rows.columns
+        rows = rows.groupBy("__identity").agg(F.min_by(F.struct(*kept), "pos").alias("x")).select("x.*")
+    else:
+        rows = require_unique(rows, "__identity", "decision")
     if max_results is not None:
         rows = rows.orderBy("pos").limit(max_results)
-        rows = rows if skip_duplicates else require_unique(rows, "result_id")
+    # The identity is read here, so that Spark can't leave its check out.
+    rows = rows.where(F.col("__identity").isNotNull()).drop("__identity")
     if texts is not None:
-        rows = enrich(rows, texts)
+        rows = enrich(rows, texts(rows) if callable(texts) else texts)
     needed = ["case_reference", "text_url"] + (["full_text"] if texts is not None else [])
     bad = F.lit(False)
     for c in needed:

@@ -2,6 +2,7 @@ import re
 import time
 import random
 import uuid
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ from tessera.operators import corpus as C
 from tessera.operators import points as P
 from tessera.operators import retrieval as R
 from tessera.plans import catalogue, engine
-from tessera.schemas import CHUNK_FIELDS, DECISION_FIELDS
+from tessera.schemas import CHUNK_FIELDS, DECISION_FIELDS, PAGE_FIELDS, _schema
 from tessera.sources import files as S
 from tessera.streaming.ingest import PointTable, first_seen, ingest_stream
 
@@ -165,7 +166,7 @@ def test_result_page(spark, tmp_path):
     pages = H.parse_result_pages(spark.createDataFrame([(PAGE, "q")], "html string, query string"), "https://example.org/Search/")
     texts = spark.createDataFrame([(d["text_url"], "full")], "text_url string, full_text string")
     assert S.collect_results(pages, texts).first().full_text == "full"
-    with pytest.raises(Exception, match="duplicate result_id"):
+    with pytest.raises(Exception, match="duplicate decision: ECLI:CZ:1"):
         S.collect_results(pages.union(pages)).collect()
     assert S.collect_results(pages.union(pages), skip_duplicates=True).count() == 1
     assert one(spark, H.hidden_fields("t"), t=PAGE) == {"a": "x&y"}
@@ -266,16 +267,34 @@ def _site(folder, n=3):
         (folder / f"GetText_aspx_sz_{p}.html").write_text(f"<p>text {p}</p>")
 
 
+def _counting(folder):
+    """A client of a saved site that writes down what it is asked for."""
+    from tessera.sources.client import FolderClient, SearchSite
+
+    class Counting(FolderClient):
+        def _read(self, name, url):
+            with open(self.folder / "asked", "a") as out:
+                out.write(name + "\n")
+            return super()._read(name, url)
+
+    url = "https://example.org/Search/Results.aspx"
+    return SearchSite("https://example.org/Search/Search.aspx", url, "query"), Counting(folder, url)
+
+
 def test_page_source(spark, tmp_path):
-    from tessera.sources.pages import ResultPages
+    from tessera.sources.pages import ResultPages, result_pages
 
     _site(tmp_path)
     spark.dataSource.register(ResultPages)
-    rows = spark.read.format("result_pages").options(folder=str(tmp_path), query="q").load()
+    rows = spark.read.format("result_pages").options(folder=str(tmp_path), query="q", batch_pages="1").load()
     assert sorted(r.page for r in rows.collect()) == [0, 1, 2] and rows.rdd.getNumPartitions() == 3
-    assert [r.page for r in spark.read.format("result_pages").options(folder=str(tmp_path), page_start="1", page_end="1").load().collect()] == [1]
-    with pytest.raises(Exception, match="failed to load page 10"):
-        spark.read.format("result_pages").options(folder=str(tmp_path), page_start="9", page_end="9", pause="0").load().collect()
+    read = lambda **o: sorted(r.page for r in spark.read.format("result_pages").options(folder=str(tmp_path), pause="0", **o).load().collect())
+    assert read(page_start="1", page_end="1") == [1] and read(page_start="1", page_end="9") == [1, 2] and read(max_results="2", batch_pages="1") == [0, 1]
+    assert [r.page for r in result_pages(spark, folder=str(tmp_path)).where("page > 0 and page in (0, 2, 5) and query = ''").collect()] == [2]
+    assert result_pages(spark, folder=str(tmp_path)).where("page = 7").count() == 0
+    for options, message in (({"page_start": "9"}, "failed to load page 10"), ({"page_start": "2", "page_end": "1"}, "range"), ({"max_results": "0"}, "positive"), ({"batch_pages": "0"}, "one page at least")):
+        with pytest.raises(Exception, match=message):
+            read(**options)
     out, seen = str(tmp_path / "out"), []
     for _ in range(2):  # the second run goes on where the first ended
         stream = spark.readStream.format("result_pages").options(folder=str(tmp_path), query="q", batch_pages="2").load()
@@ -285,7 +304,72 @@ def test_page_source(spark, tmp_path):
     assert sorted(p for b in seen for p in b) == [0, 1, 2] and max(map(len, seen)) <= 2
 
 
-def test_scrape_job(spark, tmp_path, monkeypatch):
+def test_wanted_results_read_the_pages_they_need_once(spark, tmp_path, monkeypatch):
+    import sys
+    import types
+
+    from tessera.sources.pages import result_pages
+
+    _site(tmp_path, 9)
+    here = types.ModuleType("counting_site")
+    here.make = lambda: _counting(tmp_path)
+    (tmp_path / "counting_site.py").write_text(f"import sys\nsys.path.insert(0, {str(Path(__file__).parent)!r})\nfrom test_engine import _counting\nfrom pathlib import Path\ndef make():\n    return _counting(Path({str(tmp_path)!r}))\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("PYTHONPATH", f"{tmp_path}:{sys.path[1]}")
+    spark.sparkContext.addPyFile(str(tmp_path / "counting_site.py"))
+    from tessera.sources.pages import _Limits, _Reader
+
+    reader = _Reader(_Limits({"client": "counting_site:make", "query": "q", "max_results": "4", "batch_pages": "3", "pause": "0"}))
+    got = [row[0] for part in reader.partitions() for row in reader.read(part)]
+    asked = [x for x in (tmp_path / "asked").read_text().split() if x != "form.html"]
+    assert got == [0, 1, 2, 3] and sorted(set(asked)) == [f"page_{i}.html" for i in range(4)]
+    assert all(asked.count(f"page_{i}.html") == 1 for i in range(1, 4)), "the first page comes with each search, the others once"
+    assert result_pages(spark, folder=str(tmp_path), max_results="4").count() == 4
+
+
+def _pages_of(spark, *pages):
+    """Parsed pages of (page_index, [(ecli, reference)])."""
+    fields = _schema(DECISION_FIELDS).names
+    one = lambda e, r: tuple({"ecli": e, "case_reference": r, "text_url": f"u{e or r}"}.get(f) for f in fields)
+    rows = [("q", i, i + 1, len(found), 0, 0, 0, 9, [one(*f) for f in found]) for i, found in pages]
+    return spark.createDataFrame(rows, PAGE_FIELDS)
+
+
+def test_crawl_identity_and_errors(spark):
+    """Duplicates by ecli, else reference; empty pages; decisions without identity; only pages before the limit count."""
+    found = lambda pages, **o: [(r.ecli, r.case_reference) for r in S.collect_results(pages, **o).orderBy("pos").collect()]
+    fine = _pages_of(spark, (0, [("E1", "r1"), (None, "r2")]), (1, [("E3", "r1"), ("", "r4")]))
+    assert found(fine) == [("E1", "r1"), (None, "r2"), ("E3", "r1"), ("", "r4")]
+    assert found(fine, max_results=3) == [("E1", "r1"), (None, "r2"), ("E3", "r1")] and found(fine, page_start=1) == [("E3", "r1"), ("", "r4")]
+    twice = _pages_of(spark, (0, [("E1", "r1"), (None, "r2")]), (1, [("E1", "other"), ("E5", "r5")]), (2, [(None, "r2"), ("E6", "r6")]))
+    with pytest.raises(Exception, match="duplicate decision"):
+        found(twice)
+    with pytest.raises(Exception, match="duplicate decision"):  # page 1 is read for the third
+        found(twice, max_results=3)
+    assert found(twice, max_results=2) == [("E1", "r1"), (None, "r2")]
+    assert found(twice, skip_duplicates=True) == [("E1", "r1"), (None, "r2"), ("E5", "r5"), ("E6", "r6")] and len(found(twice, skip_duplicates=True, max_results=3)) == 3
+    for pages, message in ((_pages_of(spark, (0, [("E1", "r1")]), (1, [])), "empty page 2"), (_pages_of(spark, (0, [(None, "")])), "lacks both"), (_pages_of(spark, (0, [("E1", None)])), "lacks its reference")):
+        with pytest.raises(Exception, match=message):
+            found(pages)
+    asked = []
+    fetch = lambda rows: (asked.append(rows.count()), rows.select("text_url", F.concat(F.lit("text "), "text_url").alias("full_text")))[1]
+    assert S.collect_results(fine, fetch, max_results=2).count() == 2 and asked == [2]
+    with pytest.raises(Exception, match="lacks its reference, url or text"):
+        S.collect_results(fine, lambda rows: rows.select("text_url", F.lit("").alias("full_text"))).collect()
+
+
+def test_end_tags_may_be_left_out():
+    cells = "".join(f"<td>{c}" for c in ('<input id="sel_3">', '<a href="d?id=3">I.ÚS 3/24</a><br>ECLI:CZ:3', "<p>P<p>Name", "1. 1. 2024", "<ul><li>r1<li>r2</ul>", "Nález", "zamítnuto", "", "t", ""))
+    html = f'<table><tr class="resultHeaderCount"><td>Výsledky 1 - 1 z celkem 1 <input name="pageNumber" value="1"></table><table><tbody><tr id="headerRowFirst"><td>h<tr class="resultData0">{cells}<tr><td><a href="/GetText.aspx?sz=3">t</a></table>'
+    found = H.parse_result_page(html, "q", "https://example.org/Search/")["results"]
+    assert [(d["result_id"], d["case_reference"], d["ecli"], d["petitioner"], d["popular_name"], d["related_regulations"], d["text_url"]) for d in found] == [(3, "I.ÚS 3/24", "ECLI:CZ:3", "P", "Name", ["r1", "r2"], "https://example.org/GetText.aspx?sz=3")]
+    tree = H._Tree()
+    tree.feed("<table><tr><td>a<table><tr><td>inner</td></tr></table>after</td><td>b</table>")
+    assert [len(r.nodes("td", direct=True)) for r in H._rows(tree.root.nodes("table")[0])] == [2]
+
+
+def test_scrape_job(spark, tmp_path, monkeypatch, capsys):
+    import argparse
     import json
 
     from tessera import jobs
@@ -293,18 +377,20 @@ def test_scrape_job(spark, tmp_path, monkeypatch):
     _site(tmp_path)
     target = tmp_path / "found.json"
     monkeypatch.setenv("TESSERA_OUTPUT_PATH", str(target))
-    monkeypatch.setenv("TESSERA_PAGE_END", "3")
-    assert jobs.main(["scrape", "--query", "rodina", "--option", f"folder={tmp_path}", "--option", "pause=0", "--option", "base_url=https://example.org/Search/"], spark) == 0
+    monkeypatch.setenv("TESSERA_PAGE_END", "8")  # beyond the last page
+    options = ["scrape", "--query", "rodina", "--option", f"folder={tmp_path}", "--option", "pause=0", "--base-url", "https://example.org/Search/", "--batch-sleep-seconds", "0"]
+    assert jobs.main(options, spark) == 0
     found = json.loads(target.read_text())
     assert [(d["result_id"], d["case_reference"], d["full_text"], d["ecli"]) for d in found] == [(i, f"I.ÚS {i}/24", f"text {i}", None) for i in range(3)]
     assert target.read_text().startswith("[\n  {\n    ")
-    monkeypatch.setenv("TESSERA_PAGE_START", "x")
-    with pytest.raises(SystemExit, match="must be an integer"):
-        jobs.main(["scrape"], spark)
-    monkeypatch.setenv("TESSERA_FLAG", "maybe")
-    with pytest.raises(SystemExit, match="boolean"):
-        jobs.switch("TESSERA_FLAG", True)
-    assert [jobs.output_path("Únos dítěte", *x) for x in ((None, 1, 1), (5, 1, None), (None, 1, None), (None, 1, 4))] == ["results.json", "results_unos_ditete_5.json", "results_unos_ditete_bulk.json", "results_unos_ditete_pages_1_4.json"]
+    (tmp_path / "GetText_aspx_sz_2.html").unlink()  # cut away, so its text is not missed
+    assert jobs.main([*options, "--max-results", "2"], spark) == 0 and [d["result_id"] for d in json.loads(target.read_text())] == [0, 1]
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"query": "rodina", "pages": 2, "decisions": 2, "file": str(target)}
+    for bad in (["--page-start", "x"], ["--page-start", "9"], ["--fetch-full-text", "maybe"], ["--batch-sleep-seconds", "-1"], ["--max-results", "0"]):
+        with pytest.raises(SystemExit):
+            jobs.main([*options, *bad], spark)
+    named = lambda most, first, last: jobs.target(argparse.Namespace(output_path=None, query="Únos dítěte", max_results=most, page_start=first, page_end=last))
+    assert [named(*x) for x in ((None, 1, 1), (5, 1, None), (None, 1, 4))] == ["results.json", "results_unos_ditete_5.json", "results_unos_ditete_pages_1_4.json"]
 
 
 def test_clients(tmp_path):
