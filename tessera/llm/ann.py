@@ -5,7 +5,8 @@ the lower ones on a larger sample, by the same rule, so the leaves grow with the
 as many. Every vector is put into its leaf. A query walks the tree
 best-bin-first through a priority queue; the number of leaves it opens is widened until calibration
 queries, compared with brute force over all vectors, reach the wanted recall, and further for each
-query until its leaves hold k other vectors. Leaves are cut into tiles of bounded size, so that a leaf
+query until its leaves hold k other vectors. The nearest leaves are compared first; of the others only
+vectors within the k-th distance found there are candidates. Leaves are cut into tiles of bounded size, so that a leaf
 with very many vectors or queries is spread over tasks.
 """
 
@@ -34,6 +35,8 @@ CALIBRATION = 64
 RECALL = 0.985
 TILE = 2048
 K = 10
+#: The first leaves, which bound the others' candidates, hold so many times k vectors.
+FIRST = 40
 #: Components beyond this are cut for the tree alone, whose squares they would exceed; distances are exact.
 MOST = 1e100
 
@@ -214,35 +217,51 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     queries = index.where(is_query).select("id", "v")
     most = _calibrate(spark, index, queries, tree, dim, k, recall)
 
+    visited = T.StructType([*schema.fields, T.StructField("near", T.BooleanType())])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), dim)
             found = [held.value.visit(q, most, sizes, k + 1 + again) for q in _cut(x)]
             row = np.repeat(np.arange(len(x)), [len(f) for f in found])
             leaf = np.array([i for f in found for i in f], "int32")
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(leaf)], names=["id", "v", "leaf"])
+            near = np.concatenate([np.cumsum(sizes[list(f)]) - sizes[list(f)] < FIRST * k + again for f in found]) if found else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(leaf), pa.array(near)], names=visited.names)
 
-    asked = scratch.write(queries.mapInArrow(walk, schema), "asked")
-    q_leaf = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tiles = {i: (-(-per_leaf.get(i, 0) // TILE) or 1, -(-q_leaf.get(i, 0) // TILE)) for i in range(tree.n_leaves)}
-    tiled = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in tiles.items() if b], "leaf int, down int, across int"))  # one row a leaf
+    asked = scratch.write(queries.mapInArrow(walk, visited), "asked")
     salt = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
-    left = asked.join(tiled, "leaf").withColumn("across", salt("across")).withColumn("down", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
-    right = index.join(tiled, "leaf").withColumn("down", salt("down")).withColumn("across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
     keys = ["leaf", "down", "across"]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         x = np.array(b["v"].tolist())
-        parts = [nearest(np.array(a["v"].iloc[i : i + 256].tolist()), a["id"].to_numpy()[i : i + 256], x, b["id"].to_numpy(), k) for i in range(0, len(a), 256)]
+        parts = []
+        for i in range(0, len(a), 256):
+            some = a.iloc[i : i + 256]
+            q, v, d = nearest(np.array(some["v"].tolist()), some["id"].to_numpy(), x, b["id"].to_numpy(), k)
+            order = np.argsort(some["id"].to_numpy(), kind="stable")
+            bound = some["bound"].to_numpy()[order][np.searchsorted(some["id"].to_numpy()[order], q)]
+            parts.append([c[d <= bound] for c in (q, v, d)])
         return pd.DataFrame({n: np.concatenate([p[j] for p in parts]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    # each tile gives k rows a query at most
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def compared(visits: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): of each tile of a leaf at most k rows a query, within the query's bound."""
+        q_leaf = {r["leaf"]: r["n"] for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+        tiles = {i: (-(-per_leaf.get(i, 0) // TILE) or 1, -(-q_leaf.get(i, 0) // TILE)) for i in range(tree.n_leaves)}
+        tiled = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in tiles.items() if b], "leaf int, down int, across int"))  # one row a leaf
+        left = visits.join(tiled, "leaf").withColumn("across", salt("across")).withColumn("down", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+        right = index.join(tiled, "leaf").withColumn("down", salt("down")).withColumn("across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    # The nearest leaves come first: none of the k nearest is farther than the k-th found there.
+    near = scratch.write(compared(asked.where("near").drop("near").withColumn("bound", F.lit(float("inf")))).withColumn("rank", place).where(F.col("rank") <= k), "near")
+    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    others = asked.where("not near").drop("near").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    found = near.drop("rank").unionByName(compared(others)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
