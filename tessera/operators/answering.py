@@ -143,7 +143,12 @@ def prompt_context(rows: DataFrame, exact: bool = True) -> DataFrame:
 def synthesize(rows: DataFrame, model=None) -> DataFrame:
     """(qid, answer, sources); a model that gives null leaves an empty answer and keeps the sources."""
     made = model(F.col("query"), F.col("context")) if model else F.lit(SYNTHESIS)
-    return prompt_context(rows).select("qid", F.coalesce(made, F.lit("")).alias("answer"), distinct_ids().alias("sources"))
+    return answered(prompt_context(rows).withColumn("reply", made))
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """(qid, answer, sources) of gathered rows with the ``reply`` of a model."""
+    return rows.select("qid", F.coalesce("reply", F.lit("")).alias("answer"), distinct_ids().alias("sources"))
 
 
 def escape(c) -> Column:

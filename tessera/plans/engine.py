@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +11,51 @@ from ..functions.ids import cache_key
 from ..functions.text import normalise_query
 from ..operators import answering as A
 from ..operators import retrieval as R
+from ..operators.ledger import Ledger
 from ..schemas import HIT_FIELDS
+from ..session import shared
 from ..trace import logger
 
 log = logger(__name__)
 
 
-def run(points: DataFrame, queries: DataFrame, k: int = 5, rewriter=None, planner=A.mock_plan_text, embed=A.mock_embed, model=None) -> DataFrame:
+def run(points: DataFrame, queries: DataFrame, k: int = 5, rewriter=None, planner=A.mock_plan_text, embed=A.mock_embed, model=None, ledger: Ledger | None = None, search=R.hybrid_search) -> DataFrame:
     """(qid, answer, sources, plan_steps): rewrite, plan, hybrid search for every step in one batch,
     best chunks over the steps, synthesis.
 
-    A stage that can't be set up falls back: the query as it is, a plan of one step, no chunks, an empty
-    answer. Models that fail on a row give null there, and their operators say what then holds.
+    Each stage is written before the next one starts, and model replies go to the ``ledger``, so a model is
+    asked once for each distinct prompt, and the steps that are returned are those that were searched. A
+    stage that fails, in its set-up or on its rows, falls back: the query as it is, a plan of one step, no
+    chunks, an empty answer. Models that give null are no failure; their operators say what then holds.
+    ``search`` takes (points, queries, k) as ``hybrid_search`` does.
     """
-    asked = queries.select("qid", "query")
+    spark = queries.sparkSession
+    ledger = ledger or Ledger(spark)
+    work = f"{shared(spark)}/run-{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, stage: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{stage}")
+        return spark.read.schema(rows.schema).parquet(f"{work}/{stage}")
+
+    asked = kept(queries.select("qid", "query"), "asked")
     if rewriter:
-        asked = _or(lambda: queries.select("qid", A.rewrite("query", rewriter).alias("query")), asked, "rewrite")
-    asked = _or(lambda: asked.withColumn("steps", A.plan("query", planner)), asked.withColumn("steps", A.single_step("query")), "plan")
-    hits = _or(lambda: step_hits(points, asked, k, embed), None, "execute")
+        reply = lambda _: F.col("reply")  # noqa: E731 - the model's, from the ledger
+        asked = _or(lambda: kept(ledger.ask(asked, "rewrite", rewriter, "query").select("qid", A.rewrite("query", reply).alias("query")), "rewritten"), asked, "rewrite")
+    one = asked.withColumn("steps", A.single_step("query"))
+    asked = _or(lambda: kept(ledger.ask(asked, "plan", planner, "query").select("qid", "query", A.plan("query", lambda _: F.col("reply")).alias("steps")), "planned"), one, "plan")
+    hits = _or(lambda: kept(step_hits(points, asked, k, embed, search), "hits"), None, "execute")
     if hits is None:
-        hits = asked.sparkSession.createDataFrame([], HIT_FIELDS.replace("qid long", f"qid {asked.schema['qid'].dataType.simpleString()}") + ", step_no int, rank int")
-    gathered = A.gather(asked, A.all_chunks(hits))
+        hits = spark.createDataFrame([], HIT_FIELDS.replace("qid long", f"qid {asked.schema['qid'].dataType.simpleString()}") + ", step_no int, rank int")
+    gathered = A.gather(asked.select("qid", "query"), A.all_chunks(hits))
     nothing = gathered.select("qid", F.lit("").alias("answer"), F.array().cast("array<string>").alias("sources"))
-    made = _or(lambda: A.synthesize(gathered, model), nothing, "synthesize")
+
+    def answers() -> DataFrame:
+        if model is None:
+            return A.synthesize(gathered)
+        prompts = kept(A.prompt_context(gathered), "prompts")
+        return A.answered(ledger.ask(prompts, "synthesis", model, "query", "context"))
+
+    made = _or(lambda: kept(answers(), "answers"), nothing, "synthesize")
     return made.join(asked.select("qid", F.transform("steps", lambda s: s["query"]).alias("plan_steps")), "qid")
 
 
@@ -39,16 +63,16 @@ def _or(stage, fallback, name: str):
     try:
         return stage()
     except Exception as error:  # noqa: BLE001 - any failure of a stage means its fallback
-        log.warning("%s failed (%s); using its fallback", name, error)
+        log.warning("%s failed (%s); using its fallback", name, str(error)[:300])
         return fallback
 
 
-def step_hits(points: DataFrame, asked: DataFrame, k: int, embed) -> DataFrame:
+def step_hits(points: DataFrame, asked: DataFrame, k: int, embed, search=R.hybrid_search) -> DataFrame:
     """Hits (qid, step_no, id, ...) of all steps of all queries in one retrieval; a step's key is its
     query's with its number."""
     steps = asked.select("qid", F.posexplode("steps").alias("step_no", "step"))
     keyed = steps.select(F.struct("qid", "step_no").alias("qid"), F.col("step.query").alias("query"), embed(normalise_query("step.query")).alias("vector"))
-    hits = R.hybrid_search(points, keyed, k)
+    hits = search(points, keyed, k)
     return hits.select("qid.qid", "qid.step_no", *[c for c in hits.columns if c != "qid"])
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -625,6 +626,53 @@ def test_engine_run_and_its_fallbacks(spark):
     assert A.step_totals(steps).first().total_chunks == 6
 
 
+def test_models_are_asked_once_a_prompt(spark, tmp_path):
+    """Nine queries of three texts: three calls of each model, however often the result is computed; a second run asks nothing."""
+    from tessera.operators.ledger import Ledger
+
+    points = _hits_table(spark)
+    asked = spark.createDataFrame([(i, f"únos {i % 3}") for i in range(9)], "qid long, query string")
+
+    def counted(name, reply):
+        log = str(tmp_path / name)
+
+        @F.pandas_udf("string")
+        def model(text: pd.Series, other: pd.Series) -> pd.Series:
+            with open(log, "a") as out:
+                out.writelines("x\n" for _ in text)
+            return reply(text)
+
+        return lambda query, context=F.lit(""): model(query, context)
+
+    models = {"rewriter": counted("r", lambda t: t + " více"), "planner": counted("p", lambda t: "1. " + t + " | a\n2. stát | b"), "model": counted("m", lambda t: "k " + t)}
+    calls = lambda: {n: len((tmp_path / n).read_text().split()) for n in "rpm"}
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for _ in range(2):
+        out = engine.run(points, asked, 2, ledger=ledger, **models)
+        for _ in range(2):
+            rows = {r.qid: r for r in out.collect()}
+            assert rows[4].answer == "k únos 1 více" and rows[4].plan_steps == ["únos 1 více", "stát"] and rows[4].sources == ["a", "b"]
+        assert calls() == {"r": 3, "p": 3, "m": 3}
+
+
+def test_failures_on_rows_fall_back(spark):
+    """A model or an embedder that fails when its rows are computed counts like one that can't be set up."""
+    points, asked = _hits_table(spark), spark.createDataFrame([(1, "únos")], "qid long, query string")
+
+    @F.pandas_udf("string")
+    def fails(text: pd.Series) -> pd.Series:
+        raise OSError("no model")
+
+    @F.pandas_udf("array<float>")
+    def no_vector(text: pd.Series) -> pd.Series:
+        raise OSError("no model")
+
+    got = engine.run(points, asked, 2, rewriter=fails, planner=fails, model=lambda q, c: fails(q)).first()
+    assert (got.answer, got.sources, got.plan_steps) == ("", [], ["únos"])
+    got = engine.run(points, asked, 2, embed=no_vector).first()
+    assert got.sources == [] and got.answer == A.SYNTHESIS and len(got.plan_steps) == 3
+
+
 def test_engine_search_and_retrieve(spark):
     points, asked = _hits_table(spark), spark.createDataFrame([(1, "únos"), (2, " ")], "qid long, query string")
     got = {r.qid: r for r in engine.search(points, asked, 2, rewriter=A.prompted()).collect()}
