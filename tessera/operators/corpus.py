@@ -93,3 +93,13 @@ def corpus_version(files: DataFrame) -> DataFrame:
     """First 16 hex digits of a digest over (name, size, modified) in order; 'seed-corpus' without files."""
     parts = F.array_sort(F.collect_list(F.concat_ws("|", "name", "size", "modified")))
     return files.agg(F.when(F.count(F.lit(1)) == 0, F.lit("seed-corpus")).otherwise(F.substring(F.sha2(F.array_join(parts, "\n"), 256), 1, 16)).alias("version"))
+
+
+def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """``rows`` with their place, from 0, in the order of a column: sorted by range, numbered in each
+    partition, and moved on by the sizes of the partitions before, a row each."""
+    placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    split = placed.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)}).drop("__m")
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = split.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).select("__p", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"))
+    return split.join(F.broadcast(sizes), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")

@@ -121,14 +121,18 @@ def fetch_decision(client: Client, url: str, **retries) -> str:
 
 
 class FolderClient:
-    """A site that was saved to a folder: form.html, page_0.html, page_1.html and so on, and other urls by
-    their last part. It stands in for the network."""
+    """A site that was saved to a folder that tasks see: form.html, page_0.html, page_1.html and so on, or the
+    folders page=0, page=1 that Spark writes, and other urls by their last part. ``form`` stands for form.html."""
 
-    def __init__(self, folder: str, results_url: str):
-        self.folder, self.results_url = Path(folder), results_url
+    def __init__(self, folder: str, results_url: str, form: str | None = None):
+        self.folder, self.results_url, self.form = Path(folder), results_url, form
 
     def _read(self, name: str, url: str) -> Response:
         at = self.folder / name
+        if name == "form.html" and self.form is not None:
+            return Response(self.form, url)
+        if page := re.fullmatch(r"page_(\d+)\.html", name):
+            at = next((self.folder / f"page={page[1]}").glob("part-*"), at)
         return Response(at.read_text("utf-8"), url) if at.exists() else Response("", url, 404)
 
     def get(self, url: str, params: dict | None = None) -> Response:

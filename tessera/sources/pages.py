@@ -22,11 +22,14 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
 )
 
-from ..functions.html import parse_result_page
+from ..functions.html import FORM_FIELDS, parse_result_page
 from .client import FolderClient, SearchSite
 
 SCHEMA = "page int, query string, html string"
 
+#: A form with the hidden fields that a search needs, for a saved site without one (option ``form``).
+_FORM = "".join(f'<input type="hidden" name="{name}" value="">' for name in FORM_FIELDS)
+
 #: Tests of a page number against a pushed filter's value.
 _TESTS = {
     EqualTo: lambda page, value: page == value, In: lambda page, value: page in value,
@@ -47,7 +50,7 @@ def opened(options: dict):
         module, _, name = options["client"].partition(":")
         return getattr(importlib.import_module(module), name)()
     url = options.get("results_url", "https://example.org/Search/Results.aspx")
-    return SearchSite(options.get("form_url", "https://example.org/Search/Search.aspx"), url, options.get("query_field", "query")), FolderClient(options["folder"], url)
+    return SearchSite(options.get("form_url", "https://example.org/Search/Search.aspx"), url, options.get("query_field", "query")), FolderClient(options["folder"], url, _FORM if "form" in options else None)
 
 
 class _Batch(InputPartition):

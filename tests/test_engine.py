@@ -915,3 +915,12 @@ def test_rows_without_an_id_take_no_place(spark):
     asked = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0])], "qid long, query string, vector array<float>")
     assert [r.id for r in R.keyword_search(corpus, asked, 1).collect()] == ["b"]
     assert [r.id for r in R.dense_search(corpus, asked, 1).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("name", ["q32_engine_run", "q49_engine_search"])
+def test_engine_queries_need_the_keyword_search(spark, monkeypatch, name):
+    """With keyword search switched off the engine's queries give other rows."""
+    rows = lambda: sorted(map(str, catalogue.QUERIES[name](spark, D).collect()))
+    want, real = rows(), R.keyword_search
+    monkeypatch.setattr(R, "keyword_search", lambda corpus, queries, k: real(corpus.where("false"), queries, k))
+    assert rows() != want
