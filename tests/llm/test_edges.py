@@ -330,3 +330,75 @@ def test_pipeline_against_a_plain_version(spark):
         assert (r.start, r.n_tokens, list(r.ids)) == (at, len(want), want)
         at += len(want)
     scratch.discard()
+
+
+def _plain_random_spans(texts):
+    """The spans of kind random of each text by the definition: three tests, Stouffer's rule, false discoveries."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    tested = []
+    for i, text in enumerate(texts):
+        base = [m.span() for m in assign.finditer(text) if len(m[2]) >= 6] + [m.span() for m in re.finditer("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", text)]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+            body, n = m[0], len(m[0])
+            if any(a < m.end() and m.start() < b for a, b in base) or not re.search("[0-9]", body) or not re.search("[A-Za-z]", body):
+                continue
+            k = next(k for k, p in ((16, "[0-9a-f]+|[0-9A-F]+"), (32, "[A-Z2-7]+"), (36, "[A-Z0-9]+|[a-z0-9]+"), (62, "[A-Za-z0-9]+"), (64, ".+")) if re.fullmatch(p, body))
+            excess = k * (0.1 if k == 16 else 0.065) - 1
+            chi2 = sum(body.count(c) ** 2 for c in set(body)) * k / n - n
+            uniformity = (chi2 - (k - 1) - n * excess) / math.sqrt(2 * (k - 1 + 2 * n * excess))
+            d = (6 if k == 32 else 10) / k
+            change = 2 * d * (1 - d)
+            expected, changes = (n - 1) * change, len(re.findall("[0-9]+|[^0-9]+", body)) - 1
+            runs = (abs(changes - expected) - 0.5 * expected) / math.sqrt(max(expected * (1 - change), 0.25))
+            codes = [ord(c) - sum(map(ord, body)) / n for c in body]
+            serial = (abs(sum(a * b for a, b in zip(codes, codes[1:], strict=False)) / sum(c * c for c in codes)) - 0.3) * math.sqrt(n)
+            p = math.erfc(-(uniformity + runs + serial) / math.sqrt(3) / math.sqrt(2)) / 2
+            tested.append((p, min(400, math.floor(-math.log10(max(p, 1e-30)) * 20)), i, m.span()))
+    bins = sorted({b for _, b, _, _ in tested if b > 0 and 10 ** (-b / 20) <= 0.1 * sum(x[1] >= b for x in tested) / len(tested)})
+    return sorted((i, span) for p, _, i, span in tested if bins and p <= 10 ** (-bins[0] / 20))
+
+
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(11)
+    alphabets = [string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    texts = []
+    for i in range(400):
+        words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 9))) for _ in range(20)]
+        for _ in range(rng.randrange(3)):
+            words.insert(rng.randrange(20), rng.choice(["key=", "token: ", "", "", ""]) + "".join(rng.choices(alphabets[i % 5], k=rng.randrange(20, 60))))
+        words.insert(3, rng.choice(["a_long_file_name_of_2023_version_2", "some-very-common-slug-with-2-numbers-14", "aaaaaaaaaaaaaaaaaaaaaa1", "w" * 30, "password=" + "abc123" * 5]))
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, (s.start, s.end)) for r in secrets.scan(docs).collect() for s in r.added)
+    assert got == _plain_random_spans(texts) and len(got) > 100
+
+
+def test_base32_keys_are_found_as_often_as_base36(spark):
+    rng = random.Random(8)
+    chance = {k: ["".join(rng.choices(a, k=40)) for _ in range(60)] for k, a in ((32, string.ascii_uppercase + "234567"), (36, string.ascii_uppercase + string.digits))}
+    found = secrets._battery(secrets._matches(F.col("text"), secrets.CANDIDATE, 0, 3, "random", 20))
+    rows = spark.createDataFrame([(k, t) for k, ts in chance.items() for t in ts], "k int, text string").select("k", F.element_at(found, 1)["p"].alias("p")).collect()
+    low = {k: sorted(r.p for r in rows if r.k == k)[30] for k in chance}
+    assert low[32] < 10 * low[36]
+
+
+def test_the_normal_tail_is_right(spark):
+    zs = [-30.0, -12.0, -8.0, -6.0, -3.0, -1.0, 0.0, 0.5, 2.0, 6.0]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", secrets._normal_below(F.col("z")).alias("p")).collect():
+        assert r.p == pytest.approx(math.erfc(-r.z / math.sqrt(2)) / 2, rel=1e-6)
+
+
+def test_many_candidates_and_base_spans_in_one_text(spark):
+    """A text of token lines: time in proportion to the lines, and only tokens apart from base spans are kept."""
+    rng = random.Random(4)
+    line = lambda: f"token={''.join(rng.choices('abcdef0123456789', k=8))} x {''.join(rng.choices(string.ascii_letters + string.digits, k=24))}"
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "\n".join(line() for _ in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        row = secrets.scan(docs).first()
+        assert len(row.base) == n and all(s.end - s.start == 24 for s in row.added) and len(row.added) > n // 2
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(32_000) < 8 * max(took(8000), 2)
