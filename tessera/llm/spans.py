@@ -4,8 +4,8 @@ Every run of three consecutive sentences is hashed; the hashes are joined global
 any repeated run covers are removed, except in the run's first place (smallest doc_id, then row and
 position). A sentence ends at . ! ? or a line end; longer ones are also cut by the hashes of their
 words, so that a passage is cut alike wherever it stands: any repeat of over 50 words, with the same
-line ends, holds a complete run. A run of short sentences is hashed with those behind it; its first
-three are removed.
+line ends, holds a complete run. A run of short sentences is hashed with those behind it and removed
+with them. The end of a text, or all of a short one, is a run too, so that exact copies go whole.
 """
 
 from __future__ import annotations
@@ -57,27 +57,42 @@ def sentences(text: str) -> list[str]:
     return ["".join(spaced[i + 1 : j + 1]) for i, j in zip([-1, *cuts], cuts, strict=False)]
 
 
-def run_hashes(parts: list[str], run: int = RUN, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """Hash of the run that starts at each sentence: ``run`` sentences, and as many more as it takes
-    to have ``least_words``; 0 where the text ends before that. Case and white space do not matter."""
-    words = [p.lower().split() for p in parts]
-    out = np.zeros(max(0, len(parts) - run + 1), "int64")
-    for i in range(len(out)):
-        of = words[i] + words[i + 1] + words[i + 2] if run == 3 else [w for s in words[i : i + run] for w in s]
-        j = i + run
-        while len(of) < least_words and j < len(words):
-            of += words[j]
+def runs(words: list[list[str]], run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """First and last sentence, end exclusive, of the runs of a text with these words in its sentences.
+
+    A run is ``run`` sentences, and as many more as it takes to have ``least_words``. Where the text ends
+    before that there is one run for its end: as many of the last sentences as it takes, or the whole text.
+    """
+    n, ahead = len(words), [0]
+    for w in words:
+        ahead.append(ahead[-1] + len(w))
+    out, j = [], 0
+    for i in range(n):
+        j = max(j, i + run)
+        while j < n and ahead[j] - ahead[i] < least_words:
             j += 1
-        if len(of) >= least_words:
-            out[i] = np.uint64(xxhash.xxh3_64_intdigest(" ".join(of)) or 1).astype("int64")
+        if j > n or ahead[j] - ahead[i] < least_words:
+            break
+        out.append((i, j))
+    last = next((i for i in range(max(n - run, 0), -1, -1) if ahead[n] - ahead[i] >= least_words), 0)
+    if n and ahead[n] and (last, n) not in out[last : last + 1]:
+        out.append((last, n))
     return out
 
 
+def run_hashes(parts: list[str], run: int = RUN, least_words: int = LEAST_WORDS) -> list[int]:
+    """A hash for each run of the sentences, in the order of ``runs``. Case and white space do not matter."""
+    words = [p.lower().split() for p in parts]
+    hashes = [xxhash.xxh3_64_intdigest(" ".join([w for s in words[i:j] for w in s])) for i, j in runs(words, run, least_words)]
+    return np.array(hashes, "uint64").astype("int64").tolist()
+
+
 def dedup(docs: DataFrame, text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with the text cleaned and n_sentences, n_removed, removed (positions) added.
 
-    Null and empty texts stay as they are and have no sentences. Rows that repeat a doc_id keep one
-    first place, in a fixed order of the rows. Texts without repeated runs come back unchanged.
+    Null and empty texts stay as they are and have no sentences; texts without words have no runs; very long
+    ones are handled whole, in time that grows with their length; an empty table stays empty. Rows that repeat
+    a doc_id keep one first place, in a fixed order of the rows. Texts without repeated runs come back unchanged.
     Columns with the names of added ones are replaced; those starting with two underscores are reserved.
     """
     spark = docs.sparkSession
@@ -99,7 +114,7 @@ def dedup(docs: DataFrame, text_col: str = "text", run: int = RUN, least_words:
 
     rows = scratch.write(docs.mapInArrow(hashed, schema), "rows")
     # within a document a run's first place is enough for the global first; later places are known to repeat
-    spans = rows.select(F.col("doc_id").cast("long").alias("d"), F.col("__rid").alias("r"), F.posexplode("__runs").alias("p", "h")).where("h <> 0")
+    spans = rows.select(F.col("doc_id").cast("long").alias("d"), F.col("__rid").alias("r"), F.posexplode("__runs").alias("p", "h"))
     place = F.struct(F.coalesce("d", F.lit((1 << 63) - 1)).alias("d"), F.col("r").alias("r"), F.col("p").alias("p"))
     repeated = scratch.write(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
     total = repeated.agg(F.sum("n")).first()[0] or 0
@@ -118,7 +133,8 @@ def dedup(docs: DataFrame, text_col: str = "text", run: int = RUN, least_words:
             texts, counts, lost = [], [], []
             for t, starts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 parts = sentences(t) if t else []
-                drop = sorted({i + j for i in starts or [] for j in range(run)})
+                places = runs([p.lower().split() for p in parts], run, least_words) if starts else []
+                drop = sorted({i for s in starts or [] for i in range(*places[s])})
                 gone_set = set(drop)
                 texts.append("".join(p for i, p in enumerate(parts) if i not in gone_set) if drop else t)
                 counts.append(len(parts))

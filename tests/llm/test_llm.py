@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -87,21 +88,50 @@ def test_language_model_is_a_probability():
     assert sum(10 ** x * (1 if i < 300 else v.tail_z) for i, x in enumerate(last)) == pytest.approx(1, rel=1e-3)
 
 
-def test_spans_against_brute_force(spark, docs):
-    got = spans.op3_spans(spark, D).toPandas()
-    places: dict[int, list] = {}
-    for i, x in sorted(docs.text.items()):
-        for p, h in enumerate(spans.run_hashes(spans.sentences(x))):
-            if h:
-                places.setdefault(h, []).append((i, p))
-    gone: dict[int, set] = {}
-    for at in places.values():
-        for i, p in at[1:]:
-            gone.setdefault(i, set()).update(range(p, p + 3))
-    for r in got.itertuples():
+def _plain_spans(texts):
+    """Removed sentences by the definition, for sentences that end at a stop and have eight words at most."""
+    split = {i: re.findall(r"[^.]+\.\s*", t) for i, t in texts}
+    seen, gone = set(), {i: set() for i, _ in texts}
+    for i, _ in sorted(texts):
+        count = [len(x.split()) for x in split[i]]
+        spans_of = []
+        for a in range(len(count)):
+            ends = [b for b in range(a + 3, len(count) + 1) if sum(count[a:b]) >= 10]
+            spans_of += [(a, ends[0])] if ends else []
+        tails = [a for a in range(len(count) - 2) if sum(count[a:]) >= 10]
+        end = (tails[-1] if tails else 0, len(count))
+        spans_of += [end] if count and end not in spans_of else []
+        for a, b in spans_of:
+            key = " ".join("".join(split[i][a:b]).lower().split())
+            if key in seen:
+                gone[i].update(range(a, b))
+            seen.add(key)
+    return {i: (sorted(gone[i]), "".join(p for n, p in enumerate(split[i]) if n not in gone[i]), len(split[i])) for i, _ in texts}
+
+
+def test_spans_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    sentence = lambda n: " ".join(rng.choices(words, k=n)) + "."
+    shared = [[sentence(rng.choice([1, 2, 3, 8])) for _ in range(rng.randrange(1, 9))] for _ in range(12)]
+    texts = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts += rng.choice(shared) if rng.random() < 0.5 else [sentence(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))]
+        texts.append((i, rng.choice([" ", "  "]).join(parts)))
+    texts += [(200, "Two of. These."), (201, "two  of. these."), (202, "One two three four five."), (203, "one two three four five."), (204, "One two three four five. "), (205, "A b c d. E f g."), (206, "A b c d. E f g."), (207, "A b c d. E f h.")]
+    texts += [(i, "w1 w2 w3 w4 w5 w6 w7 w8. a b c. d. e. f. g.") for i in (300, 301)] + [(302, "Word."), (303, "word.")]
+    got = {r.doc_id: (sorted(r.removed), r.text, r.n_sentences) for r in spans.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert got == _plain_spans(texts)
+    assert [got[i][1] for i in (200, 201, 203, 204, 206, 301, 303)] == ["Two of. These.", "", "", "", "", "", ""] and got[207][1]
+
+
+def test_span_query_keeps_the_rest_of_each_text(spark, docs):
+    for r in spans.op3_spans(spark, D).collect():
         parts = spans.sentences(docs.text[r.doc_id])
-        assert "".join(parts) == docs.text[r.doc_id] and list(r.removed) == sorted(gone.get(r.doc_id, ()))
-        assert r.text == "".join(p for i, p in enumerate(parts) if i not in gone.get(r.doc_id, ()))
+        assert "".join(parts) == docs.text[r.doc_id] and len(parts) == r.n_sentences and len(r.removed) == r.n_removed
+        assert r.text == "".join(p for i, p in enumerate(parts) if i not in set(r.removed))
 
 
 def test_secrets_against_brute_force(spark, docs):
