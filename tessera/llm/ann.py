@@ -5,9 +5,10 @@ the lower ones on a larger sample, by the same rule, so the leaves grow with the
 as many. Every vector is put into its leaf. A query walks the tree
 best-bin-first through a priority queue; the number of leaves it opens is widened until calibration
 queries, compared with brute force over all vectors, reach the wanted recall, and further for each
-query until its leaves hold k other vectors. The nearest leaves are compared first; of the others only
-vectors within the k-th distance found there are candidates. Leaves are cut into tiles of bounded size, so that a leaf
-with very many vectors or queries is spread over tasks.
+query until its leaves hold k other vectors. Leaves are compared in groups of about GROUP vectors, which
+a query enters with the leaves that it opens there. Its nearest leaves come first; of the others only
+vectors within the k-th distance found there are candidates. Groups with very many vectors or queries
+are cut into tiles, so that a hot leaf is spread over tasks.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ LEAF_SAMPLE = 40
 MAX_LEAVES, FINE = 1024, 64
 CALIBRATION = 64
 RECALL = 0.985
-TILE = 2048
+#: Vectors of the leaves that are compared together, about, and queries that meet them in one task.
+GROUP, TILE = 4096, 2048
 K = 10
 #: The first leaves, which bound the others' candidates, hold so many times k vectors.
 FIRST = 40
@@ -122,8 +124,9 @@ class Tree:
         return out
 
 
-def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, distance) of each query's k nearest of x, ties to the smaller id.
+def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, vector id, distance) of each query's k nearest of x, ties to the smaller id; of those that
+    ``allowed`` (queries by vectors) marks, if given.
 
     A matrix product selects all rows that could be among them; their distances are computed plainly.
     Where squares would leave the range of a double, all distances are, on scaled components.
@@ -131,9 +134,11 @@ def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     scale = max((float(np.abs(v).max(initial=0.0)) for v in (queries, x)), default=0.0)
     least = min((float(np.abs(v).max(axis=1).min(initial=np.inf)) for v in (queries, x) if len(v)), default=1.0)
     if scale > MOST or least < 1 / MOST:
-        return _nearest_scaled(queries, q_ids, x, ids, k)
+        return _nearest_scaled(queries, q_ids, x, ids, k, allowed)
     rough = (queries**2).sum(1)[:, None] - 2 * queries @ x.T + (x**2).sum(1)[None, :]
     rough[q_ids[:, None] == ids[None, :]] = np.inf
+    if allowed is not None:
+        rough[~allowed] = np.inf
     out_q, out_v, out_d = [], [], []
     for i in range(len(queries)):
         row = rough[i]
@@ -153,10 +158,10 @@ def nearest(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_d)
 
 
-def _nearest_scaled(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest_scaled(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out: list[list[np.ndarray]] = [[], [], []]
-    for q, own in zip(queries, q_ids, strict=True):
-        other = np.flatnonzero(ids != own)
+    for i, (q, own) in enumerate(zip(queries, q_ids, strict=True)):
+        other = np.flatnonzero(ids != own if allowed is None else (ids != own) & allowed[i])
         with np.errstate(over="ignore"):
             gap = np.abs(x[other] / 2 - q / 2)  # halves, as a difference may exceed the range itself
             most = gap.max(axis=1, initial=0.0)
@@ -217,41 +222,56 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     queries = index.where(is_query).select("id", "v")
     most = _calibrate(spark, index, queries, tree, dim, k, recall)
 
-    visited = T.StructType([*schema.fields, T.StructField("near", T.BooleanType())])
+    counts = np.array([per_leaf.get(i, 0) for i in range(tree.n_leaves)])
+    group_of = ((np.cumsum(counts) - counts) // GROUP).astype("int32")  # leaves in order, GROUP vectors or so together
+    in_group = np.bincount(group_of, counts, minlength=int(group_of[-1]) + 1).astype("int64")
+    visited = T.StructType([*schema.fields[:2], T.StructField("grp", T.IntegerType()), T.StructField("near", T.BooleanType()), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and group of leaves, once for its nearest leaves and once for the others."""
         for b in batches:
-            x = _matrix(b.column(1), dim)
-            found = [held.value.visit(q, most, sizes, k + 1 + again) for q in _cut(x)]
-            row = np.repeat(np.arange(len(x)), [len(f) for f in found])
-            leaf = np.array([i for f in found for i in f], "int32")
-            near = np.concatenate([np.cumsum(sizes[list(f)]) - sizes[list(f)] < FIRST * k + again for f in found]) if found else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(leaf), pa.array(near)], names=visited.names)
+            row, group, near, leaves = [], [], [], []
+            for i, q in enumerate(_cut(_matrix(b.column(1), dim))):
+                found = np.array(held.value.visit(q, most, sizes, k + 1 + again), "int32")
+                first = np.cumsum(sizes[found]) - sizes[found] < FIRST * k + again
+                key = group_of[found] * 2 + first
+                order = np.argsort(key, kind="stable")
+                kinds, at = np.unique(key[order], return_index=True)
+                row += [i] * len(kinds)
+                group += (kinds // 2).tolist()
+                near += (kinds % 2 == 1).tolist()
+                leaves += np.split(found[order], at[1:])
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(group, pa.int32()), pa.array(near, pa.bool_()), pa.array(leaves, pa.list_(pa.int32()))], names=visited.names)
 
     asked = scratch.write(queries.mapInArrow(walk, visited), "asked")
     salt = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
-    keys = ["leaf", "down", "across"]
+    grouped = F.broadcast(spark.createDataFrame(list(enumerate(group_of.tolist())), "leaf int, grp int"))  # one row a leaf
+    keys = ["grp", "down", "across"]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         x = np.array(b["v"].tolist())
+        leaves, leaf = np.unique(b["leaf"].to_numpy(), return_inverse=True)
         parts = []
         for i in range(0, len(a), 256):
             some = a.iloc[i : i + 256]
-            q, v, d = nearest(np.array(some["v"].tolist()), some["id"].to_numpy(), x, b["id"].to_numpy(), k)
-            order = np.argsort(some["id"].to_numpy(), kind="stable")
-            bound = some["bound"].to_numpy()[order][np.searchsorted(some["id"].to_numpy()[order], q)]
+            open_leaves = np.array([np.isin(leaves, own) for own in some["leaves"]])
+            ids = some["id"].to_numpy()
+            q, v, d = nearest(np.array(some["v"].tolist()), ids, x, b["id"].to_numpy(), k, open_leaves[:, leaf])
+            order = np.argsort(ids, kind="stable")
+            bound = some["bound"].to_numpy()[order][np.searchsorted(ids[order], q)]
             parts.append([c[d <= bound] for c in (q, v, d)])
         return pd.DataFrame({n: np.concatenate([p[j] for p in parts]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
     def compared(visits: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score): of each tile of a leaf at most k rows a query, within the query's bound."""
-        q_leaf = {r["leaf"]: r["n"] for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-        tiles = {i: (-(-per_leaf.get(i, 0) // TILE) or 1, -(-q_leaf.get(i, 0) // TILE)) for i in range(tree.n_leaves)}
-        tiled = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in tiles.items() if b], "leaf int, down int, across int"))  # one row a leaf
-        left = visits.join(tiled, "leaf").withColumn("across", salt("across")).withColumn("down", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
-        right = index.join(tiled, "leaf").withColumn("down", salt("down")).withColumn("across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        """(query_id, vec_id, score): of each tile of a group of leaves at most k rows a query, within its bound."""
+        asking = {r["grp"]: r["n"] for r in visits.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a group
+        tiles = [(g, -(-int(in_group[g]) // (2 * GROUP)) or 1, -(-n // TILE)) for g, n in asking.items()]
+        tiled = F.broadcast(spark.createDataFrame(tiles, "grp int, down int, across int"))  # one row a group
+        left = visits.join(tiled, "grp").withColumn("across", salt("across")).withColumn("down", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+        right = index.join(grouped, "leaf").join(tiled, "grp").withColumn("down", salt("down")).withColumn("across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
         return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
