@@ -89,10 +89,11 @@ def enrich(results: DataFrame, texts: DataFrame, url: str = "text_url", text: st
     return results.join(held, F.col(url) == F.col("__url"), "left").withColumn(text, F.col("__text")).drop("__url", "__text")
 
 
-def corpus_version(files: DataFrame) -> DataFrame:
-    """First 16 hex digits of a digest over (name, size, modified) in order; 'seed-corpus' without files."""
+def corpus_version(files: DataFrame, *by: str) -> DataFrame:
+    """First 16 hex digits of a digest over (name, size, modified) in order, of each corpus that ``by`` tells
+    apart; 'seed-corpus' without files. A corpus's files, not their contents, go through one group."""
     parts = F.array_sort(F.collect_list(F.concat_ws("|", "name", "size", "modified")))
-    return files.agg(F.when(F.count(F.lit(1)) == 0, F.lit("seed-corpus")).otherwise(F.substring(F.sha2(F.array_join(parts, "\n"), 256), 1, 16)).alias("version"))
+    return files.groupBy(*by).agg(F.when(F.count(F.lit(1)) == 0, F.lit("seed-corpus")).otherwise(F.substring(F.sha2(F.array_join(parts, "\n"), 256), 1, 16)).alias("version"))
 
 
 def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:

@@ -8,7 +8,7 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,7 @@ class PointTable:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.counts: dict[str, int] = {}
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
 
     # --- folders
@@ -162,12 +163,16 @@ class PointTable:
     # --- writing
 
     def upsert(self, chunks: DataFrame, embed) -> bool:
-        """Inserts and updates the points of chunks; whether anything changed."""
+        """Inserts and updates the points of chunks; whether anything changed. ``counts`` then has the chunks
+        and how many were inserted, updated and skipped, counted while they are written."""
         new = make_points(chunks)
         few = [r[0] for r in new.select("id").distinct().limit(MAX_LOOKUP + 1).collect()] if self.runs() else []
-        changed = changed_points(classify_by_sums(new, self.sums(few if len(few) <= MAX_LOOKUP else None)), embed)
+        classified, seen = classify_by_sums(new, self.sums(few if len(few) <= MAX_LOOKUP else None)), Observation()
+        of = lambda action: F.count_if(F.col("action") == action)
+        counted = classified.observe(seen, F.count(F.lit(1)).alias("total"), of("insert").alias("inserted"), of("update").alias("updated"), of("skip").alias("skipped"))
         name = f"v{self.version + 1}"
-        self._write(changed, name, self.centres())
+        self._write(changed_points(counted, embed), name, self.centres())
+        self.counts = {k: int(v or 0) for k, v in seen.get.items()}
         if self._run(name).isEmpty():
             self._delete(name)
             return False

@@ -22,7 +22,6 @@ from ..operators import retrieval as R
 from ..schemas import DECISION_FIELDS, _schema
 from ..session import shared
 from ..sources import files as S
-from ..sources.seed import SEED
 from . import engine as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,12 +306,18 @@ def q23_prompt_context(spark, d):
     return A.prompt_context(_gathered(spark, d)).select("qid", "context")
 
 
-@query("""SELECT * FROM (VALUES (1, 'a', 'r', 's1,2', 1.0::DOUBLE), (2, 'b', '', '', 0.0::DOUBLE), (3, '[1]', '', 'x,y,z', 0.0::DOUBLE), (4, '', '', '', 0.0::DOUBLE), (5, 'None', '', '', 0.0::DOUBLE), (6, 'plain text', '', 'x,y,z', 0.0::DOUBLE), (7, 'n', '', '', 1.0::DOUBLE)) v(n, answer, reasoning, sources, confidence)""")
+@query(r"""WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE regexp_matches(text, '\w'))
+SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN '' ELSE t END AS answer, CASE turn % 5 WHEN 1 THEN 'r' ELSE '' END AS reasoning, CASE turn % 5 WHEN 0 THEN 'x,y,z' WHEN 4 THEN 'x,y,z' WHEN 1 THEN 's,' || conv_id ELSE '' END AS sources, CAST(CASE turn % 5 WHEN 1 THEN 1 WHEN 2 THEN 0.25 ELSE 0 END AS DOUBLE) AS confidence FROM u""")
 def q24_reply_parse(spark, d):
-    texts = ['{"answer": " a ", "reasoning": "r", "sources": ["s1", 2], "confidence": 5.0}', '```json\n{"answer": "b", "sources": "x", "confidence": -1}\n```', "[1]", '{"answer": ""}', '{"answer": null}', " plain text ", '{"answer": "n", "confidence": NaN}']
-    rows = spark.createDataFrame(list(enumerate(texts, 1)), "n int, text string")
-    out = rows.select("n", A.parse_replies("text", F.array(*map(F.lit, "xyzw"))).alias("r"))
-    return out.select("n", "r.answer", "r.reasoning", F.array_join("r.sources", ",").alias("sources"), "r.confidence")
+    """Turns as replies of a model: plain, JSON, fenced JSON, JSON without an answer, and an array."""
+    turns = _t(spark, d, "conversations").where(F.col("text").rlike(r"\w"))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    whole = F.to_json(F.struct(F.col("text").alias("answer"), F.lit("r").alias("reasoning"), F.array(F.lit("s"), F.col("conv_id").cast("string")).alias("sources"), F.lit(5.0).alias("confidence")))
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(text.alias("answer"), F.lit("none").alias("sources"), F.lit(0.25).alias("confidence"))), F.lit("\n```"))
+    forms = (F.concat(F.lit("\n "), F.col("text")), whole, fenced, F.lit('{"answer": " "}'), F.col("text"))
+    reply = F.element_at(F.array(*forms), (F.col("turn") % 5).cast("int") + 1)
+    out = turns.select("conv_id", "turn", A.parse_replies(reply, F.array(*map(F.lit, "xyzw"))).alias("r"))
+    return out.select("conv_id", "turn", "r.answer", "r.reasoning", F.array_join("r.sources", ",").alias("sources"), "r.confidence")
 
 
 @query("SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'system'), '') AS system, count(*) FILTER (role <> 'system') AS n, coalesce(string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (role <> 'system'), '') AS messages FROM conversations GROUP BY conv_id")
@@ -521,7 +526,7 @@ def q45_batch_files(spark, d):
     """Decisions as files of JSON arrays, beside a manifest, read again."""
     root = f"{shared(spark)}/batches-{uuid.uuid4().hex}"
     item = F.to_json(F.struct(F.col("doc_id").alias("result_id"), F.col("source").alias("case_reference"), F.col("text").alias("full_text"), F.lit(None).cast("array<string>").alias("topics_and_keywords")))
-    arrays = _t(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(7)).alias("n")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ",\n"), F.lit("]")).alias("value"))
+    arrays = _t(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("n")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ",\n"), F.lit("]")).alias("value"))
     arrays.write.partitionBy("n").text(f"{root}/files")  # one row and so one file each
     rows = S.read_decisions(spark, f"{root}/files")
     return rows.select("result_id", "full_text", "case_reference", F.when(F.size("topics_and_keywords") == 0, 1).otherwise(0).alias("lists"))
@@ -580,10 +585,11 @@ def q49_engine_search(spark, d):
     return out.select("qid", "summary", F.array_join("top_cases", ",").alias("cases"), "strategy.mode")
 
 
-@query("SELECT substring(sha256(string_agg(url || '|' || length(html) || '|' || page_id, chr(10) ORDER BY url || '|' || length(html) || '|' || page_id)), 1, 16) AS version, 'seed-corpus' AS empty FROM pages")
+@query("SELECT page_id // 50 AS batch, substring(sha256(string_agg(url || '|' || length(html) || '|' || page_id, chr(10) ORDER BY url || '|' || length(html) || '|' || page_id)), 1, 16) AS version FROM pages GROUP BY 1")
 def q50_corpus_version(spark, d):
-    files = _t(spark, d, "pages").select(F.col("url").alias("name"), F.length("html").alias("size"), F.col("page_id").alias("modified"))
-    return C.corpus_version(files).crossJoin(C.corpus_version(files.where("false")).select(F.col("version").alias("empty")))  # of one row each
+    """The versions of corpora of fifty files each."""
+    files = _t(spark, d, "pages").select(F.floor(F.col("page_id") / 50).alias("batch"), F.col("url").alias("name"), F.length("html").alias("size"), F.col("page_id").alias("modified"))
+    return C.corpus_version(files, "batch")
 
 
 @query("SELECT doc_id, lang || ',' || source || ' x,' || lang || ',' || lang AS lines, lang || ',' || source || ' x,' || lang AS collapsed, 'I_' || doc_id || '-' || lang AS ids FROM documents")
@@ -605,24 +611,54 @@ def q52_model_replies(spark, d):
     return rows.select("conv_id", "turn", A.first_text_block(reply).alias("block"), made["answer"].alias("answer"), made["confidence"].alias("confidence"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', '{i}', 0)" for i, t in SEED) + ") v(id, text, case_reference, chunk_index)")
-def q53_seed_corpus(spark, d):
-    """What an empty store starts with."""
-    return S.or_seed(_chunks(spark, d).where("false")).select("id", "text", "case_reference", "chunk_index")
+@query(f"WITH {_CHUNKS} SELECT doc_id || '_' || chunk_index AS id, chunk_text AS text, source || ' ' || doc_id AS case_reference, chunk_index FROM c JOIN documents USING (doc_id)")
+def q53_corpus_or_seed(spark, d):
+    """The corpus, which is there, so that the seed does not stand in for it."""
+    return S.or_seed(_chunks(spark, d)).select("id", "text", "case_reference", "chunk_index")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def q54_stream_first_seen(spark, d):
     """The first event of each user and type, from a stream that keeps the keys that it has seen."""
-    from ..streaming.ingest import first_seen
+    from ..streaming.keyed import first_rows
 
-    name = f"s{uuid.uuid4().hex}"
+    root = f"{shared(spark)}/first-{uuid.uuid4().hex}"
     events = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    keyed = events.select("user_id", "event_type", F.concat_ws("|", "user_id", "event_type").alias("key"))
-    stream = first_seen(keyed, "key").writeStream.format("memory").queryName(name).option("checkpointLocation", f"{shared(spark)}/{name}").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    firsts = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    return spark.table(name).select("user_id", "event_type").join(firsts, ["user_id", "event_type"])
+    keyed = events.select("user_id", "event_type", "event_id", F.concat_ws("|", "user_id", "event_type").alias("key"))
+    stream = first_rows(keyed, "key", "event_id").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(keyed.schema).parquet(f"{root}/out").drop("key")
+
+
+@query("WITH t AS (SELECT doc_id, md5(text) AS k FROM documents), f AS (SELECT k, min(doc_id) FILTER (doc_id % 2 = 0) AS early, min(doc_id) AS any_id FROM t GROUP BY k) SELECT coalesce(early, any_id) AS doc_id, k AS ecli FROM f")
+def q58_crawl_stream(spark, d):
+    """Decisions that come in two batches, copies of one text with one ecli: each is kept where it came first."""
+    from ..streaming.keyed import first_rows
+
+    root = f"{shared(spark)}/crawl-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "documents").select("doc_id", F.md5("text").alias("ecli"), F.lit(None).cast("string").alias("case_reference"))
+    for n in (0, 1):
+        docs.where(F.col("doc_id") % 2 == n).write.parquet(f"{root}/in/{n}")
+        rows = spark.readStream.schema(docs.schema).parquet(f"{root}/in/*").withColumn("identity", S.decision_identity())
+        stream = first_rows(rows, "identity", "doc_id").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(docs.schema).parquet(f"{root}/out").select("doc_id", "ecli")
+
+
+@query(r"WITH u AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k FROM conversations WHERE role = 'user') SELECT k AS key, count(*) AS n, 1 AS asked, 'answer to ' || length(k) AS answer FROM u GROUP BY k")
+def q59_answer_stream(spark, d):
+    """User turns as a stream of queries: each distinct one is answered once, whichever batch it comes in."""
+    from ..streaming.keyed import ANSWERS, answered
+
+    root = f"{shared(spark)}/answers-{uuid.uuid4().hex}"
+    turns = _t(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("qid"), X.normalise_query("text").alias("query"), X.normalise_query("text").alias("key"), "turn")
+    for n in (0, 1):
+        turns.where(F.col("turn") % 2 == n).write.parquet(f"{root}/in/{n}")
+        made = answered(spark.readStream.schema(turns.schema).parquet(f"{root}/in/*"), lambda q: f"answer to {len(q)}")
+        stream = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(ANSWERS).parquet(f"{root}/out")
+    return out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").cast("int").alias("asked"), F.max("answer").alias("answer"))
 
 
 @query(SQL["q02_keyword_topk"])

@@ -924,3 +924,60 @@ def test_engine_queries_need_the_keyword_search(spark, monkeypatch, name):
     want, real = rows(), R.keyword_search
     monkeypatch.setattr(R, "keyword_search", lambda corpus, queries, k: real(corpus.where("false"), queries, k))
     assert rows() != want
+
+
+# Keyed streams
+
+
+def test_first_rows_over_batches_and_restarts(spark, tmp_path):
+    from tessera.streaming.keyed import first_rows
+
+    def run(n, rows, fail=False):
+        spark.createDataFrame(rows, "k string, o long").repartition(3).write.parquet(str(tmp_path / f"in{fail}/{n}"))
+        stream = first_rows(spark.readStream.schema("k string, o long").parquet(str(tmp_path / f"in{fail}/*")), "k", "o", fail)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / f"out{fail}")).option("checkpointLocation", str(tmp_path / f"check{fail}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / f"out{fail}")).collect())
+
+    assert run(0, [("a", 3), ("a", 1), ("b", 2)]) == [("a", 1), ("b", 2)]
+    assert run(1, [("a", 0), ("c", 9), ("c", 8)]) == [("a", 1), ("b", 2), ("c", 8)]
+    assert run(0, [("a", 3), ("b", 2)], True) == [("a", 3), ("b", 2)]
+    with pytest.raises(Exception, match="duplicate k: a"):  # over a restart
+        run(1, [("a", 5), ("c", 1)], True)
+    with pytest.raises(Exception, match="a row without k"):
+        run(2, [(None, 1)])
+
+
+def test_answers_expire(spark, tmp_path):
+    from tessera.streaming.keyed import answered
+
+    log = str(tmp_path / "log")
+
+    def answer(query):
+        with open(log, "a") as out:
+            out.write(query + "\n")
+        return query.upper()
+
+    def run(n, rows, seconds):
+        spark.createDataFrame(rows, "qid long, query string, key string").write.parquet(str(tmp_path / f"in/{n}"))
+        made = answered(spark.readStream.schema("qid long, query string, key string").parquet(str(tmp_path / "in/*")), answer, seconds)
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return open(log).read().split()
+
+    assert run(0, [(1, "a", "a"), (2, "a", "a"), (3, "b", "b")], 3600).count("a") == 1
+    assert run(1, [(4, "a", "a")], 3600).count("a") == 1
+    assert sorted((r.qid, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "A"), (2, "A"), (3, "B"), (4, "A")]
+    assert run(2, [(5, "c", "c")], 0.001).count("c") == 1
+    time.sleep(0.1)
+    assert run(3, [(6, "c", "c")], 0.001).count("c") == 2
+
+
+def test_counts_and_status_come_from_the_writing_pass(spark, tmp_path):
+    from tessera.streaming.ingest import Ingest
+
+    table = PointTable(spark, str(tmp_path / "points"))
+    table.upsert(_chunks(spark, ("a", "t1"), ("b", "t2")), A.mock_embed)
+    assert table.counts == {"total": 2, "inserted": 2, "updated": 0, "skipped": 0}
+    _chunks(spark, ("a", "t1"), ("b", "new"), ("c", "t3")).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    ingest = Ingest(lambda: ingest_stream(spark.readStream.schema(CHUNK_FIELDS).parquet(str(tmp_path / "in/*")), table, A.mock_embed, str(tmp_path / "check"))).run()
+    assert ingest.join(120) == "completed" and table.counts == {"total": 3, "inserted": 1, "updated": 1, "skipped": 1}
