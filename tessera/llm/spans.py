@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +58,13 @@ def sentences(text: str) -> list[str]:
     return ["".join(spaced[i + 1 : j + 1]) for i, j in zip([-1, *cuts], cuts, strict=False)]
 
 
-def runs(words: list[list[str]], run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """First and last sentence, end exclusive, of the runs of a text with these words in its sentences.
+def runs(sizes: list[int], run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """First and last sentence, end exclusive, of the runs of a text with so many words in its sentences.
 
     A run is ``run`` sentences, and as many more as it takes to have ``least_words``. Where the text ends
     before that there is one run for its end: as many of the last sentences as it takes, or the whole text.
     """
-    n, ahead = len(words), [0]
-    for w in words:
-        ahead.append(ahead[-1] + len(w))
+    n, ahead = len(sizes), [0, *accumulate(sizes)]
     out, j = [], 0
     for i in range(n):
         j = max(j, i + run)
@@ -83,7 +82,12 @@ def runs(words: list[list[str]], run: int = RUN, least_words: int = LEAST_WORDS)
 def run_hashes(parts: list[str], run: int = RUN, least_words: int = LEAST_WORDS) -> list[int]:
     """A hash for each run of the sentences, in the order of ``runs``. Case and white space do not matter."""
     words = [p.lower().split() for p in parts]
-    hashes = [xxhash.xxh3_64_intdigest(" ".join([w for s in words[i:j] for w in s])) for i, j in runs(words, run, least_words)]
+    plain = [" ".join(w) for w in words]
+    sizes = list(map(len, words))
+    if 0 in sizes:  # sentences without words stand in a run but add nothing to it
+        hashes = [xxhash.xxh3_64_intdigest(" ".join([p for p in plain[i:j] if p])) for i, j in runs(sizes, run, least_words)]
+    else:
+        hashes = [xxhash.xxh3_64_intdigest(" ".join(plain[i:j])) for i, j in runs(sizes, run, least_words)]
     return np.array(hashes, "uint64").astype("int64").tolist()
 
 
@@ -100,16 +104,17 @@ def dedup(docs: DataFrame, text_col: str = "text", run: int = RUN, least_words:
     added = ("n_sentences", "n_removed", "removed")
     docs = docs.select(*[c for c in docs.columns if c not in added])
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__rid", T.LongType()), T.StructField("__runs", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__rid", T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__runs", T.ArrayType(T.LongType()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         n = TaskContext.get().partitionId() << 36
         for b in batches:
-            runs = [run_hashes(sentences(t), run, least_words) if t else [] for t in b.column(at).to_pylist()]
-            arrays = [*b.columns, pa.array(np.arange(n, n + len(runs))), pa.array(runs, pa.list_(pa.int64()))]
-            n += len(runs)
+            cut = [sentences(t) if t else [] for t in b.column(at).to_pylist()]
+            hashes = [run_hashes(parts, run, least_words) for parts in cut]
+            arrays = [*b.columns, pa.array(np.arange(n, n + len(cut))), pa.array(list(map(len, cut)), pa.int32()), pa.array(hashes, pa.list_(pa.int64()))]
+            n += len(cut)
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     rows = scratch.write(docs.mapInArrow(hashed, schema), "rows")
@@ -131,15 +136,17 @@ def dedup(docs: DataFrame, text_col: str = "text", run: int = RUN, least_words:
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, lost = [], [], []
-            for t, starts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                parts = sentences(t) if t else []
-                places = runs([p.lower().split() for p in parts], run, least_words) if starts else []
-                drop = sorted({i for s in starts or [] for i in range(*places[s])})
-                gone_set = set(drop)
-                texts.append("".join(p for i, p in enumerate(parts) if i not in gone_set) if drop else t)
-                counts.append(len(parts))
-                lost.append(drop)
-            arrays = [*b.columns[:-1], pa.array(counts, pa.int64()), pa.array([len(x) for x in lost], pa.int64()), pa.array(lost, pa.list_(pa.int32()))]
+            for t, n, starts in zip(*(b.column(i).to_pylist() for i in (at, b.num_columns - 2, b.num_columns - 1)), strict=True):
+                drop = set()
+                if starts:
+                    parts = sentences(t)
+                    places = runs([len(p.split()) for p in parts], run, least_words)
+                    drop.update(*(range(*places[s]) for s in starts))
+                    t = "".join([p for i, p in enumerate(parts) if i not in drop])
+                texts.append(t)
+                counts.append(n)
+                lost.append(sorted(drop))
+            arrays = [*b.columns[:-2], pa.array(counts, pa.int64()), pa.array([len(x) for x in lost], pa.int64()), pa.array(lost, pa.list_(pa.int32()))]
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
