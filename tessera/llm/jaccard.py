@@ -405,6 +405,15 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     return out.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), *keys, *([F.col("c").alias("component")] if keys else []))
 
 
+def needed_overlap(la: np.ndarray, lb: np.ndarray, ma: np.ndarray, mb: np.ndarray, percent: int) -> np.ndarray:
+    """How many low halves the unions of two groups share at least if members link: SHARE tokens, or as many
+    as an overlap of their smallest sets (``la``, ``lb``) has, less what halves may merge. Of a pair's
+    shared tokens some have one half only if both of its own prefixes have that twice, at most ``ma`` and
+    ``mb`` times in any member."""
+    least = np.minimum(-(-percent * la // 100), -(-percent * lb // 100))
+    return np.minimum(SHARE, least) - np.minimum(ma, mb)
+
+
 def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs of queries and members of the groups that the token-group matrix lets through, as far
     as sizes and bitmaps allow a link.
@@ -434,26 +443,27 @@ def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch:
     met = scratch.write(met.select(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).distinct(), "met")
     rare = base.select("k", "rare").join(held.select("k"), "k", "left_semi").groupBy("k").agg(F.first("rare").alias("rare"))  # copies have the same
     inside = held.join(members.select("k", "bits"), "k").join(rare, "k").groupBy("gid").agg(  # GROUP documents or so
-        F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rare")))).alias("union"), F.min("n").alias("least")
-    )
+        F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rare")))).alias("union"), F.min("n").alias("least"),
+        F.max(F.size("rare") - F.size(F.array_distinct("rare"))).alias("merged"),
+    )
     inside = scratch.write(inside, "inside")
-    one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.struct("inside", "union", "least").alias(f"i{i}")) for i in (1, 2))
-    rows = met.join(one, "g1").join(two, "g2").select(*[f"i{i}.{c}" for i in (1, 2) for c in ("inside", "union", "least")]).toDF("a", "ua", "la", "b", "ub", "lb")
+    one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.struct("inside", "union", "least", "merged").alias(f"i{i}")) for i in (1, 2))
+    rows = met.join(one, "g1").join(two, "g2").select(*[f"i{i}.{c}" for i in (1, 2) for c in ("inside", "union", "least", "merged")]).toDF("a", "ua", "la", "ma", "b", "ub", "lb", "mb")
 
     def opened(b: pa.RecordBatch) -> np.ndarray:
         """Which pairs of groups could have members that link."""
         out = np.zeros(b.num_rows, bool)
-        least = np.minimum(-(-percent * b.column(2).to_numpy() // 100), -(-percent * b.column(5).to_numpy() // 100))
-        (x, ox), (y, oy) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (b.column(1), b.column(4)))
+        needed = needed_overlap(*(b.column(i).to_numpy() for i in (2, 6, 3, 7)), percent)
+        (x, ox), (y, oy) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (b.column(1), b.column(5)))
         for i in range(b.num_rows):
             shared = np.intersect1d(x[ox[i] : ox[i + 1]], y[oy[i] : oy[i + 1]], assume_unique=True)
-            out[i] = len(shared) >= min(SHARE, least[i])
+            out[i] = len(shared) >= needed[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(opened(b)))
-            left, right = b.column(0).to_pylist(), b.column(3).to_pylist()
+            left, right = b.column(0).to_pylist(), b.column(4).to_pylist()
             pairs: set[tuple[int, int]] = set()
             for xs, ys in zip(left, right, strict=True):
                 for x in xs:

@@ -402,3 +402,16 @@ def test_many_candidates_and_base_spans_in_one_text(spark):
 
     took(1000)
     assert took(32_000) < 8 * max(took(8000), 2)
+
+
+def test_merged_halves_lose_no_group():
+    """Two members share SHARE tokens of which two have equal low halves; a member without such halves lowers nothing."""
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 1 << 31, jaccard.SHARE - 1)
+    tokens = np.concatenate([low, low[:1] + (7 << 32)])
+    halves = tokens.astype("int32")
+    merged = len(halves) - len(np.unique(halves))
+    shared = len(np.intersect1d(np.unique(halves), np.unique(halves)))
+    big = np.array([1000])
+    assert merged == 1 and shared >= jaccard.needed_overlap(big, big, np.array([merged]), np.array([merged]), 85)[0]
+    assert jaccard.needed_overlap(big, big, np.array([merged]), np.array([0]), 85)[0] == jaccard.SHARE
