@@ -21,6 +21,8 @@ MAX_SHARDS = 1 << 20
 BLOCK_WORDS = 4096
 #: Documents of one size that the pipeline stage numbers in one window, about.
 LINE = 2000
+#: Distinct sizes of a source that are gone through at once.
+CHUNK = 256
 
 
 def n_words(text: Column) -> Column:
@@ -158,7 +160,8 @@ def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, s
     # One array a source: its distinct sizes, not its documents.
     sizes = counts.where("__size > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("__size")).alias("s"), F.col("n").alias("n")))).alias("sizes"))
     sizes = sizes.alias("a").join(rates.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.sizes", "b.rate")
-    nothing = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,picks:bigint>>").alias("out"))
+    pick = "struct<size:bigint,n:bigint,picks:bigint>"
+    none, nothing = F.array().cast(f"array<{pick}>"), F.struct(F.lit(0.0).alias("carry"), F.array().cast(f"array<array<{pick}>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         size, rate = -x["s"], F.col("rate")
@@ -166,7 +169,13 @@ def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, s
         picks = F.least(F.ceil(rate) * x["n"], F.greatest(F.floor(rate) * x["n"], F.floor(want / size + 0.5))).cast("long")
         return F.struct((want - picks * size).alias("carry"), F.concat(acc["out"], F.array(F.struct(size.alias("size"), x["n"].alias("n"), picks.alias("picks")))).alias("out"))
 
-    picked = sizes.select("source", F.explode(F.aggregate("sizes", nothing, step, lambda acc: acc["out"])).alias("x"))
+    def chunked(acc: Column, chunk: Column) -> Column:
+        """CHUNK sizes at once, so that the array of all is not copied once a size."""
+        made = F.aggregate(chunk, F.struct(acc["carry"].alias("carry"), none.alias("out")), step)
+        return F.element_at(F.transform(F.array(made), lambda v: F.struct(v["carry"].alias("carry"), F.concat(acc["out"], F.array(v["out"])).alias("out"))), 1)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / CHUNK).cast("int")), lambda g: F.slice("sizes", g * CHUNK + 1, F.lit(CHUNK)))
+    picked = sizes.select("source", "rate", chunks.alias("chunks")).select("source", F.explode(F.flatten(F.aggregate("chunks", nothing, chunked, lambda acc: acc["out"]))).alias("x"))
     picked = scratch.write(picked.select("source", F.col("x.size").alias("size"), F.col("x.n").alias("n"), F.col("x.picks").alias("picks")), "picked")
 
     # A common size is split by hash into lines of LINE documents or so, numbered one behind the other.

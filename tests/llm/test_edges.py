@@ -415,3 +415,13 @@ def test_merged_halves_lose_no_group():
     big = np.array([1000])
     assert merged == 1 and shared >= jaccard.needed_overlap(big, big, np.array([merged]), np.array([merged]), 85)[0]
     assert jaccard.needed_overlap(big, big, np.array([merged]), np.array([0]), 85)[0] == jaccard.SHARE
+
+
+def test_sizes_in_chunks_give_the_same_copies(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, rng.choice("ab"), "w " * rng.randrange(1, 60)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    copies = lambda: sorted((r.doc_id, r["__copies"]) for r in mixing.whole_documents(docs).collect())
+    whole = copies()
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    assert copies() == whole and len({c for _, c in whole}) > 1
