@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 _own_folder: str | None = None
-_open: list = []
+#: The folders of the block that is being run, if any.
+_owner: ContextVar[list | None] = ContextVar("owner", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,17 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def discard_since(n: int, *keep: Scratch) -> None:
-    """Deletes the tables of all scratch folders opened after the first ``n``, but those to ``keep``:
-    what the steps since then wrote, once the result that they led to is written."""
-    for scratch in [s for s in _open[n:] if s not in keep]:
-        scratch.discard()
-        _open.remove(scratch)
+class Owned:
+    """A block that owns the scratch folders opened in it, by its own thread and not by other queries of the
+    driver, so that it can discard them once the result that they led to is written."""
 
+    def __enter__(self) -> Owned:
+        self.held: list[Scratch] = []
+        self._token = _owner.set(self.held)
+        return self
 
-def opened() -> int:
-    """The number of scratch folders opened so far."""
-    return len(_open)
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._token)
+
+    def discard(self) -> None:
+        for scratch in self.held:
+            scratch.discard()
+        self.held.clear()
 
 
 class Scratch:
@@ -57,7 +64,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.written: list[str] = []
-        _open.append(self)
+        if (held := _owner.get()) is not None:
+            held.append(self)
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"

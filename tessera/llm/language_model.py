@@ -47,6 +47,8 @@ BLOCK = 2048
 ROUNDS, ROUND_RATE, CHUNK_WORDS, PIECE_WORDS = 2, 0.004, 800_000, 500
 #: Bytes of a piece of the parameters that are averaged together.
 SLICE = 1 << 16
+#: Copies of a slice that are averaged together.
+FAN = 256
 #: Documents and words of the sample that starts the network; longer texts than MAX_CHARS are not picked for it.
 TRAIN_DOCS, TRAIN_WORDS, MAX_CHARS = 3000, 1_000_000, 30_000
 #: Share of the count model that is mixed in.
@@ -416,7 +418,8 @@ def learn(counts: DataFrame, train: DataFrame) -> tuple[Vocabulary, Network]:
 def learn_all(train: DataFrame, v: Vocabulary, net: Network, scratch: Scratch) -> int:
     """Trains ``net`` on every document of ``train`` (b) and returns the number of words learned from.
 
-    The parameters of the tasks are averaged in slices, so that no task or driver holds all copies."""
+    The parameters of the tasks are averaged in slices and in a tree of FAN copies a node, so that no task or
+    driver holds all copies. The tasks are those of the input, so its partitions have a say in the result."""
     if not v.neural:
         return 0
     spark, learned = train.sparkSession, 0
@@ -425,6 +428,8 @@ def learn_all(train: DataFrame, v: Vocabulary, net: Network, scratch: Scratch) -
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             v, start = held.value
+            from pyspark import TaskContext
+
             own = Network.__new__(Network)
             own.wide, own.p = start.wide, {n: x.copy() for n, x in start.p.items()}
             moments: dict = {}
@@ -443,18 +448,26 @@ def learn_all(train: DataFrame, v: Vocabulary, net: Network, scratch: Scratch) -
             if total:
                 flat = own.flat()
                 parts = [flat[i : i + SLICE // 4].astype("float32").tobytes() for i in range(0, len(flat), SLICE // 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([total] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["at", "n", "w"])
+                task = pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), task, pa.array([total] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["at", "task", "n", "w"])
 
         def average(key: tuple, rows: pa.Table) -> pa.Table:
             total, out = 0, 0.0
             for n, w in zip(rows.column("n").to_pylist(), rows.column("w"), strict=True):
                 out = out + n * np.frombuffer(w.as_py(), "float32").astype("float64")
                 total += n
-            return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total], pa.int64()), "w": pa.array([(out / total).astype("float32").tobytes()], pa.binary())})
+            return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([total], pa.int64()), "w": pa.array([(out / total).astype("float32").tobytes()], pa.binary())})
 
         own = train.where(F.pmod(F.xxhash64(F.coalesce("b", F.lit(b""))), F.lit(ROUNDS)) == part)
-        made = scratch.write(own.mapInArrow(run, "at int, n long, w binary"), f"round{part}")
-        slices = made.groupBy("at").applyInArrow(average, "at int, n long, w binary").orderBy("at").collect()  # one copy of the parameters
+        kind = "at int, task int, n long, w binary"
+        made = scratch.write(own.mapInArrow(run, kind), f"round{part}")
+        last = made.agg(F.max("task")).first()[0]
+        while last is not None:
+            last //= FAN
+            made = made.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("at", "task").applyInArrow(average, kind)
+            if not last:
+                break
+        slices = made.orderBy("at").collect()  # one copy of the parameters
         held.unpersist()
         scratch.drop(f"round{part}")
         if slices:

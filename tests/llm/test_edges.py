@@ -425,3 +425,17 @@ def test_sizes_in_chunks_give_the_same_copies(spark, monkeypatch):
     whole = copies()
     monkeypatch.setattr(mixing, "CHUNK", 7)
     assert copies() == whole and len({c for _, c in whole}) > 1
+
+
+def test_a_block_discards_its_own_tables_alone(spark):
+    other = common.Scratch(spark, "other")
+    kept = other.write(spark.range(3), "t")
+    with common.Owned() as outer:
+        before = common.Scratch(spark, "before").write(spark.range(2), "t")
+        with common.Owned() as own:
+            common.Scratch(spark, "own").write(spark.range(1), "t")
+            path = own.held[0].path("t").removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path)
+        own.discard()
+        assert not os.path.exists(path) and before.count() == 2 and len(outer.held) == 1
+    assert kept.count() == 3

@@ -124,3 +124,12 @@ def test_training_by_windows_equals_one_window():
     for _ in range(20):
         net.train(docs, v, 0.01, moments)
     assert net.score(docs, v).sum() > 0.2 * before
+
+
+def test_parameters_are_averaged_in_a_tree(spark, monkeypatch):
+    """Nodes of two copies give what one node of all gives, up to rounding."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(300))) for i in range(12)], "doc_id long, text string").repartition(6).cache()
+    score = lambda: {r.doc_id: r.score for r in language_model.score(docs, F.lit(True)).collect()}
+    whole = score()
+    monkeypatch.setattr(language_model, "FAN", 2)
+    assert score() == pytest.approx(whole, rel=1e-3)
