@@ -133,9 +133,15 @@ class Collections:
         if not self._files.exists(folder):
             return {}
         names = [f.getPath().getName() for f in self._files.listStatus(folder)]
-        names = [n for n in names if not n.startswith((".", "_"))]
-        rows = self.spark.read.text([f"{self.root}/aliases.d/{n}" for n in names], wholetext=True).select(F.input_file_name().alias("f"), "value").collect() if names else []
-        return {r["f"].rsplit("/", 1)[1]: r["value"].strip() for r in rows}
+        return {n: self._text(f"aliases.d/{n}").strip() for n in names if not n.startswith((".", "_"))}
+
+    def _text(self, name: str) -> str:
+        """A small file, read without a job."""
+        held = self._files.open(self._path(name))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+        finally:
+            held.close()
 
     def exists(self, name: str) -> bool:
         """Whether a collection or an alias has that name."""
@@ -162,11 +168,10 @@ class Collections:
         self.create(name, int(self.properties(source).get("dim", 0)), recreate=True)
 
     def properties(self, name: str) -> dict[str, str]:
-        at = self._path(f"properties.d/{self.aliases().get(name, name)}")
-        if not self._files.exists(at):
+        held = f"properties.d/{self.aliases().get(name, name)}"
+        if not self._files.exists(self._path(held)):
             return {}
-        lines = self.spark.read.text(at.toString()).collect()
-        return dict(r["value"].split("=", 1) for r in lines if "=" in r["value"])
+        return dict(line.split("=", 1) for line in self._text(held).splitlines() if "=" in line)
 
     def _describe(self, name: str, values: dict[str, str]) -> None:
         self._put(f"properties.d/{name}", "\n".join(f"{k}={v}" for k, v in values.items()))

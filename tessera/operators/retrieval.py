@@ -27,6 +27,8 @@ MAX_QUERIES = 10_000
 WORD_CACHE = 200_000
 #: Winners up to this many rows (and MAX_QUERIES * k in all) are broadcast to fetch their texts.
 MAX_WINNERS = 200_000
+#: Rows times queries whose matches are counted at once.
+MATCH_CELLS = 4_000_000
 BASE, PER_MATCH, CAP, BOOST = 0.3, 0.1, 0.9, 0.05
 # Names that a requested source stands for.
 SOURCE_ALIASES = {"constitutional": ("constitutional", "corpus"), "supreme": ("supreme",), "administrative": ("administrative",)}
@@ -127,24 +129,28 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
                 order = np.argsort(pos, kind="stable")  # equal scores stay in the order of pos
                 pos, ids = pos[order], ids[order]
                 texts = b.column(2).take(pa.array(order)).to_pylist()
-                matches = np.zeros((len(texts), n), "int16")
-                for i, text in enumerate(texts):
-                    found: set[int] = set()
-                    for w in set((text or "").split()):
-                        at = cache.get(w)
-                        if at is None:
-                            if len(cache) >= WORD_CACHE:
-                                cache.clear()
-                            at = cache[w] = finder(w)
-                        if at:
-                            found.update(at)
-                    if found:
-                        matches[i] = np.bincount(np.concatenate([lists[j] for j in found]), minlength=n)
-                capped = np.ascontiguousarray(np.minimum(matches, 6).T.astype("int8"))  # beyond six the score is the cap
-                first = np.argsort(-capped, axis=1, kind="stable")[:, :k]
-                for q in np.flatnonzero(capped.any(axis=1)):
-                    at = first[q][capped[q, first[q]] > 0]
-                    best.add(q, np.minimum(BASE + PER_MATCH * matches[at, q], CAP), pos[at], ids[at])
+                step = max(1, MATCH_CELLS // max(n, 1))  # rows that are scored together
+                for lo in range(0, len(texts), step):
+                    some = texts[lo : lo + step]
+                    matches = np.zeros((len(some), n), "int16")
+                    for i, text in enumerate(some):
+                        found: set[int] = set()
+                        for w in set((text or "").split()):
+                            at = cache.get(w)
+                            if at is None:
+                                if len(cache) >= WORD_CACHE:
+                                    cache.clear()
+                                at = cache[w] = finder(w)
+                            if at:
+                                found.update(at)
+                        if found:
+                            matches[i] = np.bincount(np.concatenate([lists[j] for j in found]), minlength=n)
+                    capped = np.ascontiguousarray(np.minimum(matches, 6).T.astype("int8"))  # beyond six the score is the cap
+                    for q in np.flatnonzero(capped.any(axis=1)):
+                        at = np.flatnonzero(capped[q])
+                        if len(at) > k:  # of equal scores the first rows
+                            at = at[np.argsort(-capped[q, at], kind="stable")[:k]]
+                        best.add(q, np.minimum(BASE + PER_MATCH * matches[at, q], CAP), pos[lo + at], ids[lo + at])
             yield best.rows(id_type)
 
         held_rows = corpus.where("id is not null")  # a row without an id can't be a hit

@@ -6,17 +6,18 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.ids import cache_key
 from ..operators import answering as A
+from ..operators.ledger import Ledger
 from ..schemas import POINT_FIELDS
 from ..streaming.ingest import Ingest
 from ..trace import logger, trace
 from . import engine
 
 log = logger(__name__)
-CACHE_FIELDS = "key string, answer string, sources array<string>, plan_steps array<string>, expires_at timestamp"
+#: Answers that a service keeps.
+MOST_CACHED = 10_000
 
 
 class NotReady(RuntimeError):
@@ -37,9 +38,11 @@ class Service:
     planner: object = A.mock_plan_text
     model: object = None
     ttl_seconds: int | None = 604_800
+    ledger: Ledger | None = None
     ingest: Ingest | None = None
     error: str | None = None
-    cache: DataFrame | None = field(default=None)
+    #: Answers by key, with the time until which they hold; the MOST_CACHED newest.
+    cache: dict[str, tuple[dict, datetime | None]] = field(default_factory=dict)
 
     def _held(self) -> DataFrame:
         if self.points is not None:
@@ -63,21 +66,22 @@ class Service:
 
     def query(self, query: str, top_k: int = 5) -> dict:
         """The whole plan, from the cache where it has an answer that has not expired."""
-        held = self.cache if self.cache is not None else self.spark.createDataFrame([], CACHE_FIELDS)
-        now = datetime.now(UTC)
-        asked = self._one(query).withColumn("key", cache_key("query", self.corpus_version))
-        live = held.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
-        row = asked.select("key").join(live, "key").first()
-        if row is None:
-            row = engine.run(self._held(), asked.select("qid", "query"), top_k, self.rewriter, self.planner, self.embed, self.model).first()
+        now, asked = datetime.now(UTC), self._one(query)
+        key = asked.select(cache_key("query", self.corpus_version)).first()[0]
+        answer, until = self.cache.get(key, (None, None))
+        if answer is None or until is not None and until <= now:
+            row = engine.run(self._held(), asked, top_k, self.rewriter, self.planner, self.embed, self.model, self.ledger).first()
+            answer = {k: row[k] for k in ("answer", "sources", "plan_steps")}
             trace(log, "service.query", query=query, sources=len(row["sources"]))
             expires = now + timedelta(seconds=self.ttl_seconds) if self.ttl_seconds and self.ttl_seconds > 0 else None
-            new = [(asked.first()["key"], row["answer"], row["sources"], row["plan_steps"], expires)]
-            self.cache = held.unionByName(self.spark.createDataFrame(new, CACHE_FIELDS))
-        return {k: row[k] for k in ("answer", "sources", "plan_steps")}
+            self.cache.pop(key, None)
+            self.cache[key] = (answer, expires)
+            while len(self.cache) > MOST_CACHED:
+                del self.cache[next(iter(self.cache))]
+        return dict(answer)
 
     def health(self) -> dict:
         return {
             "status": "ok", "ready": self.points is not None, "error": self.error, "strict": self.strict, "corpus_version": self.corpus_version,
-            "ingest_status": self.ingest.status if self.ingest else "idle", "ingest_message": self.ingest.message if self.ingest else "", "cached_answers": 0 if self.cache is None else self.cache.count(),
+            "ingest_status": self.ingest.status if self.ingest else "idle", "ingest_message": self.ingest.message if self.ingest else "", "cached_answers": len(self.cache),
         }

@@ -204,8 +204,19 @@ def block_provider(url: str, model: str) -> Provider:
     return Provider(url, model, block_text, system_apart=True)
 
 
-#: Providers by name. None is built in, as their urls belong to a deployment: ``register`` adds them.
-PROVIDERS: dict[str, Provider] = {}
+# The public services, and the header that carries a key to each. ``register`` adds others.
+PROVIDERS: dict[str, Provider] = {
+    "openai": chat_provider("https://api.openai.com/v1/chat/completions", "gpt-4o-mini"),
+    "deepseek": chat_provider("https://api.deepseek.com/chat/completions", "deepseek-chat"),
+    "claude": block_provider("https://api.anthropic.com/v1/messages", "claude-3-haiku-20240307"),
+}
+
+
+def headers(name: str, key: str) -> dict[str, str]:
+    """Headers of a call to a provider."""
+    if PROVIDERS[name].system_apart:
+        return {"x-api-key": key, "anthropic-version": "2023-06-01", "Content-Type": "application/json"}
+    return {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}
 
 
 def register(name: str, provider: Provider) -> None:

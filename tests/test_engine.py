@@ -449,6 +449,9 @@ def test_model_clients(monkeypatch):
         K.configured()
     monkeypatch.setenv("LLM_URL", "https://example.org/n")
     assert K.configured() == "new" and "new" in K.PROVIDERS
+    assert {n: K.text_model(n, lambda u, p: asked.append((u, p["model"])) or K.Response(json.dumps(reply)))([]) for n in ("openai", "deepseek", "claude")} == {"openai": "chat", "deepseek": "chat", "claude": "block"}
+    assert [u.split("/")[2] for u, _ in asked[-3:]] == ["api.openai.com", "api.deepseek.com", "api.anthropic.com"]
+    assert K.headers("openai", "k")["Authorization"] == "Bearer k" and K.headers("claude", "k")["x-api-key"] == "k"
 
 
 def test_trace(caplog):
@@ -981,3 +984,11 @@ def test_counts_and_status_come_from_the_writing_pass(spark, tmp_path):
     _chunks(spark, ("a", "t1"), ("b", "new"), ("c", "t3")).coalesce(1).write.parquet(str(tmp_path / "in/0"))
     ingest = Ingest(lambda: ingest_stream(spark.readStream.schema(CHUNK_FIELDS).parquet(str(tmp_path / "in/*")), table, A.mock_embed, str(tmp_path / "check"))).run()
     assert ingest.join(120) == "completed" and table.counts == {"total": 3, "inserted": 1, "updated": 1, "skipped": 1}
+
+
+def test_rows_scored_in_parts_give_the_same_hits(spark, monkeypatch):
+    corpus, asked = catalogue._corpus(spark, D), catalogue._asked(spark, D)
+    rows = lambda: sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in R.keyword_search(corpus, asked, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(R, "MATCH_CELLS", 100)
+    assert rows() == whole
