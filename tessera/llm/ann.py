@@ -294,7 +294,8 @@ def _cut(x: np.ndarray) -> np.ndarray:
 
 def _refine(rows: DataFrame, tree: Tree, n: int, sampled: int, dim: int) -> None:
     """Grows the tree below its leaves, from distinct vectors of a sample FINE times as large as the first
-    (all, if there are fewer). A leaf that holds no more of them than leaves do stays as it is."""
+    (all, if there are fewer), SAMPLE of them or SAMPLE_BYTES below one leaf at most, those of the smallest
+    hashes. A leaf that holds no more of them than leaves do stays as it is."""
     rate = min(1.0, FINE * sampled / max(n, 1))
     held = rows.sparkSession.sparkContext.broadcast(tree)
     picked = rows.where(F.pmod(F.xxhash64("v", "id"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("v").distinct()
@@ -308,7 +309,10 @@ def _refine(rows: DataFrame, tree: Tree, n: int, sampled: int, dim: int) -> None
         below = Tree(x[np.lexsort(x.T[::-1])], most=FINE) if len(x) >= 2 * LEAF_SAMPLE else None  # in a fixed order
         return pd.DataFrame([(key[0], pickle.dumps(below))] if below and below.n_leaves > 1 else [], columns=["leaf", "below"])
 
-    grown = picked.mapInArrow(assign, "v array<double>, leaf int").groupBy("leaf").applyInPandas(grow, "leaf int, below binary").collect()  # one row a leaf
+    placed = picked.mapInArrow(assign, "v array<double>, leaf int")
+    first = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("v")))
+    placed = placed.withColumn("nth", first).where(F.col("nth") <= max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).drop("nth")
+    grown = placed.groupBy("leaf").applyInPandas(grow, "leaf int, below binary").collect()  # one row a leaf
     tree.graft({r["leaf"]: pickle.loads(bytes(r["below"])) for r in grown})
     held.unpersist()
 
