@@ -159,7 +159,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark window, with their columns, whatever their names.
 
-    Null and empty texts hold none and stay; an empty table stays empty."""
+    Null and empty texts hold none and stay; very long ones are scanned whole; an empty table stays empty."""
     small_batches(spark)
     packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__t"))
     return scan(packed, table(spark, sf_dir, "benchmark"), "__t").where(F.size("hit_words") == 0).select("__row.*")

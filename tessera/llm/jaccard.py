@@ -488,7 +488,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words (null, empty and blank texts) link with nothing and all stay. Of rows that
     repeat both doc_id and text one stays; rows that repeat a doc_id with another, unlinked text are
-    documents of their own. A null doc_id is kept only where its component has no other."""
+    documents of their own. A null doc_id is kept only where its component has no other. Very long texts are
+    compared whole; an empty table stays empty; columns of any names are kept."""
     from pyspark.sql import Window
 
     small_batches(spark, 500, "4m")

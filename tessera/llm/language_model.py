@@ -489,7 +489,8 @@ def score(docs: DataFrame, is_train, text_col: str = "text", scratch: Scratch |
 
     ``is_train`` (a boolean column; null counts as true) marks the documents that are learned from;
     all are scored. Null and empty texts are the end token alone. Equal texts get scores that agree
-    but for rounding. Without training documents every word is unknown. Columns with the names of
+    but for rounding. Very long texts are learned from and scored whole, with states carried along; an empty
+    table stays empty. Without training documents every word is unknown. Columns with the names of
     added ones are replaced; names that start with two underscores are reserved.
     """
     spark = docs.sparkSession

@@ -196,7 +196,7 @@ def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, s
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: whole documents, repeated or left out so that each source meets its target.
 
-    Documents without words take no part in the mix and go. A null source is a source of its own; an
+    Documents without words take no part in the mix and go; very long ones are taken whole or not. A null source is a source of its own; an
     empty table stays empty; all columns are kept, whatever their names."""
     rows = whole_documents(docs)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies")))).where(F.col("__copy") > 0).select(*docs.columns)

@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (score >= threshold).
 
     Null and empty texts get a score too; equal texts get equal scores; columns named score or
-    predicted are replaced; an empty table stays empty.
+    predicted are replaced; an empty table stays empty. Very long texts are compressed whole.
     """
     cache: dict = {}
 

@@ -233,7 +233,7 @@ def token_table(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the columns of documents but the text, with start, n_tokens and ids.
 
     Columns that have the names of these three are replaced; all others are kept. Null and empty texts
-    give the end id alone; an empty table stays empty."""
+    give the end id alone; very long ones are encoded whole; an empty table stays empty."""
     small_batches(spark)
     scratch = Scratch(spark, "tokens")
     clash = {c: f"__own_{c}" for c in ("part", "local_start") if c in docs.columns}  # names that the files use themselves

@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (expected grade, 0 to 3), ``p_toxic`` and ``rejected`` (p_toxic >= REJECT).
 
     Null and empty texts have no features and get the score of such a text; columns of these names
-    are replaced; equal texts get equal scores; an empty table stays empty.
+    are replaced; equal texts get equal scores; an empty table stays empty. All words of very long texts count.
     """
     cache: dict = {}
 
@@ -167,8 +167,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model does not reject, with their columns, whatever their names.
 
-    Null and empty texts have no toxic words and stay; an empty table stays empty; so do all documents
-    where no labels tell the classes apart."""
+    Null and empty texts have no toxic words and stay; very long ones are judged whole; an empty table stays
+    empty; all documents stay where no labels tell the classes apart."""
     small_batches(spark)
     model = learn(docs, table(spark, sf_dir, "labels"))
     packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__t"))
