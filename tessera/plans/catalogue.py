@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -690,13 +691,8 @@ def q56_cells(spark, d):
     return table.near(asked, 10, 16).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id AS result_id, 'c ' || doc_id || '/24' AS case_reference, CASE WHEN doc_id % 2 = 0 THEN 'ECLI:' || doc_id END AS ecli, 'https://example.org/Search/GetText.aspx?sz=' || doc_id AS text_url, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 20 AS INT) AS page_index, text AS full_text FROM documents WHERE length(trim(text)) > 0")
-def q57_saved_site(spark, d):
-    """A site of result pages, saved by Spark with twenty documents a page, is crawled by the page source, parsed
-    and joined with its texts. A page's rows leave out the end tags."""
-    from ..sources.pages import result_pages
-
-    docs = _t(spark, d, "documents").where("length(trim(text)) > 0")
+def _saved_site(spark, docs: DataFrame) -> str:
+    """A site of result pages, saved by Spark with twenty documents a page; its rows leave out the end tags."""
     numbered = C.numbered(docs, "doc_id").withColumn("page", F.floor(F.col("n") / 20).cast("int"))
     row = F.concat(
         F.lit('<tr class="resultData0"><td><input id="sel_'), "doc_id", F.lit('"><td><a href="ResultDetail.aspx?id='), "doc_id", F.lit('">c '), "doc_id", F.lit("/24</a>"),
@@ -707,12 +703,60 @@ def q57_saved_site(spark, d):
     head = F.concat(F.lit('<table><tr class="resultHeaderCount"><td>Výsledky '), F.col("first") + 1, F.lit(" - "), F.col("last") + 1, F.lit(f' z celkem {total} <input name="pageNumber" value="'), F.col("page") + 1, F.lit(f'"><a href="x">{-(-total // 20)}</a></table><table><tr id="headerRowFirst"><td>h'))
     root = f"{shared(spark)}/site-{uuid.uuid4().hex}"
     rows.select("page", F.concat(head, "rows", F.lit("</table>")).alias("value")).write.partitionBy("page").text(root)
-    pages = result_pages(spark, folder=root.removeprefix("file://").removeprefix("file:"), form="", query="q", pause="0")
+    return root.removeprefix("file://").removeprefix("file:")
+
+
+@query("SELECT doc_id AS result_id, 'c ' || doc_id || '/24' AS case_reference, CASE WHEN doc_id % 2 = 0 THEN 'ECLI:' || doc_id END AS ecli, 'https://example.org/Search/GetText.aspx?sz=' || doc_id AS text_url, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 20 AS INT) AS page_index, text AS full_text FROM documents WHERE length(trim(text)) > 0")
+def q57_saved_site(spark, d):
+    """A saved site is crawled by the page source, parsed and joined with its texts."""
+    from ..sources.pages import result_pages
+
+    docs = _t(spark, d, "documents").where("length(trim(text)) > 0")
+    root = _saved_site(spark, docs)
+    pages = result_pages(spark, folder=root, form="", query="q", pause="0")
     texts = docs.select(F.concat(F.lit("https://example.org/Search/GetText.aspx?sz="), "doc_id").alias("text_url"), F.col("text").alias("full_text"))
     found = S.collect_results(H.parse_result_pages(pages, "https://example.org/Search/"), texts)
     return found.select("result_id", "case_reference", "ecli", "text_url", F.col("pos.page_index").alias("page_index"), "full_text")
 
 
+@query(f"WITH {_STEPS} SELECT qid // 5 AS qid, count(*) AS total_chunks FROM kt GROUP BY 1")
+def q60_step_totals(spark, d):
+    """How many chunks the steps of each query's plan found, repeated ones counted."""
+    part = lambda n: F.split_part("query", F.lit("."), F.lit(n + 1))
+    steps = _asked(spark, d).select("qid", F.posexplode(F.array(*[part(n) for n in range(3)])).alias("step_no", "query"))
+    hits = R.keyword_search(_corpus(spark, d), steps.select(F.struct("qid", "step_no").alias("qid"), "query"), 5)
+    return A.step_totals(hits.select("qid.qid", "qid.step_no", "id"))
+
+
+@query("SELECT doc_id AS result_id, 'c ' || doc_id || '/24' AS case_reference, CASE WHEN doc_id % 2 = 0 THEN 'ECLI:' || doc_id END AS ecli, 'https://example.org/Search/GetText.aspx?sz=' || doc_id AS text_url FROM documents WHERE length(trim(text)) > 0 ORDER BY doc_id LIMIT greatest((SELECT count(*) FROM documents) // 2, 1)")
+def q61_scrape_job(spark, d):
+    """The scrape job over a saved site, stopped at half of its decisions; its JSON file read again."""
+    from .. import jobs
+
+    docs = _t(spark, d, "documents").where("length(trim(text)) > 0")
+    root = _saved_site(spark, docs)
+    wanted = max(_t(spark, d, "documents").count() // 2, 1)
+    options = {"folder": root, "form": "", "pause": "0"}
+    jobs.main(["scrape", "--query", "q", "--max-results", str(wanted), "--fetch-full-text", "no", "--batch-sleep-seconds", "0", "--base-url", "https://example.org/Search/", "--output-path", f"{root}.json", *[x for k, v in options.items() for x in ("--option", f"{k}={v}")]], spark)
+    return S.read_decisions(spark, f"file://{root}.json").select("result_id", "case_reference", "ecli", "text_url")
+
+
+@query(f"""WITH {_hybrid_sql("SELECT item_id AS qid, text AS query FROM benchmark", 5)} SELECT item_id AS qid, '' AS answer, '' AS sources, text AS plan_steps, coalesce((SELECT count(*) FROM fu WHERE fu.qid = item_id), 0) AS found FROM benchmark""")
+def q62_engine_fallbacks(spark, d):
+    """Models that fail on their rows: the query as it is, a plan of one step, and an empty answer; the search
+    that this leaves finds what it finds."""
+    @F.pandas_udf("string")
+    def fails(text: pd.Series) -> pd.Series:
+        raise OSError("no model")
+
+    points = _points(spark, d).withColumn("vector", letter_vector("text"))
+    out = E.run(points, _asked(spark, d), 5, rewriter=fails, planner=fails, embed=letter_vector, model=lambda q, c: fails(q))
+    one = _asked(spark, d).withColumn("steps", A.single_step("query"))
+    found = A.step_totals(E.step_hits(points, one, 5, letter_vector)).select("qid", F.col("total_chunks").alias("found"))
+    rows = out.join(found, "qid", "left")
+    return rows.select("qid", "answer", F.array_join("sources", ",").alias("sources"), F.array_join("plan_steps", "|").alias("plan_steps"), F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def x01_pricing(spark, d):
     rows = _t(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")
