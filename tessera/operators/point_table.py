@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import POINT_FIELDS
+from .keyword_index import KeywordIndex
 from .points import changed_points, classify_by_sums, make_points
 from .retrieval import as_hits, dense_search
 
@@ -176,6 +177,7 @@ class PointTable:
         if self._run(name).isEmpty():
             self._delete(name)
             return False
+        self._index(name)
         self._merge_newest()
         self._vacuum()
         return True
@@ -207,6 +209,41 @@ class PointTable:
             if name not in kept and last - over >= RETAIN or not complete and end < last:
                 self._delete(name)
 
+    # --- words
+
+    def keywords(self) -> KeywordIndex:
+        """The index of the points' texts, without segments before ``index_keywords``."""
+        return KeywordIndex(self.spark, self.path("keywords"))
+
+    def index_keywords(self) -> PointTable:
+        """Indexes the texts of all points; from then on an upsert adds the points that it changed."""
+        self.keywords().build(as_hits(self.read()))
+        self._indexed_upto(self.version)
+        return self
+
+    def _indexed_upto(self, version: int) -> None:
+        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(self.path("keywords/upto"))
+
+    def _index(self, name: str) -> None:
+        """Adds a new run to the index. All is indexed anew where there are many segments, or where an
+        earlier upsert broke off before its points were indexed."""
+        index = self.keywords()
+        if not index.segments():
+            return
+        at, files = self._files("keywords/upto/_SUCCESS")
+        behind = not files.exists(at) or self.spark.read.schema("version int").parquet(self.path("keywords/upto")).first()[0] != self.version - 1
+        if behind or index.due():
+            self.index_keywords()
+        else:
+            index.update(as_hits(self._run(name)))
+            self._indexed_upto(self.version)
+
+    def find(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """Hits of ``keyword_search`` (qid, id, score, source, pos, rank) for queries (qid, query), from the index."""
+        if not self.keywords().segments():
+            raise ValueError("the table has no index of its texts")
+        return self.keywords().search(queries, k)
+
     # --- cells
 
     def centres(self) -> np.ndarray | None:

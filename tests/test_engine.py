@@ -992,3 +992,21 @@ def test_rows_scored_in_parts_give_the_same_hits(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(R, "MATCH_CELLS", 100)
     assert rows() == whole
+
+
+def test_the_table_keeps_its_index(spark, tmp_path):
+    """The index follows the upserts, also after one that broke off before its points were indexed."""
+    table = PointTable(spark, str(tmp_path / "points"))
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma beta"), (3, "delta")], "qid long, query string")
+    texts = lambda n: (("a", f"alpha {n}"), ("b", "beta gamma"), ("c", f"betamax {n}"), (f"d{n}", "delta alpha"))
+    table.upsert(_chunks(spark, *texts(0)), A.mock_embed)
+    with pytest.raises(ValueError, match="no index"):
+        table.find(asked)
+    table.index_keywords()
+    rows = lambda hits: sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in hits.collect())
+    for n in (1, 2):
+        if n == 2:  # as if the points of version 1 had not been indexed
+            table._indexed_upto(0)
+        table.upsert(_chunks(spark, *texts(n)), A.mock_embed)
+        assert rows(table.find(asked, 3)) == rows(R.keyword_search(R.as_hits(table.read()), asked, 3))
+    assert len(table.keywords().segments()) == 1 and not table.upsert(_chunks(spark, *texts(2)), A.mock_embed)
