@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clean_chunk_text, reference_prefix, strip
+from ..session import shared
 
 CHUNK_SIZE, OVERLAP = 1500, 200
 IDENTITY = ("ecli", "case_reference", "detail_url", "text_url", "result_id")
@@ -98,9 +101,13 @@ def corpus_version(files: DataFrame, *by: str) -> DataFrame:
 
 def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
     """``rows`` with their place, from 0, in the order of a column: sorted by range, numbered in each
-    partition, and moved on by the sizes of the partitions before, a row each."""
+    partition, and moved on by the sizes of the partitions before, a row each. The numbered rows are
+    written once, as a second computation might draw other ranges."""
+    spark = rows.sparkSession
+    path = f"{shared(spark)}/numbered-{uuid.uuid4().hex}"
     placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
-    split = placed.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)}).drop("__m")
+    placed.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)}).drop("__m").write.parquet(path)
+    split = spark.read.parquet(path)
     ahead = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = split.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).select("__p", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"))
     return split.join(F.broadcast(sizes), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")

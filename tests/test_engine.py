@@ -1010,3 +1010,8 @@ def test_the_table_keeps_its_index(spark, tmp_path):
         table.upsert(_chunks(spark, *texts(n)), A.mock_embed)
         assert rows(table.find(asked, 3)) == rows(R.keyword_search(R.as_hits(table.read()), asked, 3))
     assert len(table.keywords().segments()) == 1 and not table.upsert(_chunks(spark, *texts(2)), A.mock_embed)
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), "id").repartition(5)
+    assert all(r.k == r.n for r in C.numbered(rows, "k").collect()) and C.numbered(rows.where("false"), "k").count() == 0
