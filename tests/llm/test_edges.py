@@ -57,7 +57,7 @@ def test_odd_rows_and_clashing_names_in_every_stage(spark, odd):
 
 
 def folders(spark):
-    return {p: sorted(os.listdir(p)) for p in glob.glob(f"{common.shared_folder(spark).removeprefix('file://').removeprefix('file:')}/*")}
+    return {p: sorted(os.listdir(p)) for p in glob.glob(f"{common.shared_folder(spark).removeprefix('file://').removeprefix('file:')}/*") if os.path.isdir(p)}
 
 
 def test_pipeline_leaves_only_its_result(spark):
