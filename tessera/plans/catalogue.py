@@ -737,7 +737,8 @@ def q61_scrape_job(spark, d):
     root = _saved_site(spark, docs)
     wanted = max(_t(spark, d, "documents").count() // 2, 1)
     options = {"folder": root, "form": "", "pause": "0"}
-    jobs.main(["scrape", "--query", "q", "--max-results", str(wanted), "--fetch-full-text", "no", "--batch-sleep-seconds", "0", "--base-url", "https://example.org/Search/", "--output-path", f"{root}/found.json", *[x for k, v in options.items() for x in ("--option", f"{k}={v}")]], spark)
+    args = jobs.parser().parse_args(["scrape", "--query", "q", "--max-results", str(wanted), "--fetch-full-text", "no", "--batch-sleep-seconds", "0", "--base-url", "https://example.org/Search/", "--output-path", f"{root}/found.json", *[x for k, v in options.items() for x in ("--option", f"{k}={v}")]])
+    jobs.scrape(spark, args)
     return S.read_decisions(spark, f"file://{root}/found.json").select("result_id", "case_reference", "ecli", "text_url")
 
 
