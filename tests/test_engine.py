@@ -1015,3 +1015,19 @@ def test_the_table_keeps_its_index(spark, tmp_path):
 def test_rows_are_numbered_in_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), "id").repartition(5)
     assert all(r.k == r.n for r in C.numbered(rows, "k").collect()) and C.numbered(rows.where("false"), "k").count() == 0
+
+
+def test_dense_search_computes_a_vector_once(spark):
+    """A vector may be costly to make: passing over unusable ones must not make it again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        made.add(len(texts))
+        return texts.map({"a": [1.0, 0.0], "b": [0.0, 0.0], "c": [None, 1.0], "d": [float("nan"), 1.0], "e": None, "f": [1.0], "g": [1.0, 1.0]}.get)
+
+    points = spark.createDataFrame([(t, t, i) for i, t in enumerate("abcdefg")], "id string, text string, pos long").withColumn("vector", embed("text"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<double>")
+    got = R.dense_search(points, asked, 5).orderBy("rank").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [("a", 1.0), ("g", 0.707107)]
+    assert made.value == 7
