@@ -1031,3 +1031,14 @@ def test_dense_search_computes_a_vector_once(spark):
     got = R.dense_search(points, asked, 5).orderBy("rank").collect()
     assert [(r.id, round(r.score, 6)) for r in got] == [("a", 1.0), ("g", 0.707107)]
     assert made.value == 7
+
+
+def test_searches_bound_the_batches_of_texts(spark):
+    """10,000 texts of a batch may be 20,000 words each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked = spark.createDataFrame([(1, "word", [1.0])], "qid long, query string, vector array<double>")
+    corpus = spark.createDataFrame([("a", "word", 0, [1.0])], "id string, text string, pos long, vector array<double>")
+    for search in (R.keyword_search, R.dense_search):
+        spark.conf.unset(key)
+        assert search(corpus, asked, 1).count() == 1
+        assert int(spark.conf.get(key)) <= 1000
