@@ -144,18 +144,26 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with ``__copies`` (columns of any other names are kept as they are): how often each whole document is taken so that a source's words meet its target.
 
-    Documents of one size are alike to the target, so copies are given to the sizes of a source, longest
-    first: each size gets what its words and what was left over so far come to, rounded to documents, and
-    the rest is carried to the next smaller size. No document gets fewer copies than its source's rate
-    rounded down or more than it rounded up, so the source misses its target by half its shortest
-    documents where these can take up the rest. Within a size a seeded systematic selection deals the copies out.
+    As in ``mix``, all words of the mix are apportioned to the sources by highest quotients (here single
+    words and no blocks, so that a quota is its target to a word), then a source's to its shards, and a
+    seeded systematic selection picks within a shard. Documents are taken whole, so a source's shards are
+    those of its sizes: each size, longest first, gets what its words and what was left over so far come to,
+    rounded to documents, and the rest is carried to the next smaller size; a size's copies are
+    apportioned to its lines, shards of LINE documents or so, by highest quotients. No document gets fewer
+    copies than its source's rate rounded down or more than it rounded up (equal quotients bound a line's
+    seats by these multiples of its documents), so the source misses its target by half its shortest
+    documents where these can take up the rest.
     """
     scratch = scratch or Scratch(docs.sparkSession, "whole")
     rows = docs.select(F.struct("*").alias("__row"), "source", "doc_id", n_words(F.col(text_col)).alias("__size"), F.xxhash64(F.col("doc_id"), F.col(text_col), F.lit(seed)).alias("__h"))
     rows = scratch.write(rows, "sized")
     counts = scratch.write(rows.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     goals = targets(counts.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")))
-    rates = goals.where("source_size > 0").select("source", (F.col("target") / F.col("source_size")).alias("rate"))
+    one = Window.partitionBy(F.lit(0))
+    goals = goals.withColumns({"__seats": F.round(F.sum("target").over(one)).cast("long"), "__one": F.lit(0)})
+    goals = goals.select("source", "source_size", "target", F.col("__seats").alias("seats"), F.col("__one").alias("one"))
+    goals = scratch.write(sainte_lague(goals, ["one"], "source", "target", "seats", "quota"), "sources")
+    rates = goals.where("source_size > 0").select("source", (F.col("quota") / F.col("source_size")).alias("rate"))
 
     # One array a source: its distinct sizes, not its documents.
     sizes = counts.where("__size > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("__size")).alias("s"), F.col("n").alias("n")))).alias("sizes"))
@@ -178,23 +186,23 @@ def whole_documents(docs: DataFrame, text_col: str = "text", seed: int = SEED, s
     picked = sizes.select("source", "rate", chunks.alias("chunks")).select("source", F.explode(F.flatten(F.aggregate("chunks", nothing, chunked, lambda acc: acc["out"]))).alias("x"))
     picked = scratch.write(picked.select("source", F.col("x.size").alias("size"), F.col("x.n").alias("n"), F.col("x.picks").alias("picks")), "picked")
 
-    # A common size is split by hash into lines of LINE documents or so, numbered one behind the other.
+    # A common size is split by hash into lines of LINE documents or so, which share its copies.
     same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.__size") == F.col("s.size"))
-    lined = rows.alias("d").join(picked.alias("s"), same).select("d.*", "s.n", "s.picks", F.pmod(F.col("d.__h"), F.ceil(F.col("s.n") / LINE)).alias("__line"))
-    lines = lined.groupBy("source", "__size", "__line").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.partitionBy("source", "__size").orderBy("__line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = scratch.write(lines.select("source", "__size", "__line", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before")), "lines")
-    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__size") == F.col("b.__size")) & (F.col("a.__line") == F.col("b.__line"))
-    lined = lined.alias("a").join(lines.alias("b"), same).select("a.*", "b.before")
-    at = F.col("before") + F.row_number().over(Window.partitionBy("source", "__size", "__line").orderBy("__h", "doc_id"))
-    offset = F.pmod(F.xxhash64("source", "__size", F.lit(seed + 1)), F.col("n"))
-    upto = lambda i: F.floor((i * F.col("picks") + offset) / F.col("n"))
+    lined = rows.alias("d").join(picked.alias("s"), same).select("d.*", "s.picks", F.pmod(F.col("d.__h"), F.ceil(F.col("s.n") / LINE)).alias("__line"))
+    lines = lined.groupBy("source", F.col("__size").alias("size"), F.col("__line").alias("line")).agg(F.count(F.lit(1)).alias("m"), F.first("picks").alias("picks"))
+    lines = scratch.write(sainte_lague(lines, ["source", "size"], "line", "m", "picks", "seats").select("source", "size", "line", "m", "seats"), "lines")
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__size") == F.col("b.size")) & (F.col("a.__line") == F.col("b.line"))
+    lined = lined.alias("a").join(lines.alias("b"), same).select("a.*", "b.m", "b.seats")
+    at = F.row_number().over(Window.partitionBy("source", "__size", "__line").orderBy("__h", "doc_id"))
+    offset = F.pmod(F.xxhash64("source", "__size", "__line", F.lit(seed + 1)), F.col("m"))
+    upto = lambda i: F.floor((i * F.col("seats") + offset) / F.col("m"))
     lined = lined.withColumn("__at", at)
     return lined.select("__row.*", (upto(F.col("__at")) - upto(F.col("__at") - 1)).cast("int").alias("__copies"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: whole documents, repeated or left out so that each source meets its target.
+    """Pipeline stage: whole documents, repeated or left out so that each source meets its target, by the
+    apportionment and the systematic selection of ``mix``.
 
     Documents without words take no part in the mix and go; very long ones are taken whole or not. A null source is a source of its own; an
     empty table stays empty; all columns are kept, whatever their names."""

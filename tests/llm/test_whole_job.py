@@ -26,6 +26,33 @@ def test_mixed_documents_meet_the_targets(spark):
         assert all(g - 1 < c["__copies"] < g + 1 for c in copies for g in [goals[c["source"]].target / goals[c["source"]].source_size])
 
 
+def test_whole_documents_are_apportioned_by_highest_quotients(spark, monkeypatch):
+    """Words to sources and a size's copies to its lines; no line gets other copies than rounded rates."""
+    calls, own = [], mixing.sainte_lague
+
+    def seen(rows, part, key, weight, seats, out):
+        made = own(rows, part, key, weight, seats, out)
+        calls.append((key, made))
+        return made
+
+    monkeypatch.setattr(mixing, "sainte_lague", seen)
+    monkeypatch.setattr(mixing, "LINE", 7)
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0], "w " * (1 + i % 4)) for i in range(600)], "doc_id long, source string, text string")
+    out = mixing.whole_documents(docs).cache()
+    assert [k for k, _ in calls] == ["source", "line"]
+    quotas = {r.source: r.quota for r in calls[0][1].collect()}
+    assert sum(quotas.values()) == round(sum(r.target for r in calls[0][1].collect())) == 1500
+    size = mixing.n_words(F.col("text"))
+    for r in out.groupBy("source").agg(F.sum(size * F.col("__copies")).alias("words"), F.sum(size).alias("whole"), F.min("__copies").alias("low"), F.max("__copies").alias("high")).collect():
+        assert abs(r.words - quotas[r.source]) <= 1 and r.low >= quotas[r.source] // r.whole and r.high <= -(-quotas[r.source] // r.whole)
+    lines = calls[1][1].collect()
+    for source, n in {(r.source, r.size) for r in lines}:
+        ours = [r for r in lines if (r.source, r.size) == (source, n)]
+        ranked = sorted(((r.m / (2 * k - 1), -r.line) for r in ours for k in range(1, 60)), reverse=True)[: ours[0].picks]
+        won = {r.line: sum(-x == r.line for _, x in ranked) for r in ours}
+        assert {r.line: r.seats for r in ours} == won and len(ours) > 1
+
+
 def whole_windows(rows, most=51):
     """Windows of words, by the documents that still hold them whole."""
     seen = {}
