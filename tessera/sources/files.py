@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
 from ..schemas import DECISION_FIELDS
+from ..session import shared
 from .seed import SEED
 
 def read_decisions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -54,17 +58,40 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+@F.pandas_udf(T.StringType())
+def _indented(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda row: "\n  " + json.dumps(json.loads(row), ensure_ascii=False, indent=2).replace("\n", "\n  "))
+
+
 def write_json_array(rows: DataFrame, path: str) -> int:
-    """One local file with a JSON array, indented by 2, other characters than ASCII as they are; rows come
-    to the driver one after another. Returns their number."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for row in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            text = json.dumps(json.loads(row["j"]), ensure_ascii=False, indent=2)
-            out.write(("," if n else "") + "\n  " + text.replace("\n", "\n  "))
-            n += 1
-        out.write("\n]" if n else "]")
+    """One local file with a JSON array, indented by 2, other characters than ASCII as they are. Tasks write
+    the elements to the shared folder; the driver copies these files one behind the other and gets no rows.
+    Returns the number of elements."""
+    spark = rows.sparkSession
+    parts, seen = f"{shared(spark)}/array-{uuid.uuid4().hex}", Observation()
+    items = rows.select(_indented(F.to_json(F.struct("*"))).alias("value"))
+    items.observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", ",").text(parts)
+    n = int(seen.get["n"] or 0)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    held = folder.getFileSystem(conf)
+    found = sorted((f.getPath().getName(), f.getLen()) for f in held.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    with open(path, "wb") as made:
+        made.write(b"[")
+    out = jvm.java.io.FileOutputStream(os.path.abspath(path), True)
+    try:
+        for name in (name for name, size in found if size):
+            part = held.open(jvm.org.apache.hadoop.fs.Path(f"{parts}/{name}"))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)  # by a buffer of this size
+            finally:
+                part.close()
+    finally:
+        out.close()
+    with open(path, "r+b") as made:
+        made.seek(-1 if n else 0, os.SEEK_END)  # over the last comma
+        made.write(b"\n]" if n else b"]")
+    held.delete(folder, True)
     return n
 
 

@@ -1042,3 +1042,24 @@ def test_searches_bound_the_batches_of_texts(spark):
         spark.conf.unset(key)
         assert search(corpus, asked, 1).count() == 1
         assert int(spark.conf.get(key)) <= 1000
+
+
+def test_a_json_array_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Rows don't come to the driver, however many; the file is the same as json.dumps makes it."""
+    import json
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    for n, parts in ((0, 1), (1, 1), (7, 3)):
+        rows = spark.range(n).select("id", F.concat(F.lit("č,\n\""), "id").alias("t"), F.array(F.lit("a")).alias("l")).repartitionByRange(parts, "id").sortWithinPartitions("id")
+        assert S.write_json_array(rows, f"{tmp_path}/a.json") == n
+        want = [{"id": i, "t": f'č,\n"{i}', "l": ["a"]} for i in range(n)]
+        assert (tmp_path / "a.json").read_text("utf-8") == json.dumps(want, ensure_ascii=False, indent=2)
+
+
+def test_result_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    """The rows of a batch are cut, so that the results of 10,000 pages are never held at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    pages = spark.createDataFrame([], "html string, query string")
+    H.parse_result_pages(pages)
+    assert int(spark.conf.get(key)) <= 1000 and H.PAGES_AT_ONCE <= 1000
