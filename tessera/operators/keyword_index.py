@@ -2,9 +2,10 @@
 
 Query words hold no white space, so a text contains one if one of the text's own words does. A search goes
 from the rarest trigram of each query word to the corpus words that have it, keeps those that contain the
-query word, and reads these words' postings; no text is read. Texts are numbered in shards of bounded size,
-in the order of ``pos``; a search brings the postings that it found together by shard, where the best texts
-of each query are counted out.
+query word, and reads these words' postings; no text is read. A block of queries that has too many such words
+passes over the postings once and compares their words in its tasks. Texts are numbered in shards of bounded
+size, in the order of ``pos``; a search brings the postings that it found together by shard, where the best
+texts of each query are counted out.
 
 Folders under ``root``, a segment for each build or update:
 
@@ -25,16 +26,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import scoring_words
-from .retrieval import BASE, CAP, MAX_WINNERS, PER_MATCH, _by_blocks, top
+from ..session import small_batches
+from .retrieval import BASE, CAP, MAX_WINNERS, PER_MATCH, _by_blocks, _finder, top
 
 #: Folders that words and trigrams are dealt to; a search reads those of its own.
 BUCKETS = 64
-#: A shard ends at so many characters of text or so many texts.
-SHARD_CHARS, SHARD_TEXTS = 8_000_000, 65_536
+#: A shard ends at so many characters of text or so many texts. It has a row for each of its distinct words, which
+#: grow more slowly than the text, so fewer and larger shards have fewer rows.
+SHARD_CHARS, SHARD_TEXTS = 32_000_000, 65_536
 #: Longer corpus words are known by a hash and kept once a shard.
 LONGEST = 64
-#: Matched words up to this number are broadcast to the postings.
-MAX_MATCHED = 200_000
+#: Pairs of a query word and a corpus word with its rarest trigram up to this number are looked up and broadcast
+#: to the postings; with more of them, or MAX_WORDS query words, tasks compare the postings' words themselves.
+MAX_MATCHED, MAX_WORDS = 200_000, 1_000
 #: Segments that are kept apart before ``compact`` is due.
 MOST_SEGMENTS = 8
 
@@ -42,7 +46,7 @@ _SEGMENT = re.compile(r"seg-(\d{8})")
 _KEYS = -1
 _LISTS = "shard long, key string, full string, at array<int>, ids array<string>, pos array<long>"
 _GRAMS, _DEAD, _MATCHED = "gram string, key string", "shard long, at array<int>", "word int, key string"
-_HITS = "q int, shard long, at int, pos long, score double"
+_HITS, _FOUND = "q int, shard long, at int, pos long, score double", "shard long, words array<int>, at array<int>"
 
 
 def _bucket(c: str) -> Column:
@@ -55,11 +59,13 @@ def grams(word: str) -> set[str]:
 
 class _Shard:
     def __init__(self) -> None:
-        self.rows: list[tuple[int, str, list[str]]] = []
+        self.rows: list[tuple[int, str, np.ndarray]] = []
+        self.number: dict[str, int] = {}
         self.chars = 0
 
     def add(self, pos: int, id_: str, text: str) -> None:
-        self.rows.append((pos, id_, [w for w in set(text.split()) if len(w) >= 3]))
+        number = self.number
+        self.rows.append((pos, id_, np.array([number.setdefault(w, len(number)) for w in set(text.split()) if len(w) >= 3], "int32")))
         self.chars += len(text)
 
     @property
@@ -69,17 +75,17 @@ class _Shard:
     def pack(self, shard: int, schema: pa.Schema) -> pa.RecordBatch:
         """A row for each word, after one with the ids of the texts."""
         self.rows.sort(key=lambda r: r[:2])
-        lists: dict[str, list[int]] = {}
-        for i, (_, _, found) in enumerate(self.rows):
-            for w in found:
-                lists.setdefault(w, []).append(i)
-        names = list(lists)
-        n = len(names)
+        found = [r[2] for r in self.rows]
+        word = np.concatenate(found)
+        at = np.repeat(np.arange(len(found), dtype="int32"), [len(some) for some in found])[np.argsort(word, kind="stable")]
+        ends = np.concatenate([[0, 0], np.cumsum(np.bincount(word, minlength=len(self.number)))]).astype("int32")
+        lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.arange(len(ends)) == 0), pa.array(at))
+        names, nothing = list(self.number), [None] * len(self.number)
         columns = [
-            [shard] * (n + 1), [None, *[w if len(w) <= LONGEST else _hashed(w) for w in names]], [None, *[w if len(w) > LONGEST else None for w in names]],
-            [None, *lists.values()], [[r[1] for r in self.rows], *[None] * n], [[r[0] for r in self.rows], *[None] * n],
+            [shard] * (len(names) + 1), [None, *[w if len(w) <= LONGEST else _hashed(w) for w in names]], [None, *[w if len(w) > LONGEST else None for w in names]],
+            lists, [[r[1] for r in self.rows], *nothing], [[r[0] for r in self.rows], *nothing],
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([c if c is lists else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _hashed(word: str) -> str:
@@ -189,6 +195,11 @@ class KeywordIndex:
     def words_matched(self, wanted: list[str]) -> DataFrame:
         """(word, key): for each of ``wanted`` (by number) the keys of corpus words that may contain it: those
         that do, and long ones that have its rarest trigram."""
+        return self._having(*self._rarest(wanted))
+
+    def _rarest(self, wanted: list[str]) -> tuple[DataFrame, list[tuple[int, str, str]], int]:
+        """The trigrams' rows, (number, rarest trigram, word) of the wanted words that may be there, and the
+        rows that these trigrams have, counted for each word."""
         held = self._read("grams", _GRAMS)
         own = {g for w in wanted for g in grams(w)}
         rows = self.spark.createDataFrame([(g,) for g in sorted(own)], "gram string")
@@ -196,15 +207,54 @@ class KeywordIndex:
         part = held.where(F.col("bucket").isin(buckets)) if len(buckets) < BUCKETS else held
         counts = part.join(F.broadcast(rows), "gram").groupBy("gram").count().collect()  # trigrams of a block's words
         number = {r["gram"]: r["count"] for r in counts}
-        chosen = []
+        chosen, total = [], 0
         for i, w in enumerate(wanted):
             least = min(grams(w), key=lambda g: (number.get(g, 0), g))
             if number.get(least):
                 chosen.append((i, least, w))
+                total += number[least]
+        return part, chosen, total
+
+    def _having(self, part: DataFrame, chosen: list[tuple[int, str, str]], total: int) -> DataFrame:
         asked = self.spark.createDataFrame(chosen, "word int, gram string, wanted string")
         found = part.join(F.broadcast(asked), "gram").where(F.col("key").startswith("\x00") | F.contains("key", F.col("wanted")))
         return found.select("word", "key").distinct()
 
+    def _looked_up(self, lists: DataFrame, wanted: list[str]) -> DataFrame | None:
+        """(shard, words, at): the postings of corpus words that contain query words, by way of their trigrams;
+        None where these have too many corpus words."""
+        if len(wanted) > MAX_WORDS:
+            return None
+        part, chosen, total = self._rarest(wanted)
+        if total > MAX_MATCHED:
+            return None
+        matched = self._having(part, chosen, total).withColumn("bucket", _bucket("key"))
+        few = matched.collect()  # MAX_MATCHED at most
+        lists = lists.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})))
+        matched = F.broadcast(self.spark.createDataFrame(few, matched.schema))
+        names = F.broadcast(self.spark.createDataFrame(list(enumerate(wanted)), "word int, wanted string"))  # a block's words
+        rows = lists.drop("bucket").join(matched.drop("bucket"), "key").join(names, "word").where(F.contains(F.coalesce("full", "key"), F.col("wanted")))
+        return rows.select("shard", F.array("word").alias("words"), "at")
+
+    def _compared(self, lists: DataFrame, wanted: list[str]) -> DataFrame:
+        """(shard, words, at): the same by one pass over all postings, which moves and joins none before."""
+        small_batches(self.spark)
+        held = self.spark.sparkContext.broadcast(wanted)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder, last, at = _finder(held.value), None, ()
+            for b in batches:
+                found = []
+                for w in b.column(0).to_pylist():
+                    if w != last:  # a word's rows lie together
+                        last, at = w, finder(w)
+                    found.append(at)
+                some = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+                words = pa.array([x for x in found if x], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(1).take(some), words, b.column(2).take(some)], names=["shard", "words", "at"])
+
+        return lists.select(F.coalesce("full", "key"), "shard", "at").mapInArrow(run, _FOUND)
+
     def search(self, queries: DataFrame, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
         """What ``retrieval.keyword_search`` finds among the indexed texts: (qid, id, score, source, pos, rank),
         and the winners' ``text`` where ``texts`` (id, text) are given."""
@@ -226,29 +276,27 @@ class KeywordIndex:
         segments = self.segments()
         if not wanted or not segments or not k:
             return self.spark.createDataFrame([], empty)
-        matched = self.words_matched(wanted).withColumn("bucket", _bucket("key"))
         lists = self._read("postings", _LISTS, segments).where(F.col("bucket") >= 0)
-        few = matched.limit(MAX_MATCHED + 1).collect()
-        if len(few) <= MAX_MATCHED:
-            lists = lists.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})))
-            matched = F.broadcast(self.spark.createDataFrame(few, matched.schema))
-        names = F.broadcast(self.spark.createDataFrame(list(enumerate(wanted)), "word int, wanted string"))  # a block's words
-        rows = lists.drop("bucket").join(matched.drop("bucket"), "key").join(names, "word").where(F.contains(F.coalesce("full", "key"), F.col("wanted")))
-        rows = rows.select("shard", "word", "at", F.lit(None).cast("array<long>").alias("pos"))
-        dead = self._read("dead", _DEAD, segments).select("shard", F.lit(-1).alias("word"), "at", F.lit(None).cast("array<long>").alias("pos"))
-        keys = self._read("postings", _LISTS, segments).where(F.col("bucket") == _KEYS).select("shard", F.lit(-2).alias("word"), F.lit(None).cast("array<int>").alias("at"), "pos")
+        rows = self._looked_up(lists, wanted)
+        rows = (self._compared(lists, wanted) if rows is None else rows).select("*", F.lit(None).cast("array<long>").alias("pos"))
+        marked = lambda mark: F.array(F.lit(mark)).alias("words")
+        dead = self._read("dead", _DEAD, segments).select("shard", marked(-1), "at", F.lit(None).cast("array<long>").alias("pos"))
+        keys = self._read("postings", _LISTS, segments).where(F.col("bucket") == _KEYS).select("shard", marked(-2), F.lit(None).cast("array<int>").alias("at"), "pos")
 
         def best(group: pa.Table) -> pa.Table:
-            shard, word = group.column("shard")[0].as_py(), group.column("word").to_numpy()
-            ats = group.column("at").combine_chunks()
-            numbers, ends = ats.values.to_numpy(), ats.offsets.to_numpy()
-            of: dict[int, list[np.ndarray]] = {}
-            for i, w in enumerate(word.tolist()):
-                if w > -2:
-                    of.setdefault(w, []).append(numbers[ends[i] : ends[i + 1]])
-            pos = np.array(group.column("pos")[int(np.flatnonzero(word == -2)[0])].as_py(), "int64")
-            gone = np.concatenate(of.pop(-1)) if -1 in of else None
-            docs = {w: np.unique(np.concatenate(x)) for w, x in of.items()}
+            shard, words, ats = group.column("shard")[0].as_py(), group.column("words").combine_chunks(), group.column("at").combine_chunks()
+            word, row = words.flatten().to_numpy(), np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            order = np.argsort(word, kind="stable")
+            word, row = word[order], row[order]
+            numbers, begins = ats.values.to_numpy(), ats.offsets.to_numpy().astype("int64")
+            sizes, docs = np.diff(begins), {}
+            for part in np.split(np.arange(len(word)), np.flatnonzero(np.diff(word)) + 1):  # a word's rows
+                own = row[part]
+                n = sizes[own]
+                docs[int(word[part[0]])] = np.unique(numbers[np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            pos = np.array(group.column("pos")[int(row[0])].as_py(), "int64")  # of the mark -2, the least
+            docs.pop(-2)
+            gone = docs.pop(-1, None)
             out: list[tuple[np.ndarray, ...]] = []
             for q, (words, times) in enumerate(held.value if docs else []):
                 count = np.zeros(len(pos), "int32")

@@ -833,6 +833,21 @@ def test_keyword_index_reads_postings_of_its_words(spark, tmp_path):
     assert "documents" not in plan and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
 
 
+def test_keyword_index_compares_many_words_in_tasks(spark, tmp_path):
+    """A block of very many words passes over the postings once and joins them with no trigrams."""
+    from tessera.operators.keyword_index import KeywordIndex
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randrange(3, 7)))
+    held = {f"d{i}": (" ".join(word() for _ in range(rng.randrange(20))), i * 7 % 61) for i in range(60)}
+    frame = spark.createDataFrame([(i, *v) for i, v in held.items()], "id string, text string, pos long").repartition(3)
+    asked = spark.createDataFrame([(n, " ".join(word() for _ in range(60))) for n in range(40)], "qid long, query string")
+    found = KeywordIndex(spark, str(tmp_path / "index")).build(frame).search(asked, 5)
+    assert sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in found.collect()) == _plain_hits(spark, held, asked, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "grams" not in plan
+
+
 # The table's runs and cells
 
 
