@@ -54,7 +54,7 @@ def chunk(rows: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overl
     if size <= overlap or overlap < 0:
         raise ValueError("the chunk size must exceed the overlap, which must not be negative")
     step = size - overlap
-    cleaned = rows.withColumn("__t", clean_chunk_text(F.col(text_col))).where("__t <> ''")
+    cleaned = rows.withColumn("__t", clean_chunk_text(F.col(text_col)))  # a filter on it would clean each text again
     n = F.greatest(F.ceil((F.length("__t") - overlap) / step), F.lit(1)).cast("int")
     pieces = F.slice(F.regexp_extract_all("__t", F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), 1), F.lit(1), n)
     others = [F.col(f"`{c}`") for c in cleaned.columns if c not in ("__t", "chunk_index", "chunk_text")]

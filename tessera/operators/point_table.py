@@ -167,7 +167,7 @@ class PointTable:
         """Inserts and updates the points of chunks; whether anything changed. ``counts`` then has the chunks
         and how many were inserted, updated and skipped, counted while they are written."""
         new = make_points(chunks)
-        few = [r[0] for r in new.select("id").distinct().limit(MAX_LOOKUP + 1).collect()] if self.runs() else []
+        few = self._few(new) if self.runs() else []
         classified, seen = classify_by_sums(new, self.sums(few if len(few) <= MAX_LOOKUP else None)), Observation()
         of = lambda action: F.count_if(F.col("action") == action)
         counted = classified.observe(seen, F.count(F.lit(1)).alias("total"), of("insert").alias("inserted"), of("update").alias("updated"), of("skip").alias("skipped"))
@@ -182,6 +182,12 @@ class PointTable:
         self._vacuum()
         return True
 
+    def _few(self, new: DataFrame) -> list[str]:
+        """The distinct ids of ``new``, or some MAX_LOOKUP + 1 or more of them where there are so many; the
+        first rows tell as a rule."""
+        some = {r[0] for r in new.select("id").limit(4 * MAX_LOOKUP).collect()}
+        return list(some) if len(some) > MAX_LOOKUP else [r[0] for r in new.select("id").distinct().limit(MAX_LOOKUP + 1).collect()]
+
     def _merge_newest(self) -> None:
         runs = self.runs()
         sizes = [self.bytes_of(n) for _, _, n in runs]

@@ -848,6 +848,22 @@ def test_keyword_index_compares_many_words_in_tasks(spark, tmp_path):
     assert "MapInArrow" in plan and "grams" not in plan
 
 
+def test_strip_reads_the_ends_alone(spark):
+    """All code points that white space may be, at both ends and between; texts are cleaned once for their chunks."""
+    from tessera.functions import text as X
+    from tessera.operators import corpus as C
+
+    rows = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
+    text = F.concat("c", "c", F.lit("a"), "c", F.lit("b"), "c")
+    plain = F.regexp_replace(text, f"^{X.SPACE}+|{X.SPACE}+$", "")
+    assert rows.where(~X.strip(text).eqNullSafe(plain)).count() == 0
+    texts = spark.createDataFrame([(1, " \t\u3000 "), (2, None), (3, ""), (4, " a  b ")], "n int, text string")
+    cut = C.chunk(texts)
+    assert [tuple(r) for r in cut.select("n", "chunk_index", "chunk_text").collect()] == [(4, 0, "a b")]
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[ \t]+") == 1
+
+
 # The table's runs and cells
 
 
