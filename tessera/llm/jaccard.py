@@ -223,7 +223,8 @@ def _lists(parts: list[np.ndarray], kind: str) -> pa.ListArray:
 def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
     """``docs`` without the text, with k, n, prefix, rare, bits: k is the hash of the word sequence (null
     without words), n the set's size, prefix its rarest tokens, enough to share one with every partner,
-    rare the low halves of those that share SHARE with every partner, bits its parity bitmap."""
+    rare the low halves of the tokens behind it, up to those that share SHARE with every partner (``_rare``
+    has all of their halves), bits its parity bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[bytes]) -> dict:
@@ -240,7 +241,7 @@ def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
             keys.append(sequence if n_words else None)
             sizes.append(len(tokens))
             prefixes.append(tokens[:m])
-            rare.append(tokens[: prefix_length(len(tokens), percent, SHARE)].astype("int32"))
+            rare.append(tokens[m : prefix_length(len(tokens), percent, SHARE)].astype("int32"))
         return {"k": keys, "n": sizes, "prefix": _lists(prefixes, "int64"), "rare": _lists(rare, "int32"), "bits": bits}
 
     fields = {"k": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType()), "rare": T.ArrayType(T.IntegerType()), "bits": T.BinaryType()}
@@ -248,6 +249,12 @@ def _base(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
     return map_texts(docs.select(*rest, F.col("text").cast("binary").alias("__b")), run, fields, "__b", keep=rest)
 
 
+def _rare():
+    """The low halves of the longer prefix, of a row of ``_base``."""
+    halves = F.transform("prefix", lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int"))
+    return F.concat(halves, "rare").alias("rare")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(k, tokens) of the representatives ``wanted`` (k, doc), from their whole texts."""
     texts = docs.select(F.col("doc_id").alias("__d"), F.col("text").cast("binary").alias("__b"))
@@ -267,10 +274,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps let through."""
-    left = profiles.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    """The pairs (a, b) that sizes and bitmaps let through; the left one's bitmap is only sent where sizes do."""
+    left = profiles.select(F.col("k").alias("a"), F.col("n").alias("na"))
     right = profiles.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    rows = pairs.join(left, "a").join(right, "b").where(_compatible(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "ba", "bb")
+    rows = pairs.join(left, "a").join(right, "b").where(_compatible(F.col("na"), F.col("nb"), percent))
+    rows = rows.join(profiles.select(F.col("k").alias("a"), F.col("bits").alias("ba")), "a").select("a", "b", "na", "nb", "ba", "bb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,7 +323,9 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         new = scratch.write(nearer.join(jump, "c", "left").select("k", "old", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{tag}-{step}")
         changed = new.where(F.col("c") != F.col("old")).limit(1).count()
         labels = new.select("k", "c")
+        scratch.drop(f"{tag}-{step - 1}")
         if not changed:
+            scratch.drop(f"{tag}-edges")
             return labels
 
 
@@ -344,6 +354,7 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
     scratch.free_shuffles()
     hot, cold = (x.select("t", "k", "lk").distinct() for x in _by_token(tokens, buckets))
     shared = scratch.write(hot.unionByName(cold), "shared")
+    scratch.drop("buckets")
     scratch.free_shuffles()
     reps = scratch.write(base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "reps")
     members = scratch.write(shared.groupBy("k").agg(F.min("lk").alias("g")).join(reps, "k"), "members")
@@ -364,27 +375,38 @@ def join(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent:
             scratch.free_shuffles()
         if sets is None:
             return pairs
-        return scratch.write(_verify(pairs, sets, percent), f"edges-{turn}")
+        found = scratch.write(_verify(pairs, sets, percent), f"edges-{turn}")
+        scratch.drop(f"possible-{turn}")
+        scratch.drop(f"wanted-{turn}")
+        scratch.free_shuffles()
+        return found
 
     stars = shared.where("k <> lk").select(F.col("lk").alias("a"), F.col("k").alias("b")).distinct()
     tried = scratch.write(stars, "tried-0")
     labels = components(verified(tried, 0), scratch, "c0")
-    open_rows = shared.select("t", "k").join(members.select("k", "n"), "k").select("t", "k", "n")
+    open_rows, last = shared.select("t", "k").join(members.select("k", "n"), "k").select("t", "k", "n"), "shared"
 
     for turn in range(1, ROUNDS + 2):
-        rows = open_rows.join(labels, "k", "left").select("t", "k", "n", F.coalesce("c", "k").alias("c"))
+        rows = scratch.write(open_rows.join(labels, "k", "left").select("t", "k", "n", F.coalesce("c", "k").alias("c")), f"rows-{turn}")
+        scratch.drop(last)
+        scratch.free_shuffles()
         # a bucket of one component needs nothing more
         mixed = rows.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead"), F.count(F.lit(1)).alias("nb"))
         # nor does one of two documents, which were compared in the first round
         mixed = mixed.where("c0 <> c1 and nb > 2").select("t", F.col("lead.k").alias("lk"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc"), "nb")
         hot, cold = _by_token(rows, scratch.write(mixed, f"mixed-{turn}"))
-        rows = scratch.write(hot.unionByName(cold).drop("nb"), f"open-{turn}")
+        rows, last = scratch.write(hot.unionByName(cold).drop("nb"), f"open-{turn}"), f"open-{turn}"
+        scratch.drop(f"rows-{turn}")
+        scratch.drop(f"mixed-{turn}")
+        scratch.free_shuffles()
         open_rows = rows.select("t", "k", "n")
         if turn <= ROUNDS:
             pairs = rows.where((F.col("c") != F.col("lc")) & _compatible(F.col("n"), F.col("ln"), percent)).select(F.least("k", "lk").alias("a"), F.greatest("k", "lk").alias("b"))
         else:
             pairs = _open_groups(rows, members, base, scratch, percent)
         pairs = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
+        for tag in ("inside", "opened") if turn > ROUNDS else ():
+            scratch.drop(tag)
         if not pairs.limit(1).count():
             continue
         tried = tried.unionByName(pairs)
@@ -424,7 +446,8 @@ def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch:
     components allow a link. The tokens that their unions share are an upper bound for what the longer
     prefixes of any two members share, so they are opened only if there are SHARE of them (or as many as
     the smallest overlap of the groups' sizes). Groups meet by token and size band, so a token that very
-    many groups have is split by their sizes.
+    many groups have is split by their sizes. Only the unions go to every group that is met, the members
+    to those that are opened; what a step has shuffled and no later one reads is given up after it.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")  # linked sizes are in one band or in neighbours
     held = rows.select("k", "n", "c").distinct().join(members.select("k", "g"), "k").withColumn("band", band)
@@ -435,35 +458,48 @@ def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch:
     held = scratch.write(held.select("k", "n", "c", "band", "gid"), "groups")
     matrix = rows.select("t", "k").join(held, "k").groupBy("t", "gid", "band").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     matrix = scratch.write(matrix, "matrix")
+    scratch.free_shuffles()
     twice = matrix.withColumn("key", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     bound = F.least(F.col("p.n1"), F.col("m.n1")) * 100 >= F.greatest(F.col("p.n0"), F.col("m.n0")) * percent
     other = (F.col("p.c0") != F.col("p.c1")) | (F.col("m.c0") != F.col("m.c1")) | (F.col("p.c0") != F.col("m.c0"))
     once = (F.col("p.band") != F.col("m.band")) | (F.col("p.gid") <= F.col("m.gid"))
     met = matrix.alias("p").join(twice.alias("m"), (F.col("p.t") == F.col("m.t")) & (F.col("p.band") == F.col("m.key")) & once & bound & other)
     met = scratch.write(met.select(F.col("p.gid").alias("g1"), F.col("m.gid").alias("g2")).distinct(), "met")
-    rare = base.select("k", "rare").join(held.select("k"), "k", "left_semi").groupBy("k").agg(F.first("rare").alias("rare"))  # copies have the same
+    scratch.drop("matrix")
+    scratch.free_shuffles()
+    rare = base.select("k", _rare()).join(held.select("k"), "k", "left_semi").groupBy("k").agg(F.first("rare").alias("rare"))  # copies have the same
     inside = held.join(members.select("k", "bits"), "k").join(rare, "k").groupBy("gid").agg(  # GROUP documents or so
         F.collect_list(F.struct("k", "n", "c", "bits")).alias("inside"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rare")))).alias("union"), F.min("n").alias("least"),
         F.max(F.size("rare") - F.size(F.array_distinct("rare"))).alias("merged"),
     )
     inside = scratch.write(inside, "inside")
-    one, two = (inside.select(F.col("gid").alias(f"g{i}"), F.struct("inside", "union", "least", "merged").alias(f"i{i}")) for i in (1, 2))
-    rows = met.join(one, "g1").join(two, "g2").select(*[f"i{i}.{c}" for i in (1, 2) for c in ("inside", "union", "least", "merged")]).toDF("a", "ua", "la", "ma", "b", "ub", "lb", "mb")
-
-    def opened(b: pa.RecordBatch) -> np.ndarray:
-        """Which pairs of groups could have members that link."""
-        out = np.zeros(b.num_rows, bool)
-        needed = needed_overlap(*(b.column(i).to_numpy() for i in (2, 6, 3, 7)), percent)
-        (x, ox), (y, oy) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (b.column(1), b.column(5)))
-        for i in range(b.num_rows):
-            shared = np.intersect1d(x[ox[i] : ox[i + 1]], y[oy[i] : oy[i + 1]], assume_unique=True)
-            out[i] = len(shared) >= needed[i]
-        return out
+    scratch.drop("groups")
+    scratch.free_shuffles()
+
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+        """``pairs`` (g1, g2) with the columns of either group, with 1 or 2 behind their names."""
+        for i in (1, 2):
+            pairs = pairs.join(inside.select(F.col("gid").alias(f"g{i}"), *[F.col(c).alias(f"{c}{i}") for c in columns]), f"g{i}")
+        return pairs.select("g1", "g2", *[f"{c}{i}" for i in (1, 2) for c in columns])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Those pairs of groups that could have members that link."""
+        for b in batches:
+            out = np.zeros(b.num_rows, bool)
+            needed = needed_overlap(*(b.column(i).to_numpy() for i in (3, 6, 4, 7)), percent)
+            (x, ox), (y, oy) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (b.column(2), b.column(5)))
+            for i in range(b.num_rows):
+                shared = np.intersect1d(x[ox[i] : ox[i + 1]], y[oy[i] : oy[i + 1]], assume_unique=True)
+                out[i] = len(shared) >= needed[i]
+            yield b.select([0, 1]).filter(pa.array(out))
+
+    asked = scratch.write(both(met, "union", "least", "merged").mapInArrow(opened, "g1 long, g2 long"), "opened")
+    scratch.drop("met")
+    scratch.free_shuffles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(opened(b)))
-            left, right = b.column(0).to_pylist(), b.column(4).to_pylist()
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
             pairs: set[tuple[int, int]] = set()
             for xs, ys in zip(left, right, strict=True):
                 for x in xs:
@@ -475,7 +511,7 @@ def _open_groups(rows: DataFrame, members: DataFrame, base: DataFrame, scratch:
                             pairs.add((k, y["k"]) if k < y["k"] else (y["k"], k))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return both(asked, "inside").mapInArrow(run, "a long, b long")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

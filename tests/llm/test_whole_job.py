@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model, mixing, secrets, spans
+from tessera.llm import common, jaccard, language_model, mixing, secrets, spans
 from tessera.llm.common import table
 
 
@@ -160,3 +160,32 @@ def test_parameters_are_averaged_in_a_tree(spark, monkeypatch):
     whole = score()
     monkeypatch.setattr(language_model, "FAN", 2)
     assert score() == pytest.approx(whole, rel=1e-3)
+
+
+def test_jaccard_holds_no_table_that_is_read_no_more(spark, monkeypatch):
+    """When groups are opened, the tables of earlier steps are gone, and the components are those of brute force."""
+    live, write = {}, common.Scratch.write
+
+    def watched(self, df, tag, *rest, **options):
+        live[tag] = set(self.written)
+        return write(self, df, tag, *rest, **options)
+
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(common.Scratch, "write", watched)
+    rng, rows = random.Random(4), {}
+    for family in range(6):
+        start = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for i in range(9):  # one changed word leaves a link to the first text, more do not
+            changed = rng.sample(range(4, 56), max(0, i - 2)) if i > 3 else [9 * i] * (i > 0)
+            rows[10 * family + i] = [f"x{family}-{i}" if j in changed else w for j, w in enumerate(start)]
+    sets = {i: {tuple(w[j : j + 4]) for j in range(57)} for i, w in rows.items()}
+    smallest = {i: i for i in rows}
+    for _ in rows:
+        for a in rows:
+            for b in rows:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    smallest[a] = min(smallest[a], smallest[b])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == smallest
+    assert not live["inside"] & {"buckets", "shared", "rows-1", "mixed-1", "matrix"}
+    assert not live["named"] & {"inside", "groups", "opened"}
