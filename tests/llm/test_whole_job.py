@@ -189,3 +189,20 @@ def test_jaccard_holds_no_table_that_is_read_no_more(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == smallest
     assert not live["inside"] & {"buckets", "shared", "rows-1", "mixed-1", "matrix"}
     assert not live["named"] & {"inside", "groups", "opened"}
+
+
+def test_gates_take_no_tanh_and_keep_their_limits(monkeypatch):
+    """The gates are those of the formulas, also for inputs whose exp overflows, and come from exp alone."""
+    words = [str(i).encode() for i in range(8)]
+    v = language_model.Vocabulary(words, np.full(8, 100.0), 800, 8, {})
+    net = language_model.Network(v)
+    k, rng = language_model.HIDDEN, np.random.default_rng(1)
+    h, x = rng.uniform(-1, 1, (k, 5)), rng.normal(0, 2, (5, 3 * k))
+    x[0], x[1] = 500, -500
+    hu = net.p["u"].T @ h + net.p["bu"][:, None]
+    z, r = np.split((1 + np.tanh((x.T[: 2 * k] + hu[: 2 * k]) / 2)) / 2, 2)
+    n = np.tanh(x.T[2 * k :] + r * hu[2 * k :])
+    monkeypatch.setattr(np, "tanh", None)
+    with np.errstate(all="raise", under="ignore"):
+        after = net.step(h.astype("float32"), x.astype("float32"))[0]
+    assert np.allclose(after, n + z * (h - n), atol=1e-5)
