@@ -14,6 +14,7 @@ averaged by their words. Scoring carries the state through the complete document
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -22,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,10 @@ from pyspark.sql import types as T
 from .common import Scratch, small_batches, table
 
 END = b""
+#: Factors of the inputs of the gates z and r and of the new state n: 1 / (1 + exp(x)) and 2 / (1 + exp(x)) - 1 of the products are the gates.
+SIGNS = np.array([-1, -1, -2], "float32")
+#: What the gradients that training carries of z, of r, of the states' share in n and of n are to be multiplied by.
+HALVES = np.array([1, 0.5, 0.5, 0.5], "float32")
 SMOOTH = 0.1
 #: Words that are broadcast with their counts; a bound. All others are joined.
 HEAD = 200_000
@@ -40,8 +46,8 @@ LANES, ROUND_LANES, WINDOW = 64, 512, 24
 SCORE_LANES, SCORE_WINDOW = 256, 64
 #: Words that a task scores together, about.
 SCORE_WORDS = 2_000_000
-#: Rows whose logits are made at once.
-BLOCK = 2048
+#: Rows whose logits are made at once; they fit in a core's cache.
+BLOCK = 1024
 #: Parts that all training documents are learned in, the rate there, words that a task holds at once,
 #: and words of a text that the state is carried through in training.
 ROUNDS, ROUND_RATE, CHUNK_WORDS, PIECE_WORDS = 2, 0.004, 800_000, 500
@@ -53,42 +59,51 @@ FAN = 256
 TRAIN_DOCS, TRAIN_WORDS, MAX_CHARS = 3000, 1_000_000, 30_000
 #: Share of the count model that is mixed in.
 BACKOFF = 0.02
-FLUSH = 300_000
-
-
-def logistic(x: np.ndarray) -> None:
-    """1 / (1 + exp(-x)) in place; numpy's exp of float32 takes half the time of its tanh."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):  # an infinite exp gives the right limit, 0
-        np.exp(x, out=x)
-    x += np.float32(1)
-    np.divide(np.float32(1), x, out=x)
+#: Words that a task counts together.
+FLUSH = 3_000_000
 
 
 def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts (bytes; null: none), one after another, and each text's number of words.
+
+    Arrow's kernels cut at the characters of ``bytes.split`` and take any bytes for text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    some = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty piece
+    if not some.all():
+        words, offsets = words.filter(pa.array(some)), np.append(0, np.cumsum(some))[offsets]
+    return words.view(pa.binary()), np.diff(offsets).astype("int64")
+
+
+def split_batches(batches: Iterator[pa.RecordBatch], column: int, most: int, kept: list | None = None) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
+    """``split_words`` of batches, as many together as have ``most`` words; their other columns go to ``kept``."""
+    words, sizes, held = [], [], 0
+    for b in batches:
+        found, size = split_words(b.column(column))
+        words.append(found)
+        sizes.append(size)
+        held += len(found) + len(size)
+        if kept is not None:
+            kept.append(b.columns[:column])
+        if held >= most:
+            yield words, sizes
+            words, sizes, held = [], [], 0
+    if sizes:
+        yield words, sizes
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all of ``docs`` (column ``b``: bytes): counted per task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return made
-
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for data in texts:
-                held.update(words_of(data or b""))
-            held[END] += len(texts)
-            if len(held) > FLUSH:
-                yield out()
-        if held:
-            yield out()
+        for held, sizes in split_batches(batches, 0, FLUSH):
+            words, n = pa.chunked_array(held, pa.binary()).value_counts().flatten()
+            ends = pa.array([sum(map(len, sizes))], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, ends])], names=["word", "n"])
 
     return docs.select("b").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -148,76 +163,83 @@ class Network:
         for c in range(wc):
             self.wide[c, : min(PER_CLASS, v.neural - c * PER_CLASS)] = True
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of states (with their bias) and of inputs, by gate (z, r, n), times SIGNS."""
+        u = np.vstack([self.p["u"], self.p["bu"]])
+        return tuple(np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1)) * SIGNS[:, None, None] for x in (u, self.p["x"]))
+
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """States (HIDDEN x lanes) after words of the gathered input rows ``x`` (lanes x 3 HIDDEN), with the gates."""
-        k = HIDDEN
-        x = x.T
-        hu = self.p["u"].T @ h
-        hu += self.p["bu"][:, None]
-        zr = x[: 2 * k] + hu[: 2 * k]
-        logistic(zr)
-        z, r, hn = zr[:k], zr[k:], hu[2 * k :]
-        n = r * hn
-        n += x[2 * k :]
-        n += n
-        logistic(n)  # tanh(x) = 2 logistic(2 x) - 1
-        n += n
-        n -= np.float32(1)
-        after = h - n
-        after *= z
-        after += n
-        return after, z, r, n, hn
-
-    def loss(self, hs: np.ndarray, words: np.ndarray, v: Vocabulary, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """States (HIDDEN x lanes) after words of the gathered input rows ``x`` (lanes x 3 HIDDEN), with the gates z, r and n."""
+        after, made = np.array(h.T, "float32", order="C"), x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1) * SIGNS[:, None, None]
+        with np.errstate(over="ignore"):
+            advance(np.hstack([after, np.ones((len(x), 1), "float32")]), after, made, self.gates()[0])
+        return after.T, *(gate.T for gate in made)
+
+    def loss(self, hs: np.ndarray, words: np.ndarray, v: Vocabulary, grad: dict | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """log P(class), log P(word | class) of each word under its state (a row of ``hs``, with a last
-        column of ones for the biases); with ``grad`` also the states' gradient. BLOCK rows at a time, so
-        that their logits stay in the cache."""
-        p, every, k = self.p, v.cls[words], HIDDEN
-        log_c, inner = np.empty(len(words), "float32"), np.zeros(len(words), "float32")
-        dh = None if grad is None else np.empty((len(words), k), "float32")
+        column of ones for the biases); with ``grad`` also the states' gradient. Words below zero are none
+        and have zeros. Rows are taken in ``order``, that of ``by_class``, BLOCK at a time, so that their
+        logits stay in the cache."""
+        p, k = self.p, HIDDEN
+        order = by_class(words, v) if order is None else order
+        own, states = words[order], hs.take(order, axis=0)
+        cls, n = v.cls[own], len(order)
+        dh = None if grad is None else np.zeros((n + 1, k), "float32")  # the last row is that of no word
         outer, within = np.vstack([p["c"], p["bc"]]), np.concatenate([p["w"], p["bw"][:, None]], 1)
         if grad is not None:
-            g_outer, g_within = np.zeros_like(outer), np.zeros_like(within)
+            g_outer, g_within, outer_t, within_t = np.zeros_like(outer), np.zeros_like(within), np.ascontiguousarray(p["c"].T), np.ascontiguousarray(p["w"].swapaxes(1, 2))
         # states are within -1 and 1, so the parameters tell whether a logit can be too large for exp
         clip = max(float((np.abs(x[..., :k, :]).sum(-2) + x[..., k, :]).max(initial=0)) for x in (outer, within)) > 60
-
-        def softmax(states: np.ndarray, weights: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            e = states @ weights
+        widest = max(outer.shape[1], PER_CLASS)
+        ones, upto, held = np.ones(widest, "float32"), np.arange(BLOCK), np.empty(BLOCK * widest, "float32")
+
+        def softmax(at: int, end: int, weights: np.ndarray, spots: np.ndarray, logit: np.ndarray, total: np.ndarray) -> tuple:
+            """Logits and sums of some rows; with ``grad`` the rows' softmax less one at the word, times the sum."""
+            part, width, sums = states[at:end], weights.shape[1], total[at:end]
+            flat = held[: len(part) * width]
+            e = flat.reshape(len(part), width)
+            np.matmul(part, weights, out=e)
             if clip:
                 np.minimum(e, np.float32(60), out=e)
-            own = e[rows, at]
+            spots = spots[at:end] + upto[: len(part)] * width
+            flat.take(spots, out=logit[at:end], mode="clip")
             np.exp(e, out=e)
-            total = e @ ones[: e.shape[1]]
-            if grad is not None:
-                e /= total[:, None]
-                e[rows, at] -= 1
-            return own - np.log(total), e
-
-        ones, upto = np.ones(max(outer.shape[1], PER_CLASS), "float32"), np.arange(min(BLOCK, len(words)))
-        for at in range(0, len(words), BLOCK):
-            part, cls = hs[at : at + BLOCK], every[at : at + BLOCK]
-            log_c[at : at + BLOCK], e = softmax(part, outer, cls, upto[: len(cls)])
-            if grad is not None:
-                g_outer += part.T @ e
-                np.matmul(e, p["c"].T, out=dh[at : at + BLOCK])
-        static = (words >= v.neural) & (words < len(v.words))
-        inner[static] = v.inner[words[static]]
-        rows = np.flatnonzero(words < v.neural)
-        rows = rows[np.argsort(every[rows].astype("uint16"), kind="stable")]
-        bounds = np.searchsorted(every[rows], np.arange(v.n_neural_classes + 1))
-        states, places, made = hs[rows], words[rows] - every[rows] * PER_CLASS, np.empty(len(rows), "float32")
-        back = None if grad is None else np.empty((len(rows), k), "float32")
+            np.matmul(e, ones[:width], out=sums)
+            if grad is None:
+                return ()
+            flat[spots] -= sums
+            sums = sums[:, None]
+            return e, (part / sums).T, sums
+
+        logit_c, total_c = np.empty(n, "float32"), np.empty(n, "float32")
+        for at in range(0, n, BLOCK):
+            end = min(at + BLOCK, n)
+            made = softmax(at, end, outer, cls, logit_c, total_c)
+            if made:
+                e, scaled, sums = made
+                g_outer += scaled @ e
+                np.divide(e @ outer_t, sums, out=dh[at:end])
+        logit, total, places = np.zeros(n, "float32"), np.ones(n, "float32"), own - cls * PER_CLASS
+        bounds = np.searchsorted(cls, np.arange(v.n_neural_classes + 1)).tolist()
         for c in range(v.n_neural_classes):
             for at in range(bounds[c], bounds[c + 1], BLOCK):
                 end = min(at + BLOCK, bounds[c + 1])
-                made[at:end], e = softmax(states[at:end], within[c], places[at:end], upto[: end - at])
-                if grad is not None:
-                    g_within[c] += states[at:end].T @ e
-                    np.matmul(e, p["w"][c].T, out=back[at:end])
-        inner[rows] = made
+                made = softmax(at, end, within[c], places, logit, total)
+                if made:
+                    e, scaled, sums = made
+                    g_within[c] += scaled @ e
+                    back = e @ within_t[c]
+                    back /= sums
+                    dh[at:end] += back
+        static = slice(bounds[-1], int(np.searchsorted(cls, v.tail_class)))
+        logit[static] = v.inner[own[static]]
+        log_c, inner = np.zeros(len(words), "float32"), np.zeros(len(words), "float32")
+        log_c[order], inner[order] = logit_c - np.log(total_c), logit - np.log(total)
         if grad is not None:
-            dh[rows] += back
             grad |= {"c": g_outer[:k], "bc": g_outer[k], "w": g_within[:, :k], "bw": g_within[:, k] * self.wide}
+            place = np.full(len(words), n)
+            place[order] = np.arange(n)
+            dh = dh.take(place, axis=0)
         return log_c, inner, dh
 
     def flat(self) -> np.ndarray:
@@ -237,7 +259,7 @@ class Network:
         if not docs or not v.neural:
             return
         ids, reset, _ = lanes(docs, LANES if moments is None else ROUND_LANES)
-        k, h = HIDDEN, np.zeros((HIDDEN, ids.shape[1]), "float32")
+        k, h = HIDDEN, np.zeros((ids.shape[1], HIDDEN), "float32")
         held = {} if moments is None else moments
         if not held:
             held |= {"steps": 0, "mean": {n: np.zeros_like(x) for n, x in self.p.items()}, "square": {n: np.zeros_like(x) for n, x in self.p.items()}}
@@ -245,62 +267,51 @@ class Network:
         for step in range(n_steps):
             words, new = ids[step * WINDOW : (step + 1) * WINDOW], reset[step * WINDOW : (step + 1) * WINDOW]
             on_lanes = int((words[0] >= 0).sum())  # lanes are sorted by length, longest first
-            words, new, h = words[:, :on_lanes], new[:, :on_lanes], h[:, :on_lanes]
+            words, new, h = words[:, :on_lanes], new[:, :on_lanes], h[:on_lanes]
             steps, lanes_n = words.shape
-            on, fresh = words >= 0, new.any(1)
-            full = on.all(1)
-            inputs = v.inputs[words]
-            hs, kept = np.ones((steps, lanes_n, k + 1), "float32"), []
-            for t in range(steps):
-                if fresh[t]:
-                    h = h * ~new[t]
-                hs[t, :, :k] = h.T
-                after, z, r, n, hn = self.step(h, self.p["x"].take(inputs[t], axis=0))
-                kept.append((h, z, r, n, hn))
-                h = after if full[t] else np.where(on[t], after, h)
-            live = on.ravel()
-            count = max(1, int(live.sum()))
+            fresh, inputs, (u, x) = new.any(1), v.inputs[words], self.gates()
+            hs, made, less = np.ones((steps, lanes_n, k + 1), "float32"), np.empty((steps, 3, lanes_n, k), "float32"), np.empty((steps, lanes_n, k), "float32")
+            shares = []
+            with np.errstate(over="ignore"):  # an infinite exp gives the right limit, 0
+                for t in range(steps):  # a lane goes on beyond its end, where it has no loss
+                    if fresh[t]:
+                        h[new[t]] = 0
+                    hs[t, :, :k] = h
+                    x.take(inputs[t], axis=1, out=made[t], mode="clip")
+                    shares.append(advance(hs[t], h, made[t], u, less[t]))
+            flat, order = hs.reshape(-1, k + 1), by_class(words.ravel(), v)
+            count = max(1, len(order))
             grad: dict = {}
-            whole = bool(full.all())
-            flat = hs.reshape(-1, k + 1)
-            _, _, dh_live = self.loss(flat if whole else flat[live], words.ravel() if whole else words.ravel()[live], v, grad)
-            if whole:
-                dh_all = dh_live.reshape(steps, lanes_n, k)
-            else:
-                dh_all = np.zeros((len(flat), k), "float32")
-                dh_all[live] = dh_live
-                dh_all = dh_all.reshape(steps, lanes_n, k)
-            du, dbu = np.zeros_like(self.p["u"]), np.zeros_like(self.p["bu"])
-            dxs = np.empty((3 * k, steps, lanes_n), "float32")
-            carried = np.zeros_like(h)
-            dhu = np.empty((3 * k, lanes_n), "float32")
+            dh_all = self.loss(flat, words.ravel(), v, grad, order)[2].reshape(steps, lanes_n, k)
+            carried, d, u_back = np.zeros_like(h), np.empty((4, steps, lanes_n, k), "float32"), np.ascontiguousarray(u[:, :k].swapaxes(1, 2)) * HALVES[:3, None, None]
             for t in range(steps - 1, -1, -1):
-                before, z, r, n, hn = kept[t]
-                back = carried if full[t] else carried * on[t]
-                dn = n * n
-                np.subtract(np.float32(1), dn, out=dn)
-                rest = z * back
-                dn *= back - rest
-                dz = before - n
-                dz *= rest
-                dz *= 1 - z
-                dr = dn * hn
-                dr *= r
-                dr *= 1 - r
-                dhu[:k], dhu[k : 2 * k] = dz, dr
-                dxs[: 2 * k, t], dxs[2 * k :, t] = dhu[: 2 * k], dn
-                dhu[2 * k :] = dn * r
-                du += before @ dhu.T
-                dbu += dhu.sum(1)
-                rest += self.p["u"] @ dhu
-                carried = rest if full[t] else np.where(on[t], rest, carried)
-                carried += dh_all[t].T
+                zr, n, (dz, dr, dhn, dn) = made[t, :2], made[t, 2], d[:, t]
+                rest = zr[0] * carried
+                np.multiply(n, n, out=dn)
+                dn -= np.float32(1)
+                carried -= rest
+                dn *= carried
+                slope = zr - np.float32(1)
+                np.multiply(less[t], rest, out=dz)
+                dz *= slope[0]
+                slope[1] *= zr[1]
+                np.multiply(dn, shares[t], out=dr)
+                dr *= slope[1]
+                np.multiply(dn, zr[1], out=dhn)
+                back = d[:3, t] @ u_back
+                np.add(rest, dh_all[t], out=carried)
+                for part in back:
+                    carried += part
                 if fresh[t]:
-                    carried *= ~new[t]
-            grad["u"], grad["bu"] = du, dbu
-            rows = inputs.ravel().astype("int64")  # lanes beyond their end have gradients of zero
-            touched = np.flatnonzero(np.bincount(rows, minlength=v.n_inputs))
-            grad["x"] = np.stack([np.bincount(rows, weights=dx, minlength=v.n_inputs)[touched] for dx in dxs.reshape(3 * k, -1)], 1)
+                    carried[new[t]] = 0
+            d = d.reshape(4, -1, k)
+            scale = (HALVES * SIGNS[[0, 1, 2, 2]])[:, None]
+            du = np.concatenate([flat.T @ x * s for x, s in zip(d[:3], scale[:3], strict=True)], 1)
+            grad["u"], grad["bu"] = du[:k], du[k]
+            rows = inputs.ravel().take(order)
+            starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            touched = rows[starts].astype("int64")
+            grad["x"] = np.concatenate([np.add.reduceat(d[i].take(order, axis=0), starts, axis=0) * scale[i] for i in (0, 1, 3)], 1)
             norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) / count
             shrink = np.float32(min(1.0, 2.0 / max(norm, 1e-9)) / count)
             slower = 1 - 0.9 * step / n_steps if moments is None else 1.0
@@ -331,29 +342,60 @@ class Network:
         """Of each document the sum of log10 probabilities, for tail words without their own count."""
         out = np.zeros(len(docs))
         ids, reset, of = lanes(docs, SCORE_LANES)
-        h = np.zeros((HIDDEN, ids.shape[1]), "float32")
+        h, (u, x) = np.zeros((ids.shape[1], HIDDEN), "float32"), self.gates()
         base = np.append((v.counts + SMOOTH) / v.base_z, 1 / v.base_z) * BACKOFF
         scale = np.append(np.full(len(v.words), 1 - BACKOFF), (1 - BACKOFF) / v.tail_z)
         for start in range(0, len(ids), SCORE_WINDOW):
             words, new = ids[start : start + SCORE_WINDOW], reset[start : start + SCORE_WINDOW]
             on_lanes = int((words[0] >= 0).sum())  # lanes are sorted by length, longest first
-            words, new, h = words[:, :on_lanes], new[:, :on_lanes], h[:, :on_lanes]
-            fresh = new.any(1)
+            words, new, h = words[:, :on_lanes], new[:, :on_lanes], h[:on_lanes]
+            fresh, inputs, made = new.any(1), v.inputs[words], np.empty((3, on_lanes, HIDDEN), "float32")
             hs = np.ones((*words.shape, HIDDEN + 1), "float32")
-            inputs = v.inputs[words]
-            for t in range(len(words)):
-                if fresh[t]:
-                    h = h * ~new[t]
-                hs[t, :, :HIDDEN] = h.T
-                h = self.step(h, self.p["x"].take(inputs[t], axis=0))[0]
+            with np.errstate(over="ignore"):  # an infinite exp gives the right limit, 0
+                for t in range(len(words)):
+                    if fresh[t]:
+                        h[new[t]] = 0
+                    hs[t, :, :HIDDEN] = h
+                    x.take(inputs[t], axis=1, out=made, mode="clip")
+                    advance(hs[t], h, made, u)
             live = words.ravel() >= 0
             flat = words.ravel()[live]
-            log_c, inner, _ = self.loss(hs.reshape(-1, HIDDEN + 1)[live], flat, v)
+            log_c, inner = (found[live] for found in self.loss(hs.reshape(-1, HIDDEN + 1), words.ravel(), v)[:2])
             total = np.log(np.exp(log_c.astype("float64") + inner) * scale[flat] + base[flat])
             out += np.bincount(of[start : start + SCORE_WINDOW, :on_lanes].ravel()[live], weights=total, minlength=len(docs))
         return out / math.log(10)
 
 
+def advance(states: np.ndarray, h: np.ndarray, made: np.ndarray, u: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
+    """Takes ``h`` (lanes x HIDDEN) a word further, in place. ``states`` is ``h`` with a column of ones; ``made``
+    has the words' input weights by gate, from ``Network.gates`` as ``u``, and gets z, r and n; ``less`` gets
+    h - n. Returns the states' share in n, before r is applied. Overflows of exp are the caller's to ignore."""
+    less, share, zr, n = h if less is None else less, states @ u, made[:2], made[2]
+    zr += share[:2]
+    np.exp(zr, out=zr)
+    zr += np.float32(1)
+    np.divide(np.float32(1), zr, out=zr)
+    n += zr[1] * share[2]
+    np.exp(n, out=n)
+    n += np.float32(1)
+    np.divide(np.float32(2), n, out=n)
+    n -= np.float32(1)
+    np.subtract(h, n, out=less)
+    np.multiply(less, zr[0], out=h)
+    h += n
+    return share[2]
+
+
+def by_class(words: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The places of all words of 0 and more, by class and, where words have inputs of their own, by word."""
+    inputs = v.inputs[words].astype("uint16")  # few enough for numpy to sort by digits
+    none = words < 0
+    if not none.any():
+        return np.argsort(inputs, kind="stable")
+    inputs[none] = 65535
+    return np.argsort(inputs, kind="stable")[: len(words) - int(none.sum())]
+
+
 def lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents laid out in lanes, one after another, longest first to the shortest lane: word
     numbers (-1 beyond a lane's end), starts of documents, and document numbers; longest lane first."""
@@ -450,15 +492,15 @@ def learn_all(train: DataFrame, v: Vocabulary, net: Network, scratch: Scratch) -
             v, start = held.value
             from pyspark import TaskContext
 
-            own = Network.__new__(Network)
+            head, own = pa.array(v.words, pa.binary()), Network.__new__(Network)
             own.wide, own.p = start.wide, {n: x.copy() for n, x in start.p.items()}
             moments: dict = {}
             pieces, size, total = [], 0, 0
-            for b in batches:
-                for data in b.column(0).to_pylist():
-                    ids = numbers(v, words_of(data or b""))
-                    for at in range(0, len(ids), PIECE_WORDS):
-                        pieces.append(ids[at : at + PIECE_WORDS])
+            for words, sizes in split_batches(batches, 0, CHUNK_WORDS):
+                ids, starts = numbers_of_texts(v, head, words, sizes)
+                for begin, end in itertools.pairwise(starts.tolist()):
+                    for at in range(begin, end, PIECE_WORDS):
+                        pieces.append(ids[at : min(at + PIECE_WORDS, end)])
                         size += len(pieces[-1])
                         if size >= CHUNK_WORDS:
                             own.train(pieces, v, ROUND_RATE, moments)
@@ -501,6 +543,31 @@ def numbers(v: Vocabulary, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(v.number.get, [*words, END], repeat(len(v.words))), "int32", len(words) + 1)
 
 
+def numbers_of_texts(v: Vocabulary, head: pa.Array, words: list[pa.Array], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``numbers`` of many texts, from their ``split_words`` and the vocabulary's words as ``head``: all numbers
+    with the ends, one text after another, and where each text begins (and the last one ends)."""
+    size = np.concatenate(sizes) if sizes else np.zeros(0, "int64")
+    tail, starts = len(v.words), np.append(0, np.cumsum(size + 1))
+    flat = np.full(starts[-1], v.number.get(END, tail), "int32")
+    is_word = np.ones(len(flat), bool)
+    is_word[starts[1:] - 1] = False
+    flat[is_word] = pc.fill_null(pc.index_in(pa.chunked_array(words, pa.binary()), value_set=head), tail).to_numpy()
+    return flat, starts
+
+
+def lost_words(flat: np.ndarray, starts: np.ndarray, words: list[pa.Array], tail: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words without a number of their own: text, word and how often it occurs there."""
+    at = np.flatnonzero(flat == tail)
+    of = np.searchsorted(starts, at, "right") - 1
+    end = at == starts[of + 1] - 1  # each text has one end, and either all of them are lost or none
+    of_ends, at, of = of[end], at[~end], of[~end]
+    coded = pa.concat_arrays([*words, pa.array([], pa.binary())]).take(pa.array(at - of)).dictionary_encode()
+    keys, n = np.unique(of * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+    of, code = np.divmod(keys, max(len(coded.dictionary), 1))
+    ends = pa.array([END] * len(of_ends), pa.binary())
+    return np.concatenate([of, of_ends]), pa.concat_arrays([coded.dictionary.take(pa.array(code)), ends]), np.concatenate([n, np.ones(len(of_ends), "int64")])
+
+
 _live: dict = {}
 
 
@@ -537,49 +604,29 @@ def score(docs: DataFrame, is_train, text_col: str = "text", scratch: Scratch |
             _live.clear()
             _live[key] = held.value
         v, net = _live[key]
-        uid = TaskContext.get().partitionId() << 36
+        uid, head = TaskContext.get().partitionId() << 36, pa.array(v.words, pa.binary())
         tail = len(v.words)
         logs = np.append(np.log10(v.counts + SMOOTH), 0.0)
-
-        def scored(group: list[tuple[list[pa.Array], list[np.ndarray], list[Counter]]]) -> Iterator[pa.RecordBatch]:
-            """The rows of a group of batches; their documents share the lanes, so long ones leave few idle."""
-            nonlocal uid
-            found = net.score([ids for _, coded, _ in group for ids in coded], v)
-            for columns, coded, lost in group:
-                n, found_here = len(coded), found[: len(coded)]
-                found = found[n:]
-                sizes = np.array([len(c) for c in coded], "int64")
-                flat = np.concatenate(coded) if coded else np.zeros(0, "int32")
-                of = np.repeat(np.arange(n), sizes)
-                known = np.bincount(of, weights=flat < tail, minlength=n).astype("int64")
-                base = np.bincount(of, weights=logs[flat], minlength=n)
-                rest_uid = np.repeat(uid + np.arange(n), [len(x) for x in lost])
-                m = len(rest_uid)
-                left = lambda x, t, m=m: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])
-                right = lambda x, t, n=n: pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)])
-                arrays = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in columns]
-                arrays += [
-                    pa.array(np.concatenate([uid + np.arange(n), rest_uid]), pa.int64()), left(sizes, pa.int64()), left(known, pa.int64()), left(base, pa.float64()), left(found_here, pa.float64()),
-                    right([w for x in lost for w in x], pa.binary()), right([k for x in lost for k in x.values()], pa.int64()),
-                ]
-                uid += n
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-        group, held_words = [], 0
-        for b in batches:
-            coded, lost = [], []
-            for data in b.column(n_kept).to_pylist():
-                words = words_of(data or b"")
-                ids = numbers(v, words)
-                coded.append(ids)
-                held_words += len(ids)
-                lost.append(Counter(words[j] if j < len(words) else END for j in np.flatnonzero(ids == tail).tolist()))
-            group.append((b.columns[:n_kept], coded, lost))
-            if held_words >= SCORE_WORDS:
-                yield from scored(group)
-                group, held_words = [], 0
-        if group:
-            yield from scored(group)
+        columns: list[list[pa.Array]] = []
+        # the documents of a group of batches share the lanes, so long ones leave few idle
+        for words, sizes in split_batches(batches, n_kept, SCORE_WORDS, columns):
+            flat, starts = numbers_of_texts(v, head, words, sizes)
+            size, n = np.diff(starts), len(starts) - 1
+            found = net.score([flat[a:b] for a, b in itertools.pairwise(starts.tolist())], v)
+            of = np.repeat(np.arange(n), size)
+            known = np.bincount(of, weights=flat < tail, minlength=n).astype("int64")
+            base = np.bincount(of, weights=logs[flat], minlength=n)
+            rest_of, rest_words, rest_n = lost_words(flat, starts, words, tail)
+            m = len(rest_of)
+            left = lambda x, t, m=m: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])
+            arrays = [pa.concat_arrays([*(c[i] for c in columns), pa.nulls(m, columns[0][i].type)]) for i in range(n_kept)]
+            arrays += [
+                pa.array(uid + np.concatenate([np.arange(n), rest_of]), pa.int64()), left(size, pa.int64()), left(known, pa.int64()), left(base, pa.float64()), left(found, pa.float64()),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), rest_words]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rest_n, pa.int64())]),
+            ]
+            uid += n
+            columns.clear()
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     made = scratch.write(rows.select(*kept, "b").mapInArrow(run, schema), "made")
     rest = made.where("__word is not null").select("__uid", F.col("__word").alias("word"), F.col("__n").alias("m"))

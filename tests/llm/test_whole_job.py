@@ -2,8 +2,10 @@
 
 import random
 import string
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,3 +208,59 @@ def test_gates_take_no_tanh_and_keep_their_limits(monkeypatch):
     with np.errstate(all="raise", under="ignore"):
         after = net.step(h.astype("float32"), x.astype("float32"))[0]
     assert np.allclose(after, n + z * (h - n), atol=1e-5)
+
+
+def test_words_are_cut_and_numbered_by_columns():
+    """Arrow's kernels give the words, numbers and lost words of the plain way, for any bytes."""
+    odd = [b"", None, b"  a B\tc\x0b d\x0c ", b"\xff\xfe A\xc3\x84 \xe2\x80\x83x\x00y\x1c z", b" ", b"one", b"\n\r x \n", b"zz zz q ZZ", "É ÀZ   q".encode()]
+    rng = random.Random(8)
+    texts = [*odd, *(" ".join(f"w{int(rng.expovariate(0.001))}" for _ in range(2000)).encode() for _ in range(100))]
+    known = [b"", b"a", b"x", *(f"w{i}".encode() for i in range(3000))]
+    for words in (known, known[1:], []):  # the end's number is lost in the last two
+        v = language_model.Vocabulary(words, np.ones(len(words)), 10_000, 4000, {})
+        plain = [language_model.words_of(x or b"") for x in texts]
+        numbers = [language_model.numbers(v, x) for x in plain]
+        lost = [Counter(x for x in [*own, b""] if x not in v.number) for own in plain]
+        parts = [language_model.split_words(pa.array(x, pa.binary())) for x in (texts[:5], texts[5:])]
+        cut, sizes = [x for x, _ in parts], [x for _, x in parts]
+        flat, starts = language_model.numbers_of_texts(v, pa.array(v.words, pa.binary()), cut, sizes)
+        of, rest, n = language_model.lost_words(flat, starts, cut, len(words))
+        assert [x for part in cut for x in part.to_pylist()] == [x for own in plain for x in own]
+        assert np.array_equal(flat, np.concatenate(numbers)) and np.diff(starts).tolist() == [len(x) for x in numbers]
+        found = {(i, x): m for i, x, m in zip(of.tolist(), rest.to_pylist(), n.tolist(), strict=True)}
+        assert len(found) == len(of) and found == {(i, x): m for i, own in enumerate(lost) for x, m in own.items()}
+
+
+def test_training_follows_the_gradient_of_whole_documents(monkeypatch):
+    """One window over lanes of unlike lengths, with documents that begin within a lane: the gradient is that
+    of the sum of the documents' losses, each from a state of zeros."""
+    v = language_model.Vocabulary([str(i).encode() for i in range(100)], np.arange(100, 0, -1.0), 10_000, 500, {})
+    net, k, rng = language_model.Network(v), language_model.HIDDEN, np.random.default_rng(2)
+    docs = [rng.integers(0, 101, n).astype("int32") for n in (20, 3, 9, 1, 14, 2)]
+
+    def total() -> float:
+        out = 0.0
+        for doc in docs:
+            h = np.zeros((k, 1), "float32")
+            for word in doc:
+                log_c, inner, _ = net.loss(np.append(h[:, 0], np.float32(1))[None], np.array([word], "int32"), v)
+                out -= float(log_c[0]) + float(inner[0])
+                h = net.step(h, net.p["x"][v.inputs[[word]]])[0]
+        return out
+
+    lanes, moments, start = language_model.lanes, {}, net.flat()
+    monkeypatch.setattr(language_model, "lanes", lambda docs, _: lanes(docs, 3))
+    net.train(docs, v, 0.0, moments)
+    assert np.array_equal(net.flat(), start) and moments["steps"] == 1
+    ratios = []
+    for name in ("x", "u", "bu", "c", "bc", "w", "bw"):
+        mean = moments["mean"][name]
+        for at in np.abs(mean).ravel().argsort()[-4:]:
+            at = np.unravel_index(at, mean.shape)
+            held = net.p[name][at]
+            net.p[name][at] = held + np.float32(0.02)
+            up = total()
+            net.p[name][at] = held - np.float32(0.02)
+            ratios.append(float(mean[at]) / ((up - total()) / 0.04))
+            net.p[name][at] = held
+    assert ratios == pytest.approx([np.median(ratios)] * len(ratios), rel=0.03) and np.median(ratios) > 0
