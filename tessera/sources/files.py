@@ -15,18 +15,13 @@ from pyspark.sql import types as T
 from ..functions.text import blank_to_null
 from ..schemas import DECISION_FIELDS
 from ..session import shared
+from .json_arrays import elements
 from .seed import SEED
 
 def read_decisions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files that hold one JSON array of decisions; missing keys are null, missing lists empty; anything
-    else in a file raises. ``pos`` is the order of files and of their elements."""
-    whole = spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("file"))
-    whole = whole.where(~F.col("file").endswith("/manifest.json"))
-    items = F.from_json("value", "array<string>")
-    checked = F.when(F.coalesce(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1) == "[", F.lit(False)), items).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file"))))
-    rows = whole.select("file", F.posexplode(checked).alias("n", "item"))
-    item = F.when(F.col("item").startswith("{"), F.from_json("item", DECISION_FIELDS)).otherwise(F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("file"))))
-    rows = rows.select("file", "n", item.alias("d")).select("file", "n", "d.*")
+    else in a file raises. ``pos`` is the order of files and of their elements. Tasks read large files in parts."""
+    rows = elements(spark, paths).select("file", "n", F.from_json("item", DECISION_FIELDS).alias("d")).select("file", "n", "d.*")
     for c in ("related_regulations", "topics_and_keywords"):
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     return rows.withColumn("pos", F.struct("file", "n")).drop("file", "n")
@@ -64,12 +59,12 @@ def _indented(rows: pd.Series) -> pd.Series:
 
 
 def write_json_array(rows: DataFrame, path: str) -> int:
-    """One local file with a JSON array, indented by 2, other characters than ASCII as they are. Tasks write
+    """One local file with a JSON array, indented by 2, other characters than ASCII as they are and nulls kept. Tasks write
     the elements to the shared folder; the driver copies these files one behind the other and gets no rows.
     Returns the number of elements."""
     spark = rows.sparkSession
     parts, seen = f"{shared(spark)}/array-{uuid.uuid4().hex}", Observation()
-    items = rows.select(_indented(F.to_json(F.struct("*"))).alias("value"))
+    items = rows.select(_indented(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value"))
     items.observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", ",").text(parts)
     n = int(seen.get["n"] or 0)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -130,7 +125,7 @@ def collect_results(
     reference, on the pages that the limit needs raises, or is passed over with ``skip_duplicates``; so do
     decisions without a reference, a text url or (if texts are asked for) a full text.
     """
-    from ..operators.corpus import enrich, require_unique
+    from ..operators.corpus import enrich, numbered, require_unique
 
     if page_start < 0 or (page_end is not None and page_end < page_start):
         raise ValueError("pages must be a range of non-negative numbers")
@@ -155,7 +150,7 @@ def collect_results(
     else:
         rows = require_unique(rows, "__identity", "decision")
     if max_results is not None:
-        rows = rows.orderBy("pos").limit(max_results)
+        rows = numbered(rows, "pos", "__place").where(F.col("__place") < max_results).drop("__place")  # a limit would hold its rows in one task
     # The identity is read here, so that Spark can't leave its check out.
     rows = rows.where(F.col("__identity").isNotNull()).drop("__identity")
     if texts is not None:

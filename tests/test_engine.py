@@ -1087,6 +1087,48 @@ def test_a_json_array_is_written_by_tasks(spark, tmp_path, monkeypatch):
         assert (tmp_path / "a.json").read_text("utf-8") == json.dumps(want, ensure_ascii=False, indent=2)
 
 
+def test_large_json_arrays_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """Parts that end anywhere, also in strings with braces, quotes and escapes, give what the whole file gives."""
+    import json
+
+    from tessera.sources import json_arrays as J
+
+    rng = random.Random(3)
+    texts = ["", "}", "{[", '",{"', "\\", '\\"}', "],[", "č\n}\t", "x" * 90]
+    rows = [{"result_id": i, "full_text": "".join(rng.choices(texts, k=rng.randrange(6))), "topics_and_keywords": rng.choices(texts, k=2), "other": [{"a": {}}, [rng.choice(texts)]]} for i in range(120)]
+    for name, some, indent in (("a", rows[:70], 2), ("b", rows[70:], None), ("c", [], None)):
+        (tmp_path / f"{name}.json").write_text(" " + json.dumps(some, ensure_ascii=False, indent=indent) + "\n")
+    read = lambda paths=f"{tmp_path}/?.json": [(r.result_id, r.full_text, r.topics_and_keywords) for r in S.read_decisions(spark, paths).orderBy("pos").collect()]
+    want = [(d["result_id"], d["full_text"], d["topics_and_keywords"]) for d in rows]
+    assert read() == want
+    bad = ['[{"a": 1}, ', '[{"a": 1}', '[{"a": 1},]', '[{"a": 1}] 2', '[{"a": 1}][{"a": 2}]', '[{"a": }]', '[{"a": 1} {"a": 2}]', '["{}"]', "[null]", '{"a": [1]}', "[1, {}]", " "]
+    for large in (False, True):
+        if large:
+            monkeypatch.setattr(J, "LARGE", 1)
+        for text in bad:
+            (tmp_path / "bad").write_text(text)
+            with pytest.raises(Exception, match="not a JSON"):
+                read(f"{tmp_path}/bad")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for part, split in ((1, "100000"), (50, "700"), (1, "97"), (100_000, "300")):
+            monkeypatch.setattr(J, "PART", part)
+            for k in before:
+                spark.conf.set(k, split)
+            assert read() == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_cut_to_many_results_is_not_made_in_one_task(spark):
+    """A limit of half a large site's decisions would be held by a task; null fields are cut as well as others."""
+    pages = _pages_of(spark, *[(i, [(f"E{i}", f"r{i}"), (None, f"s{i}")]) for i in range(9)])
+    found = S.collect_results(pages, max_results=7)
+    assert "Limit" not in found._jdf.queryExecution().toString() and "TakeOrdered" not in found._jdf.queryExecution().toString()
+    assert [r.case_reference for r in found.orderBy("pos").collect()] == ["r0", "s0", "r1", "s1", "r2", "s2", "r3"]
+
+
 def test_result_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     """The rows of a batch are cut, so that the results of 10,000 pages are never held at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
